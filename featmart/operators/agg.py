@@ -128,7 +128,7 @@ class AggSpec:
     @classmethod
     def from_json(cls, text: str) -> "AggSpec":
         d = json.loads(text)
-        return cls([tuple(i) for i in d["items"]], d.get("order"), d.get("exact", True))
+        return cls([(n, fns, e) for n, e, fns in d["items"]], d.get("order"), d.get("exact", True))
 
 
 def aggregate(df: DataFrame, key: str | Sequence[str], spec: AggSpec, prefix: str = "",
