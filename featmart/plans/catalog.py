@@ -1,4 +1,4 @@
 """The query catalogue: importing this module registers every query and oracle."""
 
-from featmart.plans import catalog_core, catalog_marts, catalog_scalar  # noqa: F401
+from featmart.plans import catalog_agg, catalog_core, catalog_marts, catalog_scalar  # noqa: F401
 from featmart.plans.registry import ORACLES, QUERIES  # noqa: F401
