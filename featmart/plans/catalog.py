@@ -1,4 +1,6 @@
 """The query catalogue: importing this module registers every query and oracle."""
 
-from featmart.plans import catalog_agg, catalog_core, catalog_marts, catalog_scalar, catalog_seq  # noqa: F401
+from featmart.plans import (  # noqa: F401
+    catalog_agg, catalog_core, catalog_encode, catalog_marts, catalog_scalar, catalog_seq,
+)
 from featmart.plans.registry import ORACLES, QUERIES  # noqa: F401
