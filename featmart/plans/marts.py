@@ -56,3 +56,206 @@ def customer_mart(customer: DataFrame, orders: DataFrame, lineitem: DataFrame) -
            .withColumn("bal_to_spend", safe_div("c_acctbal", "ord_o_totalprice_sum"))
            .withColumn("late_share", safe_div("ord_late_sum", "ord_count")))
     return out
+
+
+# =====================================================================================
+# D1-D11.  Every mart returns one row per customer key ``c_custkey`` (D2-D7 only for customers
+# with child rows; the final mart left-joins them onto all customers).
+# =====================================================================================
+
+import featmart.operators.agg as A  # noqa: E402
+from featmart.functions import exprs as X  # noqa: E402
+from featmart.functions.nulls import half_even, log1p_guarded, ne_null_safe  # noqa: E402
+from featmart.operators import encode as EN  # noqa: E402
+from featmart.operators import joins as J  # noqa: E402
+from featmart.operators import seq as S  # noqa: E402
+
+# Sequence features in the marts use the skew-safe chunked plan: an entity of any size is cut
+# into blocks of this many rows.
+SEQ_CHUNK_ROWS = 1_000_000
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+LINE_ORDER = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+ORDER_ORDER = ["o_orderdate", "o_orderkey"]
+REF_DATE = "2001-01-01"
+
+
+def mart_base(customer: DataFrame, nation: DataFrame) -> DataFrame:
+    """Customer + nation name; balance relative to the median of its (nation, segment) and
+    of its segment (attached via aggregate + join); segment one-hot with a missing column;
+    guarded log1p; row statistics."""
+    c = customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    c = c.join(nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey", "left")
+    c = J.group_stat_on_rows(c, ["c_nationkey", "c_mktsegment"], {"med_ns": F.median("c_acctbal")})
+    c = J.group_stat_on_rows(c, ["c_mktsegment"], {"med_s": F.median("c_acctbal")})
+    c, _ = EN.one_hot_apply(c, {"c_mktsegment": SEGMENTS}, dummy_na=True, drop_source=False)
+    parts = [F.col("c_acctbal") / 1000.0, F.col("c_nationkey"), F.length("c_name")]
+    return c.select(
+        "c_custkey", "n_name", "c_mktsegment",
+        safe_div("c_acctbal", "med_ns").alias("bal_to_med_ns"), safe_div("c_acctbal", "med_s").alias("bal_to_med_s"),
+        *[F.col(f"c_mktsegment_{s}").alias(f"seg_{s.lower()}") for s in SEGMENTS],
+        F.col("c_mktsegment_nan").alias("seg_nan"),
+        log1p_guarded("c_acctbal").alias("log_bal"),
+        X.row_mean(parts).alias("row_mean"), X.row_max(parts).alias("row_max"), X.row_std(parts).alias("row_std"))
+
+
+def mart_external(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """Lines per order (count, sum and share per return flag) -> customer mean / sum, with
+    separate blocks for order status O, F and the null-safe rest - all conditional aggregates."""
+    per_o = lineitem.groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        *[F.sum((F.col("l_returnflag") == f).cast("long")).alias(f"n_{f.lower()}") for f in ("A", "N", "R")],
+        *[F.avg((F.col("l_returnflag") == f).cast("double")).alias(f"share_{f.lower()}") for f in ("A", "N", "R")])
+    o = orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_orderstatus").join(
+        per_o, F.col("o_orderkey") == F.col("l_orderkey"))
+    feats = ["n_lines", "n_r", "share_a", "share_n", "share_r"]
+    spec = A.AggSpec([(f, ["mean", "sum"], f) for f in feats])
+    overall = A.aggregate(o, "c_custkey", spec, prefix="ext_")
+    blocks = A.cond_agg(o, "c_custkey", "o_orderstatus", ["O", "F"],
+                        A.AggSpec([(f"ext_{f}", ["mean", "sum"], f) for f in ("n_lines", "share_r")]))
+    return overall.join(blocks, "c_custkey")
+
+
+def mart_orders(orders: DataFrame) -> DataFrame:
+    """D3: price min/mean/max/var, share per status and priority, last status by date, months
+    between first and last order per order (half-even months of 30 days)."""
+    o = orders
+    spec = A.AggSpec([("price", ["min", "mean", "max", "var"], "o_totalprice"),
+                      ("status", ["last"], "o_orderstatus"),
+                      ("date", ["min", "max"], "o_orderdate"), ("n", ["size"], "1")], order=ORDER_ORDER)
+    shares = [F.avg((F.col("o_orderstatus") == s).cast("double")).alias(f"share_status_{s.lower()}")
+              for s in ("F", "O", "P")]
+    shares += [F.avg((F.col("o_orderpriority") == p).cast("double")).alias(f"share_prio_{p[0]}")
+               for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")]
+    g = A.aggregate(o.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", spec, prefix="ord_", extra=shares)
+    months = half_even(F.datediff("ord_date_max", "ord_date_min") / F.lit(30.0))
+    return g.withColumn("months_per_order", safe_div(months, "ord_n_size")).drop("ord_date_min", "ord_date_max")
+
+
+def mart_monthly(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """Lines -> order (min/max quantity, counts per line status, conjunctive flag) -> customer
+    with mean/min/max/sum of every order-level column through the extended spec (A6)."""
+    li = lineitem.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")),
+                       "l_orderkey")
+    spec = A.AggSpec([("qty", ["min", "max"], "l_quantity"),
+                      ("open", ["sum"], "CAST(l_linestatus = 'O' AS INT)"),
+                      ("closed", ["sum"], "CAST(l_linestatus = 'F' AS INT)"),
+                      ("ret_closed", ["max"], "CAST(coalesce(l_returnflag = 'R' AND l_linestatus = 'F', false) AS INT)")])
+    return A.rollup(li, "l_orderkey", "c_custkey", spec, top_prefix="mon_")
+
+
+def mart_instalments(orders: DataFrame, lineitem: DataFrame, chunk_rows: int | None = SEQ_CHUNK_ROWS) -> DataFrame:
+    """Lines in ship order per order: due = price, paid = price (1 - discount); paid ratio,
+    due difference to the previous line, late flag (> 30 days after the previous shipment),
+    running paid, rolling 3 mean of due -> order (mean/max/sum/std) -> customer (mean/sum/max)."""
+    li = lineitem.select("l_orderkey", *[c for c in LINE_ORDER if c != "l_orderkey"],
+                         F.col("l_extendedprice").alias("due"),
+                         (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("paid"))
+    feats = {"due_diff": ("diff", "due", 0.0), "paid_run": ("running_sum", "paid"),
+             "due_roll3": ("rolling_mean", "due", 3), "prev_ship": ("lag", "l_shipdate", 1)}
+    s = S.sequence_features(li, "l_orderkey", LINE_ORDER, feats, chunk_rows=chunk_rows)
+    s = s.withColumn("ratio", safe_div("paid", "due")).withColumn(
+        "late", flag(F.datediff("l_shipdate", "prev_ship") > 30))
+    per_o = s.groupBy("l_orderkey").agg(
+        F.avg("ratio").alias("ratio_mean"), F.sum("due_diff").alias("diff_sum"), F.sum("late").alias("late_n"),
+        F.max("paid_run").alias("paid_total"), F.max("due_roll3").alias("roll3_max"),
+        F.stddev_samp("paid").alias("paid_std"))
+    o = per_o.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")),
+                   "l_orderkey")
+    spec = A.AggSpec().extend_from(["ratio_mean", "diff_sum", "late_n", "paid_total", "roll3_max", "paid_std"],
+                                   ("mean", "sum", "max"))
+    return A.aggregate(o, "c_custkey", spec, prefix="ins_")
+
+
+def mart_series(events: DataFrame, chunk_rows: int | None = SEQ_CHUNK_ROWS) -> DataFrame:
+    """Per user: % events under a value limit, ratio of sums for one event type, max over a
+    limit, distinct types, count of increases along time."""
+    e = events.select("event_id", F.col("user_id").alias("c_custkey"), "ts", "event_type", "value")
+    s = S.sequence_features(e, "c_custkey", ["ts", "event_id"], {"up": ("increase", "value")}, chunk_rows=chunk_rows)
+    return s.groupBy("c_custkey").agg(
+        (F.avg((F.col("value") < 50).cast("double")) * 100.0).alias("ser_pct_under_50"),
+        (safe_div(F.sum(F.when(F.col("event_type") == "purchase", F.col("value"))), F.sum("value")) * 100.0)
+        .alias("ser_purchase_share"),
+        F.max(F.when(F.col("value") > 400, F.col("value"))).alias("ser_max_over_400"),
+        F.countDistinct("event_type").alias("ser_n_types"),
+        F.sum("up").alias("ser_n_up"))
+
+
+def mart_slices(orders: DataFrame, chunk_rows: int | None = SEQ_CHUNK_ROWS, alpha: float = 0.7) -> DataFrame:
+    """First 2 / last 5 / all orders; last 365 days; by status (null-safe rest); EWM of the
+    price at the customer's latest order."""
+    o = orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_orderdate", "o_totalprice",
+                      "o_orderstatus")
+    s = S.sequence_features(o, "c_custkey", ORDER_ORDER,
+                            {"rn": ("row_number",), "ewm": ("ewm", "o_totalprice", alpha)}, chunk_rows=chunk_rows)
+    n = s.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("_cnt"))
+    s = s.join(n, "c_custkey")
+    days = F.datediff("o_orderdate", F.lit(REF_DATE).cast("date"))
+    slices = {"first_2": F.col("rn") <= 2, "last_5": F.col("rn") > F.col("_cnt") - 5, "all": F.lit(True),
+              "last_year": days > -365, "status_f": F.col("o_orderstatus") == "F",
+              "status_rest": ne_null_safe("o_orderstatus", "F")}
+    exprs = []
+    for tag, cond in slices.items():
+        x = F.when(cond, F.col("o_totalprice"))
+        exprs += [A.agg_fn("sum", x).alias(f"sl_sum_{tag}"), F.avg(x).alias(f"sl_mean_{tag}"),
+                  F.max(x).alias(f"sl_max_{tag}")]
+    exprs.append(A.last_nonnull("ewm", ORDER_ORDER).alias("sl_ewm_last"))
+    return s.groupBy("c_custkey").agg(*exprs)
+
+
+def mart_neighbours(customer: DataFrame) -> DataFrame:
+    """Customers alike on (nation, segment, balance bucket): previous / next label."""
+    c = customer.select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal",
+                        F.floor(F.abs("c_acctbal") / 2500).alias("bal_bucket"),
+                        (F.col("c_acctbal") < 0).cast("int").alias("label"))
+    cl = S.lookalike_clusters(c, ["c_nationkey", "c_mktsegment", "bal_bucket"], "c_custkey")
+    nb = S.neighbour_labels(cl, "cluster", ["c_acctbal", "c_custkey"], "label")
+    return nb.select("c_custkey", F.col("cluster_size").alias("nb_cluster_size"),
+                     F.col("prev_label").alias("nb_prev_label"), F.col("next_label").alias("nb_next_label"))
+
+
+def mart_final(marts: list[DataFrame], base: DataFrame) -> DataFrame:
+    """Star join of the per-customer marts onto the base mart; one row per customer.
+
+    Every mart is the output of an aggregation keyed by ``c_custkey`` and therefore already
+    hash-partitioned by it; the left joins reuse that partitioning."""
+    return J.star_join(base, "c_custkey", marts)
+
+
+def binned_mart(features: DataFrame, label: str, keep: str = "both", iv_min: float = 0.02,
+                min_share: float = 0.05, missing_value: float = 0.05) -> DataFrame:
+    """Constants out (Q6), bins fitted on the labelled customers only (E8), WoE columns
+    (E9), IV selection (Q7), and the unlabelled part transformed with the same parameters and
+    unioned back.
+
+    keep: 'both' -> originals + binned columns that pass; 'binned' -> binned only;
+          'numeric_binned' -> numeric originals + passing binned; 'originals_passing' ->
+          original values of the columns whose binned version passes."""
+    from featmart.operators import select as SE
+    from featmart.session import cut_lineage
+    feats = [c for c in features.columns if c not in ("c_custkey", label)]
+    data = cut_lineage(features)          # read three times: constants, bins, output
+    lab = data.filter(F.col(label).isNotNull())
+    const = SE.constant_columns(lab, feats)
+    feats = [r["feature"] for r in const.filter("keep").collect()]
+    nums = [c for c, t in data.dtypes if c in feats and t in ("double", "int", "bigint", "float")]
+    bins = EN.optimal_bins_fit(lab, label, nums, min_share=min_share).collect()
+    iv = {}
+    for r in bins:
+        iv[r["feature"]] = iv.get(r["feature"], 0.0) + r["iv"]
+    passing = [c for c in nums if iv.get(c, 0.0) >= iv_min]
+    rows = [r for r in bins if r["feature"] in passing]
+    out = EN.binned_apply(data.select("c_custkey", label, *nums), rows, missing_value=missing_value, keep="both")
+    binned = [f"{c}_binned" for c in passing]
+    if keep == "both":
+        cols = nums + binned
+    elif keep == "binned":
+        cols = binned
+    elif keep == "numeric_binned":
+        cols = nums + binned
+    elif keep == "originals_passing":
+        cols = passing
+    else:
+        raise ValueError(keep)
+    labelled = out.filter(F.col(label).isNotNull()).select("c_custkey", label, *cols)
+    unlabelled = out.filter(F.col(label).isNull()).select("c_custkey", label, *cols)
+    return J.union_named([labelled, unlabelled])
