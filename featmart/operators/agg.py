@@ -131,14 +131,39 @@ class AggSpec:
         return cls([(n, fns, e) for n, e, fns in d["items"]], d.get("order"), d.get("exact", True))
 
 
+_HOLISTIC = ("median", "mode")
+
+
 def aggregate(df: DataFrame, key: str | Sequence[str], spec: AggSpec, prefix: str = "",
               drop_null_keys: bool = True, extra: Sequence[Column] = ()) -> DataFrame:
-    """``groupBy(key).agg(spec, *extra)``; NULL keys are dropped first (pandas groupby)."""
+    """``groupBy(key).agg(spec, *extra)``; NULL keys are dropped first (pandas groupby).
+
+    Holistic functions (median, mode) are not computed inside the group-by - that would hold a
+    group's distinct values in one buffer - but by the skew-safe ``quantile.median_by`` /
+    ``quantile.mode_by`` and joined back on the key (one row per key on both sides)."""
+    from featmart.operators import quantile as Q
     keys = [key] if isinstance(key, str) else list(key)
     if drop_null_keys:
         for k in keys:
             df = df.filter(F.col(k).isNotNull())
-    return df.groupBy(*keys).agg(*spec.columns(prefix), *extra)
+    plain = AggSpec(order=spec.order, exact=spec.exact)
+    holistic = []
+    for name, expr, fns in spec.items:
+        rest = [f for f in fns if f not in _HOLISTIC]
+        if rest:
+            plain.add(name, rest, expr)
+        holistic += [(name, expr, f) for f in fns if f in _HOLISTIC]
+    out = df.groupBy(*keys).agg(*plain.columns(prefix), *extra) if (plain.items or extra) else \
+        df.select(*keys).distinct()
+    for name, expr, fn in holistic:
+        src = df.select(*keys, F.expr(expr).alias("_x"))
+        alias = f"{prefix}{name}_{fn}"
+        part = (Q.median_by(src, keys, "_x", alias, spec.exact) if fn == "median"
+                else Q.mode_by(src, keys, "_x", alias))
+        out = out.join(part, keys, "left")
+    names = spec.names(prefix)
+    others = [c for c in out.columns if c not in keys and c not in names]
+    return out.select(*keys, *[F.col(f"`{n}`") for n in names + others])
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -163,13 +188,12 @@ def aggregate_all(df: DataFrame, key: str, fns: Sequence[str] = ("min", "max", "
 
 def mixed_profile(df: DataFrame, key: str, carry: Sequence[str] = (), prefix: str = "") -> DataFrame:
     """Numeric min/max/mean/sum and string mode/nunique/count per key; ``carry`` columns are
-    functionally dependent on the key and kept with ``first`` (A4)."""
+    functionally dependent on the key and kept with ``first`` (A4).  Mode ties -> smallest."""
     nums = numeric_columns(df, exclude=[key, *carry])
     strs = string_columns(df, exclude=[key, *carry])
     spec = AggSpec([(c, ["min", "max", "mean", "sum"], f"`{c}`") for c in nums]
                    + [(c, ["mode", "nunique", "count"], f"`{c}`") for c in strs])
-    exprs = [F.first(c, ignorenulls=True).alias(c) for c in carry] + spec.columns(prefix)
-    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(*exprs)
+    return aggregate(df, key, spec, prefix, extra=[F.first(c, ignorenulls=True).alias(c) for c in carry])
 
 
 def rollup(child: DataFrame, mid_key: str, top_key: str, spec: AggSpec,
@@ -223,19 +247,22 @@ def category_counts(df: DataFrame, key: str, cat: str, values: Sequence, share:
 
 def dist_pack(df: DataFrame, key: str, value: str, prefix: str = "", exact: bool = True) -> DataFrame:
     """Nine statistics per key (A21): size, sum, min, median, max, mean, std (population),
-    bias-corrected skew and kurtosis."""
+    bias-corrected skew and kurtosis.  The median is the skew-safe ranked median."""
+    from featmart.operators.quantile import median_by
     v = F.col(value)
-    return (df.filter(F.col(key).isNotNull()).groupBy(key).agg(
+    d = df.filter(F.col(key).isNotNull())
+    g = d.groupBy(key).agg(
         F.count(F.lit(1)).alias(f"{prefix}size"),
         F.coalesce(F.sum(v), F.lit(0.0)).alias(f"{prefix}sum"),
         F.min(v).alias(f"{prefix}min"),
-        (F.median(v) if exact else F.percentile_approx(v, 0.5, 10000)).alias(f"{prefix}median"),
         F.max(v).alias(f"{prefix}max"),
         F.avg(v).alias(f"{prefix}mean"),
         F.stddev_pop(v).alias(f"{prefix}std"),
         sample_skew(v).alias(f"{prefix}skew"),
         sample_kurtosis(v).alias(f"{prefix}kurt"),
-    ))
+    )
+    med = median_by(d, [key], value, f"{prefix}median", exact)
+    return g.join(med, key, "left")
 
 
 def global_scalar(df: DataFrame, agg: Column, name: str) -> DataFrame:

@@ -136,23 +136,32 @@ def fill_constant(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
 
 
 def fill_statistic(df: DataFrame, cols: Sequence[str], how: str = "mean", exact: bool = True) -> DataFrame:
-    """Impute NULL with a column statistic computed in ONE aggregate pass over all columns.
+    """Impute NULL with a column statistic: mean / max+1 from one aggregate pass over all
+    columns; median from the skew-safe ranked percentiles (all columns in one job); mode from a
+    (value, count) aggregation.
 
     how: mean | median | mode | max_plus_one."""
     def stat(c):
         x = F.col(c)
         if how == "mean":
             return F.avg(x)
-        if how == "median":
-            return F.median(x) if exact else F.percentile_approx(x, 0.5, 10000)
-        if how == "mode":
-            return F.mode(x, True)
         if how == "max_plus_one":
             return F.max(x) + F.lit(1)
         raise ValueError(how)
-    row = df.agg(*[stat(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
-    return project(df, {c: F.coalesce(F.col(c), F.lit(row[f"s{i}"]).cast(dict(df.dtypes)[c]))
-                        for i, c in enumerate(cols)})
+    if how == "median":
+        from featmart.operators.quantile import column_quantiles
+        qs = column_quantiles(df, cols, [0.5], exact=exact)
+        vals = {c: qs[c][0] if qs[c] else None for c in cols}
+    elif how == "mode":
+        from featmart.operators.quantile import mode_by
+        vals = {}
+        for c in cols:                      # (value, count) aggregation per column, then one row
+            r = mode_by(df.withColumn("_k", F.lit(0)), ["_k"], c, "m").first()
+            vals[c] = r["m"] if r else None
+    else:
+        row = df.agg(*[stat(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+        vals = {c: row[f"s{i}"] for i, c in enumerate(cols)}
+    return project(df, {c: F.coalesce(F.col(c), F.lit(vals[c]).cast(dict(df.dtypes)[c])) for c in cols})
 
 
 def select_by_type(df: DataFrame, kind: str) -> list[str]:

@@ -94,16 +94,13 @@ def codes_apply(col: str, levels: Sequence, missing: int = -1) -> Column:
 # ------------------------------------------------------------------ E4 quantile bins
 
 def quantile_edges_fit(df: DataFrame, cols: Sequence[str], q: int = 10, exact: bool = True) -> dict[str, list[float]]:
-    """Quantile edges of every column in ONE aggregate (pandas ``qcut``: linear interpolation,
-    duplicate edges dropped).  ``exact=False`` uses the fixed-memory sketch."""
+    """Quantile edges of every column (pandas ``qcut``: linear interpolation, duplicate edges
+    dropped).  Exact edges come from the skew-safe ranked percentiles (each column is spread
+    over many tasks); ``exact=False`` uses the fixed-memory sketch."""
+    from featmart.operators.quantile import column_quantiles
     probs = [i / q for i in range(q + 1)]
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        e = F.percentile(x, probs) if exact else F.percentile_approx(x, probs, 100000)
-        aggs.append(F.array_sort(F.array_distinct(e)).alias(f"e{i}"))
-    row = df.agg(*aggs).first()
-    return {c: [float(v) for v in (row[f"e{i}"] or [])] for i, c in enumerate(cols)}
+    qs = column_quantiles(df, cols, probs, exact=exact)
+    return {c: sorted({float(v) for v in qs[c] if v is not None}) for c in cols}
 
 
 def bin_index(col: str | Column, edges: Sequence[float]) -> Column:

@@ -27,13 +27,16 @@ def missing_report(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
             .select("column", "n_missing", (F.col("n_missing") * 100.0 / F.col("_n")).alias("pct_missing")))
 
 
-def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Count, mean, std (ddof=1), min, quartiles (linear interpolation), max per column."""
+def describe(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
+    """Count, mean, std (ddof=1), min, quartiles (linear interpolation), max per column.
+    Quartiles come from the skew-safe ranked percentiles (a column is one huge group)."""
+    from featmart.operators.quantile import percentiles
     u = unpivot_values(df.select(*cols), cols, as_string=False)
-    return u.groupBy("feature").agg(
+    m = u.groupBy("feature").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.percentile("value", 0.25).alias("p25"), F.median("value").alias("p50"),
-        F.percentile("value", 0.75).alias("p75"), F.max("value").alias("max"))
+        F.min("value").alias("min"), F.max("value").alias("max"))
+    q = percentiles(u, ["feature"], "value", QUARTILES, exact, names=["p25", "p50", "p75"])
+    return m.join(q, "feature", "left").select("feature", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def schema_listing(df: DataFrame) -> DataFrame:
@@ -67,18 +70,23 @@ def conditional_rate(df: DataFrame, label: str, cond, positive: bool = True):
 
 
 def quantiles_by_label(df: DataFrame, col: str, label: str,
-                       probs: Sequence[float] = (0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
-    """Exact quantiles (linear interpolation) of ``col`` per label class."""
-    g = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.percentile(col, list(probs)).alias("q"))
-    return g.select(label, *[F.col("q")[i].alias(f"q{int(round(p * 100))}") for i, p in enumerate(probs)])
+                       probs: Sequence[float] = (0.5, 0.75, 0.9, 0.95, 0.99), exact: bool = True) -> DataFrame:
+    """Quantiles (linear interpolation) of ``col`` per label class; a class is a huge group,
+    so the ranked skew-safe percentiles are used."""
+    from featmart.operators.quantile import percentiles
+    names = [f"q{int(round(p * 100))}" for p in probs]
+    return percentiles(df.filter(F.col(label).isNotNull()), [label], col, probs, exact, names=names)
 
 
-def five_numbers(df: DataFrame, col: str, label: str) -> DataFrame:
+def five_numbers(df: DataFrame, col: str, label: str, exact: bool = True) -> DataFrame:
     """Min, quartiles, max and the 1.5 IQR fences per label class."""
-    g = df.filter(F.col(label).isNotNull()).groupBy(label).agg(
-        F.min(col).alias("min"), F.percentile(col, QUARTILES).alias("q"), F.max(col).alias("max"))
-    q1, q2, q3 = F.col("q")[0], F.col("q")[1], F.col("q")[2]
-    return g.select(label, "min", q1.alias("q1"), q2.alias("median"), q3.alias("q3"), "max",
+    from featmart.operators.quantile import percentiles
+    lab = df.filter(F.col(label).isNotNull())
+    mm = lab.groupBy(label).agg(F.min(col).alias("min"), F.max(col).alias("max"))
+    q = percentiles(lab, [label], col, QUARTILES, exact, names=["q1", "median", "q3"])
+    g = mm.join(q, label)
+    q1, q3 = F.col("q1"), F.col("q3")
+    return g.select(label, "min", "q1", "median", "q3", "max",
                     (q1 - (q3 - q1) * 1.5).alias("fence_low"), (q3 + (q3 - q1) * 1.5).alias("fence_high"))
 
 

@@ -106,11 +106,21 @@ def _ord(o) -> Column:
     return F.col(o) if isinstance(o, str) else o
 
 
-def positions(df: DataFrame, key: Sequence[str], order: Sequence, n_parts: int | None = None) -> DataFrame:
+ROWS_PER_RANGE_PARTITION = 2_000_000
+
+
+def positions(df: DataFrame, key: Sequence[str], order: Sequence, n_parts: int | None = None,
+              total_rows: int | None = None) -> DataFrame:
     """Add ``_pos``: exact 1-based row number of every row inside its key, in ``order``, without a
-    window over the key (steps 1-2 of the module docstring)."""
+    window over the key (steps 1-2 of the module docstring).  The number of range partitions
+    grows with the data (about ``ROWS_PER_RANGE_PARTITION`` rows each, at least the session's
+    shuffle partitions)."""
     spark = df.sparkSession
-    n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if n_parts is None:
+        base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        total = total_rows if total_rows is not None else df.count()
+        n_parts = max(base, -(-total // ROWS_PER_RANGE_PARTITION))
+    n = n_parts
     s = (df.repartitionByRange(n, *[F.col(k) for k in key], *[_ord(o) for o in order])
          .sortWithinPartitions(*[F.col(k) for k in key], *[_ord(o) for o in order])
          .withColumn("_mid", F.monotonically_increasing_id()))
@@ -127,10 +137,26 @@ def positions(df: DataFrame, key: Sequence[str], order: Sequence, n_parts: int |
         "_mid", "_pid", "_idx", "_i0", "_off")
 
 
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """(rows in the largest group, total rows): one pre-aggregated count over the key columns."""
+    r = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n"), F.sum("_n")).first()
+    return int(r[0] or 0), int(r[1] or 0)
+
+
+def max_group_rows(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows in the largest group."""
+    return group_sizes(df, keys)[0]
+
+
 def sequence_features(df: DataFrame, key: str | Sequence[str], order: Sequence[str],
-                      features: Mapping[str, tuple], chunk_rows: int | None = None) -> DataFrame:
+                      features: Mapping[str, tuple], chunk_rows: int | None = None,
+                      adaptive: bool = True) -> DataFrame:
     """Add order-aware features per key.
 
+    With ``chunk_rows`` set and ``adaptive`` on, the size of the largest entity is measured
+    first (one count per key): if no entity exceeds one block the plain window plan is used
+    (each window partition is then bounded by ``chunk_rows`` anyway); otherwise the chunked plan.
+
     features: name -> spec, where spec is one of
       ("diff", col[, fill])          x - previous x; first row of the key gets ``fill`` (W2)
       ("lag", col, k)                value k rows back
@@ -143,6 +169,11 @@ def sequence_features(df: DataFrame, key: str | Sequence[str], order: Sequence[s
       ("row_number",)                1-based position within the key
     """
     keys = [key] if isinstance(key, str) else list(key)
+    total = None
+    if chunk_rows is not None and adaptive:
+        biggest, total = group_sizes(df, keys)
+        if biggest <= chunk_rows:
+            chunk_rows = None      # no entity is larger than one block: the plain plan is bounded
     if chunk_rows is None:
         w = Window.partitionBy(*keys).orderBy(*[_ord(o) for o in order])
         exprs = _window_exprs(w, Window.partitionBy(*keys), features, None)
@@ -151,7 +182,8 @@ def sequence_features(df: DataFrame, key: str | Sequence[str], order: Sequence[s
     halo = max([_lookback(s) for s in features.values()] + [0])
     if halo >= chunk_rows:
         raise ValueError("chunk_rows must exceed the deepest look-back")
-    pos = positions(df, keys, order).withColumn("_blk", F.floor((F.col("_pos") - 1) / F.lit(chunk_rows)))
+    pos = positions(df, keys, order, total_rows=total).withColumn(
+        "_blk", F.floor((F.col("_pos") - 1) / F.lit(chunk_rows)))
     in_tail = ((F.col("_pos") - 1) % F.lit(chunk_rows)) >= F.lit(chunk_rows - halo)
     copies = F.when(in_tail & F.lit(halo > 0), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
     expanded = (pos.withColumn("_halo", F.explode(copies))

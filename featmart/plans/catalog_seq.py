@@ -181,12 +181,12 @@ FROM b LEFT JOIN g ON b.c_nationkey = g.c_nationkey AND b.c_mktsegment = g.c_mkt
 """
 
 
-def _lookalike(spark, sf):
+def _lookalike(spark, sf, chunk=None):
     c = load(spark, sf, "customer", ["c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal"]).select(
         "c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal",
         F.floor(F.abs("c_acctbal") / 2500).alias("bal_bucket"), (F.col("c_acctbal") < 0).cast("int").alias("label"))
     cl = S.lookalike_clusters(c, ["c_nationkey", "c_mktsegment", "bal_bucket"], "c_custkey")
-    return S.neighbour_labels(cl, "cluster", ["c_acctbal", "c_custkey"], "label")
+    return S.neighbour_labels(cl, "cluster", ["c_acctbal", "c_custkey"], "label", chunk_rows=chunk)
 
 
 @query("lookalike_neighbours", LOOKALIKE_SQL)
@@ -196,6 +196,12 @@ def q_lookalike_neighbours(spark, sf):
     return _lookalike(spark, sf).select("c_custkey", "cluster_size", "prev_label", "next_label")
 
 
+@query("lookalike_neighbours_chunked", LOOKALIKE_SQL)
+def q_lookalike_neighbours_chunked(spark, sf):
+    """Same as lookalike_neighbours on the chunked plan (clusters cut into blocks of 2 rows)."""
+    return _lookalike(spark, sf, chunk=2).select("c_custkey", "cluster_size", "prev_label", "next_label")
+
+
 @query("neighbour_label_summary", f"""
 WITH n AS ({LOOKALIKE_SQL}), l AS (SELECT c_custkey, CAST(c_acctbal < 0 AS INTEGER) AS label FROM customer)
 SELECT n.prev_label, count(*) AS n, {rs('avg(l.label)')} AS mean_target,

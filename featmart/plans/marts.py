@@ -68,6 +68,7 @@ from featmart.functions import exprs as X  # noqa: E402
 from featmart.functions.nulls import half_even, log1p_guarded, ne_null_safe  # noqa: E402
 from featmart.operators import encode as EN  # noqa: E402
 from featmart.operators import joins as J  # noqa: E402
+from featmart.operators import quantile as Q  # noqa: E402
 from featmart.operators import seq as S  # noqa: E402
 
 # Sequence features in the marts use the skew-safe chunked plan: an entity of any size is cut
@@ -85,8 +86,9 @@ def mart_base(customer: DataFrame, nation: DataFrame) -> DataFrame:
     guarded log1p; row statistics."""
     c = customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
     c = c.join(nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey", "left")
-    c = J.group_stat_on_rows(c, ["c_nationkey", "c_mktsegment"], {"med_ns": F.median("c_acctbal")})
-    c = J.group_stat_on_rows(c, ["c_mktsegment"], {"med_s": F.median("c_acctbal")})
+    c = c.join(Q.median_by(c, ["c_nationkey", "c_mktsegment"], "c_acctbal", "med_ns"),
+               ["c_nationkey", "c_mktsegment"], "left")
+    c = c.join(Q.median_by(c, ["c_mktsegment"], "c_acctbal", "med_s"), ["c_mktsegment"], "left")
     c, _ = EN.one_hot_apply(c, {"c_mktsegment": SEGMENTS}, dummy_na=True, drop_source=False)
     parts = [F.col("c_acctbal") / 1000.0, F.col("c_nationkey"), F.length("c_name")]
     return c.select(
@@ -202,13 +204,14 @@ def mart_slices(orders: DataFrame, chunk_rows: int | None = SEQ_CHUNK_ROWS, alph
     return s.groupBy("c_custkey").agg(*exprs)
 
 
-def mart_neighbours(customer: DataFrame) -> DataFrame:
+def mart_neighbours(customer: DataFrame) -> DataFrame:  # noqa: D401
     """Customers alike on (nation, segment, balance bucket): previous / next label."""
     c = customer.select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal",
                         F.floor(F.abs("c_acctbal") / 2500).alias("bal_bucket"),
                         (F.col("c_acctbal") < 0).cast("int").alias("label"))
     cl = S.lookalike_clusters(c, ["c_nationkey", "c_mktsegment", "bal_bucket"], "c_custkey")
-    nb = S.neighbour_labels(cl, "cluster", ["c_acctbal", "c_custkey"], "label")
+    # a group of copies can hold a large share of all rows: chunked plan
+    nb = S.neighbour_labels(cl, "cluster", ["c_acctbal", "c_custkey"], "label", chunk_rows=SEQ_CHUNK_ROWS)
     return nb.select("c_custkey", F.col("cluster_size").alias("nb_cluster_size"),
                      F.col("prev_label").alias("nb_prev_label"), F.col("next_label").alias("nb_next_label"))
 

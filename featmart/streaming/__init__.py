@@ -1,0 +1,9 @@
+"""Streaming.
+
+The source project has no streaming workload (no watermarks, event-time windows or state), so
+no streaming operator is built.  The batch operators are plain DataFrame plans: an
+``AggSpec`` compiles to ordinary aggregate expressions, so ``aggregate(stream_df, key, spec)``
+on a ``readStream`` source is already a valid streaming aggregation (complete / update output
+mode) without any code here.  Holistic functions (median, mode) and the chunked sequence plan
+need batch actions and are batch-only.
+"""
