@@ -46,7 +46,9 @@ def row_std(cols: Sequence) -> Column:
     """Sample standard deviation (ddof=1) skipping NULL; NULL with fewer than two values."""
     n = _present(cols).cast("double")
     s1, s2 = _power_sum(cols, 1), _power_sum(cols, 2)
-    var = (s2 - s1 * s1 / n) / (n - F.lit(1.0))
+    # try_divide: ANSI mode raises on x / 0 even inside a branch that is not taken once
+    # subexpressions are shared, so every division by a count is guarded
+    var = F.try_divide(s2 - F.try_divide(s1 * s1, n), n - F.lit(1.0))
     return F.when(n >= 2, F.sqrt(F.greatest(var, F.lit(0.0))))
 
 
@@ -71,11 +73,12 @@ def row_kurtosis(cols: Sequence) -> Column:
     NULL for a constant row (zero variance)."""
     n = _present(cols).cast("double")
     s1, s2, s3, s4 = (_power_sum(cols, k) for k in (1, 2, 3, 4))
-    mean = s1 / n
-    m2 = s2 / n - mean * mean
-    m4 = s4 / n - F.lit(4.0) * mean * s3 / n + F.lit(6.0) * mean * mean * s2 / n - F.lit(3.0) * F.pow(mean, 4)
-    g2 = m4 / (m2 * m2) - F.lit(3.0)
-    big = ((n + 1) * g2 + 6) * (n - 1) / ((n - 2) * (n - 3))
+    mean = F.try_divide(s1, n)
+    m2 = F.try_divide(s2, n) - mean * mean
+    m4 = (F.try_divide(s4, n) - F.lit(4.0) * mean * F.try_divide(s3, n)
+          + F.lit(6.0) * mean * mean * F.try_divide(s2, n) - F.lit(3.0) * F.pow(mean, 4))
+    g2 = F.try_divide(m4, m2 * m2) - F.lit(3.0)
+    big = F.try_divide(((n + 1) * g2 + 6) * (n - 1), (n - 2) * (n - 3))
     return F.when((n >= 4) & (m2 > F.lit(1e-14)), big)
 
 
@@ -105,7 +108,7 @@ def sample_skew(c) -> Column:
     n = F.count(col).cast("double")
     g1 = F.skewness(col)
     return F.when((n >= 3) & (F.var_pop(col) > F.lit(1e-14)),
-                  g1 * F.sqrt(n * (n - 1)) / (n - 2))
+                  F.try_divide(g1 * F.sqrt(n * (n - 1)), n - 2))
 
 
 def sample_kurtosis(c) -> Column:
@@ -114,4 +117,4 @@ def sample_kurtosis(c) -> Column:
     n = F.count(col).cast("double")
     g2 = F.kurtosis(col)
     return F.when((n >= 4) & (F.var_pop(col) > F.lit(1e-14)),
-                  ((n + 1) * g2 + 6) * (n - 1) / ((n - 2) * (n - 3)))
+                  F.try_divide(((n + 1) * g2 + 6) * (n - 1), (n - 2) * (n - 3)))

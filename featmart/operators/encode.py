@@ -135,7 +135,8 @@ def _woe_expr(events: Column, count: Column, base: float, formula: str, tot_ev:
         return F.log(((events + F.lit(eps)) / (denom + F.lit(eps))) / F.lit(base))
     if formula == "standard":
         ne = count - events
-        return F.log(((events + F.lit(eps)) / F.lit(tot_ev)) / ((ne + F.lit(eps)) / F.lit(tot_ne)))
+        return F.log(F.try_divide(F.try_divide(events + F.lit(eps), F.lit(tot_ev)),
+                                  F.try_divide(ne + F.lit(eps), F.lit(tot_ne))))
     raise ValueError(formula)
 
 
@@ -229,8 +230,8 @@ def break_table(df: DataFrame, col: str, label: str, breaks: Sequence[float], mi
         F.count(F.lit(1)).alias("count"), F.sum("y").alias("events"))
     tot = g.agg(F.sum("events").alias("te"), F.sum("count").alias("tc")).first()
     te, tne = float(tot["te"]), float(tot["tc"] - tot["te"])
-    de = F.col("events") / F.lit(te)
-    dn = (F.col("count") - F.col("events")) / F.lit(tne)
+    de = F.try_divide(F.col("events"), F.lit(te))
+    dn = F.try_divide(F.col("count") - F.col("events"), F.lit(tne))
     woe = F.log(F.try_divide(de, dn))
     return g.select("bin", "count", "events", (F.col("events") / F.col("count")).alias("bad_rate"),
                     woe.alias("woe"), ((de - dn) * woe).alias("iv"))

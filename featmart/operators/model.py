@@ -124,7 +124,7 @@ def auc(df: DataFrame, score: str, label: str, chunk_rows: int = 200_000, by: Se
     c = sequence_features(g, ["_all", *by], ["_s"], {"_cn": ("running_sum", "_n")}, chunk_rows=chunk_rows)
     r = c.groupBy(*by).agg(F.sum(F.col("_p") * (F.col("_cn") - F.col("_n") * 0.5)).alias("_num"),
                            F.sum("_p").alias("_P"), F.sum("_n").alias("_N"))
-    a = F.col("_num") / (F.col("_P") * F.col("_N"))
+    a = F.try_divide(F.col("_num"), F.col("_P") * F.col("_N"))     # NULL when one class is absent
     return r.select(*by, a.alias("auc"), (a * 2 - 1).alias("gini"), F.col("_P").alias("n_pos"),
                     F.col("_N").alias("n_neg"))
 

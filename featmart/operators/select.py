@@ -63,11 +63,20 @@ def constant_columns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
     return _stat_table(a, cols, lambda s: F.coalesce(s == 1.0, F.lit(False)))
 
 
+def pearson(a, b):
+    """Pearson correlation over the rows where both are non-NULL (pandas ``corr``); NULL for a
+    constant column.  Spark's ``corr`` divides by a zero variance under ANSI mode, so the ratio
+    is taken with ``try_divide``."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlation_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair (pairwise-complete rows, as pandas ``corr``) from one
     aggregate; long form (a, b, corr) with a before b in column order."""
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    a = df.agg(*[F.corr(F.col(f"`{cols[i]}`"), F.col(f"`{cols[j]}`")).alias(f"c{i}_{j}") for i, j in pairs])
+    a = df.agg(*[pearson(f"`{cols[i]}`", f"`{cols[j]}`").alias(f"c{i}_{j}") for i, j in pairs])
     arr = F.array(*[F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), F.lit(i).alias("ia"),
                              F.lit(j).alias("ib"), F.col(f"c{i}_{j}").alias("corr")) for i, j in pairs])
     return a.select(F.explode(arr).alias("x")).select("x.*")

@@ -29,7 +29,7 @@ def q_ratio_pack(spark, sf):
                                       "l_discount", "l_tax"])
     price, qty = F.col("l_extendedprice"), F.col("l_quantity")
     net = price * (F.lit(1) - F.col("l_discount"))
-    annuity = price * (F.lit(1) + F.col("l_tax")) / qty
+    annuity = N.safe_div(price * (F.lit(1) + F.col("l_tax")), qty)
     interest, rate, share = X.loan_interest(annuity, qty, price)
     return li.select("l_orderkey", "l_linenumber",
                      N.safe_div(price, qty).alias("unit_price"),

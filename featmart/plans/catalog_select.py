@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from featmart.functions import nulls as N
 from featmart.operators import profile as PR
 from featmart.operators import select as SE
 from featmart.plans.compare import rs
@@ -101,7 +102,7 @@ def _corr_pairs():
     f"{rs(f'corr({_CORR_COLS[i]}, {_CORR_COLS[j]})')} AS corr FROM t" for i, j in _corr_pairs()))
 def q_correlation_matrix(spark, sf):
     """Pairwise Pearson correlations, pairwise-complete, long form, one aggregate."""
-    d = _li_nulls(spark, sf).withColumn("unit_price", F.col("l_extendedprice") / F.col("l_quantity"))
+    d = _li_nulls(spark, sf).withColumn("unit_price", N.safe_div("l_extendedprice", "l_quantity"))
     return SE.correlation_long(d, _CORR_COLS)
 
 
@@ -114,7 +115,7 @@ SELECT f.feature, {rs('w.stat')} AS stat, NOT coalesce(w.stat > 0.5, false) AS k
 """)
 def q_select_correlated(spark, sf):
     """Drop the later column of every pair with |corr| > 0.5 (Q4)."""
-    d = _li_nulls(spark, sf).withColumn("unit_price", F.col("l_extendedprice") / F.col("l_quantity"))
+    d = _li_nulls(spark, sf).withColumn("unit_price", N.safe_div("l_extendedprice", "l_quantity"))
     return SE.correlated(d, _CORR_COLS, 0.5)
 
 

@@ -109,7 +109,8 @@ def test_hash_fold_stable(spark):
     import duckdb
     df = spark.createDataFrame([(i,) for i in range(50)], "id long")
     got = [r.f for r in df.select(MD.hash_fold("id").alias("f")).collect()]
-    exp = [duckdb.sql(f"SELECT CAST(('0x' || substr(md5('{i}-42'), 1, 8)) AS BIGINT) % 5").fetchone()[0]
+    con = duckdb.connect()
+    exp = [con.execute(f"SELECT CAST(('0x' || substr(md5('{i}-42'), 1, 8)) AS BIGINT) % 5").fetchone()[0]
            for i in range(50)]
     assert got == exp
 

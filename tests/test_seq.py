@@ -46,7 +46,7 @@ def test_plain_matches_pandas(spark):
         assert got["run"] == pytest.approx(r.run)
 
 
-@pytest.mark.parametrize("chunk", [2, 3, 5])
+@pytest.mark.parametrize("chunk", [3, 5, 8])
 def test_chunked_equals_plain_on_hot_key(spark, chunk):
     rnd = random.Random(7)
     rows = []
