@@ -41,26 +41,25 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[
         d = d.withColumn("_all", F.lit(0))
     biggest, total = group_sizes(d, kk)
     if biggest <= chunk_rows:
-        # every group fits in one task: rank with a plain window
-        p = d.withColumn("_pos", F.row_number().over(Window.partitionBy(*kk).orderBy("_v")))
+        # every group fits in one task: rank and count with windows sharing one exchange + sort
+        p = d.select(*kk, "_v", F.row_number().over(Window.partitionBy(*kk).orderBy("_v")).alias("_pos"),
+                     F.count(F.lit(1)).over(Window.partitionBy(*kk)).alias("_n"))
     else:
-        p = positions(d, kk, ["_v"], total_rows=total)
-    n = p.groupBy(*kk).agg(F.count(F.lit(1)).alias("_n"))
-    p = p.join(n, kk)
-    want = None
-    cols = []
+        p = positions(d, kk, ["_v"], total_rows=total, key_count="_n")
+    # expressions are written as SQL text: one parse per expression instead of dozens of
+    # py4j round trips for every probability
+    want, cols, outs = [], [], []
     for i, q in enumerate(probs):
-        h = (F.col("_n") - 1) * F.lit(float(q))
-        lo, hi = F.floor(h) + 1, F.ceil(h) + 1                     # 1-based ranks
-        p = p.withColumn(f"_lo{i}", lo).withColumn(f"_hi{i}", hi).withColumn(f"_fr{i}", h - F.floor(h))
-        cond = (F.col("_pos") == F.col(f"_lo{i}")) | (F.col("_pos") == F.col(f"_hi{i}"))
-        want = cond if want is None else (want | cond)
-        cols += [F.max(F.when(F.col("_pos") == F.col(f"_lo{i}"), F.col("_v"))).alias(f"_a{i}"),
-                 F.max(F.when(F.col("_pos") == F.col(f"_hi{i}"), F.col("_v"))).alias(f"_b{i}"),
-                 F.first(f"_fr{i}").alias(f"_f{i}")]
-    g = p.filter(want).groupBy(*kk).agg(*cols)
-    out = g.select(*kk, *[(F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * F.col(f"_f{i}")).alias(nm)
-                          for i, nm in enumerate(names)])
+        h = f"((_n - 1) * CAST({float(q)!r} AS DOUBLE))"
+        lo, hi = f"(floor({h}) + 1)", f"(ceil({h}) + 1)"            # 1-based ranks
+        want.append(f"_pos = {lo} OR _pos = {hi}")
+        cols += [F.expr(f"max(CASE WHEN _pos = {lo} THEN _v END)").alias(f"_a{i}"),
+                 F.expr(f"max(CASE WHEN _pos = {hi} THEN _v END)").alias(f"_b{i}"),
+                 F.expr(f"first({h} - floor({h}))").alias(f"_f{i}")]
+        outs.append(F.expr(f"_a{i} + (_b{i} - _a{i}) * _f{i}").alias(names[i]))
+    # only the <= 2 ranked rows per probability survive the filter: the group-by is tiny
+    g = p.filter(F.expr(" OR ".join(f"({w})" for w in want))).groupBy(*kk).agg(*cols)
+    out = g.select(*kk, *outs)
     return out.drop("_all") if not keys else out
 
 

@@ -110,7 +110,7 @@ ROWS_PER_RANGE_PARTITION = 2_000_000
 
 
 def positions(df: DataFrame, key: Sequence[str], order: Sequence, n_parts: int | None = None,
-              total_rows: int | None = None) -> DataFrame:
+              total_rows: int | None = None, key_count: str | None = None) -> DataFrame:
     """Add ``_pos``: exact 1-based row number of every row inside its key, in ``order``, without a
     window over the key (steps 1-2 of the module docstring).  The number of range partitions
     grows with the data (about ``ROWS_PER_RANGE_PARTITION`` rows each, at least the session's
@@ -132,7 +132,11 @@ def positions(df: DataFrame, key: Sequence[str], order: Sequence, n_parts: int |
     chunks = s.groupBy(*key, "_pid").agg(F.min("_idx").alias("_i0"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    s = s.join(chunks.select(*key, "_pid", "_i0", "_off"), [*key, "_pid"])
+    extra = []
+    if key_count:      # rows of the whole key, from the same small chunk table
+        chunks = chunks.withColumn(key_count, F.sum("_n").over(Window.partitionBy(*key)))
+        extra = [key_count]
+    s = s.join(chunks.select(*key, "_pid", "_i0", "_off", *extra), [*key, "_pid"])
     return s.withColumn("_pos", F.col("_off") + F.col("_idx") - F.col("_i0") + 1).drop(
         "_mid", "_pid", "_idx", "_i0", "_off")
 

@@ -10,6 +10,7 @@ from featmart.plans.compare import normalize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {}   # same plans without the rounding
 
 
 def query(name: str, sql: str | None = None):
@@ -24,6 +25,7 @@ def query(name: str, sql: str | None = None):
         run.__name__ = f"q_{name}"
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
+        RAW[name] = fn
         if sql is not None:
             ORACLES[name] = sql
         return fn
