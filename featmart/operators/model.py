@@ -95,18 +95,16 @@ def oof_scores(df: DataFrame, id_col: str, entity_col: str, label: str, numeric:
         model = Pipeline(stages=preprocess_pipeline(numeric, categorical) + [logistic(n, C, max_iter)]).fit(train)
         held.append(model.transform(lab.filter(F.col("_fold") == f)).select(
             *ids, F.col("_fold").alias("fold"), F.col(label), _prob1().alias("score")))
-        test_scores.append(model.transform(unl).select(id_col, _prob1().alias(f"s{f}")))
+        test_scores.append(model.transform(unl).select(*ids, F.col(label), _prob1().alias("score")))
     out = held[0]
     for h in held[1:]:
         out = out.unionByName(h)
-    if test_scores:
-        t = unl.select(*ids, F.lit(-1).alias("fold"), F.col(label))
-        for f, s in enumerate(test_scores):
-            t = t.join(s, id_col, "left")
-        t = t.select(*ids, "fold", label,
-                     (sum((F.col(f"s{f}") for f in range(k)), F.lit(0.0)) / F.lit(float(k))).alias("score"))
-        out = out.unionByName(t)
-    return out
+    # unlabelled rows: mean of the k models' scores - one union and one group-by, not k joins
+    t = test_scores[0]
+    for s in test_scores[1:]:
+        t = t.unionByName(s)
+    t = t.groupBy(*ids).agg(F.lit(-1).alias("fold"), F.first(label).alias(label), F.avg("score").alias("score"))
+    return out.unionByName(t)
 
 
 def auc(df: DataFrame, score: str, label: str, chunk_rows: int = 200_000, by: Sequence[str] = ()) -> DataFrame:
