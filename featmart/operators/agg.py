@@ -213,10 +213,10 @@ def rollup(child: DataFrame, mid_key: str, top_key: str, spec: AggSpec,
     return mid.groupBy(top_key).agg(*exprs)
 
 
-def cond_agg(df: DataFrame, key: str, cat: str, values: Sequence, spec: AggSpec,
-             rest: bool = True, label=lambda v: str(v).lower()) -> DataFrame:
-    """One pass over ``df`` computing ``spec`` per category value plus a null-safe remainder
-    block (A9, A11): ``fn(when(cat == v, x))``.  Replaces N filtered group-bys + N outer joins."""
+def cond_agg_exprs(cat: str, values: Sequence, spec: AggSpec, rest: bool = True,
+                   label=lambda v: str(v).lower()) -> list[Column]:
+    """Aggregate expressions of ``spec`` per category value plus a null-safe remainder block
+    (``fn(when(cat == v, x))``), for use inside any group-by."""
     exprs = []
     blocks = [(label(v), F.col(cat) == F.lit(v)) for v in values]
     if rest:
@@ -230,6 +230,14 @@ def cond_agg(df: DataFrame, key: str, cat: str, values: Sequence, spec: AggSpec,
                 else:
                     e = agg_fn(fn, x, spec.exact, spec.order)
                 exprs.append(e.alias(f"{name}_{fn}_{tag}"))
+    return exprs
+
+
+def cond_agg(df: DataFrame, key: str, cat: str, values: Sequence, spec: AggSpec,
+             rest: bool = True, label=lambda v: str(v).lower()) -> DataFrame:
+    """One pass over ``df`` computing ``spec`` per category value plus a null-safe remainder
+    block (A9, A11).  Replaces N filtered group-bys + N outer joins."""
+    exprs = cond_agg_exprs(cat, values, spec, rest, label)
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(*exprs)
 
 

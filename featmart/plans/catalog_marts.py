@@ -315,10 +315,8 @@ SELECT * FROM d1 LEFT JOIN d2 USING (c_custkey) LEFT JOIN d3 USING (c_custkey) L
 
 
 def _final(spark, sf):
-    c, o, li = load(spark, sf, "customer"), load(spark, sf, "orders"), load(spark, sf, "lineitem")
-    marts = [M.mart_external(o, li), M.mart_orders(o), M.mart_monthly(o, li), M.mart_instalments(o, li),
-             M.mart_series(load(spark, sf, "events")), M.mart_slices(o), M.mart_neighbours(c)]
-    return M.mart_final(marts, M.mart_base(c, load(spark, sf, "nation")))
+    return M.final_marts(load(spark, sf, "customer"), load(spark, sf, "nation"), load(spark, sf, "orders"),
+                         load(spark, sf, "lineitem"), load(spark, sf, "events"))
 
 
 @query("mart_final", MART_FINAL_SQL)

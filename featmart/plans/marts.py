@@ -7,7 +7,9 @@ never multiply detail rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featmart.functions.nulls import flag, safe_div
@@ -100,72 +102,121 @@ def mart_base(customer: DataFrame, nation: DataFrame) -> DataFrame:
         X.row_mean(parts).alias("row_mean"), X.row_max(parts).alias("row_max"), X.row_std(parts).alias("row_std"))
 
 
+# ---------------------------------------------------------------------------- per-order stage
+# D2, D4 and D5 all aggregate line items per order.  ``order_level`` computes every order-level
+# column they need in ONE pass over lineitem (one shuffle by order key: the sequence window and
+# the per-order aggregate share it), and ``order_customer_exprs`` gives their customer-level
+# aggregates as expressions for ONE group-by.
+
+_D2_FLAGS = ("A", "N", "R")
+_D2_FEATS = ["n_lines", "n_r", "share_a", "share_n", "share_r"]
+_D4_FEATS = ["qty_min", "qty_max", "open_sum", "closed_sum", "ret_closed_max"]
+_D5_FEATS = ["ratio_mean", "diff_sum", "late_n", "paid_total", "roll3_max", "paid_std"]
+_D5_SEQ = {"due_diff": ("diff", "due", 0.0), "paid_run": ("running_sum", "paid"),
+           "due_roll3": ("rolling_mean", "due", 3), "prev_ship": ("lag", "l_shipdate", 1)}
+
+
+def order_level(orders: DataFrame, lineitem: DataFrame, parts: Sequence[str] = ("external", "monthly", "instalments"),
+                chunk_rows: int | None = SEQ_CHUNK_ROWS) -> DataFrame:
+    """One row per order (with its customer and status) holding the order-level columns of the
+    requested marts: 'external' (D2: line count, return-flag counts and shares), 'monthly' (D4:
+    quantity range, counts per line status, returned-and-closed flag), 'instalments' (D5: lines
+    in ship order - paid ratio, due difference, late flag, running paid, rolling 3 mean of due)."""
+    li = lineitem.select("l_orderkey", *[c for c in LINE_ORDER if c != "l_orderkey"], "l_quantity",
+                         "l_returnflag", "l_linestatus", F.col("l_extendedprice").alias("due"),
+                         (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("paid"))
+    aggs = []
+    if "external" in parts:
+        aggs += [F.count(F.lit(1)).alias("n_lines"),
+                 *[F.sum((F.col("l_returnflag") == f).cast("long")).alias(f"n_{f.lower()}") for f in _D2_FLAGS],
+                 *[F.avg((F.col("l_returnflag") == f).cast("double")).alias(f"share_{f.lower()}") for f in _D2_FLAGS]]
+    if "monthly" in parts:
+        aggs += A.AggSpec([("qty", ["min", "max"], "l_quantity"),
+                           ("open", ["sum"], "CAST(l_linestatus = 'O' AS INT)"),
+                           ("closed", ["sum"], "CAST(l_linestatus = 'F' AS INT)"),
+                           ("ret_closed", ["max"],
+                            "CAST(coalesce(l_returnflag = 'R' AND l_linestatus = 'F', false) AS INT)")]).columns()
+    if "instalments" in parts:
+        li = S.sequence_features(li, "l_orderkey", LINE_ORDER, _D5_SEQ, chunk_rows=chunk_rows)
+        li = li.withColumn("ratio", safe_div("paid", "due")).withColumn(
+            "late", flag(F.datediff("l_shipdate", "prev_ship") > 30))
+        aggs += [F.avg("ratio").alias("ratio_mean"), F.sum("due_diff").alias("diff_sum"),
+                 F.sum("late").alias("late_n"), F.max("paid_run").alias("paid_total"),
+                 F.max("due_roll3").alias("roll3_max"), F.stddev_samp("paid").alias("paid_std")]
+    per_o = li.groupBy("l_orderkey").agg(*aggs)
+    o = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"),
+                      "o_orderstatus")
+    return per_o.join(o, "l_orderkey")
+
+
+def order_customer_exprs(parts: Sequence[str] = ("external", "monthly", "instalments")) -> list[Column]:
+    """Customer-level aggregate expressions over ``order_level`` rows for the requested marts."""
+    exprs: list[Column] = []
+    if "external" in parts:
+        exprs += A.AggSpec([(f, ["mean", "sum"], f) for f in _D2_FEATS]).columns("ext_")
+        exprs += A.cond_agg_exprs("o_orderstatus", ["O", "F"],
+                                  A.AggSpec([(f"ext_{f}", ["mean", "sum"], f) for f in ("n_lines", "share_r")]))
+    if "monthly" in parts:
+        exprs += A.AggSpec().extend_from(_D4_FEATS).columns("mon_")
+        exprs.append(F.count(F.lit(1)).alias("mon_n_l_orderkey"))
+    if "instalments" in parts:
+        exprs += A.AggSpec().extend_from(_D5_FEATS, ("mean", "sum", "max")).columns("ins_")
+    return exprs
+
+
+def orders_marts(orders: DataFrame, lineitem: DataFrame, parts: Sequence[str] = ("external", "monthly", "instalments"),
+                 chunk_rows: int | None = SEQ_CHUNK_ROWS) -> DataFrame:
+    """D2 + D4 + D5 (any subset) per customer: one lineitem pass, one customer group-by."""
+    per_o = order_level(orders, lineitem, parts, chunk_rows).filter(F.col("c_custkey").isNotNull())
+    return per_o.groupBy("c_custkey").agg(*order_customer_exprs(parts))
+
+
 def mart_external(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """Lines per order (count, sum and share per return flag) -> customer mean / sum, with
     separate blocks for order status O, F and the null-safe rest - all conditional aggregates."""
-    per_o = lineitem.groupBy("l_orderkey").agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        *[F.sum((F.col("l_returnflag") == f).cast("long")).alias(f"n_{f.lower()}") for f in ("A", "N", "R")],
-        *[F.avg((F.col("l_returnflag") == f).cast("double")).alias(f"share_{f.lower()}") for f in ("A", "N", "R")])
-    o = orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_orderstatus").join(
-        per_o, F.col("o_orderkey") == F.col("l_orderkey"))
-    feats = ["n_lines", "n_r", "share_a", "share_n", "share_r"]
-    spec = A.AggSpec([(f, ["mean", "sum"], f) for f in feats])
-    overall = A.aggregate(o, "c_custkey", spec, prefix="ext_")
-    blocks = A.cond_agg(o, "c_custkey", "o_orderstatus", ["O", "F"],
-                        A.AggSpec([(f"ext_{f}", ["mean", "sum"], f) for f in ("n_lines", "share_r")]))
-    return overall.join(blocks, "c_custkey")
+    return orders_marts(orders, lineitem, ("external",))
 
 
-def mart_orders(orders: DataFrame) -> DataFrame:
-    """D3: price min/mean/max/var, share per status and priority, last status by date, months
-    between first and last order per order (half-even months of 30 days)."""
-    o = orders
-    spec = A.AggSpec([("price", ["min", "mean", "max", "var"], "o_totalprice"),
+def mart_monthly(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """Lines -> order (min/max quantity, counts per line status, conjunctive flag) -> customer
+    with mean/min/max/sum of every order-level column through the extended spec (A6)."""
+    return orders_marts(orders, lineitem, ("monthly",))
+
+
+def mart_instalments(orders: DataFrame, lineitem: DataFrame, chunk_rows: int | None = SEQ_CHUNK_ROWS) -> DataFrame:
+    """Lines in ship order per order: due = price, paid = price (1 - discount); paid ratio,
+    due difference to the previous line, late flag (> 30 days after the previous shipment),
+    running paid, rolling 3 mean of due -> order (mean/max/sum/std) -> customer (mean/sum/max)."""
+    return orders_marts(orders, lineitem, ("instalments",), chunk_rows)
+
+
+# ---------------------------------------------------------------------------- orders stage
+
+def _d3_spec() -> A.AggSpec:
+    return A.AggSpec([("price", ["min", "mean", "max", "var"], "o_totalprice"),
                       ("status", ["last"], "o_orderstatus"),
                       ("date", ["min", "max"], "o_orderdate"), ("n", ["size"], "1")], order=ORDER_ORDER)
+
+
+def _d3_exprs() -> list[Column]:
     shares = [F.avg((F.col("o_orderstatus") == s).cast("double")).alias(f"share_status_{s.lower()}")
               for s in ("F", "O", "P")]
     shares += [F.avg((F.col("o_orderpriority") == p).cast("double")).alias(f"share_prio_{p[0]}")
                for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")]
-    g = A.aggregate(o.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", spec, prefix="ord_", extra=shares)
-    months = half_even(F.datediff("ord_date_max", "ord_date_min") / F.lit(30.0))
-    return g.withColumn("months_per_order", safe_div(months, "ord_n_size")).drop("ord_date_min", "ord_date_max")
+    return _d3_spec().columns("ord_") + shares
 
 
-def mart_monthly(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
-    """Lines -> order (min/max quantity, counts per line status, conjunctive flag) -> customer
-    with mean/min/max/sum of every order-level column through the extended spec (A6)."""
-    li = lineitem.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")),
-                       "l_orderkey")
-    spec = A.AggSpec([("qty", ["min", "max"], "l_quantity"),
-                      ("open", ["sum"], "CAST(l_linestatus = 'O' AS INT)"),
-                      ("closed", ["sum"], "CAST(l_linestatus = 'F' AS INT)"),
-                      ("ret_closed", ["max"], "CAST(coalesce(l_returnflag = 'R' AND l_linestatus = 'F', false) AS INT)")])
-    return A.rollup(li, "l_orderkey", "c_custkey", spec, top_prefix="mon_")
+def _d3_finish(g: DataFrame) -> DataFrame:
+    months = half_even(F.datediff("ord_date_max", "ord_date_min") / F.lit(30.0))
+    return g.withColumn("months_per_order", safe_div(months, "ord_n_size")).drop("ord_date_min", "ord_date_max")
 
 
-def mart_instalments(orders: DataFrame, lineitem: DataFrame, chunk_rows: int | None = SEQ_CHUNK_ROWS) -> DataFrame:
-    """Lines in ship order per order: due = price, paid = price (1 - discount); paid ratio,
-    due difference to the previous line, late flag (> 30 days after the previous shipment),
-    running paid, rolling 3 mean of due -> order (mean/max/sum/std) -> customer (mean/sum/max)."""
-    li = lineitem.select("l_orderkey", *[c for c in LINE_ORDER if c != "l_orderkey"],
-                         F.col("l_extendedprice").alias("due"),
-                         (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("paid"))
-    feats = {"due_diff": ("diff", "due", 0.0), "paid_run": ("running_sum", "paid"),
-             "due_roll3": ("rolling_mean", "due", 3), "prev_ship": ("lag", "l_shipdate", 1)}
-    s = S.sequence_features(li, "l_orderkey", LINE_ORDER, feats, chunk_rows=chunk_rows)
-    s = s.withColumn("ratio", safe_div("paid", "due")).withColumn(
-        "late", flag(F.datediff("l_shipdate", "prev_ship") > 30))
-    per_o = s.groupBy("l_orderkey").agg(
-        F.avg("ratio").alias("ratio_mean"), F.sum("due_diff").alias("diff_sum"), F.sum("late").alias("late_n"),
-        F.max("paid_run").alias("paid_total"), F.max("due_roll3").alias("roll3_max"),
-        F.stddev_samp("paid").alias("paid_std"))
-    o = per_o.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")),
-                   "l_orderkey")
-    spec = A.AggSpec().extend_from(["ratio_mean", "diff_sum", "late_n", "paid_total", "roll3_max", "paid_std"],
-                                   ("mean", "sum", "max"))
-    return A.aggregate(o, "c_custkey", spec, prefix="ins_")
+def mart_orders(orders: DataFrame) -> DataFrame:
+    """D3: price min/mean/max/var, share per status and priority, last status by date, months
+    between first and last order per order (half-even months of 30 days)."""
+    g = orders.withColumnRenamed("o_custkey", "c_custkey").filter(F.col("c_custkey").isNotNull()) \
+        .groupBy("c_custkey").agg(*_d3_exprs())
+    return _d3_finish(g)
 
 
 def mart_series(events: DataFrame, chunk_rows: int | None = SEQ_CHUNK_ROWS) -> DataFrame:
@@ -182,15 +233,16 @@ def mart_series(events: DataFrame, chunk_rows: int | None = SEQ_CHUNK_ROWS) -> D
         F.sum("up").alias("ser_n_up"))
 
 
-def mart_slices(orders: DataFrame, chunk_rows: int | None = SEQ_CHUNK_ROWS, alpha: float = 0.7) -> DataFrame:
-    """First 2 / last 5 / all orders; last 365 days; by status (null-safe rest); EWM of the
-    price at the customer's latest order."""
+def _slices_input(orders: DataFrame, chunk_rows: int | None, alpha: float) -> DataFrame:
     o = orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_orderdate", "o_totalprice",
-                      "o_orderstatus")
+                      "o_orderstatus", "o_orderpriority").filter(F.col("c_custkey").isNotNull())
     s = S.sequence_features(o, "c_custkey", ORDER_ORDER,
                             {"rn": ("row_number",), "ewm": ("ewm", "o_totalprice", alpha)}, chunk_rows=chunk_rows)
     n = s.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("_cnt"))
-    s = s.join(n, "c_custkey")
+    return s.join(n, "c_custkey")
+
+
+def _slices_exprs() -> list[Column]:
     days = F.datediff("o_orderdate", F.lit(REF_DATE).cast("date"))
     slices = {"first_2": F.col("rn") <= 2, "last_5": F.col("rn") > F.col("_cnt") - 5, "all": F.lit(True),
               "last_year": days > -365, "status_f": F.col("o_orderstatus") == "F",
@@ -201,7 +253,20 @@ def mart_slices(orders: DataFrame, chunk_rows: int | None = SEQ_CHUNK_ROWS, alph
         exprs += [A.agg_fn("sum", x).alias(f"sl_sum_{tag}"), F.avg(x).alias(f"sl_mean_{tag}"),
                   F.max(x).alias(f"sl_max_{tag}")]
     exprs.append(A.last_nonnull("ewm", ORDER_ORDER).alias("sl_ewm_last"))
-    return s.groupBy("c_custkey").agg(*exprs)
+    return exprs
+
+
+def mart_slices(orders: DataFrame, chunk_rows: int | None = SEQ_CHUNK_ROWS, alpha: float = 0.7) -> DataFrame:
+    """First 2 / last 5 / all orders; last 365 days; by status (null-safe rest); EWM of the
+    price at the customer's latest order."""
+    return _slices_input(orders, chunk_rows, alpha).groupBy("c_custkey").agg(*_slices_exprs())
+
+
+def orders_slices_marts(orders: DataFrame, chunk_rows: int | None = SEQ_CHUNK_ROWS, alpha: float = 0.7) -> DataFrame:
+    """D3 + D7 per customer from one orders window (partitioned by customer) and one group-by on
+    the same key (no second exchange)."""
+    g = _slices_input(orders, chunk_rows, alpha).groupBy("c_custkey").agg(*_d3_exprs(), *_slices_exprs())
+    return _d3_finish(g)
 
 
 def mart_neighbours(customer: DataFrame) -> DataFrame:  # noqa: D401
@@ -216,6 +281,16 @@ def mart_neighbours(customer: DataFrame) -> DataFrame:  # noqa: D401
                      F.col("prev_label").alias("nb_prev_label"), F.col("next_label").alias("nb_next_label"))
 
 
+def final_marts(customer: DataFrame, nation: DataFrame, orders: DataFrame, lineitem: DataFrame,
+                events: DataFrame) -> DataFrame:
+    """D11 over D1-D8 with shared stages: lineitem is read and shuffled once (D2 + D4 + D5),
+    orders once by customer for D3 + D7, events once (D6); everything is then keyed by the
+    customer and star-joined onto the base mart (D1)."""
+    marts = [orders_marts(orders, lineitem), orders_slices_marts(orders), mart_series(events),
+             mart_neighbours(customer)]
+    return mart_final(marts, mart_base(customer, nation))
+
+
 def mart_final(marts: list[DataFrame], base: DataFrame) -> DataFrame:
     """Star join of the per-customer marts onto the base mart; one row per customer.
 
