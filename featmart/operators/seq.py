@@ -58,9 +58,9 @@ def _lookback(spec: tuple) -> int:
     return 0
 
 
-def _window_exprs(w: Window, wk: Window, features: Mapping[str, tuple], halo_col: Column | None) -> dict:
+def _window_exprs(w: Window, wsql: str, features: Mapping[str, tuple], halo_col: Column | None) -> dict:
     """Window expressions for every feature over the ordered window ``w`` (rows of one key or
-    block, in order) and ``wk`` (whole key, unordered - used only by the plain path)."""
+    block, in order); ``wsql`` is the same window as SQL text."""
     out = {}
     mask = (lambda x: x) if halo_col is None else (lambda x: F.when(~halo_col, x))
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -88,13 +88,17 @@ def _window_exprs(w: Window, wk: Window, features: Mapping[str, tuple], halo_col
             v = F.when(F.count(col).over(fr) == n, F.avg(col).over(fr))
             out[name] = F.coalesce(v, F.lit(spec[3])) if len(spec) > 3 else v
         elif kind == "ewm":
+            # K lags of one window, written as SQL text (one parse instead of hundreds of
+            # py4j calls); weights (1 - alpha)^i, NULLs keep their positional weight
             beta = 1.0 - float(spec[2])
             k = ewm_depth(float(spec[2]))
-            num = sum((F.coalesce(F.lag(col, i).over(w), F.lit(0.0)) * F.lit(beta ** i) for i in range(1, k + 1)),
-                      F.coalesce(col, F.lit(0.0)))
-            den = sum((F.lag(col, i).over(w).isNotNull().cast("double") * F.lit(beta ** i) for i in range(1, k + 1)),
-                      col.isNotNull().cast("double"))
-            out[name] = F.when(den > 0, num / den)
+            x = f"`{spec[1]}`"
+            num = " + ".join([f"coalesce({x}, 0D)"] + [f"coalesce(lag({x}, {i}) OVER ({wsql}), 0D) * {beta ** i!r}D"
+                                                         for i in range(1, k + 1)])
+            den = " + ".join([f"CAST({x} IS NOT NULL AS DOUBLE)"] +
+                             [f"CAST(lag({x}, {i}) OVER ({wsql}) IS NOT NULL AS DOUBLE) * {beta ** i!r}D"
+                              for i in range(1, k + 1)])
+            out[name] = F.expr(f"CASE WHEN ({den}) > 0 THEN ({num}) / ({den}) END")
         elif kind == "row_number":
             out[name] = F.row_number().over(w)
         else:
@@ -106,6 +110,14 @@ def _ord(o) -> Column:
     return F.col(o) if isinstance(o, str) else o
 
 
+def _wsql(keys: Sequence[str], order: Sequence) -> str:
+    """The window (PARTITION BY keys ORDER BY order) as SQL text; Column order entries (e.g.
+    ``col.desc()``) are rendered from their sort-order expression."""
+    def one(o):
+        return f"`{o}`" if isinstance(o, str) else o._jc.toString()
+    return f"PARTITION BY {', '.join(f'`{k}`' for k in keys)} ORDER BY {', '.join(one(o) for o in order)}"
+
+
 ROWS_PER_RANGE_PARTITION = 2_000_000
 
 
@@ -180,7 +192,7 @@ def sequence_features(df: DataFrame, key: str | Sequence[str], order: Sequence[s
             chunk_rows = None      # no entity is larger than one block: the plain plan is bounded
     if chunk_rows is None:
         w = Window.partitionBy(*keys).orderBy(*[_ord(o) for o in order])
-        exprs = _window_exprs(w, Window.partitionBy(*keys), features, None)
+        exprs = _window_exprs(w, _wsql(keys, order), features, None)
         return df.select("*", *[e.alias(n) for n, e in exprs.items()])
 
     halo = max([_lookback(s) for s in features.values()] + [0])
@@ -193,7 +205,7 @@ def sequence_features(df: DataFrame, key: str | Sequence[str], order: Sequence[s
     expanded = (pos.withColumn("_halo", F.explode(copies))
                 .withColumn("_blk", F.col("_blk") + F.col("_halo").cast("long")))
     w = Window.partitionBy(*keys, "_blk").orderBy("_pos")
-    exprs = _window_exprs(w, None, features, F.col("_halo"))
+    exprs = _window_exprs(w, _wsql([*keys, "_blk"], ["_pos"]), features, F.col("_halo"))
     for n, spec in features.items():
         if spec[0] == "row_number":
             exprs[n] = F.col("_pos")
@@ -247,8 +259,10 @@ def neighbour_labels(df: DataFrame, cluster: str, order: Sequence[str], label: s
     inside = df.filter(F.col(cluster).isNotNull())
     outside = df.filter(F.col(cluster).isNull())
     rev = [_ord(o).desc() for o in order]
-    w_prev = sequence_features(inside, cluster, order, {"prev_label": ("lag", label, 1)}, chunk_rows)
-    both = sequence_features(w_prev, cluster, rev, {"next_label": ("lag", label, 1)}, chunk_rows)
+    if chunk_rows is not None and max_group_rows(inside, [cluster]) <= chunk_rows:
+        chunk_rows = None          # decided once for both directions
+    w_prev = sequence_features(inside, cluster, order, {"prev_label": ("lag", label, 1)}, chunk_rows, adaptive=False)
+    both = sequence_features(w_prev, cluster, rev, {"next_label": ("lag", label, 1)}, chunk_rows, adaptive=False)
     outside = outside.withColumn("prev_label", F.lit(None).cast(dict(df.dtypes)[label])).withColumn(
         "next_label", F.lit(None).cast(dict(df.dtypes)[label]))
     return both.unionByName(outside)
