@@ -5,8 +5,9 @@ one buffer, so a hot group (or a whole column, for global quantile edges) ends u
 task.  Here the values are ranked inside their group with the range-partitioned positions of
 ``seq.positions`` (a hot group is spread over many range partitions), only the <= 2 rows per
 requested probability are kept, and the interpolation ``lo + (hi - lo) * frac`` (linear, as
-``quantile_cont`` / pandas) is a small group-by.  The largest group is measured first; when
-no group exceeds ``chunk_rows`` a plain window ranks them instead (bounded per task anyway).
+``quantile_cont`` / pandas) is a small group-by.  The largest group is estimated first from a
+1 % sample of the keys; when no group comes near ``chunk_rows`` a plain window ranks them
+instead (bounded per task anyway).
 ``exact=False`` uses the fixed-size ``percentile_approx`` sketch (one pass, no sort).
 """
 
@@ -17,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from featmart.operators.seq import group_sizes, positions
+from featmart.operators.seq import needs_chunks, positions
 
 APPROX_ACCURACY = 100_000
 RANK_CHUNK_ROWS = 1_000_000
@@ -25,11 +26,12 @@ RANK_CHUNK_ROWS = 1_000_000
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
                 exact: bool = True, names: Sequence[str] | None = None,
-                chunk_rows: int = RANK_CHUNK_ROWS) -> DataFrame:
+                chunk_rows: int = RANK_CHUNK_ROWS, adaptive: bool = True) -> DataFrame:
     """One row per key with a column per probability (default names ``p0``, ``p1``, ...).
     NULL values are ignored; a key whose values are all NULL does not appear.  Groups larger
     than ``chunk_rows`` are ranked with the range-partitioned positions; when every group is
-    smaller, a plain window ranks them (each window partition is bounded by ``chunk_rows``)."""
+    smaller, a plain window ranks them (each window partition is bounded by ``chunk_rows``);
+    ``adaptive=False`` always uses the range-partitioned ranking."""
     keys = list(keys)
     names = list(names or [f"p{i}" for i in range(len(probs))])
     d = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
@@ -39,8 +41,8 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[
     kk = keys or ["_all"]
     if not keys:
         d = d.withColumn("_all", F.lit(0))
-    biggest, total = group_sizes(d, kk)
-    if biggest <= chunk_rows:
+    big, total = needs_chunks(d, kk, chunk_rows) if adaptive else (True, None)
+    if not big:
         # every group fits in one task: rank and count with windows sharing one exchange + sort
         p = d.select(*kk, "_v", F.row_number().over(Window.partitionBy(*kk).orderBy("_v")).alias("_pos"),
                      F.count(F.lit(1)).over(Window.partitionBy(*kk)).alias("_n"))

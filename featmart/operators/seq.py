@@ -153,14 +153,34 @@ def positions(df: DataFrame, key: Sequence[str], order: Sequence, n_parts: int |
         "_mid", "_pid", "_idx", "_i0", "_off")
 
 
-def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    """(rows in the largest group, total rows): one pre-aggregated count over the key columns."""
-    r = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n"), F.sum("_n")).first()
-    return int(r[0] or 0), int(r[1] or 0)
+# Planning-only sample: the plain/chunked decision is made from the key counts of a 1 % sample
+# (the results never come from a sample - both plans are exact).  A group holding B rows shows
+# about B / 100 sampled rows, so a hot group is seen with certainty while only 1 % of the key
+# column is shuffled for the check.
+SKEW_SAMPLE_FRACTION = 0.01
+SKEW_SAMPLE_SEED = 17
+
+
+def group_sizes(df: DataFrame, keys: Sequence[str], fraction: float | None = None) -> tuple[int, int]:
+    """(rows in the largest group, total rows) over the key columns: exact counts when
+    ``fraction`` is None, otherwise estimates scaled up from a ``fraction`` sample."""
+    d = df.select(*keys)
+    if fraction is not None:
+        d = d.sample(fraction=fraction, seed=SKEW_SAMPLE_SEED)
+    r = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n"), F.sum("_n")).first()
+    scale = 1.0 if fraction is None else 1.0 / fraction
+    return int((r[0] or 0) * scale), int((r[1] or 0) * scale)
+
+
+def needs_chunks(df: DataFrame, keys: Sequence[str], chunk_rows: int) -> tuple[bool, int]:
+    """Decide from the sampled key counts whether any group may exceed half a block (a safety
+    margin for the sampling error); returns (decision, estimated total rows)."""
+    biggest, total = group_sizes(df, keys, SKEW_SAMPLE_FRACTION)
+    return biggest > chunk_rows // 2, total
 
 
 def max_group_rows(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows in the largest group."""
+    """Rows in the largest group (exact)."""
     return group_sizes(df, keys)[0]
 
 
@@ -169,9 +189,10 @@ def sequence_features(df: DataFrame, key: str | Sequence[str], order: Sequence[s
                       adaptive: bool = True) -> DataFrame:
     """Add order-aware features per key.
 
-    With ``chunk_rows`` set and ``adaptive`` on, the size of the largest entity is measured
-    first (one count per key): if no entity exceeds one block the plain window plan is used
-    (each window partition is then bounded by ``chunk_rows`` anyway); otherwise the chunked plan.
+    With ``chunk_rows`` set and ``adaptive`` on, the size of the largest entity is estimated
+    first from a 1 % sample of the key column: if no entity comes near one block the plain
+    window plan is used (each window partition is then bounded by ``chunk_rows``); otherwise
+    the chunked plan.  ``adaptive=False`` forces the chunked plan.
 
     features: name -> spec, where spec is one of
       ("diff", col[, fill])          x - previous x; first row of the key gets ``fill`` (W2)
@@ -187,9 +208,9 @@ def sequence_features(df: DataFrame, key: str | Sequence[str], order: Sequence[s
     keys = [key] if isinstance(key, str) else list(key)
     total = None
     if chunk_rows is not None and adaptive:
-        biggest, total = group_sizes(df, keys)
-        if biggest <= chunk_rows:
-            chunk_rows = None      # no entity is larger than one block: the plain plan is bounded
+        big, total = needs_chunks(df, keys, chunk_rows)
+        if not big:
+            chunk_rows = None      # no entity near one block: the plain plan is bounded
     if chunk_rows is None:
         w = Window.partitionBy(*keys).orderBy(*[_ord(o) for o in order])
         exprs = _window_exprs(w, _wsql(keys, order), features, None)
@@ -253,13 +274,13 @@ def lookalike_clusters(df: DataFrame, attrs: Sequence[str], id_col: str) -> Data
 
 
 def neighbour_labels(df: DataFrame, cluster: str, order: Sequence[str], label: str,
-                     chunk_rows: int | None = None) -> DataFrame:
+                     chunk_rows: int | None = None, adaptive: bool = True) -> DataFrame:
     """Next / previous label inside a cluster ordered by ``order``; NULL outside clusters.
     The neighbour's label is a leak-prone feature: it reads another entity's target."""
     inside = df.filter(F.col(cluster).isNotNull())
     outside = df.filter(F.col(cluster).isNull())
     rev = [_ord(o).desc() for o in order]
-    if chunk_rows is not None and max_group_rows(inside, [cluster]) <= chunk_rows:
+    if chunk_rows is not None and adaptive and not needs_chunks(inside, [cluster], chunk_rows)[0]:
         chunk_rows = None          # decided once for both directions
     w_prev = sequence_features(inside, cluster, order, {"prev_label": ("lag", label, 1)}, chunk_rows, adaptive=False)
     both = sequence_features(w_prev, cluster, rev, {"next_label": ("lag", label, 1)}, chunk_rows, adaptive=False)

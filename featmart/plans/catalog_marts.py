@@ -233,8 +233,9 @@ SELECT c_custkey, {", ".join(cols)} FROM o GROUP BY 1
 D5_SQL = _d5_sql()
 
 
-def _d5(spark, sf, chunk):
-    return M.mart_instalments(load(spark, sf, "orders"), load(spark, sf, "lineitem"), chunk_rows=chunk)
+def _d5(spark, sf, chunk, adaptive=True):
+    return M.mart_instalments(load(spark, sf, "orders"), load(spark, sf, "lineitem"), chunk_rows=chunk,
+                              adaptive=adaptive)
 
 
 @query("mart_instalments", D5_SQL)
@@ -245,8 +246,9 @@ def q_mart_instalments(spark, sf):
 
 @query("mart_instalments_small_chunks", D5_SQL)
 def q_mart_instalments_small_chunks(spark, sf):
-    """D5 with blocks of 4 lines, so every multi-line order spans several blocks."""
-    return _d5(spark, sf, 4)
+    """D5 forced onto the chunked plan with blocks of 4 lines, so every multi-line order spans
+    several blocks."""
+    return _d5(spark, sf, 4, adaptive=False)
 
 
 D6_SQL = f"""

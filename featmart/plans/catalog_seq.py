@@ -46,7 +46,8 @@ _DIFF_FEATS = {"value_diff": ("diff", "value", 0.0), "ok_running": ("running_sum
 
 def _seq_diff(spark, sf, chunk):
     e = _events(spark, sf)
-    out = S.sequence_features(e, "user_id", EV_ORDER, _DIFF_FEATS, chunk_rows=chunk)
+    # the *_chunked variants force the chunked plan (adaptive=False) so that it is what is checked
+    out = S.sequence_features(e, "user_id", EV_ORDER, _DIFF_FEATS, chunk_rows=chunk, adaptive=chunk is None)
     return out.select("event_id", "value_diff", "ok_running", "ok_count", "value_up")
 
 
@@ -93,7 +94,7 @@ def q_seq_rolling(spark, sf):
 @query("seq_rolling_chunked", SEQ_ROLL_SQL)
 def q_seq_rolling_chunked(spark, sf):
     """Same as seq_rolling on the chunked plan (blocks of 20 rows, halo of 11)."""
-    out = S.sequence_features(_events(spark, sf), "user_id", EV_ORDER, _ROLL_FEATS, chunk_rows=20)
+    out = S.sequence_features(_events(spark, sf), "user_id", EV_ORDER, _ROLL_FEATS, chunk_rows=20, adaptive=False)
     return out.select("event_id", *_ROLL_FEATS)
 
 
@@ -123,7 +124,7 @@ def q_ewm_mean(spark, sf):
 def q_ewm_mean_chunked(spark, sf):
     """Same as ewm_mean on the chunked plan (blocks of 40 rows, halo of 33)."""
     out = S.sequence_features(_events(spark, sf), "user_id", EV_ORDER, {"ok_ewm": ("ewm", "ok_value", EWM_ALPHA)},
-                              chunk_rows=40)
+                              chunk_rows=40, adaptive=False)
     return out.select("event_id", "ok_ewm")
 
 
@@ -186,7 +187,8 @@ def _lookalike(spark, sf, chunk=None):
         "c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal",
         F.floor(F.abs("c_acctbal") / 2500).alias("bal_bucket"), (F.col("c_acctbal") < 0).cast("int").alias("label"))
     cl = S.lookalike_clusters(c, ["c_nationkey", "c_mktsegment", "bal_bucket"], "c_custkey")
-    return S.neighbour_labels(cl, "cluster", ["c_acctbal", "c_custkey"], "label", chunk_rows=chunk)
+    return S.neighbour_labels(cl, "cluster", ["c_acctbal", "c_custkey"], "label", chunk_rows=chunk,
+                              adaptive=chunk is None)
 
 
 @query("lookalike_neighbours", LOOKALIKE_SQL)

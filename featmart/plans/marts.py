@@ -117,7 +117,7 @@ _D5_SEQ = {"due_diff": ("diff", "due", 0.0), "paid_run": ("running_sum", "paid")
 
 
 def order_level(orders: DataFrame, lineitem: DataFrame, parts: Sequence[str] = ("external", "monthly", "instalments"),
-                chunk_rows: int | None = SEQ_CHUNK_ROWS) -> DataFrame:
+                chunk_rows: int | None = SEQ_CHUNK_ROWS, adaptive: bool = True) -> DataFrame:
     """One row per order (with its customer and status) holding the order-level columns of the
     requested marts: 'external' (D2: line count, return-flag counts and shares), 'monthly' (D4:
     quantity range, counts per line status, returned-and-closed flag), 'instalments' (D5: lines
@@ -137,7 +137,7 @@ def order_level(orders: DataFrame, lineitem: DataFrame, parts: Sequence[str] = (
                            ("ret_closed", ["max"],
                             "CAST(coalesce(l_returnflag = 'R' AND l_linestatus = 'F', false) AS INT)")]).columns()
     if "instalments" in parts:
-        li = S.sequence_features(li, "l_orderkey", LINE_ORDER, _D5_SEQ, chunk_rows=chunk_rows)
+        li = S.sequence_features(li, "l_orderkey", LINE_ORDER, _D5_SEQ, chunk_rows=chunk_rows, adaptive=adaptive)
         li = li.withColumn("ratio", safe_div("paid", "due")).withColumn(
             "late", flag(F.datediff("l_shipdate", "prev_ship") > 30))
         aggs += [F.avg("ratio").alias("ratio_mean"), F.sum("due_diff").alias("diff_sum"),
@@ -165,9 +165,9 @@ def order_customer_exprs(parts: Sequence[str] = ("external", "monthly", "instalm
 
 
 def orders_marts(orders: DataFrame, lineitem: DataFrame, parts: Sequence[str] = ("external", "monthly", "instalments"),
-                 chunk_rows: int | None = SEQ_CHUNK_ROWS) -> DataFrame:
+                 chunk_rows: int | None = SEQ_CHUNK_ROWS, adaptive: bool = True) -> DataFrame:
     """D2 + D4 + D5 (any subset) per customer: one lineitem pass, one customer group-by."""
-    per_o = order_level(orders, lineitem, parts, chunk_rows).filter(F.col("c_custkey").isNotNull())
+    per_o = order_level(orders, lineitem, parts, chunk_rows, adaptive).filter(F.col("c_custkey").isNotNull())
     return per_o.groupBy("c_custkey").agg(*order_customer_exprs(parts))
 
 
@@ -183,11 +183,12 @@ def mart_monthly(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     return orders_marts(orders, lineitem, ("monthly",))
 
 
-def mart_instalments(orders: DataFrame, lineitem: DataFrame, chunk_rows: int | None = SEQ_CHUNK_ROWS) -> DataFrame:
+def mart_instalments(orders: DataFrame, lineitem: DataFrame, chunk_rows: int | None = SEQ_CHUNK_ROWS,
+                     adaptive: bool = True) -> DataFrame:
     """Lines in ship order per order: due = price, paid = price (1 - discount); paid ratio,
     due difference to the previous line, late flag (> 30 days after the previous shipment),
     running paid, rolling 3 mean of due -> order (mean/max/sum/std) -> customer (mean/sum/max)."""
-    return orders_marts(orders, lineitem, ("instalments",), chunk_rows)
+    return orders_marts(orders, lineitem, ("instalments",), chunk_rows, adaptive)
 
 
 # ---------------------------------------------------------------------------- orders stage

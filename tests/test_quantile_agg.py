@@ -10,13 +10,13 @@ from featmart.operators import agg as A
 from featmart.operators import quantile as Q
 
 
-@pytest.mark.parametrize("chunk", [1_000_000, 40])
-def test_percentiles_match_numpy_with_hot_key(spark, chunk):
+@pytest.mark.parametrize("adaptive", [True, False])
+def test_percentiles_match_numpy_with_hot_key(spark, adaptive):
     rnd = random.Random(11)
     rows = [("hot" if i % 4 else f"k{i % 5}", rnd.choice([None, rnd.randint(0, 40) * 0.5])) for i in range(400)]
     df = spark.createDataFrame(rows, "k string, v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    got = {r.k: [r[f"p{i}"] for i in range(len(probs))] for r in Q.percentiles(df, ["k"], "v", probs, chunk_rows=chunk).collect()}
+    got = {r.k: [r[f"p{i}"] for i in range(len(probs))] for r in Q.percentiles(df, ["k"], "v", probs, adaptive=adaptive).collect()}
     for k in {r[0] for r in rows}:
         vals = [v for kk, v in rows if kk == k and v is not None]
         if not vals:

@@ -57,7 +57,7 @@ def test_chunked_equals_plain_on_hot_key(spark, chunk):
     feats = {n: f for n, f in FEATS.items() if n != "e"} if chunk < 34 else FEATS
     df = _frame(spark, rows)
     a = _collect(S.sequence_features(df, "k", ["t", "id"], feats))
-    b = _collect(S.sequence_features(df, "k", ["t", "id"], feats, chunk_rows=chunk))
+    b = _collect(S.sequence_features(df, "k", ["t", "id"], feats, chunk_rows=chunk, adaptive=False))
     assert a.keys() == b.keys()
     for key in a:
         for n in feats:
@@ -71,7 +71,7 @@ def test_chunked_ewm(spark):
     df = _frame(spark, rows)
     f = {"e": ("ewm", "v", 0.7)}
     a = _collect(S.sequence_features(df, "k", ["t", "id"], f))
-    b = _collect(S.sequence_features(df, "k", ["t", "id"], f, chunk_rows=40))
+    b = _collect(S.sequence_features(df, "k", ["t", "id"], f, chunk_rows=40, adaptive=False))
     for key in a:
         assert (a[key]["e"] is None and b[key]["e"] is None) or a[key]["e"] == pytest.approx(b[key]["e"], rel=1e-12)
 
@@ -101,5 +101,5 @@ def test_neighbours(spark):
     cl = S.lookalike_clusters(df, ["g"], "id")
     for chunk in (None, 2):
         r = {x.id: (x.prev_label, x.next_label) for x in
-             S.neighbour_labels(cl, "cluster", ["age", "id"], "y", chunk_rows=chunk).collect()}
+             S.neighbour_labels(cl, "cluster", ["age", "id"], "y", chunk_rows=chunk, adaptive=False).collect()}
         assert r == {2: (None, 1), 3: (0, 1), 1: (1, None), 4: (None, None)}
