@@ -184,6 +184,14 @@ def woe_fit(df: DataFrame, label: str, cat_cols: Sequence[str] = (), num_cols: S
     return out
 
 
+def woe_table(df: DataFrame, label: str, cat_cols: Sequence[str] = (), num_cols: Sequence[str] = (),
+              max_levels: int = MAX_LEVELS, **kw) -> list:
+    """``woe_fit`` collected for ``woe_apply``; at most ``max_levels`` rows per feature."""
+    from featmart.operators.joins import collect_bounded
+    n = max(1, len(cat_cols) + len(num_cols))
+    return collect_bounded(woe_fit(df, label, cat_cols, num_cols, **kw), max_levels * n, "WoE table")
+
+
 def woe_apply(df: DataFrame, table_rows: Sequence, suffix: str = "", missing_value: float | None = None) -> DataFrame:
     """Replace (or add with ``suffix``) every fitted column by its WoE.
 
@@ -255,6 +263,19 @@ def risk_groups_fit(df: DataFrame, col: str, label: str, target=1, upper: float
     return out
 
 
+def risk_groups_table(df: DataFrame, col: str, label: str, max_levels: int = MAX_LEVELS, **kw) -> list:
+    """``risk_groups_fit`` collected for ``risk_groups_apply`` (at most ``max_levels`` categories)."""
+    from featmart.operators.joins import collect_bounded
+    return collect_bounded(risk_groups_fit(df, col, label, **kw), max_levels, "risk-group table")
+
+
+def bins_table(df: DataFrame, label: str, cols: Sequence[str], prebins: int = 20, min_share: float = 0.05) -> list:
+    """``optimal_bins_fit`` collected for ``binned_apply`` (at most ``prebins`` rows per column)."""
+    from featmart.operators.joins import collect_bounded
+    return collect_bounded(optimal_bins_fit(df, label, cols, prebins, min_share), prebins * max(1, len(cols)),
+                           "bin table")
+
+
 def risk_groups_apply(df: DataFrame, col: str, table_rows: Sequence, upper: float = 8.2, lower: float = 8.2,
                       drop_source: bool = True) -> DataFrame:
     groups = ["high", "medium", "low"] if upper != lower else ["high", "low"]

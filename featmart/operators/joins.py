@@ -36,6 +36,15 @@ def bounded_broadcast(df: DataFrame, bound: int) -> DataFrame:
     return F.broadcast(df)
 
 
+def collect_bounded(df: DataFrame, bound: int, what: str = "fitted table") -> list:
+    """Collect a small parameter table to the driver, refusing if it has more than ``bound``
+    rows (fetches at most ``bound + 1`` rows, so an oversized table is never pulled whole)."""
+    rows = df.limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise ValueError(f"{what} has more than {bound} rows; bucket the input or raise the bound")
+    return rows
+
+
 def attach(parent: DataFrame, child_agg: DataFrame, on: str | Sequence[str], how: str = "left") -> DataFrame:
     """Join an already aggregated child (one row per key) onto its parent."""
     return parent.join(child_agg, on=on, how=how)

@@ -129,5 +129,7 @@ def boosting_importance(df: DataFrame, cols: Sequence[str], label: str, threshol
 
 def apply_selection(df: DataFrame, table: DataFrame, always_keep: Sequence[str] = ()) -> DataFrame:
     """Drop the columns a selector rejected (the table is tiny: one row per feature)."""
-    drop = [r["feature"] for r in table.filter(~F.col("keep")).select("feature").collect()]
+    from featmart.operators.joins import collect_bounded
+    drop = [r["feature"] for r in collect_bounded(table.filter(~F.col("keep")).select("feature"), len(df.columns),
+                                                  "selector table")]
     return df.drop(*[c for c in drop if c not in always_keep])

@@ -128,7 +128,7 @@ def q_woe_apply_categorical(spark, sf):
     c = load(spark, sf, "customer", ["c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal"]).select(
         "c_custkey", "c_mktsegment", F.col("c_nationkey").cast("string").alias("c_nationkey"),
         (F.col("c_acctbal") < 0).cast("int").alias("y"))
-    table = EN.woe_fit(c, "y", cat_cols=["c_mktsegment", "c_nationkey"]).collect()
+    table = EN.woe_table(c, "y", cat_cols=["c_mktsegment", "c_nationkey"])
     return EN.woe_apply(c, table).select("c_custkey", "c_mktsegment", "c_nationkey")
 
 
@@ -170,7 +170,7 @@ def q_woe_apply_numeric(spark, sf):
     NULL (E7)."""
     docs = load(spark, sf, "documents", ["doc_id", "n_chars"])
     lab = docs.join(load(spark, sf, "labels", ["doc_id", "toxic"]), "doc_id")
-    table = EN.woe_fit(lab.select("n_chars", "toxic"), "toxic", num_cols=["n_chars"]).collect()
+    table = EN.woe_table(lab.select("n_chars", "toxic"), "toxic", num_cols=["n_chars"])
     return EN.woe_apply(docs, table, suffix="_woe").select("doc_id", "n_chars_woe")
 
 
@@ -242,7 +242,7 @@ def q_risk_groups_apply(spark, sf):
     columns replacing the string source (E11)."""
     c = load(spark, sf, "customer", ["c_custkey", "c_mktsegment", "c_acctbal"]).withColumn(
         "y", (F.col("c_acctbal") < 0).cast("int"))
-    table = EN.risk_groups_fit(c, "c_mktsegment", "y", upper=9.0, lower=7.0).collect()
+    table = EN.risk_groups_table(c, "c_mktsegment", "y", upper=9.0, lower=7.0)
     out = EN.risk_groups_apply(c, "c_mktsegment", table, upper=9.0, lower=7.0)
     return out.select("c_custkey", "c_mktsegment_high_risk", "c_mktsegment_medium_risk", "c_mktsegment_low_risk")
 

@@ -166,7 +166,7 @@ def q_optimal_bins(spark, sf):
 def q_binned_apply(spark, sf):
     """Fitted bins applied as WoE columns with a fixed value for missing."""
     data = _bin_inputs(spark, sf)
-    rows = EN.optimal_bins_fit(data, "y", _BIN_COLS).collect()
+    rows = EN.bins_table(data, "y", _BIN_COLS)
     return EN.binned_apply(data, rows, missing_value=0.05, keep="binned")
 
 

@@ -315,9 +315,9 @@ def binned_mart(features: DataFrame, label: str, keep: str = "both", iv_min: flo
     data = cut_lineage(features)          # read three times: constants, bins, output
     lab = data.filter(F.col(label).isNotNull())
     const = SE.constant_columns(lab, feats)
-    feats = [r["feature"] for r in const.filter("keep").collect()]
+    feats = [r["feature"] for r in J.collect_bounded(const.filter("keep"), len(feats), "selector table")]
     nums = [c for c, t in data.dtypes if c in feats and t in ("double", "int", "bigint", "float")]
-    bins = EN.optimal_bins_fit(lab, label, nums, min_share=min_share).collect()
+    bins = EN.bins_table(lab, label, nums, min_share=min_share)
     iv = {}
     for r in bins:
         iv[r["feature"]] = iv.get(r["feature"], 0.0) + r["iv"]
