@@ -12,9 +12,10 @@ Two physical paths compute the same values:
      ``monotonically_increasing_id`` then numbers rows in global (key, order) order.
   2. A small chunk table (one row per (key, range partition)) gives, by a cumulative sum, the
      offset of every chunk inside its key -> exact 1-based position ``_pos`` of every row.
-  3. ``_blk = (_pos - 1) div B``; the last H rows of each block are copied into the next block
-     as read-only *halo* rows, where H is the deepest look-back any requested feature needs
-     (1 for lag/diff, n-1 for rolling n, K for the EWM truncation).
+  3. ``_blk = (_pos - 1) div B``; the H rows before each block are copied into it as read-only
+     *halo* rows, where H is the deepest look-back any requested feature needs (1 for lag/diff,
+     n-1 for rolling n, K for the EWM truncation); H may exceed B (a row then serves several
+     later blocks).
   4. Windows run over ``partitionBy(key, _blk).orderBy(_pos)``; running sums add a per-block
      offset from a (key, block) total table.  Halo rows are dropped at the end.
 
@@ -217,14 +218,17 @@ def sequence_features(df: DataFrame, key: str | Sequence[str], order: Sequence[s
         return df.select("*", *[e.alias(n) for n, e in exprs.items()])
 
     halo = max([_lookback(s) for s in features.values()] + [0])
-    if halo >= chunk_rows:
-        raise ValueError("chunk_rows must exceed the deepest look-back")
     pos = positions(df, keys, order, total_rows=total).withColumn(
         "_blk", F.floor((F.col("_pos") - 1) / F.lit(chunk_rows)))
-    in_tail = ((F.col("_pos") - 1) % F.lit(chunk_rows)) >= F.lit(chunk_rows - halo)
-    copies = F.when(in_tail & F.lit(halo > 0), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-    expanded = (pos.withColumn("_halo", F.explode(copies))
-                .withColumn("_blk", F.col("_blk") + F.col("_halo").cast("long")))
+    # a row is a read-only halo row of every later block whose first row lies within ``halo``
+    # positions after it: blocks _blk + 1 .. (pos - 1 + halo) div B (usually none or one)
+    last = F.floor((F.col("_pos") - 1 + F.lit(halo)) / F.lit(chunk_rows))
+    targets = F.when(last > F.col("_blk"), F.sequence(F.col("_blk") + 1, last)).otherwise(
+        F.array().cast("array<bigint>"))
+    copies = F.concat(F.array(F.struct(F.col("_blk").alias("b"), F.lit(False).alias("h"))),
+                      F.transform(targets, lambda b: F.struct(b.alias("b"), F.lit(True).alias("h"))))
+    expanded = (pos.withColumn("_copy", F.explode(copies))
+                .withColumn("_blk", F.col("_copy.b")).withColumn("_halo", F.col("_copy.h")).drop("_copy"))
     w = Window.partitionBy(*keys, "_blk").orderBy("_pos")
     exprs = _window_exprs(w, _wsql([*keys, "_blk"], ["_pos"]), features, F.col("_halo"))
     for n, spec in features.items():
