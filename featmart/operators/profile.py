@@ -56,6 +56,16 @@ def counts_by_label(df: DataFrame, cat: str, label: str) -> DataFrame:
     return c.join(tot, cat).select(cat, label, "n", (F.col("n") / F.col("_t")).alias("share_in_category"))
 
 
+def label_share_wide(df: DataFrame, cat: str, label: str, labels: Sequence = (0, 1)) -> DataFrame:
+    """X5 unstacked: one row per category, one share column per label value (shares within the
+    category).  The label values are given, so the pivot needs no distinct pre-pass."""
+    lab = df.filter(F.col(label).isNotNull())
+    wide = lab.groupBy(cat).pivot(label, list(labels)).agg(F.count(F.lit(1)))
+    tot = sum((F.coalesce(F.col(f"`{v}`"), F.lit(0)) for v in labels), F.lit(0))
+    return wide.select(cat, *[(F.coalesce(F.col(f"`{v}`"), F.lit(0)) / tot).alias(f"share_{v}") for v in labels],
+                       tot.alias("n"))
+
+
 def rate_by_category(df: DataFrame, cat: str, label: str) -> DataFrame:
     """Percent of positive labels per category (labelled rows only) and the row count."""
     lab = df.filter(F.col(label).isNotNull())

@@ -174,6 +174,17 @@ def q_label_by_category(spark, sf):
     return PR.counts_by_label(_cust_y(spark, sf), "c_mktsegment", "y")
 
 
+@query("label_share_wide", f"""
+WITH c AS ({_CUST_Y}),
+g AS (SELECT c_mktsegment, count(CASE WHEN y = 0 THEN 1 END) AS n0, count(CASE WHEN y = 1 THEN 1 END) AS n1
+      FROM c WHERE y IS NOT NULL GROUP BY 1)
+SELECT c_mktsegment, {rs('n0 / (n0 + n1)')} AS share_0, {rs('n1 / (n0 + n1)')} AS share_1, n0 + n1 AS n FROM g
+""")
+def q_label_share_wide(spark, sf):
+    """Label distribution normalised within each category, unstacked with a pivot."""
+    return PR.label_share_wide(_cust_y(spark, sf), "c_mktsegment", "y", [0, 1])
+
+
 @query("rate_by_category", f"""
 WITH c AS ({_CUST_Y})
 SELECT c_nationkey, count(*) AS n, {rs('avg(y) * 100.0')} AS rate_pct FROM c WHERE y IS NOT NULL GROUP BY 1

@@ -68,6 +68,7 @@ def customer_mart(customer: DataFrame, orders: DataFrame, lineitem: DataFrame) -
 import featmart.operators.agg as A  # noqa: E402
 from featmart.functions import exprs as X  # noqa: E402
 from featmart.functions.nulls import half_even, log1p_guarded, ne_null_safe  # noqa: E402
+from featmart.operators import clean as CL  # noqa: E402
 from featmart.operators import encode as EN  # noqa: E402
 from featmart.operators import joins as J  # noqa: E402
 from featmart.operators import quantile as Q  # noqa: E402
@@ -306,9 +307,10 @@ def binned_mart(features: DataFrame, label: str, keep: str = "both", iv_min: flo
     (E9), IV selection (Q7), and the unlabelled part transformed with the same parameters and
     unioned back.
 
-    keep: 'both' -> originals + binned columns that pass; 'binned' -> binned only;
-          'numeric_binned' -> numeric originals + passing binned; 'originals_passing' ->
-          original values of the columns whose binned version passes."""
+    keep: 'both' -> originals + binned columns that pass; 'binned' -> binned only, fitted on
+          median-imputed inputs; 'numeric_binned' -> mean-imputed numeric originals + passing
+          binned; 'originals_passing' -> original values of the columns whose binned version
+          passes."""
     from featmart.operators import select as SE
     from featmart.session import cut_lineage
     feats = [c for c in features.columns if c not in ("c_custkey", label)]
@@ -317,6 +319,12 @@ def binned_mart(features: DataFrame, label: str, keep: str = "both", iv_min: flo
     const = SE.constant_columns(lab, feats)
     feats = [r["feature"] for r in J.collect_bounded(const.filter("keep"), len(feats), "selector table")]
     nums = [c for c, t in data.dtypes if c in feats and t in ("double", "int", "bigint", "float")]
+    if keep == "numeric_binned":       # numeric originals are mean-imputed before selection
+        data = CL.fill_statistic(data, nums, "mean")
+        lab = data.filter(F.col(label).isNotNull())
+    elif keep == "binned":             # binned-only output is fitted on median-imputed inputs
+        data = CL.fill_statistic(data, nums, "median")
+        lab = data.filter(F.col(label).isNotNull())
     bins = EN.bins_table(lab, label, nums, min_share=min_share)
     iv = {}
     for r in bins:
