@@ -86,3 +86,19 @@ def test_union_named_and_semi_anti(spark):
     assert [r.k for r in J.anti(J.union_named([a, b]), ids, "k").collect()] == [2]
     with pytest.raises(ValueError):
         J.star_join(a, "k", [a])
+
+
+def test_spec_json_handoff_and_scored_file(spark):
+    from featmart.operators.agg import AggSpec
+    from featmart.sources import load_json, save_json, write_scores
+    base = os.path.join(checkpoint_dir(spark).replace("file:", ""), "test-io", next(tempfile._get_candidate_names()))
+    os.makedirs(base, exist_ok=True)
+    spec = AggSpec([("x", ["sum", "median"], "x * 2")], order=["t"])
+    save_json({"spec": spec.to_json()}, f"{base}/spec.json")
+    back = AggSpec.from_json(load_json(f"{base}/spec.json")["spec"])
+    assert back.to_json() == spec.to_json() and back.names() == ["x_sum", "x_median"]
+    df = spark.createDataFrame([(5, 0.25), (7, 0.75)], "id long, p double")
+    write_scores(df, "id", "p", f"{base}/scores")
+    got = read_csv(spark, f"{base}/scores", schema="id INT, p DOUBLE")
+    assert dict(got.dtypes)["id"] == "int"
+    assert sorted(tuple(r) for r in got.collect()) == [(5, 0.25), (7, 0.75)]
