@@ -102,3 +102,14 @@ def test_spec_json_handoff_and_scored_file(spark):
     got = read_csv(spark, f"{base}/scores", schema="id INT, p DOUBLE")
     assert dict(got.dtypes)["id"] == "int"
     assert sorted(tuple(r) for r in got.collect()) == [(5, 0.25), (7, 0.75)]
+
+
+def test_bounded_collect_and_broadcast(spark):
+    df = spark.range(10)
+    assert len(J.collect_bounded(df, 10)) == 10
+    with pytest.raises(ValueError):
+        J.collect_bounded(df, 9)
+    with pytest.raises(ValueError):
+        J.bounded_broadcast(df, 5)
+    assert J.checked_broadcast(df, 100).count() == 10
+    assert J.checked_broadcast(df, 5).count() == 10         # over the limit: plain join side
