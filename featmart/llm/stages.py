@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featmart.llm import decontam, mixing, simhash
+from featmart.llm import decontam, langid, mixing, pii, simhash
 from featmart.llm.common import materialise, small
 
 ID, TEXT = "doc_id", "text"
@@ -34,6 +34,13 @@ def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return keyed.join(gone, names, "left_anti").drop(*names)
 
 
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID, learned from the labelled rows outside the held-out quarter: rejected documents go."""
+    model = langid.fit(docs.where(~langid.held_out(ID)), ID, TEXT)
+    d = langid.predict(docs, model, TEXT, keep=(F.struct(*docs.columns).alias("row"),))
+    return d.where(~F.col("rejected")).select("row.*")
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup: of each group of linked documents the one with the smallest id stays (null
     ids last, then by text hash); of rows equal in id and text one stays."""
@@ -60,6 +67,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _without(docs, found.where("n_hit > 0").select("k1", "k2"))
 
 
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """PII: the spans found in a text are replaced by their kind; ``n_chars`` follows."""
+    out = pii.redact(docs, pii.fit(docs, TEXT), TEXT)
+    return out.withColumn("n_chars", F.length(TEXT).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: every document with the words the mix takes of it (``taken``, 0 if none)."""
     keep = [F.col(c).alias(c) for c in docs.columns if c not in (ID, TEXT, "source", *_MIX)]
