@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from featmart.llm.common import materialise
-from featmart.llm.stages import decontaminate, deduplicate, mixture
+from featmart.llm.stages import decontaminate, deduplicate, identify, mixture, redact
 
 STAGES = [
+    ("language_id", identify),
     ("simhash_dedup", deduplicate),
     ("decontaminate", decontaminate),
+    ("pii", redact),
     ("mix", mixture),
 ]
 
