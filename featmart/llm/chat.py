@@ -180,7 +180,7 @@ def read_back(parts: DataFrame) -> DataFrame:
                     state[3].update(text.encode())
                 state[4] += len(data.decode())
             if ready:
-                yield pa.Table.from_batches(ready).combine_chunks().to_batches()[0]
+                yield pa.concat_batches(ready)
         if have:
             yield result()
 

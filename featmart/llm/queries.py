@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featmart.llm import chat, decontam, langid, mixing, pii, simhash, tokens, warc
+from featmart.llm import chat, decontam, embed, langid, mixing, pii, simhash, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -161,3 +161,10 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= {warc.
 @query("op4_warc", SQL_WARC)
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
+@query("op7_embeddings")
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = embed.embedding_dedup(table(spark, sf_dir, "embeddings"))
+    return d.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
+                    F.col("id").eqNullSafe(F.col("component")).alias("kept"))
