@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featmart.llm import chat, decontam, embed, langid, mixing, pii, simhash, tokens, warc
+from featmart.llm import chat, decontam, embed, langid, licenses, mixing, pii, simhash, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -168,3 +168,9 @@ def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = embed.embedding_dedup(table(spark, sf_dir, "embeddings"))
     return d.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
                     F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+@query("op9_licenses")
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = licenses.scan(table(spark, sf_dir, "documents"))
+    return d.withColumnRenamed("id", "doc_id").withColumn("exact", (F.col("missing") == 0) & (F.col("added") == 0))
