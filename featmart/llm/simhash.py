@@ -63,14 +63,14 @@ def fingerprint(text: str | None, k: int = SHINGLE_WORDS) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS,
                  keep: tuple = ()) -> DataFrame:
     """(id, fp long) per row; ``keep``: further expressions (aliased) carried along."""
-    src = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("text"))
+    src = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("text_of_row"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.array([fingerprint(t, k) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-        names = [n for n in b.schema.names if n != "text"]
+        fps = np.array([fingerprint(t, k) for t in b.column("text_of_row").to_pylist()], np.uint64).view(np.int64)
+        names = [n for n in b.schema.names if n != "text_of_row"]
         return pa.record_batch([b.column(n) for n in names] + [pa.array(fps)], names=[*names, "fp"])
 
-    schema = src.drop("text").schema.add("fp", "long")
+    schema = src.drop("text_of_row").schema.add("fp", "long")
     return map_batches(src, run, schema)
 
 

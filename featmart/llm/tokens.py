@@ -18,6 +18,7 @@ A null text counts as empty: 0 tokens, no prefixes. Null ids, repeated rows and
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from array import array
 from functools import cache
@@ -35,8 +36,11 @@ LIMIT = 512
 # fixed values: the byte-level pre-tokenizer's pattern and its endings
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ENDINGS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
-#: Pieces and token pairs that a worker remembers; beyond it starts afresh.
-REMEMBER = 500_000
+_RUNS = ("  ", " \n", "\n ", "\n\n")
+_OTHER = re.compile(r"[^\S \n]")
+STEMS = (11, 8, 5)
+#: Pieces, words, stems and token pairs that a worker remembers; beyond it starts afresh.
+REMEMBER = 600_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -68,12 +72,14 @@ class PrefixCounter:
         if spec["model"]["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec["normalizer"]:
             raise ValueError(f"{path}: not a plain byte-level BPE file")
         self.ids = self.tok.get_vocab(with_added_tokens=False)
-        self.longest = max(map(len, self.ids))
+        self.longest, self.own = max(map(len, self.ids)), {t: t for t in self.ids}.get
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.letters = _byte_letters()
         self.pieces: dict[str, tuple[int, bytes]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.words: dict[str, tuple[int, bytes]] = {}
+        self.stems: dict[str, tuple[list[int], list[str]]] = {}
         self.pattern, self.newer = regex.compile(PIECES).findall, _newer_letters()
 
     def find(self, text: str) -> list[str]:
@@ -91,13 +97,17 @@ class PrefixCounter:
 
     def _byte_prefixes(self, s: str) -> list[int]:
         """Tokens of s[:j] for every j, s in the byte alphabet."""
-        count, last, ids, pairs, stays = [0], [""], self.ids, self.pairs, self._stays
-        start = 0
-        for j in range(1, len(s) + 1):
+        count, last, own, pairs, stays = [0], [""], self.own, self.pairs, self._stays
+        for k in STEMS:             # many pieces begin alike
+            if len(s) > k and (stem := self.stems.get(s[:k])):
+                count, last = stem[0][:], stem[1][:]
+                break
+        start = len(count) - 1 - len(last[-1])
+        for j in range(len(count), len(s) + 1):
             # only one start fits; where the token before began is the likeliest, then the last byte alone
             for i in (start, j - 1, *range(max(0, j - self.longest), j - 1)):
-                t = s[i:j]
-                if t in ids:
+                t = own(s[i:j])
+                if t:
                     a = last[i]
                     fits = pairs.get((a, t))
                     if stays(a, t) if fits is None else fits:
@@ -107,6 +117,11 @@ class PrefixCounter:
                         break
             else:
                 raise ValueError(f"no token ends at byte {j} of {s[:40]!r}")
+        for k in STEMS:
+            if len(s) > k and s[:k] not in self.stems:
+                if len(self.stems) >= REMEMBER:
+                    self.stems.clear()
+                self.stems[s[:k]] = (count[:k + 1], last[:k + 1])
         return count
 
     def piece(self, w: str) -> tuple[int, bytes]:
@@ -128,6 +143,8 @@ class PrefixCounter:
     def _plain(self, text: str) -> tuple[np.ndarray, list[str], np.ndarray]:
         """Prefix counts of a text without special strings, its pieces and the tokens before each."""
         words = self.find(text)
+        if not words:
+            return np.empty(0, np.int64), words, np.empty(0, np.int64)
         known, learn = self.pieces.get, self.piece
         got = [known(w) or learn(w) for w in words]
         totals = np.array([g[0] for g in got], np.int64)
@@ -140,10 +157,41 @@ class PrefixCounter:
                 out[starts[i + 1]] = before[i] + learn(w + words[i + 1][0])[0]
         return out, words, before
 
+    def word(self, w: str) -> tuple[int, bytes]:
+        """As ``piece``, for a stretch without white space but its first character: w, or a blank and w."""
+        got = self.words.get(w)
+        if got is None:
+            total, data = 0, b""
+            for p in self.find(w if w[0] == "\n" else " " + w):
+                n, counts = self.pieces.get(p) or self.piece(p)
+                data += array("i", [total + x for x in array("i", counts)]).tobytes() if total else counts
+                total += n
+            if len(self.words) >= REMEMBER:
+                self.words.clear()
+            got = self.words[w] = (total, data)
+        return got
+
+    def _simple(self, text: str) -> np.ndarray | None:
+        """Prefix counts of a text whose white space is single blanks and line ends between words: no piece
+        reaches over one, so the text falls into words that recur. None for other texts."""
+        if any(x in text for x in _RUNS) or text[0] in " \n" or text[-1] in " \n" or _OTHER.search(text):
+            return None
+        first, *words = text.replace("\n", " \n").split(" ")
+        known, learn = self.words.get, self.word
+        got = [known(w) or learn(w) for w in words]
+        head = self._plain(first)[0]
+        totals = np.fromiter([g[0] for g in got], np.int64, len(got))
+        data = [g[1] for g in got]
+        lens = np.fromiter(map(len, data), np.int64, len(data)) >> 2
+        before = np.cumsum(totals) - totals + int(head[-1])
+        return np.concatenate((head, np.frombuffer(b"".join(data), np.int32) + np.repeat(before, lens)))
+
     def prefixes(self, text: str) -> np.ndarray:
         """Tokens of text[:1], text[:2], ..., text."""
         if not text:
             return np.empty(0, np.int64)
+        if not (self.special and self.special.search(text)) and (out := self._simple(text)) is not None:
+            return out
         parts, total, at = [], 0, 0
         marks = list(self.special.finditer(text)) if self.special else []
         for m in [*marks, None]:
