@@ -143,14 +143,15 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     # the last piece of each record: the one before its successor, or the file's last
     last = cand.groupBy("file").agg((F.max("i") + 1).alias("end"))
     known = good.join(after, ["file", "succ"], "left").join(last, "file").select(
-        "mid", "file", "i", (F.col("succ") - F.col("off") - _M - 4).alias("stated"), F.coalesce("j", "end").alias("j"))
+        "mid", "file", "i", (F.col("succ") - F.col("off") - _M).alias("stated"), F.coalesce("j", "end").alias("j"))
     known = materialise(known, "spans")
     values = pieces.select("mid", "value")
     one = values.join(small(known.where("j = i + 1").select("mid", "stated")), "mid")
     torn = materialise(known.where("j > i + 1"), "torn")
     parts = torn.select("mid", "stated", "file", F.explode(F.sequence("i", F.col("j") - 1)).alias("i")).join(
         cand.select("file", "i", F.col("mid").alias("piece")), ["file", "i"])
-    put = parts.select(F.col("mid").alias("rec"), "stated", "i", F.col("piece").alias("mid")).join(values, "mid").groupBy("rec", "stated").agg(
+    parts = materialise(parts.select(F.col("mid").alias("rec"), "stated", "i", F.col("piece").alias("mid")), "parts")
+    put = values.join(small(parts), "mid").groupBy("rec", "stated").agg(
         F.array_sort(F.collect_list(F.struct("i", "value"))).alias("v"))
     mended = put.select(F.col("rec").alias("mid"), F.array_join(F.transform("v", lambda x: x["value"]), MAGIC).alias("value"), "stated")
     rec = one.select("mid", "value", "stated").unionByName(mended)
