@@ -49,7 +49,7 @@ SEED = 7
 
 def code_words(n: int, blocks: int = BLOCKS, passed: int = PASSED) -> int:
     """Words per part, a power of two, for ``n`` vectors."""
-    return max(16, 1 << int(np.ceil(np.log2(max(n, 1) * passed / MEMBERS) / blocks)))
+    return 1 << max(4, int(np.ceil(np.log2(max(n, 1) * passed / MEMBERS) / blocks)))
 
 
 @cache
