@@ -37,19 +37,23 @@ def row_mean(cols: Sequence) -> Column:
     return safe_div(s, _present(cols))
 
 
-def _power_sum(cols: Sequence, k: int) -> Column:
-    return sum((F.coalesce(F.pow(_c(c).cast("double"), F.lit(float(k))), F.lit(0.0)) for c in cols),
-               F.lit(0.0))
+def _deviation_sum(cols: Sequence, mean: Column, k: int) -> Column:
+    """Sum of (x - mean) ** k over the non-NULL values: the mean goes off first, so large values do not cancel."""
+    return sum((F.coalesce(F.pow(_c(c).cast("double") - mean, F.lit(float(k))), F.lit(0.0)) for c in cols), F.lit(0.0))
+
+
+def _flat(spread: Column, size: Column) -> Column:
+    """Whether a sum or mean of squared deviations is rounding only, measured against the values' size."""
+    return spread <= F.pow(F.lit(1e-14) * size, 2)
 
 
 def row_std(cols: Sequence) -> Column:
     """Sample standard deviation (ddof=1) skipping NULL; NULL with fewer than two values."""
     n = _present(cols).cast("double")
-    s1, s2 = _power_sum(cols, 1), _power_sum(cols, 2)
     # try_divide: ANSI mode raises on x / 0 even inside a branch that is not taken once
     # subexpressions are shared, so every division by a count is guarded
-    var = F.try_divide(s2 - F.try_divide(s1 * s1, n), n - F.lit(1.0))
-    return F.when(n >= 2, F.sqrt(F.greatest(var, F.lit(0.0))))
+    var = F.try_divide(_deviation_sum(cols, row_mean(cols), 2), n - F.lit(1.0))
+    return F.when(n >= 2, F.sqrt(var))
 
 
 def row_min(cols: Sequence) -> Column:
@@ -68,18 +72,24 @@ def row_prod_strict(cols: Sequence) -> Column:
     return out
 
 
+def row_prod(cols: Sequence) -> Column:
+    """Product skipping NULL; 1 when all are NULL (pandas ``prod(axis=1)``, C10)."""
+    out = F.lit(1.0)
+    for c in cols:
+        out = out * F.coalesce(_c(c).cast("double"), F.lit(1.0))
+    return out
+
+
 def row_kurtosis(cols: Sequence) -> Column:
-    """Bias-corrected excess kurtosis across columns (pandas ``kurt(axis=1)``), n >= 4,
-    NULL for a constant row (zero variance)."""
+    """Bias-corrected excess kurtosis across columns (pandas ``kurt(axis=1)``): NULL for fewer than
+    four values, 0 for a constant row."""
     n = _present(cols).cast("double")
-    s1, s2, s3, s4 = (_power_sum(cols, k) for k in (1, 2, 3, 4))
-    mean = F.try_divide(s1, n)
-    m2 = F.try_divide(s2, n) - mean * mean
-    m4 = (F.try_divide(s4, n) - F.lit(4.0) * mean * F.try_divide(s3, n)
-          + F.lit(6.0) * mean * mean * F.try_divide(s2, n) - F.lit(3.0) * F.pow(mean, 4))
-    g2 = F.try_divide(m4, m2 * m2) - F.lit(3.0)
+    mean = row_mean(cols)
+    s2, s4 = _deviation_sum(cols, mean, 2), _deviation_sum(cols, mean, 4)
+    size = F.greatest(*[F.abs(_c(c).cast("double")) for c in cols])
+    g2 = F.try_divide(n * s4, s2 * s2) - F.lit(3.0)
     big = F.try_divide(((n + 1) * g2 + 6) * (n - 1), (n - 2) * (n - 3))
-    return F.when((n >= 4) & (m2 > F.lit(1e-14)), big)
+    return F.when(n >= 4, F.when(_flat(s2, size), F.lit(0.0)).otherwise(big))
 
 
 # ---------------------------------------------------------------- transforms
@@ -103,18 +113,16 @@ def loan_interest(annuity, n_payments, credit) -> tuple[Column, Column, Column]:
 
 
 def sample_skew(c) -> Column:
-    """Bias-corrected sample skewness G1 (pandas ``skew``); NULL when n < 3 or variance is 0."""
+    """Bias-corrected sample skewness G1 (pandas ``skew``); NULL when n < 3, 0 for a constant group."""
     col = _c(c)
     n = F.count(col).cast("double")
-    g1 = F.skewness(col)
-    return F.when((n >= 3) & (F.var_pop(col) > F.lit(1e-14)),
-                  F.try_divide(g1 * F.sqrt(n * (n - 1)), n - 2))
+    g1 = F.try_divide(F.skewness(col) * F.sqrt(n * (n - 1)), n - 2)
+    return F.when(n >= 3, F.when(_flat(F.var_pop(col), F.max(F.abs(col))), F.lit(0.0)).otherwise(g1))
 
 
 def sample_kurtosis(c) -> Column:
-    """Bias-corrected excess kurtosis G2 (pandas ``kurt``); NULL when n < 4 or variance is 0."""
+    """Bias-corrected excess kurtosis G2 (pandas ``kurt``); NULL when n < 4, 0 for a constant group."""
     col = _c(c)
     n = F.count(col).cast("double")
-    g2 = F.kurtosis(col)
-    return F.when((n >= 4) & (F.var_pop(col) > F.lit(1e-14)),
-                  F.try_divide(((n + 1) * g2 + 6) * (n - 1), (n - 2) * (n - 3)))
+    g2 = F.try_divide(((n + 1) * F.kurtosis(col) + 6) * (n - 1), (n - 2) * (n - 3))
+    return F.when(n >= 4, F.when(_flat(F.var_pop(col), F.max(F.abs(col))), F.lit(0.0)).otherwise(g2))

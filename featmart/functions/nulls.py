@@ -42,17 +42,6 @@ def ne_null_safe(c: ColumnOrName, value) -> Column:
     return ~_c(c).eqNullSafe(F.lit(value))
 
 
-def null_if_in(c: ColumnOrName, values) -> Column:
-    """Value in ``values`` -> NULL, else the value."""
-    col = _c(c)
-    return F.when(col.isin(list(values)), F.lit(None)).otherwise(col)
-
-
-def null_if_above(c: ColumnOrName, limit) -> Column:
-    col = _c(c)
-    return F.when(col > F.lit(limit), F.lit(None)).otherwise(col)
-
-
 def finite_or_null(c: ColumnOrName) -> Column:
     """+-inf and NaN -> NULL."""
     col = _c(c)
@@ -76,11 +65,12 @@ def log1p_guarded(c: ColumnOrName) -> Column:
 
 
 def pow_guarded(c: ColumnOrName, p: float) -> Column:
-    """x ** p, NULL where the result would be infinite or NaN (x <= 0 for fractional or negative p)."""
+    """x ** p, NULL where the result would be infinite or NaN (x < 0 for fractional p, x <= 0 for
+    negative p); 0 ** p is 0 for p > 0."""
     col = _c(c).cast("double")
     if float(p).is_integer() and p > 0:
         return F.pow(col, F.lit(float(p)))
-    return F.when(col > F.lit(0.0), F.pow(col, F.lit(float(p))))
+    return F.when(col >= F.lit(0.0) if p > 0 else col > F.lit(0.0), F.pow(col, F.lit(float(p))))
 
 
 def sqrt_guarded(c: ColumnOrName) -> Column:
@@ -88,11 +78,6 @@ def sqrt_guarded(c: ColumnOrName) -> Column:
     return F.when(col >= F.lit(0.0), F.sqrt(col))
 
 
-def fill_zero_sum(c: Column) -> Column:
-    """pandas ``sum`` of an all-NULL group is 0."""
-    return F.coalesce(c, F.lit(0.0))
-
-
 def trunc_int(c: ColumnOrName) -> Column:
     """Truncation toward zero (``astype(int)``)."""
     return _c(c).cast("long")

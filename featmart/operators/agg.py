@@ -8,10 +8,10 @@ before the shuffle and never arrives whole in one task:
 * count/size/sum/mean/min/max/var/std/skew/kurt  -> partial buffers of fixed size;
 * nunique                                         -> Spark's two-phase distinct aggregation
                                                      (grouped by (key, value) first);
-* median/percentile exact                         -> partial value->count maps (bounded by the
-                                                     group's distinct values), ``exact=False``
+* median/percentile exact                         -> counted values, ranked by cumulative counts
+                                                     (``quantile.percentiles``); ``exact=False``
                                                      switches to a fixed-size sketch;
-* mode                                            -> partial value->count maps;
+* mode                                            -> (key, value) counts, then ``min_by``;
 * first/last non-null in an order                 -> ``min_by``/``max_by`` over a struct
                                                      (fixed-size buffer).
 """
@@ -28,15 +28,20 @@ from featmart.functions.exprs import sample_kurtosis, sample_skew
 from featmart.functions.nulls import _c
 
 
+def order_key(order: Sequence) -> Column:
+    """Struct that compares like ``order`` with NULL last: an is-null flag goes before each value."""
+    return F.struct(*[x.alias(f"o{i}{j}") for i, o in enumerate(order) for j, x in enumerate((_c(o).isNull(), _c(o)))])
+
+
 def last_nonnull(value, order: Sequence) -> Column:
-    """Value of the last row (in ``order``) whose value is not NULL (pandas ``last``)."""
+    """Value of the last row (in ``order``, NULL last) whose value is not NULL (pandas ``last``)."""
     v = _c(value)
-    return F.max_by(v, F.when(v.isNotNull(), F.struct(*[_c(o) for o in order])))
+    return F.max_by(v, F.when(v.isNotNull(), order_key(order)))
 
 
 def first_nonnull(value, order: Sequence) -> Column:
     v = _c(value)
-    return F.min_by(v, F.when(v.isNotNull(), F.struct(*[_c(o) for o in order])))
+    return F.min_by(v, F.when(v.isNotNull(), order_key(order)))
 
 
 def agg_fn(fn: str, c: Column, exact: bool = True, order: Sequence | None = None) -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featmart.functions.nulls import finite_or_null
+from featmart.functions.nulls import finite_or_null, flag
 
 # Missing-value sentinels used by the source data.
 NUMERIC_SENTINEL = 365243
@@ -120,8 +120,8 @@ def ordinal(c: str, levels: Sequence[str]) -> Column:
 
 
 def within_unit(c: str, unit: float = 360.0, limit: float = 1.0) -> Column:
-    """``abs(c / unit) <= limit`` as 0/1, NULL stays NULL."""
-    return (F.abs(F.col(c) / F.lit(unit)) <= F.lit(limit)).cast("int")
+    """``abs(c / unit) <= limit`` as 0/1; NULL gives 0."""
+    return flag(F.abs(F.col(c) / F.lit(unit)) <= F.lit(limit))
 
 
 def sign_flag(c: str, missing=None) -> Column:
@@ -154,10 +154,14 @@ def fill_statistic(df: DataFrame, cols: Sequence[str], how: str = "mean", exact:
         vals = {c: qs[c][0] if qs[c] else None for c in cols}
     elif how == "mode":
         from featmart.operators.quantile import mode_by
-        vals = {}
-        for c in cols:                      # (value, count) aggregation per column, then one row
-            r = mode_by(df.withColumn("_k", F.lit(0)), ["_k"], c, "m").first()
-            vals[c] = r["m"] if r else None
+        # all columns in one unpivoted (column, value) count; equal counts go to the smallest value
+        # of the column's own type, so each column keeps its typed field
+        arr = F.array(*[F.struct(F.lit(i).alias("i"), *[(F.col(d) if d == c else F.lit(None).cast(dict(df.dtypes)[d])).alias(f"v{j}")
+                                                          for j, d in enumerate(cols)]) for i, c in enumerate(cols)])
+        u = df.select(F.explode(arr).alias("s")).select("s.i", F.struct(*[F.col(f"s.v{j}") for j in range(len(cols))]).alias("v"))
+        u = u.where(" OR ".join(f"v.v{j} IS NOT NULL" for j in range(len(cols))))
+        found = {r["i"]: r["m"] for r in mode_by(u, ["i"], "v", "m").collect()}
+        vals = {c: found[i][f"v{i}"] if i in found else None for i, c in enumerate(cols)}
     else:
         row = df.agg(*[stat(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
         vals = {c: row[f"s{i}"] for i, c in enumerate(cols)}

@@ -1,13 +1,10 @@
-"""Exact percentiles without holding a group in one task.
+"""Exact percentiles without holding a group in one task and without sorting detail rows.
 
-Spark's exact ``percentile`` / ``median`` aggregate keeps every distinct value of a group in
-one buffer, so a hot group (or a whole column, for global quantile edges) ends up in a single
-task.  Here the values are ranked inside their group with the range-partitioned positions of
-``seq.positions`` (a hot group is spread over many range partitions), only the <= 2 rows per
-requested probability are kept, and the interpolation ``lo + (hi - lo) * frac`` (linear, as
-``quantile_cont`` / pandas) is a small group-by.  The largest group is estimated first from a
-1 % sample of the keys; when no group comes near ``chunk_rows`` a plain window ranks them
-instead (bounded per task anyway).
+Spark's exact ``percentile`` / ``median`` aggregate keeps every distinct value of a group in one
+buffer. Here equal values are counted first (map-side), so a hot value is one row; the cumulative
+counts over the distinct values of a group come from ``seq.sequence_features``, which cuts large
+groups into blocks; and only the distinct values that hold a wanted rank are kept. The interpolation
+``lo + (hi - lo) * frac`` (linear, as ``quantile_cont`` / pandas) is a small group-by.
 ``exact=False`` uses the fixed-size ``percentile_approx`` sketch (one pass, no sort).
 """
 
@@ -15,10 +12,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featmart.operators.seq import needs_chunks, positions
+from featmart.operators.seq import sequence_features
 
 APPROX_ACCURACY = 100_000
 RANK_CHUNK_ROWS = 1_000_000
@@ -28,10 +25,8 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[
                 exact: bool = True, names: Sequence[str] | None = None,
                 chunk_rows: int = RANK_CHUNK_ROWS, adaptive: bool = True) -> DataFrame:
     """One row per key with a column per probability (default names ``p0``, ``p1``, ...).
-    NULL values are ignored; a key whose values are all NULL does not appear.  Groups larger
-    than ``chunk_rows`` are ranked with the range-partitioned positions; when every group is
-    smaller, a plain window ranks them (each window partition is bounded by ``chunk_rows``);
-    ``adaptive=False`` always uses the range-partitioned ranking."""
+    NULL values are ignored; a key whose values are all NULL does not appear; a NULL key is a group
+    like any other. ``adaptive=False`` cuts every group into blocks (for tests)."""
     keys = list(keys)
     names = list(names or [f"p{i}" for i in range(len(probs))])
     d = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
@@ -41,26 +36,22 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[
     kk = keys or ["_all"]
     if not keys:
         d = d.withColumn("_all", F.lit(0))
-    big, total = needs_chunks(d, kk, chunk_rows) if adaptive else (True, None)
-    if not big:
-        # every group fits in one task: rank and count with windows sharing one exchange + sort
-        p = d.select(*kk, "_v", F.row_number().over(Window.partitionBy(*kk).orderBy("_v")).alias("_pos"),
-                     F.count(F.lit(1)).over(Window.partitionBy(*kk)).alias("_n"))
-    else:
-        p = positions(d, kk, ["_v"], total_rows=total, key_count="_n")
-    # expressions are written as SQL text: one parse per expression instead of dozens of
-    # py4j round trips for every probability
+    c = d.groupBy(*kk, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    p = sequence_features(c, kk, ["_v"], {"_cum": ("running_sum", "_c"), "_n": ("key_sum", "_c")}, chunk_rows, adaptive,
+                          sizes=d.select(*kk))
+    # written as SQL text: one parse per expression instead of dozens of py4j round trips
     want, cols, outs = [], [], []
     for i, q in enumerate(probs):
         h = f"((_n - 1) * CAST({float(q)!r} AS DOUBLE))"
         lo, hi = f"(floor({h}) + 1)", f"(ceil({h}) + 1)"            # 1-based ranks
-        want.append(f"_pos = {lo} OR _pos = {hi}")
-        cols += [F.expr(f"max(CASE WHEN _pos = {lo} THEN _v END)").alias(f"_a{i}"),
-                 F.expr(f"max(CASE WHEN _pos = {hi} THEN _v END)").alias(f"_b{i}"),
+        has = [f"({r} > _cum - _c AND {r} <= _cum)" for r in (lo, hi)]
+        want += has
+        cols += [F.expr(f"max(CASE WHEN {has[0]} THEN _v END)").alias(f"_a{i}"),
+                 F.expr(f"max(CASE WHEN {has[1]} THEN _v END)").alias(f"_b{i}"),
                  F.expr(f"first({h} - floor({h}))").alias(f"_f{i}")]
         outs.append(F.expr(f"_a{i} + (_b{i} - _a{i}) * _f{i}").alias(names[i]))
-    # only the <= 2 ranked rows per probability survive the filter: the group-by is tiny
-    g = p.filter(F.expr(" OR ".join(f"({w})" for w in want))).groupBy(*kk).agg(*cols)
+    # only the <= 2 distinct values per probability survive the filter: the group-by is tiny
+    g = p.filter(F.expr(" OR ".join(want))).groupBy(*kk).agg(*cols)
     out = g.select(*kk, *outs)
     return out.drop("_all") if not keys else out
 

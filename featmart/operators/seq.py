@@ -1,27 +1,28 @@
 """Order-aware features within an entity.
 
-Two physical paths compute the same values:
-
-* ``chunk_rows=None`` - plain ``Window.partitionBy(key).orderBy(order)``: one shuffle, each
-  entity's rows sorted inside one task.  Right for entities of bounded size.
-* ``chunk_rows=B`` - skew-safe: an entity holding a third of all rows is cut into blocks of B
-  consecutive rows (in order), and each block is a separate window partition.
-
-  1. ``repartitionByRange(key, order)`` + ``sortWithinPartitions`` spreads even a single hot
-     key over many range partitions (the range bounds fall inside the key's order range);
-     ``monotonically_increasing_id`` then numbers rows in global (key, order) order.
-  2. A small chunk table (one row per (key, range partition)) gives, by a cumulative sum, the
-     offset of every chunk inside its key -> exact 1-based position ``_pos`` of every row.
-  3. ``_blk = (_pos - 1) div B``; the H rows before each block are copied into it as read-only
-     *halo* rows, where H is the deepest look-back any requested feature needs (1 for lag/diff,
-     n-1 for rolling n, K for the EWM truncation); H may exceed B (a row then serves several
-     later blocks).
-  4. Windows run over ``partitionBy(key, _blk).orderBy(_pos)``; running sums add a per-block
-     offset from a (key, block) total table.  Halo rows are dropped at the end.
-
-  No task ever holds more than B + H rows of one entity; the order tie-break must be total
-  (unique), which every caller supplies.  The numbered rows are checkpointed once (reliable
-  checkpoint in ``spark.checkpoint.dir``) because they are read by two branches.
+One rule set, two physical forms of it:
+
+* Entities of at most ``chunk_rows`` rows: ``Window.partitionBy(key).orderBy(order)``, one shuffle.
+* Entities above it (found by an exact count of the key columns) are cut into blocks of
+  ``chunk_rows`` consecutive rows, and each block is a window partition of its own:
+
+  1. ``positions`` numbers the rows exactly (range partitions and a chunk table, no window over
+     the entity).
+  2. Every block gets copies of the rows just before it (for lag, rolling, EWM) and just after it
+     (for lead) that its features need; the copies are dropped at the end.
+  3. Running sums, entity totals and the last EWM value come across blocks from a table with one
+     row per (key, block).
+
+Only the large entities take the second form, so one hot key does not send the others through it.
+Both forms give the same rows: a NULL key is an entity like any other, and a NULL order value sorts
+last (SURVEY §1.1) unless the caller passes an explicit sort order. The order must be total (unique)
+within a key.
+
+EWM has no look-back limit. With positions cut into spans of ``L`` rows, the weighted sum at a row is
+the running sum inside its span, weighted from the span's start, plus what earlier spans carry in;
+numerator and denominator share the decay factor, which cancels, so nothing overflows. ``L`` makes a
+span decay to 1e-100, so the four spans before hold every term that a double can represent. A NULL
+row repeats the last value, since both sums decay alike.
 """
 
 from __future__ import annotations
@@ -35,36 +36,60 @@ from pyspark.sql import functions as F
 from featmart.functions.nulls import flag
 from featmart.session import cut_lineage
 
-EWM_EPS = 1e-17
+CHUNK_ROWS = 1_000_000
+ROWS_PER_RANGE_PARTITION = 2_000_000
+EWM_SPANS = 4
 
 
-def ewm_depth(alpha: float, eps: float = EWM_EPS) -> int:
-    """Number of look-back rows after which (1-alpha)^K < eps (K = 33 for alpha = 0.7)."""
+def ewm_span(alpha: float) -> int:
+    """Rows after which (1 - alpha)^L is about 1e-100."""
     beta = 1.0 - alpha
-    if beta <= 0:
-        return 0
-    return int(math.ceil(math.log(eps) / math.log(beta)))
-
-
-def _lookback(spec: tuple) -> int:
-    kind = spec[0]
-    if kind in ("diff", "increase", "prev"):
-        return 1
-    if kind == "lag":
-        return int(spec[2])
-    if kind == "rolling_mean":
-        return int(spec[2]) - 1
-    if kind == "ewm":
-        return ewm_depth(float(spec[2]))
-    return 0
-
-
-def _window_exprs(w: Window, wsql: str, features: Mapping[str, tuple], halo_col: Column | None) -> dict:
-    """Window expressions for every feature over the ordered window ``w`` (rows of one key or
-    block, in order); ``wsql`` is the same window as SQL text."""
-    out = {}
-    mask = (lambda x: x) if halo_col is None else (lambda x: F.when(~halo_col, x))
+    return 1 if beta <= 0 else max(1, int(100 * math.log(10) / -math.log(beta)))
+
+
+def _ord(o) -> Column:
+    return F.col(o).asc_nulls_last() if isinstance(o, str) else o
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys match each other; the key columns of ``left`` are kept."""
+    names = {k: f"_r_{i}" for i, k in enumerate(keys)}
+    r = right.withColumnsRenamed(names)
+    cond = F.lit(True)
+    for k, n in names.items():
+        cond = cond & left[k].eqNullSafe(r[n])
+    out = left.join(r, cond, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*names.values())
+
+
+def _reach(features: Mapping[str, tuple]) -> tuple[int, int]:
+    """Rows before and after a block that its features read."""
+    before, after = 0, 0
+    for spec in features.values():
+        kind = spec[0]
+        if kind in ("diff", "increase", "prev"):
+            before = max(before, 1)
+        elif kind == "lag":
+            before = max(before, int(spec[2]))
+        elif kind == "lead":
+            after = max(after, int(spec[2]))
+        elif kind == "rolling_mean":
+            before = max(before, int(spec[2]) - 1)
+        elif kind == "ewm":
+            before = max(before, EWM_SPANS * ewm_span(float(spec[2])))
+    return before, after
+
+
+def _window_exprs(part: Sequence[str], order: Sequence, features: Mapping[str, tuple], halo: Column | None) -> dict:
+    """Window expressions for every feature but EWM; ``halo`` marks copied rows, which sums skip."""
+    w = Window.partitionBy(*part).orderBy(*order)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*part)
+
+    def own(x: Column) -> Column:
+        return x if halo is None else F.when(~halo, x)
+
+    out = {}
     for name, spec in features.items():
         kind, col = spec[0], (F.col(spec[1]) if len(spec) > 1 and isinstance(spec[1], str) else None)
         if kind == "diff":
@@ -73,194 +98,183 @@ def _window_exprs(w: Window, wsql: str, features: Mapping[str, tuple], halo_col:
         elif kind == "lag":
             out[name] = F.lag(col, int(spec[2])).over(w)
         elif kind == "lead":
-            raise ValueError("lead is not supported on the chunked path; use lag on a reversed order")
+            out[name] = F.lead(col, int(spec[2])).over(w)
         elif kind == "prev":
             out[name] = F.lag(col, 1).over(w)
         elif kind == "increase":
             out[name] = flag(col > F.lag(col, 1).over(w))
         elif kind == "running_sum":
-            out[name] = F.when(col.isNull(), F.lit(0.0)).otherwise(
-                F.coalesce(F.sum(mask(col)).over(run), F.lit(0.0)))
+            out[name] = F.when(col.isNull(), F.lit(0.0)).otherwise(F.coalesce(F.sum(own(col)).over(run), F.lit(0.0)))
         elif kind == "running_count":
-            out[name] = F.count(mask(col)).over(run)
+            out[name] = F.count(own(col)).over(run)
+        elif kind == "key_sum":
+            out[name] = F.coalesce(F.sum(own(col)).over(whole), F.lit(0.0))
+        elif kind == "key_count":
+            out[name] = F.count(own(F.lit(1))).over(whole)
         elif kind == "rolling_mean":
             n = int(spec[2])
             fr = w.rowsBetween(-(n - 1), Window.currentRow)
             v = F.when(F.count(col).over(fr) == n, F.avg(col).over(fr))
             out[name] = F.coalesce(v, F.lit(spec[3])) if len(spec) > 3 else v
-        elif kind == "ewm":
-            # K lags of one window, written as SQL text (one parse instead of hundreds of
-            # py4j calls); weights (1 - alpha)^i, NULLs keep their positional weight
-            beta = 1.0 - float(spec[2])
-            k = ewm_depth(float(spec[2]))
-            x = f"`{spec[1]}`"
-            num = " + ".join([f"coalesce({x}, 0D)"] + [f"coalesce(lag({x}, {i}) OVER ({wsql}), 0D) * {beta ** i!r}D"
-                                                         for i in range(1, k + 1)])
-            den = " + ".join([f"CAST({x} IS NOT NULL AS DOUBLE)"] +
-                             [f"CAST(lag({x}, {i}) OVER ({wsql}) IS NOT NULL AS DOUBLE) * {beta ** i!r}D"
-                              for i in range(1, k + 1)])
-            out[name] = F.expr(f"CASE WHEN ({den}) > 0 THEN ({num}) / ({den}) END")
         elif kind == "row_number":
-            out[name] = F.row_number().over(w)
-        else:
+            out[name] = F.row_number().over(w).cast("bigint")
+        elif kind != "ewm":
             raise ValueError(f"unknown sequence feature {kind!r}")
     return out
 
 
-def _ord(o) -> Column:
-    return F.col(o) if isinstance(o, str) else o
-
-
-def _wsql(keys: Sequence[str], order: Sequence) -> str:
-    """The window (PARTITION BY keys ORDER BY order) as SQL text; Column order entries (e.g.
-    ``col.desc()``) are rendered from their sort-order expression."""
-    def one(o):
-        return f"`{o}`" if isinstance(o, str) else o._jc.toString()
-    return f"PARTITION BY {', '.join(f'`{k}`' for k in keys)} ORDER BY {', '.join(one(o) for o in order)}"
-
-
-ROWS_PER_RANGE_PARTITION = 2_000_000
-
-
-def positions(df: DataFrame, key: Sequence[str], order: Sequence, n_parts: int | None = None,
-              total_rows: int | None = None, key_count: str | None = None) -> DataFrame:
+def _add_ewm(df: DataFrame, part: Sequence[str], name: str, col: str, alpha: float, halo: Column | None) -> DataFrame:
+    """Add the EWM column (pandas ``adjust=True, ignore_na=False``); needs ``_pos``."""
+    beta, span, x = 1.0 - alpha, ewm_span(alpha), F.col(col).cast("double")
+    real = x.isNotNull() if halo is None else x.isNotNull() & ~halo
+    by_pos = Window.partitionBy(*part).orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if beta <= 0:
+        return df.withColumn(name, F.last(F.when(real, x), ignorenulls=True).over(by_pos))
+    d = df.withColumn("_span", F.floor((F.col("_pos") - 1) / span)).withColumn("_in", F.col("_pos") - 1 - F.col("_span") * span)
+    grow, fade = F.pow(F.lit(1.0 / beta), F.col("_in")), F.pow(F.lit(beta), F.lit(span) - F.col("_in"))
+    d = d.withColumns({"_xg": x * grow, "_wg": F.when(x.isNotNull(), grow), "_xf": x * fade, "_wf": F.when(x.isNotNull(), fade)})
+    run = Window.partitionBy(*part, "_span").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    num, den = F.coalesce(F.sum("_xg").over(run), F.lit(0.0)), F.coalesce(F.sum("_wg").over(run), F.lit(0.0))
+    for back in range(1, EWM_SPANS + 1):
+        earlier = Window.partitionBy(*part).orderBy("_span").rangeBetween(-back, -back)
+        decay = F.lit(beta ** (span * (back - 1)))
+        num = num + F.coalesce(F.sum("_xf").over(earlier), F.lit(0.0)) * decay
+        den = den + F.coalesce(F.sum("_wf").over(earlier), F.lit(0.0)) * decay
+    d = d.withColumns({"_num": num, "_den": den}).withColumn("_y", F.when(real, F.col("_num") / F.col("_den")))
+    return d.withColumn(name, F.last("_y", ignorenulls=True).over(by_pos)).drop(
+        "_span", "_in", "_xg", "_wg", "_xf", "_wf", "_num", "_den", "_y")
+
+
+def positions(df: DataFrame, key: Sequence[str], order: Sequence, n_parts: int | None = None) -> DataFrame:
     """Add ``_pos``: exact 1-based row number of every row inside its key, in ``order``, without a
-    window over the key (steps 1-2 of the module docstring).  The number of range partitions
-    grows with the data (about ``ROWS_PER_RANGE_PARTITION`` rows each, at least the session's
-    shuffle partitions)."""
-    spark = df.sparkSession
+    window over the key. The rows are range-partitioned by (key, order) into about
+    ``ROWS_PER_RANGE_PARTITION`` rows each, numbered inside their partition, and a table with a row
+    per (key, partition) gives the offset of each partition."""
+    key = list(key)
     if n_parts is None:
-        base = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        total = total_rows if total_rows is not None else df.count()
-        n_parts = max(base, -(-total // ROWS_PER_RANGE_PARTITION))
-    n = n_parts
-    s = (df.repartitionByRange(n, *[F.col(k) for k in key], *[_ord(o) for o in order])
-         .sortWithinPartitions(*[F.col(k) for k in key], *[_ord(o) for o in order])
-         .withColumn("_mid", F.monotonically_increasing_id()))
+        base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        n_parts = max(base, -(-df.count() // ROWS_PER_RANGE_PARTITION))
+    by = [F.col(k) for k in key] + [_ord(o) for o in order]
+    s = df.repartitionByRange(n_parts, *by).sortWithinPartitions(*by).withColumn("_mid", F.monotonically_increasing_id())
     s = s.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_idx", F.col("_mid").bitwiseAND((1 << 33) - 1))
-    # The row numbering is read twice below (chunk table and join).  Two evaluations of a range
-    # exchange would sample different bounds, so the numbered rows are written once to the
-    # shared checkpoint directory; this also cuts the lineage for executor loss.
+    # read by two branches: two evaluations of a range exchange would sample different bounds
     s = cut_lineage(s)
     chunks = s.groupBy(*key, "_pid").agg(F.min("_idx").alias("_i0"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    extra = []
-    if key_count:      # rows of the whole key, from the same small chunk table
-        chunks = chunks.withColumn(key_count, F.sum("_n").over(Window.partitionBy(*key)))
-        extra = [key_count]
-    s = s.join(chunks.select(*key, "_pid", "_i0", "_off", *extra), [*key, "_pid"])
-    return s.withColumn("_pos", F.col("_off") + F.col("_idx") - F.col("_i0") + 1).drop(
-        "_mid", "_pid", "_idx", "_i0", "_off")
-
-
-# Planning-only sample: the plain/chunked decision is made from the key counts of a 1 % sample
-# (the results never come from a sample - both plans are exact).  A group holding B rows shows
-# about B / 100 sampled rows, so a hot group is seen with certainty while only 1 % of the key
-# column is shuffled for the check.
-SKEW_SAMPLE_FRACTION = 0.01
-SKEW_SAMPLE_SEED = 17
-
-
-def group_sizes(df: DataFrame, keys: Sequence[str], fraction: float | None = None) -> tuple[int, int]:
-    """(rows in the largest group, total rows) over the key columns: exact counts when
-    ``fraction`` is None, otherwise estimates scaled up from a ``fraction`` sample."""
-    d = df.select(*keys)
-    if fraction is not None:
-        d = d.sample(fraction=fraction, seed=SKEW_SAMPLE_SEED)
-    r = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n"), F.sum("_n")).first()
-    scale = 1.0 if fraction is None else 1.0 / fraction
-    return int((r[0] or 0) * scale), int((r[1] or 0) * scale)
-
-
-def needs_chunks(df: DataFrame, keys: Sequence[str], chunk_rows: int) -> tuple[bool, int]:
-    """Decide from the sampled key counts whether any group may exceed 90 % of a block; returns
-    (decision, estimated total rows).  A group near B rows has about B / 100 sampled rows, so
-    the estimate's relative error is ~1 / sqrt(B / 100) (1 % for B = 1,000,000): the 10 % margin
-    keeps every plain-window partition within about one block."""
-    biggest, total = group_sizes(df, keys, SKEW_SAMPLE_FRACTION)
-    return biggest > int(chunk_rows * 0.9), total
-
-
-def max_group_rows(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows in the largest group (exact)."""
-    return group_sizes(df, keys)[0]
-
-
-def sequence_features(df: DataFrame, key: str | Sequence[str], order: Sequence[str],
-                      features: Mapping[str, tuple], chunk_rows: int | None = None,
-                      adaptive: bool = True) -> DataFrame:
-    """Add order-aware features per key.
-
-    With ``chunk_rows`` set and ``adaptive`` on, the size of the largest entity is estimated
-    first from a 1 % sample of the key column: if no entity comes near one block the plain
-    window plan is used (each window partition is then bounded by ``chunk_rows``); otherwise
-    the chunked plan.  ``adaptive=False`` forces the chunked plan.
+    chunks = chunks.select(*key, "_pid", "_i0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    out = null_safe_join(s, chunks, [*key, "_pid"])
+    return out.withColumn("_pos", F.col("_off") + F.col("_idx") - F.col("_i0") + 1).drop("_mid", "_pid", "_idx", "_i0", "_off")
+
+
+def large_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """Keys with more than ``limit`` rows, by an exact count of the key columns (counted map-side)."""
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    return cut_lineage(n.select(*keys))
+
+
+def _plain(df: DataFrame, keys: list[str], order: Sequence, features: Mapping[str, tuple]) -> DataFrame:
+    by = [_ord(o) for o in order]
+    exprs = _window_exprs(keys, by, features, None)
+    ewm = [n for n, s in features.items() if s[0] == "ewm"]
+    if not ewm:
+        return df.select("*", *[e.alias(n) for n, e in exprs.items()])
+    out = df.select("*", *[e.alias(n) for n, e in exprs.items()],
+                    F.row_number().over(Window.partitionBy(*keys).orderBy(*by)).cast("bigint").alias("_pos"))
+    for n in ewm:
+        out = _add_ewm(out, keys, n, features[n][1], float(features[n][2]), None)
+    return out.select(*df.columns, *features)
+
+
+def _chunked(df: DataFrame, keys: list[str], order: Sequence, features: Mapping[str, tuple], chunk_rows: int) -> DataFrame:
+    before, after = _reach(features)
+    spans = {ewm_span(float(s[2])) for s in features.values() if s[0] == "ewm"}
+    if len(spans) > 1:
+        raise ValueError("one call computes EWMs of one alpha")
+    for span in spans:                   # a block holds whole spans
+        chunk_rows = -(-chunk_rows // span) * span
+    pos = positions(df, keys, order)
+    at = F.col("_pos") - 1
+    pos = pos.withColumn("_blk", F.floor(at / F.lit(chunk_rows)))
+    none = F.array().cast("array<bigint>")
+    later = F.floor((at + before) / chunk_rows)
+    earlier = F.greatest(F.lit(0).cast("bigint"), F.floor((at - after) / chunk_rows))
+    copies = F.concat(F.when(later > F.col("_blk"), F.sequence(F.col("_blk") + 1, later)).otherwise(none),
+                      F.when(earlier < F.col("_blk"), F.sequence(earlier, F.col("_blk") - 1)).otherwise(none))
+    dealt = F.concat(F.array(F.struct(F.col("_blk").alias("b"), F.lit(False).alias("h"))),
+                     F.transform(copies, lambda b: F.struct(b.alias("b"), F.lit(True).alias("h"))))
+    rows = pos.withColumn("_copy", F.explode(dealt)).withColumn("_blk", F.col("_copy.b")).withColumn("_halo", F.col("_copy.h")).drop("_copy")
+    part, halo = [*keys, "_blk"], F.col("_halo")
+    exprs = _window_exprs(part, [F.col("_pos")], features, halo)
+    for n, s in features.items():
+        if s[0] == "row_number":
+            exprs[n] = F.col("_pos")
+    out = rows.select("*", *[e.alias(n) for n, e in exprs.items()])
+    ewm = [n for n, s in features.items() if s[0] == "ewm"]
+    for n in ewm:
+        out = _add_ewm(out, part, n, features[n][1], float(features[n][2]), halo)
+    out = out.where(~halo)
+    sums = {n: s for n, s in features.items() if s[0] in ("running_sum", "running_count", "key_sum", "key_count")}
+    if sums:
+        def total(s):
+            return {"running_sum": lambda: F.sum(s[1]), "key_sum": lambda: F.sum(s[1]), "running_count": lambda: F.count(s[1]),
+                    "key_count": lambda: F.count(F.lit(1))}[s[0]]()
+        tot = pos.groupBy(*part).agg(*[total(s).alias(f"_t_{n}") for n, s in sums.items()])
+        prior = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+        whole = Window.partitionBy(*keys)
+        tot = tot.select(*part, *[F.coalesce(F.sum(f"_t_{n}").over(whole if s[0].startswith("key") else prior), F.lit(0)).alias(f"_o_{n}")
+                                  for n, s in sums.items()])
+        out = null_safe_join(out, tot, part, "left")
+        for n, s in sums.items():
+            if s[0].startswith("key"):
+                out = out.withColumn(n, F.col(f"_o_{n}"))
+            else:
+                moved = F.col(n) + F.col(f"_o_{n}")
+                out = out.withColumn(n, F.when(F.col(s[1]).isNull(), F.col(n)).otherwise(moved) if s[0] == "running_sum" else moved)
+    if ewm:
+        out = cut_lineage(out)       # read by the table of last values and by the result
+        lasts = out.groupBy(*part).agg(*[F.max_by(n, "_pos").alias(f"_l_{n}") for n in ewm])
+        prior = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+        lasts = lasts.select(*part, *[F.last(f"_l_{n}", ignorenulls=True).over(prior).alias(f"_p_{n}") for n in ewm])
+        out = null_safe_join(out, lasts, part, "left")
+        for n in ewm:
+            out = out.withColumn(n, F.coalesce(n, f"_p_{n}"))
+    return out.select(*df.columns, *features)
+
+
+def sequence_features(df: DataFrame, key: str | Sequence[str], order: Sequence, features: Mapping[str, tuple],
+                      chunk_rows: int | None = None, adaptive: bool = True, sizes: DataFrame | None = None) -> DataFrame:
+    """Add order-aware features per key. Keys with more than ``chunk_rows`` rows (default
+    ``CHUNK_ROWS``) are cut into blocks; ``adaptive=False`` cuts every key (for tests). ``sizes``: a
+    frame with the key columns and at least as many rows per key, if counting it is cheaper.
 
     features: name -> spec, where spec is one of
       ("diff", col[, fill])          x - previous x; first row of the key gets ``fill`` (W2)
-      ("lag", col, k)                value k rows back
+      ("lag", col, k), ("lead", col, k)   value k rows back / ahead (W9)
       ("prev", col)                  previous value
       ("increase", col)              1 if x > previous x else 0 (W5)
       ("running_sum", col)           cumulative sum skipping NULL; NULL rows give 0 (W4)
       ("running_count", col)         cumulative non-NULL count
+      ("key_sum", col), ("key_count",)    sum / rows of the whole key
       ("rolling_mean", col, n[, fill]) mean of the last n rows, only when all n are non-NULL (W3)
       ("ewm", col, alpha)            exponentially weighted mean, adjust=True (W7)
       ("row_number",)                1-based position within the key
     """
     keys = [key] if isinstance(key, str) else list(key)
-    total = None
-    if chunk_rows is not None and adaptive:
-        big, total = needs_chunks(df, keys, chunk_rows)
-        if not big:
-            chunk_rows = None      # no entity near one block: the plain plan is bounded
-    if chunk_rows is None:
-        w = Window.partitionBy(*keys).orderBy(*[_ord(o) for o in order])
-        exprs = _window_exprs(w, _wsql(keys, order), features, None)
-        return df.select("*", *[e.alias(n) for n, e in exprs.items()])
-
-    halo = max([_lookback(s) for s in features.values()] + [0])
-    pos = positions(df, keys, order, total_rows=total).withColumn(
-        "_blk", F.floor((F.col("_pos") - 1) / F.lit(chunk_rows)))
-    # a row is a read-only halo row of every later block whose first row lies within ``halo``
-    # positions after it: blocks _blk + 1 .. (pos - 1 + halo) div B (usually none or one)
-    last = F.floor((F.col("_pos") - 1 + F.lit(halo)) / F.lit(chunk_rows))
-    targets = F.when(last > F.col("_blk"), F.sequence(F.col("_blk") + 1, last)).otherwise(
-        F.array().cast("array<bigint>"))
-    copies = F.concat(F.array(F.struct(F.col("_blk").alias("b"), F.lit(False).alias("h"))),
-                      F.transform(targets, lambda b: F.struct(b.alias("b"), F.lit(True).alias("h"))))
-    expanded = (pos.withColumn("_copy", F.explode(copies))
-                .withColumn("_blk", F.col("_copy.b")).withColumn("_halo", F.col("_copy.h")).drop("_copy"))
-    w = Window.partitionBy(*keys, "_blk").orderBy("_pos")
-    exprs = _window_exprs(w, _wsql([*keys, "_blk"], ["_pos"]), features, F.col("_halo"))
-    for n, spec in features.items():
-        if spec[0] == "row_number":
-            exprs[n] = F.col("_pos")
-    out = expanded.select("*", *[e.alias(n) for n, e in exprs.items()]).filter(~F.col("_halo"))
-    run_feats = {n: s for n, s in features.items() if s[0] in ("running_sum", "running_count")}
-    if run_feats:
-        tot = pos.groupBy(*keys, "_blk").agg(
-            *[(F.sum(s[1]) if s[0] == "running_sum" else F.count(s[1])).alias(f"_t_{n}") for n, s in run_feats.items()])
-        prior = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-        tot = tot.select(*keys, "_blk", *[F.coalesce(F.sum(f"_t_{n}").over(prior), F.lit(0)).alias(f"_o_{n}")
-                                          for n in run_feats])
-        out = out.join(tot, [*keys, "_blk"], "left")
-        for n, s in run_feats.items():
-            base = F.col(n) + F.col(f"_o_{n}")
-            out = out.withColumn(n, F.when(F.col(s[1]).isNull(), F.col(n)).otherwise(base) if s[0] == "running_sum"
-                                 else base)
-        out = out.drop(*[f"_o_{n}" for n in run_feats])
-    return out.drop("_halo", "_blk", "_pos")
+    chunk_rows = chunk_rows or CHUNK_ROWS
+    if not adaptive:
+        return _chunked(df, keys, order, features, chunk_rows)
+    hot = large_keys(df if sizes is None else sizes, keys, chunk_rows)
+    if hot.isEmpty():
+        return _plain(df, keys, order, features)
+    cold = _plain(null_safe_join(df, hot, keys, "left_anti"), keys, order, features)
+    return cold.unionByName(_chunked(null_safe_join(df, hot, keys, "left_semi"), keys, order, features, chunk_rows))
 
 
 def first_last_k(df: DataFrame, key: str, order: Sequence[str], first_k: int | None = None,
-                 last_k: int | None = None, chunk_rows: int | None = None) -> DataFrame:
+                 last_k: int | None = None, chunk_rows: int | None = None, adaptive: bool = True) -> DataFrame:
     """Flags ``_first`` (row among the first k of its key) and ``_last`` (among the last k) for a
     single conditional aggregation pass afterwards (W6, O5)."""
-    s = sequence_features(df, key, order, {"_rn": ("row_number",)}, chunk_rows) if chunk_rows is None else \
-        positions(df, [key], order).withColumnRenamed("_pos", "_rn")
-    n = s.groupBy(key).agg(F.count(F.lit(1)).alias("_cnt"))
-    s = s.join(n, key)
+    s = sequence_features(df, key, order, {"_rn": ("row_number",), "_cnt": ("key_count",)}, chunk_rows, adaptive)
     if first_k is not None:
         s = s.withColumn("_first", F.col("_rn") <= first_k)
     if last_k is not None:
@@ -272,24 +286,20 @@ def lookalike_clusters(df: DataFrame, attrs: Sequence[str], id_col: str) -> Data
     """Rows equal on ``attrs`` form a cluster when there are at least two of them.
 
     Cluster size comes from an aggregate + join (no window over a possibly hot attribute
-    combination); the cluster id is the rank of the group by size desc, then attributes, taken
-    over the *group table* (one row per attribute combination, not detail rows)."""
-    sizes = df.groupBy(*attrs).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
-    ranked = sizes.withColumn("cluster", F.xxhash64(*attrs))
-    return df.join(ranked.select(*attrs, "cluster", F.col("_n").alias("cluster_size")), list(attrs), "left")
+    combination). The cluster number is the group's rank by size (largest first), then attributes; the
+    group table is numbered by ``positions``, so it may be of any length."""
+    attrs = list(attrs)
+    sizes = df.groupBy(*attrs).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).withColumn("_one", F.lit(0))
+    ranked = positions(sizes, ["_one"], [F.desc("_n"), *[F.col(a).asc_nulls_last() for a in attrs]])
+    return null_safe_join(df, ranked.select(*attrs, F.col("_pos").alias("cluster"), F.col("_n").alias("cluster_size")), attrs, "left")
 
 
 def neighbour_labels(df: DataFrame, cluster: str, order: Sequence[str], label: str,
                      chunk_rows: int | None = None, adaptive: bool = True) -> DataFrame:
-    """Next / previous label inside a cluster ordered by ``order``; NULL outside clusters.
-    The neighbour's label is a leak-prone feature: it reads another entity's target."""
+    """Next / previous label inside a cluster ordered by ``order``, in one pass; NULL outside clusters
+    (W9). The neighbour's label is a leak-prone feature: it reads another entity's target."""
     inside = df.filter(F.col(cluster).isNotNull())
-    outside = df.filter(F.col(cluster).isNull())
-    rev = [_ord(o).desc() for o in order]
-    if chunk_rows is not None and adaptive and not needs_chunks(inside, [cluster], chunk_rows)[0]:
-        chunk_rows = None          # decided once for both directions
-    w_prev = sequence_features(inside, cluster, order, {"prev_label": ("lag", label, 1)}, chunk_rows, adaptive=False)
-    both = sequence_features(w_prev, cluster, rev, {"next_label": ("lag", label, 1)}, chunk_rows, adaptive=False)
-    outside = outside.withColumn("prev_label", F.lit(None).cast(dict(df.dtypes)[label])).withColumn(
-        "next_label", F.lit(None).cast(dict(df.dtypes)[label]))
+    none = F.lit(None).cast(df.schema[label].dataType)
+    outside = df.filter(F.col(cluster).isNull()).withColumns({"prev_label": none, "next_label": none})
+    both = sequence_features(inside, cluster, order, {"prev_label": ("lag", label, 1), "next_label": ("lead", label, 1)}, chunk_rows, adaptive)
     return both.unionByName(outside)

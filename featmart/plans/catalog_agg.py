@@ -278,19 +278,20 @@ def q_cond_agg_time(spark, sf):
 # ------------------------------------------------------------------ A12 A13 A24
 @query("pct_condition", f"""
 SELECT l_orderkey,
-  {rs('100.0 * avg(CAST(l_discount < 0.02 AS INTEGER))')} AS pct_low_discount,
+  {rs('100.0 * count(CASE WHEN l_linenumber % 3 > 0 AND l_discount < 0.02 THEN 1 END) / count(*)')} AS pct_low_discount,
   {rs('100.0 * sum(l_extendedprice * l_discount) / nullif(sum(l_extendedprice), 0)')} AS discount_share_pct,
   count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS n_returned,
   {rs("sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice END) / nullif(count(CASE WHEN l_returnflag = 'R' THEN 1 END), 0)")} AS avg_returned_price
 FROM lineitem GROUP BY 1
 """)
 def q_pct_condition(spark, sf):
-    """Percent of rows meeting a condition, ratio of group sums x100, conditional count (A12, A13,
-    A24)."""
-    li = load(spark, sf, "lineitem", ["l_orderkey", "l_discount", "l_extendedprice", "l_returnflag"])
+    """Percent of all rows meeting a condition (a NULL does not meet it; every third line's discount
+    is made NULL), ratio of group sums x100, conditional count (A12, A13, A24)."""
+    li = load(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_discount", "l_extendedprice", "l_returnflag"])
+    low = F.when(F.col("l_linenumber") % 3 > 0, F.col("l_discount")) < 0.02
     ret = F.col("l_returnflag") == "R"
     return li.groupBy("l_orderkey").agg(
-        (F.lit(100.0) * F.avg((F.col("l_discount") < 0.02).cast("int"))).alias("pct_low_discount"),
+        (F.lit(100.0) * F.avg(N.flag(low))).alias("pct_low_discount"),
         (F.lit(100.0) * N.safe_div(F.sum(F.col("l_extendedprice") * F.col("l_discount")), F.sum("l_extendedprice")))
         .alias("discount_share_pct"),
         F.count_if(ret).alias("n_returned"),
@@ -344,23 +345,23 @@ def q_agg_derived(spark, sf):
 
 # ------------------------------------------------------------------ A16 A17
 @query("latest_row", f"""
-WITH e AS (SELECT user_id, ts, event_id, event_type, value,
-                  CASE WHEN event_type <> 'error' THEN value END AS ok_value FROM events)
-SELECT user_id,
-  {rs('arg_max(ok_value, (ts, event_id)) FILTER (WHERE ok_value IS NOT NULL)')} AS last_ok_value,
-  {rs('arg_min(ok_value, (ts, event_id)) FILTER (WHERE ok_value IS NOT NULL)')} AS first_ok_value,
-  arg_max(event_type, (ts, event_id)) AS last_type,
-  {rs('arg_max(value, (ts, event_id))')} AS last_value,
-  max(ts) AS last_ts
-FROM e GROUP BY 1
+WITH e AS (SELECT user_id, CASE WHEN event_id % 4 <> 1 THEN ts END AS ts, event_id, event_type, value,
+                  CASE WHEN event_type <> 'error' THEN value END AS ok_value FROM events),
+a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS FIRST, event_id DESC) AS r FROM e),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts NULLS LAST, event_id) AS f,
+             row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS FIRST, event_id DESC) AS l FROM e WHERE ok_value IS NOT NULL)
+SELECT a.user_id, {rs('l.ok_value')} AS last_ok_value, {rs('f.ok_value')} AS first_ok_value, a.event_type AS last_type,
+  {rs('a.value')} AS last_value, a.ts AS last_ts
+FROM a LEFT JOIN o f ON f.user_id = a.user_id AND f.f = 1 LEFT JOIN o l ON l.user_id = a.user_id AND l.l = 1 WHERE a.r = 1
 """)
 def q_latest_row(spark, sf):
     """Last / first non-NULL value per key in time order and the latest whole row per key
-    (A16, A17) - fixed-size max_by buffers, no window over the group."""
-    e = load(spark, sf, "events", ["user_id", "ts", "event_id", "event_type", "value"]).withColumn(
-        "ok_value", F.when(F.col("event_type") != "error", F.col("value")))
+    (A16, A17) - fixed-size max_by buffers, no window over the group. A quarter of the times are NULL
+    and sort last."""
+    e = load(spark, sf, "events", ["user_id", "ts", "event_id", "event_type", "value"]).withColumns(
+        {"ts": F.when(F.col("event_id") % 4 != 1, F.col("ts")), "ok_value": F.when(F.col("event_type") != "error", F.col("value"))})
     order = ["ts", "event_id"]
-    latest = F.max_by(F.struct("event_type", "value", "ts"), F.struct(*order))
+    latest = F.max_by(F.struct("event_type", "value", "ts"), A.order_key(order))
     return e.groupBy("user_id").agg(
         A.last_nonnull("ok_value", order).alias("last_ok_value"),
         A.first_nonnull("ok_value", order).alias("first_ok_value"),
@@ -404,16 +405,21 @@ def q_median_ratio(spark, sf):
 
 # ------------------------------------------------------------------ A21
 @query("dist_pack", f"""
+WITH e AS (SELECT user_id % 50 AS user_id, CASE WHEN user_id % 50 = 7 THEN 3.3 WHEN user_id % 50 = 8 THEN value * 1e-9 ELSE value END AS value FROM events)
 SELECT user_id, count(*) AS size, {rs('coalesce(sum(value), 0)')} AS sum, {rs('min(value)')} AS min,
   {rs('median(value)')} AS median, {rs('max(value)')} AS max, {rs('avg(value)')} AS mean,
   {rs('stddev_pop(value)')} AS std,
-  {rs('CASE WHEN count(value) >= 3 AND var_pop(value) > 1e-14 THEN skewness(value) END')} AS skew,
-  {rs('CASE WHEN count(value) >= 4 AND var_pop(value) > 1e-14 THEN kurtosis(value) END')} AS kurt
-FROM events GROUP BY 1
+  {rs('CASE WHEN count(value) < 3 THEN NULL WHEN min(value) = max(value) THEN 0.0 ELSE skewness(value) END')} AS skew,
+  {rs('CASE WHEN count(value) < 4 THEN NULL WHEN min(value) = max(value) THEN 0.0 ELSE kurtosis(value) END')} AS kurt
+FROM e GROUP BY 1
 """)
 def q_dist_pack(spark, sf):
-    """Nine statistics per key with bias-corrected skew / kurtosis."""
-    return A.dist_pack(load(spark, sf, "events", ["user_id", "value"]), "user_id", "value")
+    """Nine statistics per key with bias-corrected skew / kurtosis; one key is constant and one has
+    values of the order of 1e-7 (A21)."""
+    k = F.col("user_id") % 50
+    e = load(spark, sf, "events", ["user_id", "value"]).select(
+        k.alias("user_id"), F.when(k == 7, F.lit(3.3)).when(k == 8, F.col("value") * 1e-9).otherwise(F.col("value")).alias("value"))
+    return A.dist_pack(e, "user_id", "value")
 
 
 # ------------------------------------------------------------------ A23 W10 X5

@@ -282,7 +282,7 @@ WITH o AS (SELECT o_custkey AS c_custkey, o_totalprice, o_orderstatus, o_orderda
                   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rd,
                   count(*) OVER (PARTITION BY o_custkey) AS cnt FROM orders),
 e AS (SELECT c_custkey, sum(pow({_BETA}, rd - 1) * o_totalprice) / sum(pow({_BETA}, rd - 1)) AS ewm
-      FROM o WHERE rd <= {M.S.ewm_depth(0.7) + 1} GROUP BY 1),
+      FROM o GROUP BY 1),
 g AS (SELECT c_custkey, {", ".join(cols)} FROM o GROUP BY 1)
 SELECT g.*, {rs('e.ewm')} AS sl_ewm_last FROM g JOIN e USING (c_custkey)
 """

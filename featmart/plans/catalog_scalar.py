@@ -42,7 +42,7 @@ def q_ratio_pack(spark, sf):
 @query("transform_pack", f"""
 SELECT event_id,
   {rs('CASE WHEN value >= 0 THEN sqrt(value) END')} AS value_sqrt,
-  {rs('CASE WHEN value > 0 THEN pow(value, 0.25) END')} AS value_root4,
+  {rs('pow(greatest(value - 50, 0), 0.25)')} AS value_root4,
   {rs('pow(value, 2)')} AS value_sq,
   {rs('CASE WHEN value > -1 THEN ln(1 + value) END')} AS value_log1p,
   {rs('sin(hour(ts) * (2 * pi() / 24))')} AS hour_sin,
@@ -61,7 +61,7 @@ def q_transform_pack(spark, sf):
     days = F.datediff(F.col("ts"), F.lit("2024-01-15").cast("date"))
     return e.select("event_id",
                     N.sqrt_guarded("value").alias("value_sqrt"),
-                    N.pow_guarded("value", 0.25).alias("value_root4"),
+                    N.pow_guarded(F.greatest(F.col("value") - 50, F.lit(0.0)), 0.25).alias("value_root4"),
                     N.pow_guarded("value", 2).alias("value_sq"),
                     N.log1p_guarded("value").alias("value_log1p"),
                     s.alias("hour_sin"), c.alias("hour_cos"),
@@ -72,27 +72,16 @@ def q_transform_pack(spark, sf):
 
 
 _RC = ["q", "d", "t"]
-_RS_SQL = "l_quantity AS q, nullif(l_discount, 0) AS d, nullif(l_tax, 0) AS t, l_linenumber AS ln"
+_RS_SQL = "CAST(l_quantity AS DOUBLE) AS q, nullif(l_discount, 0) AS d, nullif(l_tax, 0) AS t, CAST(l_linenumber AS DOUBLE) AS ln, CAST(l_partkey % 5 AS DOUBLE) AS pk"
 
 
 def _cnt(cols):
     return " + ".join(f"CAST({c} IS NOT NULL AS INTEGER)" for c in cols)
 
 
-def _psum(cols, k):
-    return " + ".join(f"coalesce(pow({c}, {k}), 0.0)" for c in cols)
-
-
-_N = f"CAST(({_cnt(_RC)}) AS DOUBLE)"
-_KC = ["q", "d * 100", "t * 100", "ln"]
-_KN = f"CAST(({_cnt(_KC)}) AS DOUBLE)"
-_M = f"(({_psum(_KC, 1)}) / {_KN})"
-_M2 = f"(({_psum(_KC, 2)}) / {_KN} - {_M} * {_M})"
-_M4 = (f"(({_psum(_KC, 4)}) / {_KN} - 4.0 * {_M} * ({_psum(_KC, 3)}) / {_KN} "
-       f"+ 6.0 * {_M} * {_M} * ({_psum(_KC, 2)}) / {_KN} - 3.0 * pow({_M}, 4))")
-_G2 = f"({_M4} / ({_M2} * {_M2}) - 3.0)"
-_KURT = (f"CASE WHEN {_KN} >= 4 AND {_M2} > 1e-14 THEN "
-         f"(({_KN} + 1) * {_G2} + 6) * ({_KN} - 1) / (({_KN} - 2) * ({_KN} - 3)) END")
+_RL = "list_filter([q, d, t], lambda x: x IS NOT NULL)"
+_KL = "list_filter([q, d * 100, t * 100, ln], lambda x: x IS NOT NULL)"
+_SMALL = "[q, ln, pk]"      # the deviation does not depend on the offset that the query adds
 
 
 @query("row_stats", f"""
@@ -100,27 +89,33 @@ WITH r AS (SELECT l_orderkey, l_partkey, {_RS_SQL} FROM lineitem)
 SELECT l_orderkey, l_partkey,
   {rs('coalesce(q, 0.0) + coalesce(d, 0.0) + coalesce(t, 0.0)')} AS row_sum,
   {rs(f'(coalesce(q, 0.0) + coalesce(d, 0.0) + coalesce(t, 0.0)) / nullif({_cnt(_RC)}, 0)')} AS row_mean,
-  {rs(f"CASE WHEN {_N} >= 2 THEN sqrt(greatest((({_psum(_RC, 2)}) - ({_psum(_RC, 1)}) * ({_psum(_RC, 1)}) / {_N}) / ({_N} - 1.0), 0.0)) END")} AS row_std,
+  {rs(f"CASE WHEN len({_RL}) >= 2 THEN list_aggregate({_RL}, 'stddev_samp') END")} AS row_std,
+  {rs(f"list_aggregate({_SMALL}, 'stddev_samp')")} AS row_std_large,
   {rs('least(q, d, t)')} AS row_min, {rs('greatest(q, d, t)')} AS row_max,
   CAST(q IS NULL AS INTEGER) + CAST(d IS NULL AS INTEGER) + CAST(t IS NULL AS INTEGER) AS row_nulls,
   {rs('q * d * t')} AS row_prod,
-  {rs(_KURT)} AS row_kurt,
+  {rs("coalesce(q, 1.0) * coalesce(d, 1.0) * coalesce(t, 1.0)")} AS row_prod_skip,
+  {rs(f"CASE WHEN len({_KL}) < 4 THEN NULL WHEN list_min({_KL}) = list_max({_KL}) THEN 0.0 ELSE list_aggregate({_KL}, 'kurtosis') END")} AS row_kurt,
+  {rs("0.0 * q")} AS row_kurt_flat,
   CAST(q > 25 AS INTEGER) + CAST(coalesce(d > 0.05, false) AS INTEGER) + CAST(coalesce(t > 0.04, false) AS INTEGER) AS flag_score
 FROM r
 """)
 def q_row_stats(spark, sf):
     """Row-wise sum/mean/std/min/max skipping NULL, NULL count, strict product, kurtosis across
-    columns, additive flag score (C10-C14).  NULLs come from zero discount / tax."""
+    columns, product skipping NULL, additive flag score (C10-C14).  NULLs come from zero discount / tax."""
     li = load(spark, sf, "lineitem", ["l_orderkey", "l_partkey", "l_quantity", "l_discount", "l_tax",
                                       "l_linenumber"]).select(
         "l_orderkey", "l_partkey", F.col("l_quantity").alias("q"),
         F.when(F.col("l_discount") != 0, F.col("l_discount")).alias("d"),
-        F.when(F.col("l_tax") != 0, F.col("l_tax")).alias("t"), F.col("l_linenumber").alias("ln"))
+        F.when(F.col("l_tax") != 0, F.col("l_tax")).alias("t"), F.col("l_linenumber").alias("ln"),
+        (F.col("l_partkey") % 5).alias("pk"))
     cols = ["q", "d", "t"]
     kc = [F.col("q"), F.col("d") * 100, F.col("t") * 100, F.col("ln")]
     return li.select("l_orderkey", "l_partkey",
                      X.row_sum(cols).alias("row_sum"), X.row_mean(cols).alias("row_mean"),
-                     X.row_std(cols).alias("row_std"), X.row_min(cols).alias("row_min"),
+                     X.row_std(cols).alias("row_std"),
+                     X.row_std([F.col(c) + 1e9 for c in ("q", "ln", "pk")]).alias("row_std_large"), X.row_prod(cols).alias("row_prod_skip"),
+                     X.row_kurtosis([F.col("q") * 1.1] * 5).alias("row_kurt_flat"), X.row_min(cols).alias("row_min"),
                      X.row_max(cols).alias("row_max"), X.row_nulls(cols).alias("row_nulls"),
                      X.row_prod_strict(cols).alias("row_prod"), X.row_kurtosis(kc).alias("row_kurt"),
                      (N.flag(F.col("q") > 25) + N.flag(F.col("d") > 0.05) + N.flag(F.col("t") > 0.04))

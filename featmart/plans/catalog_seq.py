@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from featmart.operators import agg as A
 from featmart.operators import joins as J
+from featmart.operators import quantile as Q
 from featmart.operators import seq as S
 from featmart.plans.compare import rs
 from featmart.plans.registry import query
@@ -100,34 +101,97 @@ def q_seq_rolling_chunked(spark, sf):
 
 # ------------------------------------------------------------------ W7
 EWM_ALPHA = 0.7
-_K = S.ewm_depth(EWM_ALPHA)
-
-EWM_SQL = f"""
-WITH e AS (SELECT *, row_number() OVER ({_W_EV}) AS rn FROM ({_EV_SQL})),
-p AS (SELECT a.event_id, sum(pow({1 - EWM_ALPHA!r}, a.rn - b.rn) * b.ok_value) AS num,
-             sum(CASE WHEN b.ok_value IS NOT NULL THEN pow({1 - EWM_ALPHA!r}, a.rn - b.rn) END) AS den
-      FROM e a JOIN e b ON a.user_id = b.user_id AND b.rn BETWEEN a.rn - {_K} AND a.rn
-      GROUP BY a.event_id)
-SELECT event_id, {rs('num / nullif(den, 0)')} AS ok_ewm FROM p
+
+
+def _ewm_sql(source: str, alphas: dict[str, float]) -> str:
+    """The definition itself: every row of the user up to this one, weighted by its distance."""
+    def part(name, alpha):
+        w = f"pow({1 - alpha!r}, a.rn - b.rn)"
+        return f"sum({w} * b.x) / nullif(sum(CASE WHEN b.x IS NOT NULL THEN {w} END), 0)", name
+    exprs = [part(n, a) for n, a in alphas.items()]
+    return f"""
+WITH e AS (SELECT *, row_number() OVER ({_W_EV}) AS rn FROM ({source}))
+SELECT a.event_id, {', '.join(f'{rs(e)} AS {n}' for e, n in exprs)}
+FROM e a JOIN e b ON a.user_id IS NOT DISTINCT FROM b.user_id AND b.rn <= a.rn GROUP BY a.event_id
 """
 
 
+EWM_SQL = _ewm_sql(f"SELECT *, ok_value AS x FROM ({_EV_SQL})", {"ok_ewm": EWM_ALPHA})
+
+
 @query("ewm_mean", EWM_SQL)
 def q_ewm_mean(spark, sf):
     """Exponentially weighted mean (alpha = 0.7, pandas adjust=True, NULLs skipped with their
-    positional weights) as a fixed set of lags - no UDF, no collect_list (W7)."""
+    positional weights), exact over any look-back - no UDF, no collect_list (W7)."""
     out = S.sequence_features(_events(spark, sf), "user_id", EV_ORDER, {"ok_ewm": ("ewm", "ok_value", EWM_ALPHA)})
     return out.select("event_id", "ok_ewm")
 
 
 @query("ewm_mean_chunked", EWM_SQL)
 def q_ewm_mean_chunked(spark, sf):
-    """Same as ewm_mean on the chunked plan (blocks of 40 rows, halo of 33)."""
+    """Same as ewm_mean with every user cut into blocks."""
     out = S.sequence_features(_events(spark, sf), "user_id", EV_ORDER, {"ok_ewm": ("ewm", "ok_value", EWM_ALPHA)},
                               chunk_rows=40, adaptive=False)
     return out.select("event_id", "ok_ewm")
 
 
+# long runs of NULL: users folded into seven, a value only every 45th event and in the first ten
+_GAPS_SRC = ("SELECT event_id, user_id % 7 AS user_id, ts, CASE WHEN event_id % 45 = 0 OR value < 3 THEN value END AS x FROM events")
+_GAP_ALPHAS = {"ewm_07": 0.7, "ewm_01": 0.1, "ewm_001": 0.01}
+
+
+@query("ewm_mean_gaps", _ewm_sql(_GAPS_SRC, _GAP_ALPHAS))
+def q_ewm_mean_gaps(spark, sf):
+    """EWM for alpha 0.7, 0.1 and 0.01 over inputs with long runs of NULL: no look-back limit."""
+    e = load(spark, sf, "events", ["event_id", "user_id", "ts", "value"]).select(
+        "event_id", (F.col("user_id") % 7).alias("user_id"), "ts",
+        F.when((F.col("event_id") % 45 == 0) | (F.col("value") < 3), F.col("value")).alias("x"))
+    for name, alpha in _GAP_ALPHAS.items():
+        e = S.sequence_features(e, "user_id", EV_ORDER, {name: ("ewm", "x", alpha)})
+    return e.select("event_id", *_GAP_ALPHAS)
+
+
+# ------------------------------------------------------------------ NULL keys and NULL order values
+_W_NULL = "PARTITION BY k ORDER BY o NULLS LAST, event_id"
+SEQ_NULLS_SQL = f"""
+WITH e AS (SELECT event_id, nullif(user_id % 9, 4) AS k, CASE WHEN event_id % 5 <> 2 THEN ts END AS o, value FROM events)
+SELECT event_id, row_number() OVER ({_W_NULL}) AS rn, lag(value, 2) OVER ({_W_NULL}) AS back, lead(value) OVER ({_W_NULL}) AS ahead,
+  count(*) OVER (PARTITION BY k) AS n, {rs(f'sum(value) OVER ({_W_NULL} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS total
+FROM e
+"""
+
+
+def _seq_nulls(spark, sf, chunk):
+    e = load(spark, sf, "events", ["event_id", "user_id", "ts", "value"]).select(
+        "event_id", F.nullif(F.col("user_id") % 9, F.lit(4)).alias("k"), F.when(F.col("event_id") % 5 != 2, F.col("ts")).alias("o"), "value")
+    out = S.sequence_features(e, "k", ["o", "event_id"], {"rn": ("row_number",), "back": ("lag", "value", 2), "ahead": ("lead", "value", 1),
+                                                          "n": ("key_count",), "total": ("running_sum", "value")}, chunk, adaptive=chunk is None)
+    return out.select("event_id", "rn", "back", "ahead", "n", "total")
+
+
+@query("seq_null_keys", SEQ_NULLS_SQL)
+def q_seq_null_keys(spark, sf):
+    """NULL keys are an entity like any other and NULL order values sort last."""
+    return _seq_nulls(spark, sf, None)
+
+
+@query("seq_null_keys_chunked", SEQ_NULLS_SQL)
+def q_seq_null_keys_chunked(spark, sf):
+    """Same as seq_null_keys with every key cut into blocks of 16 rows."""
+    return _seq_nulls(spark, sf, 16)
+
+
+@query("quantile_null_keys", f"""
+SELECT nullif(user_id % 9, 4) AS k, {rs('quantile_cont(v, 0.1)')} AS p0, {rs('quantile_cont(v, 0.5)')} AS p1, {rs('quantile_cont(v, 0.9)')} AS p2
+FROM (SELECT user_id, CASE WHEN event_id % 3 > 0 THEN 1.5 ELSE value END AS v FROM events) GROUP BY 1
+""")
+def q_quantile_null_keys(spark, sf):
+    """Exact quantiles with a NULL key and a value that two thirds of the rows share."""
+    e = load(spark, sf, "events", ["event_id", "user_id", "value"]).select(
+        F.nullif(F.col("user_id") % 9, F.lit(4)).alias("k"), F.when(F.col("event_id") % 3 > 0, F.lit(1.5)).otherwise(F.col("value")).alias("v"))
+    return Q.percentiles(e, ["k"], "v", [0.1, 0.5, 0.9])
+
+
 # ------------------------------------------------------------------ W6 O5
 _W_O = "PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
 
@@ -147,7 +211,7 @@ FROM o GROUP BY 1
 
 def _first_last(spark, sf, chunk):
     o = load(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"])
-    s = S.first_last_k(o, "o_custkey", ["o_orderdate", "o_orderkey"], first_k=2, last_k=5, chunk_rows=chunk)
+    s = S.first_last_k(o, "o_custkey", ["o_orderdate", "o_orderkey"], first_k=2, last_k=5, chunk_rows=chunk, adaptive=chunk is None)
     exprs = []
     for tag, cond in (("first_2", F.col("_first")), ("last_5", F.col("_last")), ("all", F.lit(True))):
         x = F.when(cond, F.col("o_totalprice"))
@@ -206,15 +270,15 @@ def q_lookalike_neighbours_chunked(spark, sf):
 
 @query("neighbour_label_summary", f"""
 WITH n AS ({LOOKALIKE_SQL}), l AS (SELECT c_custkey, CAST(c_acctbal < 0 AS INTEGER) AS label FROM customer)
-SELECT n.prev_label, count(*) AS n, {rs('avg(l.label)')} AS mean_target,
-       CAST(sum(CAST(l.label IS NULL AS INTEGER)) AS BIGINT) AS test_count
+SELECT n.prev_label, count(*) AS n_rows, {rs('avg(l.label)')} AS own_label_mean,
+       CAST(sum(CAST(l.label IS NULL AS INTEGER)) AS BIGINT) AS n_unlabelled
 FROM n JOIN l USING (c_custkey) WHERE n.prev_label IS NOT NULL GROUP BY 1
 """)
 def q_neighbour_label_summary(spark, sf):
     """Per neighbour-label value: size, mean own label, unlabelled count."""
     d = _lookalike(spark, sf).filter(F.col("prev_label").isNotNull())
-    return d.groupBy("prev_label").agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("mean_target"),
-                                       F.sum(F.col("label").isNull().cast("long")).alias("test_count"))
+    return d.groupBy("prev_label").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("label").alias("own_label_mean"),
+                                       F.sum(F.col("label").isNull().cast("long")).alias("n_unlabelled"))
 
 
 # ------------------------------------------------------------------ O1-O4

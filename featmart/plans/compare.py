@@ -1,10 +1,10 @@
-"""Comparison normalisation shared by the catalogue's Spark queries and their SQL oracles.
+"""Comparison rounding shared by the catalogue's Spark queries and their SQL oracles.
 
-Float results of two engines differ in the last bits (summation order, Welford vs two-pass).
-Both sides therefore round every DOUBLE result to 9 significant digits with the same IEEE
-steps: nudge the magnitude by a relative 1e-11 (so exact decimal halves, common in means of
-two-decimal money, are no longer ties that the engines break differently), scale by an exact
-power of ten, round to 8 decimals, scale back by the same exact power.
+Float results of two engines differ in the last bits (summation order, Welford vs two-pass). Both
+sides therefore round every DOUBLE result half up to 9 significant digits. Exact decimal halves are
+common in means of money and may lie one bit to either side of the half, so the rounding goes through
+12 significant digits first, which takes the last bits away; both steps are integer steps on the scaled
+value, the same IEEE operations in both engines. No value is changed otherwise.
 """
 
 from __future__ import annotations
@@ -12,22 +12,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIG_DECIMALS = 8  # digits after the leading one -> 9 significant digits
-NUDGE = 1.00000000001
-
 
 def sig_col(c):
-    """Spark side of the 9-significant-digit rounding."""
-    x = (F.col(c) if isinstance(c, str) else c) * F.lit(NUDGE)
-    k = F.floor(F.log10(F.abs(x)))
-    p_pos = F.pow(F.lit(10.0), k)
-    p_neg = F.pow(F.lit(10.0), -k)
-    up = F.round(x / p_pos, SIG_DECIMALS) * p_pos
-    down = F.round(x * p_neg, SIG_DECIMALS) / p_neg
-    return (F.when(x.isNull(), F.lit(None).cast("double"))
-            .when(x == 0, F.lit(0.0))
-            .when(k >= 0, up)
-            .otherwise(down) + F.lit(0.0))
+    """Spark side of the rounding to 9 significant digits."""
+    x = F.col(c) if isinstance(c, str) else c
+    m = F.abs(x)
+    k = F.floor(F.log10(m))
+    up, down = F.pow(F.lit(10.0), k), F.pow(F.lit(10.0), -k)
+    scaled = F.when(k >= 0, m / up).otherwise(m * down)                      # 1 <= scaled < 10
+    twelve = F.floor(scaled * F.lit(1e11) + F.lit(0.5)).cast("double")
+    nine = F.floor((twelve + F.lit(500.0)) / F.lit(1000.0)).cast("double") / F.lit(1e8)
+    y = F.when(k >= 0, nine * up).otherwise(nine / down)
+    return (F.when(x.isNull(), F.lit(None).cast("double")).when(x == 0, F.lit(0.0))
+            .when(x < 0, -y).otherwise(y) + F.lit(0.0))
 
 
 def normalize(df: DataFrame) -> DataFrame:
@@ -43,11 +40,14 @@ def normalize(df: DataFrame) -> DataFrame:
 
 def rs(expr: str) -> str:
     """SQL (DuckDB) side of the same rounding, for an expression already of type DOUBLE."""
-    e = f"(CAST(({expr}) AS DOUBLE) * {NUDGE!r})"
-    k = f"floor(log10(abs({e})))"
-    return (f"(CASE WHEN {e} IS NULL THEN NULL WHEN {e} = 0 THEN 0.0 "
-            f"WHEN {k} >= 0 THEN round({e} / pow(10.0, {k}), {SIG_DECIMALS}) * pow(10.0, {k}) "
-            f"ELSE round({e} * pow(10.0, -{k}), {SIG_DECIMALS}) / pow(10.0, -{k}) END + 0.0)")
+    x = f"CAST(({expr}) AS DOUBLE)"
+    m = f"abs({x})"
+    k = f"floor(log10({m}))"
+    up, down = f"pow(10.0::DOUBLE, {k})", f"pow(10.0::DOUBLE, -{k})"
+    scaled = f"(CASE WHEN {k} >= 0 THEN {m} / {up} ELSE {m} * {down} END)"
+    nine = f"(floor((floor({scaled} * 1e11 + 0.5::DOUBLE) + 500.0::DOUBLE) / 1000.0::DOUBLE) / 1e8)"
+    return (f"(CASE WHEN {x} IS NULL THEN NULL WHEN {x} = 0 THEN 0.0 "
+            f"ELSE (CASE WHEN {x} < 0 THEN -1.0 ELSE 1.0 END) * (CASE WHEN {k} >= 0 THEN {nine} * {up} ELSE {nine} / {down} END) END + 0.0)")
 
 
 def rsa(expr: str, alias: str) -> str:

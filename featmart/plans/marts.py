@@ -227,7 +227,7 @@ def mart_series(events: DataFrame, chunk_rows: int | None = SEQ_CHUNK_ROWS) -> D
     e = events.select("event_id", F.col("user_id").alias("c_custkey"), "ts", "event_type", "value")
     s = S.sequence_features(e, "c_custkey", ["ts", "event_id"], {"up": ("increase", "value")}, chunk_rows=chunk_rows)
     return s.groupBy("c_custkey").agg(
-        (F.avg((F.col("value") < 50).cast("double")) * 100.0).alias("ser_pct_under_50"),
+        (F.avg(flag(F.col("value") < 50)) * 100.0).alias("ser_pct_under_50"),
         (safe_div(F.sum(F.when(F.col("event_type") == "purchase", F.col("value"))), F.sum("value")) * 100.0)
         .alias("ser_purchase_share"),
         F.max(F.when(F.col("value") > 400, F.col("value"))).alias("ser_max_over_400"),
@@ -238,10 +238,9 @@ def mart_series(events: DataFrame, chunk_rows: int | None = SEQ_CHUNK_ROWS) -> D
 def _slices_input(orders: DataFrame, chunk_rows: int | None, alpha: float) -> DataFrame:
     o = orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_orderdate", "o_totalprice",
                       "o_orderstatus", "o_orderpriority").filter(F.col("c_custkey").isNotNull())
-    s = S.sequence_features(o, "c_custkey", ORDER_ORDER,
-                            {"rn": ("row_number",), "ewm": ("ewm", "o_totalprice", alpha)}, chunk_rows=chunk_rows)
-    n = s.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("_cnt"))
-    return s.join(n, "c_custkey")
+    return S.sequence_features(o, "c_custkey", ORDER_ORDER,
+                               {"rn": ("row_number",), "_cnt": ("key_count",), "ewm": ("ewm", "o_totalprice", alpha)},
+                               chunk_rows=chunk_rows)
 
 
 def _slices_exprs() -> list[Column]:

@@ -38,7 +38,7 @@ def test_domain_guards(spark):
     r = df.select(N.log1p_guarded("x").alias("l"), N.pow_guarded("x", 0.5).alias("p"),
                   N.sqrt_guarded("x").alias("s")).collect()
     assert r[0].l is None and r[1].l is None and r[2].l == 0.0
-    assert r[0].p is None and r[2].p is None and r[3].p == 2.0 and r[3].s == 2.0
+    assert r[0].p is None and r[2].p == 0.0 and r[3].p == 2.0 and r[3].s == 2.0
 
 
 def test_group_semantics(spark):
@@ -50,7 +50,8 @@ def test_group_semantics(spark):
     assert set(r) == {"a", "b", "c"}
     assert r["a"].v_sum == 0 and r["a"].v_count == 0 and r["a"].v_size == 2
     assert r["b"].v_var is None
-    assert r["c"].v_skew is None and r["c"].v_kurt is None      # constant group
+    assert r["c"].v_skew == 0.0 and r["c"].v_kurt == 0.0      # constant group
+    assert r["b"].v_skew is None
 
 
 def test_bias_corrected_moments_match_pandas(spark):
@@ -77,5 +78,37 @@ def test_row_stats_skip_nulls(spark):
     assert got[1].m is None and got[0].m == p.mean(axis=1)[0]
     assert math.isclose(got[0].sd, p.std(axis=1)[0], rel_tol=1e-12)
     assert [g.n for g in got] == [1, 4, 0, 0]
-    assert got[2].k is None
+    assert got[2].k == 0.0
     assert math.isclose(got[3].k, p.kurt(axis=1)[3], rel_tol=1e-9)
+
+
+def test_large_offsets_and_small_scales_do_not_cancel(spark):
+    import pandas as pd
+    df = spark.createDataFrame([(1e9, 1e9 + 1, 1e9 + 2, 1e9 + 7)], "a double, b double, c double, d double")
+    r = df.select(X.row_std(["a", "b", "c"]).alias("s"), X.row_kurtosis(["a", "b", "c", "d"]).alias("k"), X.row_prod(["a"]).alias("p")).first()
+    assert math.isclose(r.s, 1.0, rel_tol=1e-9) and math.isclose(r.k, pd.Series([0.0, 1, 2, 7]).kurt(), rel_tol=1e-6) and r.p == 1e9
+    tiny = spark.createDataFrame([("g", 1e-8 * v) for v in (1.0, 2.0, 3.0, 9.0)], "k string, v double")
+    t = aggregate(tiny, "k", AggSpec([("v", ["skew", "kurt"], "v")])).first()
+    assert math.isclose(t.v_skew, pd.Series([1.0, 2, 3, 9]).skew(), rel_tol=1e-6)
+    assert math.isclose(t.v_kurt, pd.Series([1.0, 2, 3, 9]).kurt(), rel_tol=1e-6)
+
+
+def test_skipping_product_and_unit_flag(spark):
+    from featmart.operators.clean import within_unit
+    df = spark.createDataFrame([(2.0, None), (None, None), (3.0, 4.0)], "a double, b double")
+    assert [r.p for r in df.select(X.row_prod(["a", "b"]).alias("p")).collect()] == [2.0, 1.0, 12.0]
+    assert [r.f for r in df.select(within_unit("b", 2.0, 1.0).alias("f")).collect()] == [0, 0, 0]
+
+
+def test_null_order_values_are_last(spark):
+    from featmart.operators.agg import first_nonnull, last_nonnull
+    df = spark.createDataFrame([("a", None, 1.0), ("a", 1, 2.0), ("a", 2, 3.0), ("a", 3, None)], "k string, o int, v double")
+    r = df.groupBy("k").agg(first_nonnull("v", ["o"]).alias("f"), last_nonnull("v", ["o"]).alias("l")).first()
+    assert (r.f, r.l) == (2.0, 1.0)
+
+
+def test_mode_of_typed_columns(spark):
+    from featmart.operators.clean import fill_statistic
+    df = spark.createDataFrame([(10, "b", None), (9, "a", None), (None, None, None)], "x int, y string, z double")
+    r = fill_statistic(df, ["x", "y", "z"], "mode").where("x = 9 AND y = 'a'").count()
+    assert r == 2

@@ -26,6 +26,13 @@ def test_percentiles_match_numpy_with_hot_key(spark, adaptive):
         assert got[k] == pytest.approx(list(exp), rel=1e-12, abs=1e-12)
 
 
+def test_hot_value_and_null_key(spark):
+    df = spark.createDataFrame([(None, 5.0)] * 90 + [(None, float(i)) for i in range(10)] + [("a", None)], "k string, v double")
+    r = Q.percentiles(df, ["k"], "v", [0.01, 0.5, 0.99], chunk_rows=4).collect()
+    vals = [5.0] * 90 + [float(i) for i in range(10)]
+    assert len(r) == 1 and [r[0].p0, r[0].p1, r[0].p2] == pytest.approx(list(np.percentile(vals, [1, 50, 99])))
+
+
 def test_global_column_quantiles(spark):
     df = spark.createDataFrame([(float(i), float(i % 3)) for i in range(101)], "a double, b double")
     q = Q.column_quantiles(df, ["a", "b"], [0.0, 0.5, 1.0])

@@ -54,7 +54,7 @@ def test_chunked_equals_plain_on_hot_key(spark, chunk):
         k = "hot" if i % 3 else f"k{i % 11}"           # one key holds two thirds of the rows
         v = None if rnd.random() < 0.15 else round(rnd.uniform(-5, 5), 2)
         rows.append((k, rnd.randint(0, 50), i, v))
-    feats = {n: f for n, f in FEATS.items() if n != "e"} if chunk < 34 else FEATS
+    feats = FEATS | {"ahead": ("lead", "v", 2), "n": ("key_count",), "all": ("key_sum", "v")}
     df = _frame(spark, rows)
     a = _collect(S.sequence_features(df, "k", ["t", "id"], feats))
     b = _collect(S.sequence_features(df, "k", ["t", "id"], feats, chunk_rows=chunk, adaptive=False))
@@ -65,15 +65,33 @@ def test_chunked_equals_plain_on_hot_key(spark, chunk):
             assert (x is None and y is None) or x == pytest.approx(y), (key, n, x, y)
 
 
-def test_chunked_ewm(spark):
+@pytest.mark.parametrize("alpha", [0.7, 0.1, 0.01, 1.0])
+@pytest.mark.parametrize("adaptive", [True, False])
+def test_ewm_has_no_look_back_limit(spark, alpha, adaptive):
+    """Long runs of NULL, thousands of rows, against pandas; every key cut into blocks or none."""
     rnd = random.Random(3)
-    rows = [("hot", i, i, None if rnd.random() < 0.2 else rnd.uniform(0, 9)) for i in range(120)]
-    df = _frame(spark, rows)
-    f = {"e": ("ewm", "v", 0.7)}
-    a = _collect(S.sequence_features(df, "k", ["t", "id"], f))
-    b = _collect(S.sequence_features(df, "k", ["t", "id"], f, chunk_rows=40, adaptive=False))
-    for key in a:
-        assert (a[key]["e"] is None and b[key]["e"] is None) or a[key]["e"] == pytest.approx(b[key]["e"], rel=1e-12)
+    rows = [("hot", i, i, None if 40 < i < 640 or rnd.random() < 0.2 else rnd.uniform(0, 9)) for i in range(1500)]
+    rows += [("gap", i, i, 10.0 + i if i < 3 else None) for i in range(60)] + [("none", i, i, None) for i in range(3)]
+    got = _collect(S.sequence_features(_frame(spark, rows), "k", ["t", "id"], {"e": ("ewm", "v", alpha)}, chunk_rows=40, adaptive=adaptive))
+    p = pd.DataFrame(rows, columns=["k", "t", "id", "v"])
+    p["e"] = p.groupby("k")["v"].transform(lambda s: s.ewm(alpha=alpha).mean() if alpha < 1 else s.ffill())
+    for _, r in p.iterrows():
+        x = got[(r.k, r.t, r.id)]["e"]
+        assert x is None if math.isnan(r.e) else x == pytest.approx(r.e, rel=1e-11), (r.k, r.t)
+
+
+@pytest.mark.parametrize("chunk, adaptive", [(None, True), (2, True), (2, False)])
+def test_null_keys_and_null_order(spark, chunk, adaptive):
+    rows = [(None, None, 1, 1.0), (None, 2, 2, 2.0), (None, 1, 3, 3.0), (None, None, 4, 4.0), (None, 3, 5, 5.0), ("a", None, 6, 6.0), ("a", 1, 7, 7.0)]
+    out = S.sequence_features(_frame(spark, rows), "k", ["t", "id"], {"rn": ("row_number",), "prev": ("lag", "v", 1), "run": ("running_sum", "v")}, chunk, adaptive)
+    assert {r.id: (r.rn, r.prev, r.run) for r in out.collect()} == {
+        3: (1, None, 3.0), 2: (2, 3.0, 5.0), 5: (3, 2.0, 10.0), 1: (4, 5.0, 11.0), 4: (5, 1.0, 15.0), 7: (1, None, 7.0), 6: (2, 7.0, 13.0)}
+
+
+def test_only_large_keys_are_cut(spark):
+    df = _frame(spark, [("hot", i, i, 1.0) for i in range(50)] + [(f"k{i}", 0, i, 1.0) for i in range(20)])
+    hot = S.large_keys(df, ["k"], 10)
+    assert [r.k for r in hot.collect()] == ["hot"]
 
 
 def test_positions_exact(spark):
@@ -103,3 +121,10 @@ def test_neighbours(spark):
         r = {x.id: (x.prev_label, x.next_label) for x in
              S.neighbour_labels(cl, "cluster", ["age", "id"], "y", chunk_rows=chunk, adaptive=False).collect()}
         assert r == {2: (None, 1), 3: (0, 1), 1: (1, None), 4: (None, None)}
+
+
+def test_clusters_are_numbered_by_size(spark):
+    df = spark.createDataFrame([(i, "big") for i in range(5)] + [(i, "small") for i in range(5, 7)] + [(i, "also") for i in range(7, 9)] + [(9, "one"), (10, None), (11, None), (12, None)],
+                               "id int, g string")
+    got = {(r.g, r.cluster, r.cluster_size) for r in S.lookalike_clusters(df, ["g"], "id").collect()}
+    assert got == {("big", 1, 5), (None, 2, 3), ("also", 3, 2), ("small", 4, 2), ("one", None, None)}
