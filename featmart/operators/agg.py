@@ -180,25 +180,45 @@ def string_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [c for c, t in df.dtypes if t == "string" and c not in exclude]
 
 
-def aggregate_all(df: DataFrame, key: str, fns: Sequence[str] = ("min", "max", "mean", "var"),
-                  prefix: str = "", with_size: bool = False) -> DataFrame:
-    """Every numeric column with the same functions (A2, A3)."""
-    cols = numeric_columns(df, exclude=[key])
+def aggregate_all(df: DataFrame, key: str, fns: Sequence[str] = ("min", "max", "mean", "var"), prefix: str = "",
+                  with_size: bool = False, exclude: Sequence[str] = (), extra: Sequence[Column] = ()) -> DataFrame:
+    """Every numeric column (but ``exclude``) with the same functions, and ``extra`` aggregates, in one
+    pass (A2, A3)."""
+    cols = numeric_columns(df, exclude=[key, *exclude])
     spec = AggSpec([(c, fns, f"`{c}`") for c in cols])
     exprs = spec.columns(prefix)
     if with_size:
         exprs.append(F.count(F.lit(1)).alias(f"{prefix}size"))
-    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(*exprs)
+    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(*exprs, *extra)
 
 
 def mixed_profile(df: DataFrame, key: str, carry: Sequence[str] = (), prefix: str = "") -> DataFrame:
     """Numeric min/max/mean/sum and string mode/nunique/count per key; ``carry`` columns are
-    functionally dependent on the key and kept with ``first`` (A4).  Mode ties -> smallest."""
+    functionally dependent on the key and kept with ``first`` (A4).  Mode ties -> smallest.
+
+    The string columns are counted together as (key, column, value), map-side first; mode, nunique and
+    count of all of them follow from those counts, so there is no distinct aggregate and no join per
+    column."""
     nums = numeric_columns(df, exclude=[key, *carry])
     strs = string_columns(df, exclude=[key, *carry])
-    spec = AggSpec([(c, ["min", "max", "mean", "sum"], f"`{c}`") for c in nums]
-                   + [(c, ["mode", "nunique", "count"], f"`{c}`") for c in strs])
-    return aggregate(df, key, spec, prefix, extra=[F.first(c, ignorenulls=True).alias(c) for c in carry])
+    d = df.filter(F.col(key).isNotNull())
+    spec = AggSpec([(c, ["min", "max", "mean", "sum"], f"`{c}`") for c in nums])
+    out = d.groupBy(key).agg(F.count(F.lit(1)).alias("_size"), *spec.columns(prefix),
+                             *[F.first(c, ignorenulls=True).alias(c) for c in carry]).drop("_size")
+    if not strs:
+        return out
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(strs)])
+    n = d.select(F.col(key), F.explode(cells).alias("_s")).select(key, "_s.i", "_s.v").filter(F.col("v").isNotNull()) \
+        .groupBy(key, "i", "v").agg(F.count(F.lit(1)).alias("_c"))
+    exprs = []
+    for i, c in enumerate(strs):
+        here = F.col("i") == i
+        exprs += [F.min_by(F.when(here, F.col("v")), F.when(here, F.struct((-F.col("_c")).alias("c"), F.col("v")))).alias(f"{prefix}{c}_mode"),
+                  F.count(F.when(here, 1)).alias(f"{prefix}{c}_nunique"),
+                  F.coalesce(F.sum(F.when(here, F.col("_c"))), F.lit(0)).alias(f"{prefix}{c}_count")]
+    out = out.join(n.groupBy(key).agg(*exprs), key, "left")
+    zero = [f"{prefix}{c}_{f}" for c in strs for f in ("nunique", "count")]
+    return out.fillna(0, subset=zero)
 
 
 def rollup(child: DataFrame, mid_key: str, top_key: str, spec: AggSpec,
@@ -246,16 +266,21 @@ def cond_agg(df: DataFrame, key: str, cat: str, values: Sequence, spec: AggSpec,
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(*exprs)
 
 
-def category_counts(df: DataFrame, key: str, cat: str, values: Sequence, share: bool = True,
-                    prefix: str = "") -> DataFrame:
-    """One-hot then sum/mean per key, without materialising dummies."""
+def category_count_exprs(cat: str, values: Sequence, share: bool = True, prefix: str = "") -> list[Column]:
+    """Count (and share) of each category value, for use inside any group-by."""
     exprs = []
     for v in values:
         ind = F.coalesce((F.col(cat) == F.lit(v)).cast("int"), F.lit(0))
         exprs.append(F.sum(ind).cast("long").alias(f"{prefix}{cat}_{v}_count"))
         if share:
             exprs.append(F.avg(ind).alias(f"{prefix}{cat}_{v}_share"))
-    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(*exprs)
+    return exprs
+
+
+def category_counts(df: DataFrame, key: str, cat: str, values: Sequence, share: bool = True,
+                    prefix: str = "") -> DataFrame:
+    """One-hot then sum/mean per key, without materialising dummies."""
+    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(*category_count_exprs(cat, values, share, prefix))
 
 
 def dist_pack(df: DataFrame, key: str, value: str, prefix: str = "", exact: bool = True) -> DataFrame:

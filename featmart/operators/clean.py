@@ -135,12 +135,17 @@ def fill_constant(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     return df.fillna(dict(values))
 
 
-def fill_statistic(df: DataFrame, cols: Sequence[str], how: str = "mean", exact: bool = True) -> DataFrame:
+def fill_statistic(df: DataFrame, cols: Sequence[str], how: str = "mean", exact: bool = True,
+                   fit_on: Column | None = None) -> DataFrame:
     """Impute NULL with a column statistic: mean / max+1 from one aggregate pass over all
     columns; median from the skew-safe ranked percentiles (all columns in one job); mode from a
     (value, count) aggregation.
 
-    how: mean | median | mode | max_plus_one."""
+    how: mean | median | mode | max_plus_one. ``fit_on`` restricts the rows that give the statistic (the
+    labelled part); all rows are filled."""
+    whole, df = df, (df if fit_on is None else df.filter(fit_on))
+    if not cols:
+        return whole
     def stat(c):
         x = F.col(c)
         if how == "mean":
@@ -165,7 +170,7 @@ def fill_statistic(df: DataFrame, cols: Sequence[str], how: str = "mean", exact:
     else:
         row = df.agg(*[stat(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
         vals = {c: row[f"s{i}"] for i, c in enumerate(cols)}
-    return project(df, {c: F.coalesce(F.col(c), F.lit(vals[c]).cast(dict(df.dtypes)[c])) for c in cols})
+    return project(whole, {c: F.coalesce(F.col(c), F.lit(vals[c]).cast(dict(df.dtypes)[c])) for c in cols})
 
 
 def select_by_type(df: DataFrame, kind: str) -> list[str]:

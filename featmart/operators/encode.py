@@ -1,9 +1,10 @@
 """Encoding and binning fitted from data.
 
-Every ``*_fit`` is one distributed pass whose result is a small parameter table (levels,
-edges, WoE per bin): its size is bounded by features x levels (guarded by ``max_levels``) or
-features x bins.  Every ``*_apply`` is lazy and JVM-side: parameters are folded into the plan
-as literal maps / arrays, so applying them needs no join and no shuffle.
+Every ``*_fit`` is one distributed pass. Tables with a row per category level (codes, WoE, risk
+groups) stay DataFrames of any length, and applying them is an equi-join (AQE broadcasts a small
+table and shuffles beyond). Tables with a row per bin are bounded by features x bins; their edges are
+folded into the plan as literal arrays. One-hot makes a column per level, so its levels are a
+driver-side list by nature: pass one, or let ``one_hot_fit`` collect them up to ``ONE_HOT_COLUMNS``.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 
 from featmart.functions.nulls import half_even
 
-MAX_LEVELS = 10_000
+ONE_HOT_COLUMNS = 10_000      # width of a schema, not a limit on data
 MISSING = "Missing"
 
 
@@ -31,23 +32,18 @@ def unpivot_values(df: DataFrame, cols: Sequence[str], extra: Sequence[str] = ()
     return df.select(*extra, F.explode(arr).alias("_kv")).select(*extra, "_kv.feature", "_kv.value")
 
 
-def _levels_table(df: DataFrame, cols: Sequence[str], max_levels: int) -> dict[str, list]:
-    lv = unpivot_values(df, cols).filter(F.col("value").isNotNull()).distinct()
-    rows = lv.limit(max_levels * max(1, len(cols)) + 1).collect()
-    if len(rows) > max_levels * max(1, len(cols)):
-        raise ValueError("too many category levels to encode; raise max_levels or bucket first")
-    out: dict[str, list] = {c: [] for c in cols}
-    for r in rows:
-        out[r["feature"]].append(r["value"])
-    return {c: sorted(v) for c, v in out.items()}
-
-
 # ------------------------------------------------------------------ E1 one-hot
 
-def one_hot_fit(df: DataFrame, cols: Sequence[str] | None = None, max_levels: int = MAX_LEVELS) -> dict[str, list]:
+def one_hot_fit(df: DataFrame, cols: Sequence[str] | None = None, max_columns: int = ONE_HOT_COLUMNS) -> dict[str, list]:
     """Levels of every string column (or ``cols``) in one distinct pass over an unpivot."""
     cols = list(cols or [c for c, t in df.dtypes if t == "string"])
-    return _levels_table(df, cols, max_levels)
+    rows = unpivot_values(df, cols).filter(F.col("value").isNotNull()).distinct().limit(max_columns + 1).collect()
+    if len(rows) > max_columns:
+        raise ValueError(f"one-hot would add more than {max_columns} columns; pass the levels to keep")
+    out: dict[str, list] = {c: [] for c in cols}
+    for r in rows:
+        out[r["feature"]].append(r["value"])
+    return {c: sorted(v) for c, v in out.items()}
 
 
 def one_hot_apply(df: DataFrame, levels: Mapping[str, list], dummy_na: bool = True,
@@ -69,26 +65,30 @@ def one_hot_apply(df: DataFrame, levels: Mapping[str, list], dummy_na: bool = Tr
 
 # ------------------------------------------------------------------ E2 E3 codes
 
-def sorted_codes_fit(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list:
-    """Levels in sorted order; code = position."""
-    return _levels_table(df, [col], max_levels)[col]
+def _numbered(levels: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """(level, code): 0-based position of each level, numbered over range partitions."""
+    from featmart.operators.seq import positions
+    p = positions(levels.withColumn("_one", F.lit(0)), ["_one"], order)
+    return p.select("level", (F.col("_pos") - 1).cast("int").alias("code"))
+
+
+def sorted_codes_fit(df: DataFrame, col: str) -> DataFrame:
+    """(level, code) with levels in sorted order."""
+    return _numbered(df.filter(F.col(col).isNotNull()).select(F.col(col).alias("level")).distinct(), [F.col("level").asc()])
 
 
-def frequency_codes_fit(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list:
-    """Levels by frequency desc, then value asc (Spark has no order of first appearance)."""
-    cnt = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    rows = cnt.orderBy(F.desc("n"), F.asc(col)).limit(max_levels + 1).collect()
-    if len(rows) > max_levels:
-        raise ValueError("too many levels")
-    return [r[col] for r in rows]
+def frequency_codes_fit(df: DataFrame, col: str) -> DataFrame:
+    """(level, code) with levels by frequency desc, then value asc (Spark has no order of first
+    appearance)."""
+    n = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    return _numbered(n, [F.desc("n"), F.asc("level")])
 
 
-def codes_apply(col: str, levels: Sequence, missing: int = -1) -> Column:
-    """Level -> integer code via a literal map; NULL and unseen -> ``missing``."""
-    if not levels:
-        return F.lit(missing)
-    m = F.create_map(*[x for i, v in enumerate(levels) for x in (F.lit(v), F.lit(i))])
-    return F.coalesce(m[F.col(col)], F.lit(missing))
+def codes_apply(df: DataFrame, col: str, codes: DataFrame, name: str | None = None, missing: int = -1) -> DataFrame:
+    """Add ``name`` (default ``<col>_code``): the level's code by an equi-join; NULL and unseen -> ``missing``."""
+    t = codes.select(F.col("level").alias("_level"), F.col("code").alias("_code"))
+    out = df.join(t, df[col] == F.col("_level"), "left").withColumn(name or f"{col}_code", F.coalesce("_code", F.lit(missing)))
+    return out.drop("_level", "_code")
 
 
 # ------------------------------------------------------------------ E4 quantile bins
@@ -175,7 +175,7 @@ def woe_fit(df: DataFrame, label: str, cat_cols: Sequence[str] = (), num_cols: S
                      for c, e in edges.items() for i in range(len(e) - 1)]
         et = spark.createDataFrame(edge_rows, "feature string, bin int, lo double, hi double, fill double")
         # every fitted bin is kept, empty ones with zero counts (edges stay contiguous)
-        parts.append(F.broadcast(et).join(g, ["feature", "bin"], "left").select(
+        parts.append(et.join(g, ["feature", "bin"], "left").select(
             "feature", F.lit("num").alias("kind"), "bin", F.lit(None).cast("string").alias("value"),
             "lo", "hi", "fill", F.coalesce("count", F.lit(0)).alias("count"),
             F.coalesce("events", F.lit(0)).alias("events")))
@@ -184,40 +184,38 @@ def woe_fit(df: DataFrame, label: str, cat_cols: Sequence[str] = (), num_cols: S
     return out
 
 
-def woe_table(df: DataFrame, label: str, cat_cols: Sequence[str] = (), num_cols: Sequence[str] = (),
-              max_levels: int = MAX_LEVELS, **kw) -> list:
-    """``woe_fit`` collected for ``woe_apply``; at most ``max_levels`` rows per feature."""
-    from featmart.operators.joins import collect_bounded
-    n = max(1, len(cat_cols) + len(num_cols))
-    return collect_bounded(woe_fit(df, label, cat_cols, num_cols, **kw), max_levels * n, "WoE table")
-
-
-def woe_apply(df: DataFrame, table_rows: Sequence, suffix: str = "", missing_value: float | None = None) -> DataFrame:
-    """Replace (or add with ``suffix``) every fitted column by its WoE.
+def woe_apply(df: DataFrame, table: DataFrame, suffix: str = "", missing_value: float | None = None) -> DataFrame:
+    """Replace (or add with ``suffix``) every fitted column by its WoE (E7); ``table`` is ``woe_fit``'s
+    result.
 
-    ``table_rows`` is the collected fit table (small).  Categorical: value -> WoE map, NULL ->
-    'Missing'; numeric: NULL -> fill, bin by the fitted edges, bin -> WoE.  Unseen category or a
-    value outside the fitted range -> NULL (or ``missing_value``)."""
-    by_feat: dict[str, list] = {}
-    for r in table_rows:
-        by_feat.setdefault(r["feature"], []).append(r)
+    Categorical: an equi-join on the level, NULL being 'Missing'; numeric: NULL -> fill, bin by the
+    fitted edges, bin -> WoE.  Unseen category or a value outside the fitted range -> NULL (or
+    ``missing_value``)."""
+    from featmart.session import cut_lineage
+    table = cut_lineage(table)                 # read once per categorical column
+    kinds = {r["feature"]: r["kind"] for r in table.select("feature", "kind").distinct().collect()}     # a row per column
+    bins: dict[str, list] = {}
+    for r in table.filter("kind = 'num'").collect():                                                    # columns x bins
+        bins.setdefault(r["feature"], []).append(r)
     rules = {}
-    for feat, rows in by_feat.items():
-        if rows[0]["kind"] == "cat":
-            m = F.create_map(*[x for r in rows for x in (F.lit(r["value"]), F.lit(float(r["woe"])))])
-            v = m[F.coalesce(F.col(feat).cast("string"), F.lit(MISSING))]
+    out = df
+    for i, (feat, kind) in enumerate(sorted(kinds.items())):
+        if kind == "cat":
+            t = table.filter((F.col("feature") == feat) & (F.col("kind") == "cat")).select(
+                F.col("value").alias(f"_value{i}"), F.col("woe").alias(f"_woe{i}"))
+            out = out.join(t, F.coalesce(df[feat].cast("string"), F.lit(MISSING)) == F.col(f"_value{i}"), "left")
+            v = F.col(f"_woe{i}")
         else:
-            rows = sorted(rows, key=lambda r: r["bin"])
+            rows = sorted(bins[feat], key=lambda r: r["bin"])
             edges = [rows[0]["lo"]] + [r["hi"] for r in rows]
-            fill = rows[0]["fill"]
-            b = bin_index(F.coalesce(F.col(feat).cast("double"), F.lit(fill)), edges)
+            b = bin_index(F.coalesce(df[feat].cast("double"), F.lit(rows[0]["fill"])), edges)
             v = _bin_lookup(b, [r["woe"] for r in rows])
         if missing_value is not None:
             v = F.coalesce(v, F.lit(float(missing_value)))
         rules[feat + suffix] = v
     if suffix:
-        return df.select("*", *[e.alias(n) for n, e in rules.items()])
-    return df.select(*[rules[c].alias(c) if c in rules else F.col(f"`{c}`") for c in df.columns])
+        return out.select(*[df[c] for c in df.columns], *[e.alias(n) for n, e in rules.items()])
+    return out.select(*[rules[c].alias(c) if c in rules else df[c] for c in df.columns])
 
 
 # ------------------------------------------------------------------ E10 break table
@@ -263,29 +261,14 @@ def risk_groups_fit(df: DataFrame, col: str, label: str, target=1, upper: float
     return out
 
 
-def risk_groups_table(df: DataFrame, col: str, label: str, max_levels: int = MAX_LEVELS, **kw) -> list:
-    """``risk_groups_fit`` collected for ``risk_groups_apply`` (at most ``max_levels`` categories)."""
-    from featmart.operators.joins import collect_bounded
-    return collect_bounded(risk_groups_fit(df, col, label, **kw), max_levels, "risk-group table")
-
-
-def bins_table(df: DataFrame, label: str, cols: Sequence[str], prebins: int = 20, min_share: float = 0.05) -> list:
-    """``optimal_bins_fit`` collected for ``binned_apply`` (at most ``prebins`` rows per column)."""
-    from featmart.operators.joins import collect_bounded
-    return collect_bounded(optimal_bins_fit(df, label, cols, prebins, min_share), prebins * max(1, len(cols)),
-                           "bin table")
-
-
-def risk_groups_apply(df: DataFrame, col: str, table_rows: Sequence, upper: float = 8.2, lower: float = 8.2,
+def risk_groups_apply(df: DataFrame, col: str, table: DataFrame, upper: float = 8.2, lower: float = 8.2,
                       drop_source: bool = True) -> DataFrame:
+    """0/1 columns by an equi-join with ``risk_groups_fit``'s table; NULL and unseen categories get 0."""
     groups = ["high", "medium", "low"] if upper != lower else ["high", "low"]
-    exprs = []
-    for g in groups:
-        members = [r[col] for r in table_rows if r[g] == 1]
-        e = F.col(col).isin(members) if members else F.lit(False)
-        exprs.append(F.coalesce(e, F.lit(False)).cast("int").alias(f"{col}_{g}_risk"))
-    keep = [c for c in df.columns if not (drop_source and c == col and dict(df.dtypes)[c] == "string")]
-    return df.select(*keep, *exprs)
+    t = table.select(F.col(col).alias("_category"), *[F.col(g).alias(f"_{g}") for g in groups])
+    out = df.join(t, df[col] == F.col("_category"), "left")
+    keep = [df[c] for c in df.columns if not (drop_source and c == col and dict(df.dtypes)[c] == "string")]
+    return out.select(*keep, *[F.coalesce(f"_{g}", F.lit(0)).alias(f"{col}_{g}_risk") for g in groups])
 
 
 # ------------------------------------------------------------------ E12 scaling
@@ -302,16 +285,21 @@ def standardize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 # ------------------------------------------------------------------ E8 E9 optimal binning
+#
+# A pre-bin is a quantile interval (numeric) or a group of categories (categorical): categories are
+# ranked by event rate (ties by name) and cut into at most ``prebins`` groups of about equal size, so
+# any number of levels reduces to a bounded table. Merging then works on that table alone.
 
 BIN_SCHEMA = T.StructType([
     T.StructField("feature", T.StringType()), T.StructField("bin", T.IntegerType()),
-    T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()),
+    T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()),
     T.StructField("count", T.LongType()), T.StructField("events", T.LongType()),
     T.StructField("woe", T.DoubleType()), T.StructField("iv", T.DoubleType()),
 ])
+WOE_EPS = 0.5
 
 
-def _merge_bins(pdf, min_share: float, eps: float = 0.5):
+def _merge_bins(pdf, min_share: float, eps: float = WOE_EPS):
     """Adjacent-bin merging on one feature's pre-bin table (tiny; runs inside applyInPandas).
 
     Repeatedly merge the adjacent pair whose merge loses the least IV while some bin holds less
@@ -319,7 +307,7 @@ def _merge_bins(pdf, min_share: float, eps: float = 0.5):
     import numpy as np
     import pandas as pd
     pdf = pdf.sort_values("bin").reset_index(drop=True)
-    lo, hi = list(pdf["lo"]), list(pdf["hi"])
+    first, last = list(pdf["bin"]), list(pdf["bin"])
     cnt, ev = list(pdf["count"].astype(float)), list(pdf["events"].astype(float))
     te, tn = sum(ev), sum(cnt) - sum(ev)
 
@@ -347,56 +335,101 @@ def _merge_bins(pdf, min_share: float, eps: float = 0.5):
                 best, best_loss = i, loss
         cnt[best:best + 2] = [cnt[best] + cnt[best + 1]]
         ev[best:best + 2] = [ev[best] + ev[best + 1]]
-        hi[best:best + 2] = [hi[best + 1]]
-        lo[best:best + 2] = [lo[best]]
-    te, tn = sum(ev), sum(cnt) - sum(ev)
+        last[best:best + 2] = [last[best + 1]]
+        first[best:best + 2] = [first[best]]
     rows = []
     for i, (c, e) in enumerate(zip(cnt, ev)):
         de = (e + eps) / (te + eps * len(cnt))
         dn = (c - e + eps) / (tn + eps * len(cnt))
         w = float(np.log(de / dn))
-        rows.append((pdf["feature"].iloc[0], i, lo[i], hi[i], int(c), int(e), w, float((de - dn) * w)))
+        rows.append((pdf["feature"].iloc[0], i, int(first[i]), int(last[i]), int(c), int(e), w, float((de - dn) * w)))
     return pd.DataFrame(rows, columns=[f.name for f in BIN_SCHEMA.fields])
 
 
-def optimal_bins_fit(df: DataFrame, label: str, cols: Sequence[str], prebins: int = 20,
-                     min_share: float = 0.05) -> DataFrame:
-    """Supervised binning of numeric columns.
+class Bins:
+    """Fitted supervised bins: ``edges`` (numeric pre-bin edges by column), ``levels`` (feature, value,
+    prebin: the pre-bin of every category) and ``table`` (a row per final bin)."""
+
+    def __init__(self, edges: dict[str, list[float]], levels: DataFrame | None, table: DataFrame, cats: list[str]):
+        self.edges, self.levels, self.table, self.cats = edges, levels, table, cats
+
+
+def _category_prebins(lab: DataFrame, cols: Sequence[str], prebins: int) -> DataFrame:
+    """(feature, value, count, events, prebin) of every category."""
+    from featmart.operators.seq import sequence_features
+    u = unpivot_values(lab, cols, extra=["_y"]).filter(F.col("value").isNotNull())
+    g = u.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("count"), F.sum("_y").alias("events"))
+    g = g.withColumn("rate", F.col("events") / F.col("count"))
+    s = sequence_features(g, "feature", ["rate", "value"], {"_cum": ("running_sum", "count"), "_all": ("key_sum", "count"),
+                                                              "_rn": ("row_number",), "_n": ("key_count",)})
+    # few categories: one each; many: equal shares of the rows before and halfway into the category
+    share = F.floor((F.col("_cum") - F.col("count") / 2) * prebins / F.col("_all"))
+    one = F.col("_n") <= prebins
+    return s.select("feature", "value", "count", "events", F.when(one, F.col("_rn") - 1).otherwise(share).cast("int").alias("prebin"))
 
-    (1) quantile pre-bin edges of all columns in one aggregate; (2) one unpivot +
-    ``groupBy(feature, bin)`` event table - the only pass over the data; (3) adjacent merging on
-    each feature's <= ``prebins`` rows via ``groupBy(feature).applyInPandas`` (distributed over
-    features).  Returns (feature, bin, lo, hi, count, events, woe, iv); NULLs are not binned -
-    they get a fixed value at apply time (E9)."""
+
+def optimal_bins(df: DataFrame, label: str, num_cols: Sequence[str] = (), cat_cols: Sequence[str] = (), prebins: int = 20,
+                 min_share: float = 0.05) -> Bins:
+    """Supervised binning (E8) on the labelled rows: (1) pre-bins of all columns; (2) one unpivot +
+    ``groupBy(feature, bin)`` event table, the only pass over the data; (3) adjacent merging on each
+    feature's at most ``prebins`` rows via ``groupBy(feature).applyInPandas``, distributed over features.
+    NULLs are not binned - they get a fixed value at apply time (E9)."""
+    from featmart.session import cut_lineage
     spark = df.sparkSession
-    lab = df.filter(F.col(label).isNotNull())
-    edges = quantile_edges_fit(lab, cols, q=prebins)
-    binned = lab.select(F.col(label).cast("long").alias("_y"), *[bin_index(c, edges[c]).alias(c) for c in cols])
-    u = unpivot_values(binned, cols, extra=["_y"], as_string=False).filter(F.col("value").isNotNull())
-    g = u.groupBy("feature", F.col("value").cast("int").alias("bin")).agg(
-        F.count(F.lit(1)).alias("count"), F.sum("_y").alias("events"))
-    edge_rows = [(c, i, float(e[i]), float(e[i + 1])) for c, e in edges.items() for i in range(len(e) - 1)]
-    et = spark.createDataFrame(edge_rows, "feature string, bin int, lo double, hi double")
-    # features x prebins rows at most; empty pre-bins kept with zero counts
-    pre = F.broadcast(et).join(g, ["feature", "bin"], "left").select(
-        "feature", "bin", "lo", "hi", F.coalesce("count", F.lit(0)).alias("count"),
-        F.coalesce("events", F.lit(0)).alias("events"))
-    return pre.groupBy("feature").applyInPandas(lambda p: _merge_bins(p, min_share), BIN_SCHEMA)
-
-
-def binned_apply(df: DataFrame, bin_rows: Sequence, suffix: str = "_binned", missing_value: float = 0.0,
+    lab = df.filter(F.col(label).isNotNull()).withColumn("_y", F.col(label).cast("long"))
+    parts, edges, levels = [], {}, None
+    if num_cols:
+        edges = quantile_edges_fit(lab, num_cols, q=prebins)
+        binned = lab.select("_y", *[bin_index(c, edges[c]).alias(c) for c in num_cols])
+        u = unpivot_values(binned, num_cols, extra=["_y"], as_string=False).filter(F.col("value").isNotNull())
+        g = u.groupBy("feature", F.col("value").cast("int").alias("bin")).agg(
+            F.count(F.lit(1)).alias("count"), F.sum("_y").alias("events"))
+        every = spark.createDataFrame([(c, i) for c, e in edges.items() for i in range(max(1, len(e) - 1))] or [("", 0)], "feature string, bin int")
+        # columns x prebins rows; empty pre-bins kept with zero counts
+        parts.append(every.join(g, ["feature", "bin"], "left").select(
+            "feature", "bin", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("events", F.lit(0)).alias("events")))
+    if cat_cols:
+        levels = cut_lineage(_category_prebins(lab, cat_cols, prebins))
+        parts.append(levels.groupBy("feature", F.col("prebin").alias("bin")).agg(F.sum("count").alias("count"), F.sum("events").alias("events")))
+        levels = levels.select("feature", "value", "prebin")
+    pre = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    table = pre.groupBy("feature").applyInPandas(lambda p: _merge_bins(p, min_share), BIN_SCHEMA)
+    return Bins(edges, levels, cut_lineage(table), list(cat_cols))
+
+
+def bin_edges(bins: Bins) -> DataFrame:
+    """The table with (lo, hi] edges for numeric bins (NULL for categorical ones)."""
+    rows = [(c, i, float(x)) for c, e in bins.edges.items() for i, x in enumerate(e)]
+    et = bins.table.sparkSession.createDataFrame(rows or [("", 0, 0.0)], "feature string, i int, x double")
+    lo = et.select("feature", F.col("i").alias("first"), F.col("x").alias("lo"))
+    hi = et.select("feature", (F.col("i") - 1).alias("last"), F.col("x").alias("hi"))
+    return bins.table.join(lo, ["feature", "first"], "left").join(hi, ["feature", "last"], "left").select(
+        "feature", "bin", "lo", "hi", "count", "events", "woe", "iv")
+
+
+def optimal_bins_fit(df: DataFrame, label: str, cols: Sequence[str], prebins: int = 20, min_share: float = 0.05) -> DataFrame:
+    """Bins of numeric columns as one table (feature, bin, lo, hi, count, events, woe, iv)."""
+    return bin_edges(optimal_bins(df, label, cols, (), prebins, min_share))
+
+
+def binned_apply(df: DataFrame, bins: Bins, cols: Sequence[str] | None = None, suffix: str = "_binned", missing_value: float = 0.0,
                  keep: str = "both") -> DataFrame:
-    """WoE of the fitted bin for every column (E9); NULL or out-of-range -> ``missing_value``.
+    """WoE of the fitted bin for every column (E9); NULL, out-of-range or unseen -> ``missing_value``.
     keep: 'both' (originals + binned), 'binned' (binned only)."""
-    by_feat: dict[str, list] = {}
-    for r in bin_rows:
-        by_feat.setdefault(r["feature"], []).append(r)
-    exprs = []
-    for feat, rows in by_feat.items():
-        rows = sorted(rows, key=lambda r: r["bin"])
-        edges = [rows[0]["lo"]] + [r["hi"] for r in rows]
-        b = bin_index(F.col(feat).cast("double"), edges)
-        v = _bin_lookup(b, [r["woe"] for r in rows])
-        exprs.append(F.coalesce(v, F.lit(float(missing_value))).alias(feat + suffix))
-    base = [F.col(f"`{c}`") for c in df.columns if keep == "both" or c not in by_feat]
-    return df.select(*base, *exprs)
+    woe: dict[str, list] = {}
+    for r in bins.table.collect():                   # columns x prebins rows at most
+        woe.setdefault(r["feature"], []).append(r)
+    cols = [c for c in (cols or woe) if c in woe]
+    out, exprs = df, {}
+    for i, c in enumerate(cols):
+        rows = sorted(woe[c], key=lambda r: r["bin"])
+        by_prebin = [next((r["woe"] for r in rows if r["first"] <= b <= r["last"]), None) for b in range(rows[-1]["last"] + 1)]
+        if c in bins.cats:
+            t = bins.levels.filter(F.col("feature") == c).select(F.col("value").alias(f"_v{i}"), F.col("prebin").alias(f"_p{i}"))
+            out = out.join(t, df[c].cast("string") == F.col(f"_v{i}"), "left")
+            v = _bin_lookup(F.col(f"_p{i}"), [w if w is not None else missing_value for w in by_prebin])
+        else:
+            v = _bin_lookup(bin_index(df[c].cast("double"), bins.edges[c]), by_prebin)
+        exprs[c] = F.coalesce(v, F.lit(float(missing_value))).alias(c + suffix)
+    base = [df[c] for c in df.columns if keep == "both" or c not in exprs]
+    return out.select(*base, *[exprs[c] for c in cols])

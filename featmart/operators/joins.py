@@ -5,10 +5,8 @@ Broadcast policy
 * Ordinary joins carry no hint: AQE measures the materialised shuffle stage and switches to a
   broadcast join only below ``spark.sql.adaptive.autoBroadcastJoinThreshold`` - a size check
   made at run time, with sort-merge as the path beyond it.
-* ``bounded_broadcast`` is for fitted parameter tables whose row count is bounded by
-  construction (features x bins); the bound is asserted before the hint is added.
-* ``checked_broadcast`` is for lookup tables whose size is not known in advance (a category
-  table): it counts the rows and hints only under the limit.
+* No operator hints a broadcast; ``collect_bounded`` fetches parameter tables that are bounded by
+  construction (a row per column or per bin).
 """
 
 from __future__ import annotations
@@ -18,24 +16,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_ROWS = 1_000_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if ``df`` has at most ``max_rows`` rows (one small counting job)."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def bounded_broadcast(df: DataFrame, bound: int) -> DataFrame:
-    """Broadcast a table whose size is bounded by construction (``bound`` rows at most).
-    The bound is verified with a ``limit(bound + 1)`` count, which stops early."""
-    n = df.limit(bound + 1).count()
-    if n > bound:
-        raise ValueError(f"table exceeds its structural bound of {bound} rows")
-    return F.broadcast(df)
-
-
 def collect_bounded(df: DataFrame, bound: int, what: str = "fitted table") -> list:
     """Collect a small parameter table to the driver, refusing if it has more than ``bound``
     rows (fetches at most ``bound + 1`` rows, so an oversized table is never pulled whole)."""
@@ -90,11 +70,6 @@ def union_named(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def with_source_flag(df: DataFrame, name: str, value) -> DataFrame:
-    """Source flag column."""
-    return df.withColumn(name, F.lit(value))
-
-
 def group_stat_on_rows(df: DataFrame, keys: Sequence[str], exprs: dict) -> DataFrame:
     """Group statistics attached to every detail row.
 

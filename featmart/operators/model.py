@@ -1,6 +1,7 @@
 """Model-derived features, scoring and metrics on Spark ML.
 
-* folds are a hash of the entity id (entity-level, reproducible in SQL, no shuffle);
+* folds come from a hash of the entity id, ranked within each label class (whole entities, reproducible
+  in SQL);
 * every model is a Spark ML estimator (distributed training); out-of-fold scores are the union
   of k held-out prediction sets, never collected;
 * AUC is exact: a rank-sum over distinct scores whose cumulative negative counts come from the
@@ -27,6 +28,16 @@ def hash_fold(id_col: str | Column, k: int = 5, seed: int = FOLD_SEED) -> Column
     return F.pmod(h, F.lit(k)).cast("int")
 
 
+def stratified_folds(df: DataFrame, entity: str, label: str, k: int = 5, seed: int = FOLD_SEED) -> DataFrame:
+    """(entity, fold) for each entity with a label: within each label class the entities are ranked by
+    their md5 hash and dealt out in turn, so whole entities stay together and every fold has each
+    class's share to within one entity (M1). An entity's class is its largest label."""
+    h = F.md5(F.concat(F.col(entity).cast("string"), F.lit(f"-{seed}")))
+    e = df.filter(F.col(label).isNotNull()).groupBy(entity).agg(F.max(label).alias("_class")).withColumn("_h", h)
+    r = sequence_features(e, "_class", ["_h", entity], {"_rn": ("row_number",)})
+    return r.select(entity, F.pmod(F.col("_rn") - 1, F.lit(k)).cast("int").alias("fold"))
+
+
 def _prob1(col: str = "probability") -> Column:
     from pyspark.ml.functions import vector_to_array
     return vector_to_array(F.col(col))[1]
@@ -64,23 +75,22 @@ def logistic(n_rows: int, C: float = 1.0, max_iter: int = 100):
 
 def _prepare_numeric(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """+-inf -> NULL before imputation (P3 inside the model input)."""
-    out = df
-    for c in features:
+    def finite(c):
         x = F.col(c).cast("double")
-        out = out.withColumn(c, F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x))
-    return out
+        return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
+    return df.withColumns({c: finite(c) for c in features})
 
 
 def oof_scores(df: DataFrame, id_col: str, entity_col: str, label: str, numeric: Sequence[str],
                categorical: Sequence[str] = (), k: int = 5, C: float = 1.0, max_iter: int = 100) -> DataFrame:
     """Out-of-fold logistic scores (M2).
 
-    Folds are assigned per entity (all rows of one entity share a fold).  For each fold f a
+    Folds are stratified by label and assigned per entity (all rows of one entity share a fold).  For each fold f a
     pipeline (M4 + logistic) is fitted on the labelled rows outside f and scores the labelled rows
     in f; unlabelled rows get the mean of the k models' scores.  Returns (id, entity, fold,
     label, score)."""
-    d = _prepare_numeric(df, numeric).withColumn("_fold", hash_fold(entity_col, k)).withColumn(
-        "_label", F.col(label).cast("double"))
+    folds = stratified_folds(df, entity_col, label, k).withColumnRenamed("fold", "_fold")
+    d = _prepare_numeric(df, numeric).join(folds, entity_col, "left").withColumn("_label", F.col(label).cast("double"))
     # k fits and 2k transforms read the input: materialise it once in the shared checkpoint
     # directory (also cuts the lineage, so a lost executor does not replay the upstream joins)
     d = cut_lineage(d)
@@ -118,7 +128,7 @@ def auc(df: DataFrame, score: str, label: str, chunk_rows: int = 200_000, by: Se
     d = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
     g = d.groupBy(*by, F.col(score).alias("_s")).agg(
         F.sum((F.col(label) == 1).cast("long")).alias("_p"), F.sum((F.col(label) == 0).cast("long")).alias("_n"))
-    g = g.withColumn("_all", F.lit(0))
+    g = cut_lineage(g.withColumn("_all", F.lit(0)))          # read by the size check and the running sum
     c = sequence_features(g, ["_all", *by], ["_s"], {"_cn": ("running_sum", "_n")}, chunk_rows=chunk_rows)
     r = c.groupBy(*by).agg(F.sum(F.col("_p") * (F.col("_cn") - F.col("_n") * 0.5)).alias("_num"),
                            F.sum("_p").alias("_P"), F.sum("_n").alias("_N"))

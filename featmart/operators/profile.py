@@ -6,6 +6,7 @@ needed); the results are small tables, charts are left to the caller.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -100,20 +101,24 @@ def five_numbers(df: DataFrame, col: str, label: str, exact: bool = True) -> Dat
                     (q1 - (q3 - q1) * 1.5).alias("fence_low"), (q3 + (q3 - q1) * 1.5).alias("fence_high"))
 
 
-def histogram(df: DataFrame, col: str, bins: int, by: str | None = None,
+def histogram(df: DataFrame, col: str, bins: int | None = None, by: str | None = None,
               lo: float | None = None, hi: float | None = None, density: bool = False) -> DataFrame:
-    """Equal-width histogram on [min, max] (or given limits; values outside dropped),
-    the last bin closed, optionally split by a label; ``density`` normalises each class to
+    """Equal-width histogram between the smallest and largest value, the last bin closed,
+    optionally split by a label. ``bins=None`` takes int(1 + log2 of the rows of ``df``). Only values
+    strictly between ``lo`` and ``hi`` count, where given. ``density`` normalises each class to
     integrate to one."""
     x = F.col(col).cast("double")
     d = df.filter(x.isNotNull())
     if lo is not None:
-        d = d.filter(x >= F.lit(lo))
+        d = d.filter(x > F.lit(lo))
     if hi is not None:
-        d = d.filter(x <= F.lit(hi))
+        d = d.filter(x < F.lit(hi))
+    if bins is None:
+        bins = int(1 + math.log2(max(1, df.count())))
     mm = d.agg(F.min(x).alias("a"), F.max(x).alias("b")).first()
-    a = lo if lo is not None else mm["a"]
-    b = hi if hi is not None else mm["b"]
+    a, b = mm["a"], mm["b"]
+    if a is None:
+        a = b = 0.0
     width = (b - a) / bins if b > a else 1.0
     idx = F.least(F.floor((x - F.lit(a)) / F.lit(width)), F.lit(bins - 1)).cast("int")
     keys = [by] if by else []

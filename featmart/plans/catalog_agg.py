@@ -158,10 +158,8 @@ def q_agg_all_numeric(spark, sf):
         "o_custkey", "o_totalprice",
         F.datediff(F.col("o_orderdate"), F.lit("1995-01-01").cast("date")).alias("days"),
         F.substring("o_orderpriority", 1, 1).cast("int").alias("prio"), "o_orderkey")
-    nums = o.drop("o_orderkey")
-    out = A.aggregate_all(nums, "o_custkey", fns=("min", "max", "mean", "var", "sum"), with_size=True)
-    keys = o.groupBy("o_custkey").agg(F.count("o_orderkey").alias("n_keys"))
-    return out.join(keys, "o_custkey")
+    return A.aggregate_all(o, "o_custkey", fns=("min", "max", "mean", "var", "sum"), with_size=True, exclude=["o_orderkey"],
+                           extra=[F.count("o_orderkey").alias("n_keys")])
 
 
 # ------------------------------------------------------------------ A4
@@ -204,13 +202,17 @@ def q_two_step_agg(spark, sf):
     """Max per (customer, order) then sum / mean per customer; distinct counts."""
     li = load(spark, sf, "lineitem", ["l_orderkey", "l_partkey", "l_returnflag", "l_extendedprice"])
     o = load(spark, sf, "orders", ["o_orderkey", "o_custkey"])
-    j = li.join(o, li.l_orderkey == o.o_orderkey)
-    per_order = j.groupBy("o_custkey", "o_orderkey").agg(F.max("l_extendedprice").alias("mx"))
-    s = per_order.groupBy("o_custkey").agg(F.sum("mx").alias("max_line_sum"), F.avg("mx").alias("max_line_mean"),
-                                           F.count(F.lit(1)).alias("n_orders_with_lines"))
-    d = j.groupBy("o_custkey").agg(F.countDistinct("l_partkey").alias("n_parts"),
-                                   F.countDistinct("l_returnflag").alias("n_flags"))
-    return s.join(d, "o_custkey")
+    # (order, part, flag) first, so lines are read and joined once; an order's parts stay as counted rows
+    cells = li.groupBy("l_orderkey", "l_partkey", "l_returnflag").agg(F.max("l_extendedprice").alias("mx")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    u = cells.select("o_custkey", F.explode(F.array(
+        F.struct(F.lit(0).alias("kind"), F.col("l_orderkey").alias("k"), F.col("mx").alias("x")),
+        F.struct(F.lit(1).alias("kind"), F.col("l_partkey").cast("bigint").alias("k"), F.lit(None).cast("double").alias("x")),
+        F.struct(F.lit(2).alias("kind"), F.ascii("l_returnflag").cast("bigint").alias("k"), F.lit(None).cast("double").alias("x")))).alias("c"))
+    per = u.groupBy("o_custkey", "c.kind", "c.k").agg(F.max("c.x").alias("mx"))
+    order = F.col("kind") == 0
+    return per.groupBy("o_custkey").agg(
+        F.sum("mx").alias("max_line_sum"), F.avg("mx").alias("max_line_mean"), F.count(F.when(order, 1)).alias("n_orders_with_lines"),
+        F.count(F.when(F.col("kind") == 1, 1)).alias("n_parts"), F.count(F.when(F.col("kind") == 2, 1)).alias("n_flags"))
 
 
 # ------------------------------------------------------------------ A9 A11
@@ -241,12 +243,11 @@ SELECT * FROM a JOIN b USING (o_custkey)
 """)
 def q_cond_agg_category(spark, sf):
     """Conditional aggregates per category value with a null-safe remainder block, and one-hot
-    counts / shares without materialised dummies (A9, A11) - each a single pass."""
+    counts / shares without materialised dummies (A9, A11), all in one group-by."""
     o = load(spark, sf, "orders", ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"])
     spec = A.AggSpec([("price", ["sum", "mean", "max", "size"], "o_totalprice")])
-    a = A.cond_agg(o, "o_custkey", "o_orderstatus", ["F", "O"], spec)
-    b = A.category_counts(o, "o_custkey", "o_orderpriority", _PRIOS)
-    return a.join(b, "o_custkey")
+    exprs = A.cond_agg_exprs("o_orderstatus", ["F", "O"], spec) + A.category_count_exprs("o_orderpriority", _PRIOS)
+    return o.filter(F.col("o_custkey").isNotNull()).groupBy("o_custkey").agg(*exprs)
 
 
 # ------------------------------------------------------------------ A10

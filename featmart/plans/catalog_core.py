@@ -15,7 +15,9 @@ from featmart.operators.joins import union_named
 from featmart.plans.compare import rs
 from featmart.plans.registry import query
 from featmart.session import checkpoint_dir
-from featmart.sources import SCHEMAS, load, read_csv, split_by_label, write_scores, write_table
+from featmart.sources import (
+    SCHEMAS, limit_rows, load, load_json, load_vectors, read_csv, save_json, save_vectors, split_by_label, write_scores, write_table,
+)
 
 INF = float("inf")
 
@@ -40,6 +42,32 @@ def q_label_split(spark, sf):
                                      F.avg("toxic").alias("toxic_rate"), F.avg("quality").alias("quality_rate"))
 
 
+# ------------------------------------------------------------------ S3
+@query("limited_scan", "SELECT least(count(*), 500) AS n, CAST(least(count(DISTINCT o_orderkey), 500) AS BIGINT) AS n_ids FROM orders")
+def q_limited_scan(spark, sf):
+    """Row-limited scan: at most 500 rows, each a row of the table (S3)."""
+    o = load(spark, sf, "orders", ["o_orderkey", "o_custkey"])
+    head = limit_rows(o, 500).join(o.select("o_orderkey").distinct(), "o_orderkey")
+    return head.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("n_ids"))
+
+
+# ------------------------------------------------------------------ S6 S7
+@query("spec_and_vector_handoff", f"""
+SELECT o_orderstatus AS status, CAST(o_custkey % 3 AS INTEGER) AS fold, count(*) AS n, {rs('sum(o_totalprice)')} AS price_sum, {rs('max(o_totalprice)')} AS price_max
+FROM orders GROUP BY 1, 2
+""")
+def q_spec_and_vector_handoff(spark, sf):
+    """An aggregate spec as JSON and id / fold vectors as Parquet in the shared folder, read back by the
+    next step and used (S6, S7)."""
+    base = os.path.join(checkpoint_dir(spark), "featmart-io", uuid.uuid4().hex)
+    o = load(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"])
+    save_json(spark, {"spec": AggSpec([("price", ["sum", "max"], "o_totalprice")]).to_json()}, f"{base}/spec")
+    save_vectors(o.withColumn("fold", (F.col("o_custkey") % 3).cast("int")), f"{base}/folds", ["o_orderkey", "fold"])
+    spec = AggSpec.from_json(load_json(spark, f"{base}/spec")["spec"])
+    d = o.join(load_vectors(spark, f"{base}/folds"), "o_orderkey")
+    return d.groupBy(F.col("o_orderstatus").alias("status"), "fold").agg(F.count(F.lit(1)).alias("n"), *spec.columns())
+
+
 # ------------------------------------------------------------------ S1-S8
 @query("scan_sink_roundtrip", f"""
 SELECT o_orderkey, o_custkey, o_orderstatus, {rs('o_totalprice')} AS o_totalprice, o_orderdate,
@@ -59,8 +87,6 @@ def q_scan_sink_roundtrip(spark, sf):
     write_scores(back_pq.withColumn("score", F.col("o_totalprice") / F.lit(1e6)), "o_orderkey", "score",
                  f"{base}/scores")
     scores = read_csv(spark, f"{base}/scores", schema="o_orderkey INT, score DOUBLE").toDF("score_id", "score")
-    spec = AggSpec([("price", ["sum"], "o_totalprice")])
-    assert AggSpec.from_json(spec.to_json()).to_json() == spec.to_json()
     return back_csv.join(scores, back_csv.o_orderkey == scores.score_id.cast("bigint"), "inner")
 
 

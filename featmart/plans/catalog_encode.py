@@ -56,8 +56,7 @@ def q_label_codes(spark, sf):
     o = load(spark, sf, "orders", ["o_orderpriority", "o_orderstatus"])
     prio = EN.sorted_codes_fit(o, "o_orderpriority")
     stat = EN.frequency_codes_fit(o, "o_orderstatus")
-    c = o.select(EN.codes_apply("o_orderpriority", prio).alias("prio_code"),
-                 EN.codes_apply("o_orderstatus", stat).alias("status_code"))
+    c = EN.codes_apply(EN.codes_apply(o, "o_orderpriority", prio, "prio_code"), "o_orderstatus", stat, "status_code")
     return c.groupBy("prio_code", "status_code").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -80,7 +79,7 @@ def q_quantile_bins(spark, sf):
     g = binned.groupBy("feature", F.col("value").cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     et = spark.createDataFrame([(c, i, e[i], e[i + 1]) for c, e in edges.items() for i in range(len(e) - 1)],
                                "feature string, bin int, lo double, hi double")
-    return g.join(F.broadcast(et), ["feature", "bin"], "left").select("feature", "bin", "lo", "hi", "n")
+    return g.join(et, ["feature", "bin"], "left").select("feature", "bin", "lo", "hi", "n")
 
 
 # ------------------------------------------------------------------ E5 E7 categorical
@@ -124,11 +123,11 @@ FROM b LEFT JOIN f fs ON fs.feature = 'c_mktsegment' AND fs.value = coalesce(b.c
        LEFT JOIN f fn ON fn.feature = 'c_nationkey' AND fn.value = coalesce(b.c_nationkey, 'Missing')
 """)
 def q_woe_apply_categorical(spark, sf):
-    """Fitted categorical WoE applied to every customer through literal maps."""
+    """Fitted categorical WoE applied to every customer through joins with the fitted table."""
     c = load(spark, sf, "customer", ["c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal"]).select(
         "c_custkey", "c_mktsegment", F.col("c_nationkey").cast("string").alias("c_nationkey"),
         (F.col("c_acctbal") < 0).cast("int").alias("y"))
-    table = EN.woe_table(c, "y", cat_cols=["c_mktsegment", "c_nationkey"])
+    table = EN.woe_fit(c, "y", cat_cols=["c_mktsegment", "c_nationkey"])
     return EN.woe_apply(c, table).select("c_custkey", "c_mktsegment", "c_nationkey")
 
 
@@ -170,7 +169,7 @@ def q_woe_apply_numeric(spark, sf):
     NULL (E7)."""
     docs = load(spark, sf, "documents", ["doc_id", "n_chars"])
     lab = docs.join(load(spark, sf, "labels", ["doc_id", "toxic"]), "doc_id")
-    table = EN.woe_table(lab.select("n_chars", "toxic"), "toxic", num_cols=["n_chars"])
+    table = EN.woe_fit(lab.select("n_chars", "toxic"), "toxic", num_cols=["n_chars"])
     return EN.woe_apply(docs, table, suffix="_woe").select("doc_id", "n_chars_woe")
 
 
@@ -242,7 +241,7 @@ def q_risk_groups_apply(spark, sf):
     columns replacing the string source (E11)."""
     c = load(spark, sf, "customer", ["c_custkey", "c_mktsegment", "c_acctbal"]).withColumn(
         "y", (F.col("c_acctbal") < 0).cast("int"))
-    table = EN.risk_groups_table(c, "c_mktsegment", "y", upper=9.0, lower=7.0)
+    table = EN.risk_groups_fit(c, "c_mktsegment", "y", upper=9.0, lower=7.0)
     out = EN.risk_groups_apply(c, "c_mktsegment", table, upper=9.0, lower=7.0)
     return out.select("c_custkey", "c_mktsegment_high_risk", "c_mktsegment_medium_risk", "c_mktsegment_low_risk")
 

@@ -1,17 +1,21 @@
 """Catalogue: model-derived features, metrics, supervised binning and importances
-(SURVEY §2.11, E8/E9/Q7, Q8/Q9).  Fitted-model outputs have no SQL oracle (rows-only check);
-folds, AUC and the classification report have exact oracles."""
+(SURVEY §2.11, E8/E9/Q7, Q8/Q9).  A fitted score has no SQL form, so the queries on models return what is
+determined - which rows are scored, in which fold, whether the scores are probabilities and the statistics
+and metrics follow from them - and have exact oracles; the marts return the scores themselves."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from featmart.operators import encode as EN
 from featmart.operators import model as MD
 from featmart.operators import select as SE
+from featmart.operators import seq
 from featmart.operators.agg import dist_pack
 from featmart.plans.compare import rs
 from featmart.plans.registry import query
+from featmart.session import cut_lineage
 from featmart.sources import load
 
 _FOLD_SQL = "CAST(CAST(('0x' || substr(md5(CAST(c_custkey AS VARCHAR) || '-42'), 1, 8)) AS BIGINT) % 5 AS INTEGER)"
@@ -28,15 +32,27 @@ def q_hash_folds(spark, sf):
         F.count(F.lit(1)).alias("n"))
 
 
+_STRAT = """SELECT c_custkey, y, CAST((row_number() OVER (PARTITION BY y ORDER BY md5(CAST(c_custkey AS VARCHAR) || '-42'), c_custkey) - 1) % 5 AS INTEGER) AS fold
+FROM ({src}) WHERE y IS NOT NULL"""
+
+
+@query("stratified_folds", _STRAT.format(src="SELECT c_custkey, CAST(c_acctbal < 0 AS INTEGER) AS y FROM customer"))
+def q_stratified_folds(spark, sf):
+    """Stratified 5 folds of whole customers, by hash rank within each label class (M1)."""
+    c = load(spark, sf, "customer", ["c_custkey", "c_acctbal"]).select("c_custkey", (F.col("c_acctbal") < 0).cast("int").alias("y"))
+    return MD.stratified_folds(c, "c_custkey", "y").join(c, "c_custkey").select("c_custkey", "y", "fold")
+
+
 # ------------------------------------------------------------------ order mart used by the model queries
 def order_features(spark, sf):
-    """One row per order with numeric / categorical inputs and the customer's label A."""
+    """One row per order with numeric / categorical inputs and the customer's label A; every seventh
+    customer has no label."""
     o = load(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority",
                                    "o_orderstatus"])
     li = load(spark, sf, "lineitem", ["l_orderkey", "l_quantity", "l_discount"]).groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("n_lines"), F.avg("l_discount").alias("disc_mean"), F.sum("l_quantity").alias("qty"))
     c = load(spark, sf, "customer", ["c_custkey", "c_acctbal"]).select(
-        "c_custkey", (F.col("c_acctbal") < 0).cast("int").alias("y"))
+        "c_custkey", F.when(F.col("c_custkey") % 7 != 0, (F.col("c_acctbal") < 0).cast("int")).alias("y"))
     d = (o.join(li, o.o_orderkey == li.l_orderkey, "left").join(c, o.o_custkey == c.c_custkey)
          .select("o_orderkey", "o_custkey", "y", "o_totalprice", "n_lines", "disc_mean", "qty",
                  F.datediff("o_orderdate", F.lit("1995-01-01").cast("date")).cast("double").alias("days"),
@@ -48,19 +64,43 @@ _NUM = ["o_totalprice", "n_lines", "disc_mean", "qty", "days", "prio"]
 
 
 # ------------------------------------------------------------------ M2 M3
-@query("oof_scores")
+def oof(spark, sf):
+    return MD.oof_scores(order_features(spark, sf), "o_orderkey", "o_custkey", "y", _NUM, ["o_orderstatus"], k=5)
+
+
+def nested_mart(spark, sf):
+    """Nine statistics of the OOF order scores per customer."""
+    return dist_pack(oof(spark, sf), "o_custkey", "score", prefix="oof_")
+
+
+_OOF_SQL = f"""
+WITH l AS (SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_acctbal < 0 AS INTEGER) END AS y FROM customer),
+f AS ({_STRAT.format(src="SELECT l.c_custkey, l.y FROM l WHERE l.c_custkey IN (SELECT o_custkey FROM orders)")})
+SELECT o.o_orderkey, o.o_custkey, l.y, CAST(coalesce(f.fold, -1) AS INTEGER) AS fold, true AS is_probability
+FROM orders o JOIN l ON o.o_custkey = l.c_custkey LEFT JOIN f ON f.c_custkey = o.o_custkey
+"""
+
+
+@query("oof_scores", _OOF_SQL)
 def q_oof_scores(spark, sf):
-    """Out-of-fold logistic score per order, folds by customer, preprocessing pipeline inside
-    each fold (M2, M4)."""
-    d = order_features(spark, sf)
-    return MD.oof_scores(d, "o_orderkey", "o_custkey", "y", _NUM, ["o_orderstatus"], k=5)
+    """Out-of-fold logistic score per order, stratified folds by customer, preprocessing inside each
+    fold, unlabelled orders scored by all models (M2, M4): every order is scored once, in its
+    customer's fold, with a probability."""
+    s = F.col("score")
+    return oof(spark, sf).select("o_orderkey", "o_custkey", "y", "fold", F.coalesce((s >= 0) & (s <= 1), F.lit(False)).alias("is_probability"))
 
 
-@query("mart_nested")
+@query("mart_nested", """
+SELECT o_custkey, count(*) AS oof_size, true AS in_order, true AS sum_is_mean_times_size
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1
+""")
 def q_mart_nested(spark, sf):
-    """Nested-model mart: nine statistics of the OOF order scores per customer."""
-    s = q_oof_scores(spark, sf)
-    return dist_pack(s, "o_custkey", "score", prefix="oof_")
+    """Nested-model mart: nine statistics of the OOF order scores per customer, and how they must relate
+    (D9, M3, A21)."""
+    m = nested_mart(spark, sf)
+    lo, hi, mean, med = (F.col(f"oof_{x}") for x in ("min", "max", "mean", "median"))
+    return m.select("o_custkey", "oof_size", ((lo >= 0) & (lo <= med) & (med <= hi) & (lo <= mean + 1e-12) & (mean <= hi + 1e-12) & (hi <= 1)).alias("in_order"),
+                    (F.abs(F.col("oof_sum") - mean * F.col("oof_size")) < 1e-6).alias("sum_is_mean_times_size"))
 
 
 # ------------------------------------------------------------------ M7 M5
@@ -88,12 +128,10 @@ def _cust_mart(spark, sf):
 
 @query("auc_gini", f"WITH m AS ({_MART_SQL})\n{_auc_sql('spend', 'spend')}\nUNION ALL\n{_auc_sql('n_orders', 'n_orders')}")
 def q_auc_gini(spark, sf):
-    """Exact ROC AUC (ties = 1/2) and Gini of raw customer features against label A (M7, M5)."""
-    m = _cust_mart(spark, sf)
-    a = MD.auc(m, "spend", "y", chunk_rows=64).withColumn("feature", F.lit("spend"))
-    b = MD.auc(m.withColumn("n_orders", F.col("n_orders").cast("double")), "n_orders", "y", chunk_rows=8).withColumn(
-        "feature", F.lit("n_orders"))
-    return a.unionByName(b).select("feature", "auc", "gini", "n_pos", "n_neg")
+    """Exact ROC AUC (ties = 1/2) and Gini of raw customer features against label A, all features in one
+    run (M7, M5)."""
+    u = EN.unpivot_values(_cust_mart(spark, sf), ["spend", "n_orders"], extra=["y"], as_string=False)
+    return MD.auc(u, "value", "y", chunk_rows=64, by=["feature"]).select("feature", "auc", "gini", "n_pos", "n_neg")
 
 
 # ------------------------------------------------------------------ M8
@@ -123,51 +161,103 @@ def _docs(spark, sf):
     return d.join(lab, "doc_id", "left").withColumn("n_chars", F.col("n_chars").cast("double"))
 
 
-@query("train_predict")
+@query("train_predict", """
+SELECT CAST(d.doc_id AS INTEGER) AS doc_id, true AS is_probability FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic IS NULL
+""")
 def q_train_predict(spark, sf):
-    """Fit the preprocessing + logistic pipeline on labelled documents, score the unlabelled
-    ones; id as int32 plus probability (M4, M6, S8)."""
+    """Fit the preprocessing + logistic pipeline on labelled documents, score the unlabelled ones: each
+    once, with a probability (M4, M6, S8)."""
     d = _docs(spark, sf)
-    return MD.fit_and_score(d, d.filter(F.col("toxic").isNull()), "doc_id", "toxic", ["n_chars"], ["lang", "source"])
+    s = MD.fit_and_score(d, d.filter(F.col("toxic").isNull()), "doc_id", "toxic", ["n_chars"], ["lang", "source"])
+    return s.select("doc_id", F.col("score").between(0, 1).alias("is_probability"))
 
 
-@query("cv_auc")
+_CV_FOLDS = """SELECT toxic, CAST((row_number() OVER (PARTITION BY toxic ORDER BY md5(CAST(doc_id AS VARCHAR) || '-42'), doc_id) - 1) % 5 AS INTEGER) AS fold
+FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL"""
+
+
+@query("cv_auc", f"""
+SELECT fold, CAST(sum(toxic) AS BIGINT) AS n_pos, CAST(sum(1 - toxic) AS BIGINT) AS n_neg, true AS auc_follows, true AS summary_follows
+FROM ({_CV_FOLDS}) GROUP BY 1
+""")
 def q_cv_auc(spark, sf):
-    """5-fold cross-validated AUC / Gini per fold and their summary (M5, M9)."""
+    """5-fold cross-validated AUC / Gini per fold and their summary, recomputed from the written scores by
+    another formula: the mean rank of the positives (M5, M9)."""
     d = _docs(spark, sf).filter(F.col("toxic").isNotNull())
-    per = MD.cross_validate(d, "doc_id", "toxic", ["n_chars"], ["lang", "source"], k=5)
-    summary = MD.fold_summary(per).first()          # one row: the k fold AUCs summarised
-    return per.select("*", *[F.lit(summary[c]).alias(c) for c in summary.__fields__])
+    scores = cut_lineage(MD.oof_scores(d, "doc_id", "doc_id", "toxic", ["n_chars"], ["lang", "source"], k=5))
+    per = cut_lineage(MD.auc(scores, "score", "toxic", by=["fold"]))
+    s = MD.fold_summary(per).first()          # one row: the k fold AUCs summarised
+    counts = scores.groupBy("fold", "score").agg(F.sum("toxic").alias("p"), F.count(F.lit(1)).alias("n"))
+    run = seq.sequence_features(counts, "fold", ["score"], {"cum": ("running_sum", "n")})
+    ranks = run.groupBy("fold").agg(F.sum(F.col("p") * (F.col("cum") - (F.col("n") - 1) / 2)).alias("rank_sum"))
+    p, n = F.col("n_pos"), F.col("n_neg")
+    again = F.try_divide(F.col("rank_sum") - p * (p + 1) / 2, p * n)
+    aucs = [r["auc"] for r in per.select("auc").collect()]          # k numbers
+    ok = all(a is not None for a in aucs) and abs(s["auc_mean"] - sum(aucs) / len(aucs)) < 1e-9 and s["auc_min"] == min(aucs) and s["auc_max"] == max(aucs)
+    same = (F.abs(F.col("auc") - again) < 1e-9) & (F.abs(F.col("gini") - (2 * again - 1)) < 1e-9)
+    return per.join(ranks, "fold").select("fold", "n_pos", "n_neg", same.alias("auc_follows"), F.lit(bool(ok)).alias("summary_follows"))
 
 
 # ------------------------------------------------------------------ E8 E9 Q7
 def _bin_inputs(spark, sf):
     d = order_features(spark, sf)
-    per_c = d.groupBy("o_custkey", "y").agg(
+    return d.groupBy("o_custkey", "y").agg(
+        F.max("o_orderstatus").alias("top_status"), (F.col("o_custkey") % 83).cast("string").alias("nation"),
         F.avg("o_totalprice").alias("price_mean"), F.max("o_totalprice").alias("price_max"),
         F.avg("n_lines").alias("lines_mean"), F.avg("disc_mean").alias("disc_mean"),
         F.sum("qty").alias("qty_sum"), F.count(F.lit(1)).alias("n_orders"))
-    return per_c
 
 
 _BIN_COLS = ["price_mean", "price_max", "lines_mean", "disc_mean", "qty_sum", "n_orders"]
 
 
-@query("optimal_bins")
-def q_optimal_bins(spark, sf):
-    """Supervised binning: 20 quantile pre-bins, adjacent merging for minimum bin share and a
-    monotone event rate, WoE and IV per bin; IV per feature with the 0.02 selection (E8, Q7)."""
-    b = EN.optimal_bins_fit(_bin_inputs(spark, sf), "y", _BIN_COLS, prebins=20, min_share=0.05)
-    iv = SE.information_value(b, 0.02).select("feature", F.col("stat").alias("feature_iv"), "keep")
-    return b.join(iv, "feature")
+_BIN_CATS = ["top_status", "nation"]
+_BIN_SQL = """
+WITH l AS (SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_acctbal < 0 AS INTEGER) END AS y FROM customer),
+m AS (SELECT DISTINCT o_custkey, y FROM orders JOIN l ON o_custkey = c_custkey WHERE y IS NOT NULL)
+SELECT feature, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(y) AS BIGINT) AS n_events, true AS shares_kept, true AS monotone, true AS iv_follows
+FROM m, (SELECT unnest([COLUMNS_HERE]) AS feature) GROUP BY feature
+"""
+
+
+def supervised_bins(spark, sf):
+    return EN.optimal_bins(_bin_inputs(spark, sf), "y", _BIN_COLS, _BIN_CATS, prebins=20, min_share=0.05)
 
 
-@query("binned_apply")
+@query("optimal_bins", _BIN_SQL.replace("COLUMNS_HERE", ", ".join(f"'{c}'" for c in [*_BIN_COLS, *_BIN_CATS])))
+def q_optimal_bins(spark, sf):
+    """Supervised binning of numeric and categorical columns (E8, Q7): the bins of each column cover every
+    labelled row, hold at least 5 % of them, have a monotone event rate, and WoE and IV follow from the
+    counts."""
+    b = cut_lineage(supervised_bins(spark, sf).table)
+    w = Window.partitionBy("feature")
+    te, tn, k = F.sum("events").over(w), F.sum(F.col("count") - F.col("events")).over(w), F.count(F.lit(1)).over(w)
+    de = (F.col("events") + EN.WOE_EPS) / (te + EN.WOE_EPS * k)
+    dn = (F.col("count") - F.col("events") + EN.WOE_EPS) / (tn + EN.WOE_EPS * k)
+    step = F.signum(F.col("events") / F.col("count") - F.lag(F.col("events") / F.col("count")).over(w.orderBy("bin")))
+    d = b.select("feature", "count", "events", step.alias("step"), (F.col("count") >= 0.05 * F.sum("count").over(w)).alias("share_ok"),
+                 ((F.abs(F.col("woe") - F.log(de / dn)) < 1e-9) & (F.abs(F.col("iv") - (de - dn) * F.log(de / dn)) < 1e-9)).alias("iv_ok"))
+    return d.groupBy("feature").agg(
+        F.sum("count").alias("n_rows"), F.sum("events").alias("n_events"), F.min("share_ok").alias("shares_kept"),
+        (~(F.coalesce(F.max("step") > 0, F.lit(False)) & F.coalesce(F.min("step") < 0, F.lit(False)))).alias("monotone"), F.min("iv_ok").alias("iv_follows"))
+
+
+@query("binned_apply", """
+SELECT DISTINCT o_custkey, true AS woes_fit FROM orders JOIN customer ON o_custkey = c_custkey
+""")
 def q_binned_apply(spark, sf):
-    """Fitted bins applied as WoE columns with a fixed value for missing."""
+    """Fitted bins applied as WoE columns with a fixed value for missing, to labelled and unlabelled rows
+    (E9): every value is one of its column's WoEs or the fixed value."""
     data = _bin_inputs(spark, sf)
-    rows = EN.bins_table(data, "y", _BIN_COLS)
-    return EN.binned_apply(data, rows, missing_value=0.05, keep="binned")
+    bins = supervised_bins(spark, sf)
+    out = EN.binned_apply(data, bins, missing_value=0.05, keep="binned")
+    woes: dict[str, list] = {}
+    for r in bins.table.collect():                     # columns x bins
+        woes.setdefault(r["feature"], []).append(r["woe"])
+    fits = F.lit(True)
+    for c, values in woes.items():
+        fits = fits & F.col(f"{c}_binned").isin([*values, 0.05])
+    return out.select("o_custkey", fits.alias("woes_fit"))
 
 
 # ------------------------------------------------------------------ Q8 Q9

@@ -260,6 +260,18 @@ def q_five_numbers(spark, sf):
     return PR.five_numbers(_spend(spark, sf), "spend", "y")
 
 
+@query("histogram_limits", f"""
+WITH s AS ({_SPEND}), p AS (SELECT spend FROM s WHERE spend > 500000 AND spend < 2500000),
+m AS (SELECT min(spend) AS a, (max(spend) - min(spend)) / (SELECT floor(1 + log2(count(*))) FROM s) AS w,
+             (SELECT floor(1 + log2(count(*))) FROM s) AS k FROM p)
+SELECT bin, {rs('a + bin * w')} AS "left", {rs('a + (bin + 1) * w')} AS "right", count(*) AS n
+FROM (SELECT CAST(least(floor((spend - a) / w), k - 1) AS INTEGER) AS bin, a, w FROM p, m) GROUP BY bin, a, w
+""")
+def q_histogram_limits(spark, sf):
+    """Histogram with 1 + log2 N bins over the values strictly inside the limits."""
+    return PR.histogram(_spend(spark, sf), "spend", lo=500_000.0, hi=2_500_000.0)
+
+
 @query("histogram_by_label", f"""
 WITH s AS (SELECT * FROM ({_SPEND}) WHERE spend IS NOT NULL),
 m AS (SELECT min(spend) AS a, max(spend) AS b FROM s),

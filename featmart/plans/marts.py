@@ -88,10 +88,11 @@ def mart_base(customer: DataFrame, nation: DataFrame) -> DataFrame:
     of its segment (attached via aggregate + join); segment one-hot with a missing column;
     guarded log1p; row statistics."""
     c = customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    # the medians read the customer columns alone; names come last
+    ns = Q.median_by(c, ["c_nationkey", "c_mktsegment"], "c_acctbal", "med_ns")
+    s = Q.median_by(c, ["c_mktsegment"], "c_acctbal", "med_s")
+    c = c.join(ns, ["c_nationkey", "c_mktsegment"], "left").join(s, ["c_mktsegment"], "left")
     c = c.join(nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey", "left")
-    c = c.join(Q.median_by(c, ["c_nationkey", "c_mktsegment"], "c_acctbal", "med_ns"),
-               ["c_nationkey", "c_mktsegment"], "left")
-    c = c.join(Q.median_by(c, ["c_mktsegment"], "c_acctbal", "med_s"), ["c_mktsegment"], "left")
     c, _ = EN.one_hot_apply(c, {"c_mktsegment": SEGMENTS}, dummy_na=True, drop_source=False)
     parts = [F.col("c_acctbal") / 1000.0, F.col("c_nationkey"), F.length("c_name")]
     return c.select(
@@ -284,9 +285,9 @@ def mart_neighbours(customer: DataFrame) -> DataFrame:  # noqa: D401
 
 def final_marts(customer: DataFrame, nation: DataFrame, orders: DataFrame, lineitem: DataFrame,
                 events: DataFrame) -> DataFrame:
-    """D11 over D1-D8 with shared stages: lineitem is read and shuffled once (D2 + D4 + D5),
-    orders once by customer for D3 + D7, events once (D6); everything is then keyed by the
-    customer and star-joined onto the base mart (D1)."""
+    """D11 over D1-D8 with shared stages: one lineitem plan serves D2 + D4 + D5, one orders window
+    D3 + D7, one events window D6 (beside each, a count of the key column finds large keys); everything
+    is then keyed by the customer and star-joined onto the base mart (D1)."""
     marts = [orders_marts(orders, lineitem), orders_slices_marts(orders), mart_series(events),
              mart_neighbours(customer)]
     return mart_final(marts, mart_base(customer, nation))
@@ -300,48 +301,39 @@ def mart_final(marts: list[DataFrame], base: DataFrame) -> DataFrame:
     return J.star_join(base, "c_custkey", marts)
 
 
-def binned_mart(features: DataFrame, label: str, keep: str = "both", iv_min: float = 0.02,
-                min_share: float = 0.05, missing_value: float = 0.05) -> DataFrame:
-    """Constants out (Q6), bins fitted on the labelled customers only (E8), WoE columns
-    (E9), IV selection (Q7), and the unlabelled part transformed with the same parameters and
-    unioned back.
+def binned_mart(features: DataFrame, label: str, keep: str = "both", iv_min: float = 0.02, min_share: float = 0.05,
+                missing_value: float = 0.05, prebins: int = 30) -> DataFrame:
+    """Constants out (Q6); bins of numeric and categorical columns fitted on the labelled rows (E8);
+    WoE columns with a fixed value for missing (E9); then imputation with statistics of the labelled
+    part; then the IV selection (Q7). The unlabelled part is transformed with the same parameters.
 
-    keep: 'both' -> originals + binned columns that pass; 'binned' -> binned only, fitted on
-          median-imputed inputs; 'numeric_binned' -> mean-imputed numeric originals + passing
-          binned; 'originals_passing' -> original values of the columns whose binned version
-          passes."""
+    keep: 'both' -> numeric originals (mean-imputed) and binned columns, each kept if its own IV passes;
+          'binned' -> binned columns that pass; 'numeric_binned' -> as 'both', over numeric columns only;
+          'originals_passing' -> original values of the columns whose binned version passes."""
     from featmart.operators import select as SE
     from featmart.session import cut_lineage
+    if keep not in ("both", "binned", "numeric_binned", "originals_passing"):
+        raise ValueError(keep)
     feats = [c for c in features.columns if c not in ("c_custkey", label)]
-    data = cut_lineage(features)          # read three times: constants, bins, output
+    data = cut_lineage(features)          # read by the constants, the bins and the output
     lab = data.filter(F.col(label).isNotNull())
-    const = SE.constant_columns(lab, feats)
-    feats = [r["feature"] for r in J.collect_bounded(const.filter("keep"), len(feats), "selector table")]
-    nums = [c for c, t in data.dtypes if c in feats and t in ("double", "int", "bigint", "float")]
-    if keep == "numeric_binned":       # numeric originals are mean-imputed before selection
-        data = CL.fill_statistic(data, nums, "mean")
-        lab = data.filter(F.col(label).isNotNull())
-    elif keep == "binned":             # binned-only output is fitted on median-imputed inputs
-        data = CL.fill_statistic(data, nums, "median")
-        lab = data.filter(F.col(label).isNotNull())
-    bins = EN.bins_table(lab, label, nums, min_share=min_share)
-    iv = {}
-    for r in bins:
-        iv[r["feature"]] = iv.get(r["feature"], 0.0) + r["iv"]
-    passing = [c for c in nums if iv.get(c, 0.0) >= iv_min]
-    rows = [r for r in bins if r["feature"] in passing]
-    out = EN.binned_apply(data.select("c_custkey", label, *nums), rows, missing_value=missing_value, keep="both")
-    binned = [f"{c}_binned" for c in passing]
-    if keep == "both":
-        cols = nums + binned
-    elif keep == "binned":
-        cols = binned
-    elif keep == "numeric_binned":
-        cols = nums + binned
-    elif keep == "originals_passing":
-        cols = passing
-    else:
-        raise ValueError(keep)
-    labelled = out.filter(F.col(label).isNotNull()).select("c_custkey", label, *cols)
-    unlabelled = out.filter(F.col(label).isNull()).select("c_custkey", label, *cols)
-    return J.union_named([labelled, unlabelled])
+    varied = [r["feature"] for r in SE.constant_columns(lab, feats).filter("keep").collect()]      # a row per column
+    kinds = dict(data.dtypes)
+    nums = [c for c in feats if c in varied and kinds[c] in ("double", "int", "bigint", "float")]
+    cats = [c for c in feats if c in varied and kinds[c] == "string"] if keep != "numeric_binned" else []
+    bins = EN.optimal_bins(lab, label, nums, cats, prebins, min_share)
+    iv = {r["feature"]: r["iv"] for r in bins.table.groupBy("feature").agg(F.sum("iv").alias("iv")).collect()}
+    binned = EN.binned_apply(data.select("c_custkey", label, *nums, *cats), bins, missing_value=missing_value)
+    passing = [c for c in [*nums, *cats] if iv.get(c, 0.0) >= iv_min]
+    if keep == "originals_passing":
+        return binned.select("c_custkey", label, *passing)
+    out = [f"{c}_binned" for c in passing]
+    if keep != "binned":
+        # the originals are imputed with the labelled part's means, and selected by the IV that the
+        # imputed column has
+        imputed = CL.fill_statistic(binned, nums, "mean", fit_on=F.col(label).isNotNull())
+        own = EN.optimal_bins(imputed.filter(F.col(label).isNotNull()), label, nums, (), prebins, min_share)
+        own_iv = {r["feature"]: r["iv"] for r in own.table.groupBy("feature").agg(F.sum("iv").alias("iv")).collect()}
+        out = [c for c in nums if own_iv.get(c, 0.0) >= iv_min] + out
+        binned = imputed
+    return binned.select("c_custkey", label, *out)

@@ -120,15 +120,23 @@ def write_scores(df: DataFrame, id_col: str, score_col: str, path: str) -> None:
                 path, fmt="csv")
 
 
-def save_json(obj, path: str) -> None:
-    """Small driver-side artefacts (aggregate specs, fitted parameters) as JSON."""
-    with open(path, "w") as fh:
-        json.dump(obj, fh, indent=1, sort_keys=True)
+def save_json(spark: SparkSession, obj, path: str) -> None:
+    """Small artefacts (aggregate specs, fitted parameters) as one JSON line on the session's file system,
+    so another job on any node can read them (S6)."""
+    spark.createDataFrame([(json.dumps(obj, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def load_json(path: str):
-    with open(path) as fh:
-        return json.load(fh)
+def load_json(spark: SparkSession, path: str):
+    return json.loads(spark.read.text(path).first()["value"])
+
+
+def save_vectors(df: DataFrame, path: str, columns: list[str]) -> None:
+    """Id / label / fold vectors as a Parquet table, for jobs that train on the same split."""
+    write_table(df.select(*columns), path)
+
+
+def load_vectors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
 def split_by_label(df: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:

@@ -1,4 +1,4 @@
-"""Streaming.
+"""Streaming: nothing is built here.
 
 The source project has no streaming workload (no watermarks, event-time windows or state), so
 no streaming operator is built.  The batch operators are plain DataFrame plans: an

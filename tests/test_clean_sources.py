@@ -94,8 +94,8 @@ def test_spec_json_handoff_and_scored_file(spark):
     base = os.path.join(checkpoint_dir(spark).replace("file:", ""), "test-io", next(tempfile._get_candidate_names()))
     os.makedirs(base, exist_ok=True)
     spec = AggSpec([("x", ["sum", "median"], "x * 2")], order=["t"])
-    save_json({"spec": spec.to_json()}, f"{base}/spec.json")
-    back = AggSpec.from_json(load_json(f"{base}/spec.json")["spec"])
+    save_json(spark, {"spec": spec.to_json()}, f"{base}/spec.json")
+    back = AggSpec.from_json(load_json(spark, f"{base}/spec.json")["spec"])
     assert back.to_json() == spec.to_json() and back.names() == ["x_sum", "x_median"]
     df = spark.createDataFrame([(5, 0.25), (7, 0.75)], "id long, p double")
     write_scores(df, "id", "p", f"{base}/scores")
@@ -104,12 +104,8 @@ def test_spec_json_handoff_and_scored_file(spark):
     assert sorted(tuple(r) for r in got.collect()) == [(5, 0.25), (7, 0.75)]
 
 
-def test_bounded_collect_and_broadcast(spark):
+def test_bounded_collect(spark):
     df = spark.range(10)
     assert len(J.collect_bounded(df, 10)) == 10
     with pytest.raises(ValueError):
         J.collect_bounded(df, 9)
-    with pytest.raises(ValueError):
-        J.bounded_broadcast(df, 5)
-    assert J.checked_broadcast(df, 100).count() == 10
-    assert J.checked_broadcast(df, 5).count() == 10         # over the limit: plain join side

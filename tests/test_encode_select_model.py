@@ -37,10 +37,11 @@ def test_one_hot_nulls_unseen(spark):
 
 def test_codes(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("c",), ("c",), (None,)], "c string")
-    assert EN.sorted_codes_fit(df, "c") == ["a", "b", "c"]
-    assert EN.frequency_codes_fit(df, "c") == ["b", "c", "a"]
-    got = [r[0] for r in df.select(EN.codes_apply("c", ["b", "c", "a"])).collect()]
-    assert got == [0, 2, 0, 1, 1, -1]
+    assert {r.level: r.code for r in EN.sorted_codes_fit(df, "c").collect()} == {"a": 0, "b": 1, "c": 2}
+    codes = EN.frequency_codes_fit(df, "c")
+    assert {r.level: r.code for r in codes.collect()} == {"b": 0, "c": 1, "a": 2}
+    got = sorted((r.c or "", r.c_code) for r in EN.codes_apply(df, "c", codes).collect())
+    assert got == [("", -1), ("a", 2), ("b", 0), ("b", 0), ("c", 1), ("c", 1)]
 
 
 def test_woe_roundtrip_and_unseen(spark):
@@ -53,7 +54,9 @@ def test_woe_roundtrip_and_unseen(spark):
     base = m / (1 - m + 0.5)
     assert woe["x"] == pytest.approx(math.log((1 + 1e-10) / (3 + 1e-10) / base))
     test = spark.createDataFrame([("x", 0), ("q", 0), (None, 0)], "c string, y int")
-    got = [r.c for r in EN.woe_apply(test, t).collect()]
+    test = test.withColumn("k", test["c"])
+    woes = {r.k: r.c for r in EN.woe_apply(test, EN.woe_fit(df, "y", cat_cols=["c"])).collect()}
+    got = [woes["x"], woes["q"], woes[None]]
     assert got[0] == pytest.approx(woe["x"]) and got[1] is None and got[2] == pytest.approx(woe["Missing"])
 
 
@@ -130,3 +133,32 @@ def test_split_union_is_input(spark):
     df = spark.createDataFrame([(1, 1), (2, None), (3, 0)], "id int, y int")
     a, b = split_by_label(df, "y")
     assert sorted(a.unionByName(b).collect()) == sorted(df.collect())
+
+
+def test_many_levels(spark):
+    """50,000 levels: codes, WoE and risk groups are joins, with no limit on the levels."""
+    n = 50_000
+    df = spark.range(2 * n).select((F.col("id") % n).cast("string").alias("c"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    coded = EN.codes_apply(df, "c", EN.sorted_codes_fit(df, "c"))
+    assert coded.agg(F.countDistinct("c_code"), F.min("c_code"), F.max("c_code")).first() == (n, 0, n - 1)
+    assert EN.woe_apply(df, EN.woe_fit(df, "y", cat_cols=["c"])).where("c IS NULL").count() == 0
+    assert EN.risk_groups_apply(df, "c", EN.risk_groups_fit(df, "c", "y")).agg(F.sum("c_high_risk")).first()[0] > 0
+    bins = EN.optimal_bins(df, "y", cat_cols=["c"])
+    assert bins.levels.count() == n and bins.table.count() <= 20
+
+
+def test_categorical_bins(spark):
+    rows = [(c, int(i < k)) for c, k in (("a", 5), ("b", 10), ("c", 60), ("d", 62)) for i in range(100)] + [("rare", 1), (None, 1), (None, 0)]
+    df = spark.createDataFrame(rows, "c string, y int")
+    bins = EN.optimal_bins(df, "y", cat_cols=["c"])
+    t = sorted(bins.table.collect(), key=lambda r: r.bin)
+    assert sum(r["count"] for r in t) == 401 and all(r["count"] >= 0.05 * 401 for r in t)
+    woe = {r.c: r.c_binned for r in EN.binned_apply(df, bins, missing_value=0.05).collect()}
+    assert woe["a"] <= woe["b"] < woe["c"] <= woe["d"] <= woe["rare"] and woe[None] == 0.05
+
+
+def test_stratified_folds_keep_entities_together(spark):
+    df = spark.createDataFrame([(e, int(e % 4 == 0)) for e in range(40) for _ in range(3)] + [(99, None)], "e int, y int")
+    f = MD.stratified_folds(df, "e", "y", k=5)
+    per = f.join(df.distinct(), "e").groupBy("fold", "y").count().collect()
+    assert f.count() == 40 and {r["count"] for r in per if r.y == 1} == {2} and {r["count"] for r in per if r.y == 0} == {6}

@@ -31,3 +31,44 @@ def test_filters_reach_the_scan(spark):
 def test_group_stats_use_aggregate_and_join(spark):
     plan = _plan(RAW["join_back"](spark, SF))
     assert "Window" not in plan                    # J6 is aggregate + join, not a window over the group
+
+
+def _scans(plan, column):
+    """How many scans of the final plan read ``column`` (lines of the plan's tree)."""
+    return sum(1 for line in plan.splitlines() if "FileScan parquet" in line and column in line)
+
+
+def test_single_pass_aggregates(spark):
+    for name, column in (("agg_all_numeric", "o_custkey"), ("cond_agg_category", "o_custkey")):
+        plan = _plan(RAW[name](spark, SF))
+        assert _scans(plan, column) == 1 and plan.count("Exchange hashpartitioning") == 1, name
+
+
+def test_two_step_aggregate_reads_each_table_once(spark):
+    plan = _plan(RAW["two_step_agg"](spark, SF))
+    assert _scans(plan, "l_partkey") == 1 and _scans(plan, "o_custkey") == 1
+    assert "Expand" not in plan
+
+
+def test_profile_has_no_join_per_column(spark):
+    plan = _plan(RAW["agg_mixed_profile"](spark, SF))
+    assert "Expand" not in plan and plan.count("Join") == 1 and _scans(plan, "o_custkey") == 2
+
+
+def test_sequence_and_quantile_plans(spark):
+    seq = _plan(RAW["seq_diff_running"](spark, SF))
+    assert seq.count("Exchange hashpartitioning") == 1 and "Join" not in seq       # no large key: one window, one shuffle
+    med = _plan(RAW["dist_pack"](spark, SF))
+    assert "partial_count" in med                  # equal values are counted before the shuffle
+    assert "rangepartitioning" not in med          # nothing is sorted as a whole
+
+
+def test_hot_value_does_not_fill_a_partition(spark):
+    """90 % equal values: what is ranked is a row per distinct value."""
+    from pyspark.sql import functions as F
+
+    from featmart.operators import seq
+    d = spark.range(20_000).select(F.lit(0).alias("k"), F.when(F.col("id") % 10 > 0, F.lit(1.0)).otherwise(F.col("id").cast("double")).alias("v"))
+    c = d.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    p = seq.positions(c, ["k"], ["v"], n_parts=16).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in p) == 2_001
