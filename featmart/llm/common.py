@@ -14,6 +14,7 @@ from featmart.session import checkpoint_dir
 
 #: Rows up to which a narrow table (a few columns of bounded width) may be broadcast.
 BROADCAST_ROWS = 200_000
+SLICE_BYTES = 4 << 20
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -36,11 +37,13 @@ def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
-    """One Arrow batch in, one out (None: nothing)."""
+    """One Arrow batch in, one out (None: nothing). ``fn`` gets slices of about ``SLICE_BYTES``, at least
+    a row, so that the Python objects it makes stay few whatever the texts' length."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                out = fn(b)
+            step = max(1, b.num_rows * SLICE_BYTES // max(b.nbytes, SLICE_BYTES)) if b.num_rows else 1
+            for at in range(0, b.num_rows, step):
+                out = fn(b.slice(at, step))
                 if out is not None:
                     yield out
     return df.mapInArrow(run, schema)

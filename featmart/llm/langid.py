@@ -181,6 +181,14 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model([r["lang"] for r in found], np.array([r["c"] for r in found], np.float32).T.copy(), idf, np.array(floors))
 
 
+def accepted(rows: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows, all columns as they are, whose text the model does not reject."""
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
+        return b.filter(pa.array([not model.predict(t)[2] for t in texts], pa.bool_()))
+    return map_batches(rows, run, rows.schema)
+
+
 def predict(rows: DataFrame, model: Model, text_col: str = "text", keep: tuple = ()) -> DataFrame:
     """(``keep`` columns, lang_pred, score, rejected) per row; only the text is read for the prediction."""
     src = rows.select(*keep, F.col(text_col).alias("text_of_row"))

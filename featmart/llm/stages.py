@@ -37,8 +37,7 @@ def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID, learned from the labelled rows outside the held-out quarter: rejected documents go."""
     model = langid.fit(docs.where(~langid.held_out(ID)), ID, TEXT)
-    d = langid.predict(docs, model, TEXT, keep=(F.struct(*docs.columns).alias("row"),))
-    return d.where(~F.col("rejected")).select("row.*")
+    return langid.accepted(docs, model, TEXT)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
