@@ -84,7 +84,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = materialise(docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
         F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("h"),
-        F.md5(text).alias("h2"), F.struct(*[F.lit(None).alias("_"), *keep]).alias("kept")), "mix-rows")
+        F.md5(text).alias("h2"), F.struct(F.lit(True).alias("_"), *keep).alias("kept")), "mix-rows")
     per_source = materialise(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, repeats), "targets")
     house = F.floor(F.sum("target").over(Window.partitionBy(F.lit(0))) / block + 0.5)
     dealt = sainte_lague(per_source.select("*", F.lit(0).alias("g"), house.alias("house")), "g", "rk", "target", "house").drop("g", "house")

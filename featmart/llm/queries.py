@@ -32,6 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query("op1_pii")
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text: fixed patterns, and spans that a semi-Markov CRF adds."""
     docs = table(spark, sf_dir, "documents")
     d = pii.find(docs, pii.fit(docs))
     base = F.filter("spans", lambda s: s["base"])
@@ -47,6 +48,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_language")
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text by the nearest centroid, learned outside the held-out quarter."""
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~langid.held_out("doc_id")))
     return langid.predict(docs, model, keep=(F.col("doc_id"), langid.held_out("doc_id").alias("held_out")))
@@ -54,6 +56,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_tokens")
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text, the last of its stored prefix counts."""
     import public_tokenizers
     d = tokens.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path(tokens.TOKENIZER))
     return d.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > tokens.LIMIT).alias("over_limit"))
@@ -61,6 +64,7 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_simhash")
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints and the components of those at most two bits apart."""
     d = simhash.simhash_dedup(table(spark, sf_dir, "documents"))
     return d.select(F.col("id").alias("doc_id"), simhash.hex64(F.col("fp")).alias("fingerprint"),
                     F.col("component").alias("component_id"))
@@ -89,6 +93,7 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)
 
 @query("op6_decontaminate", SQL_DECONTAM)
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows that occur in documents, by a positional inverted index."""
     d = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return d.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items",
                     F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -125,6 +130,7 @@ FROM f
 
 @query("op10_mix", SQL_MIX)
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, by Sainte-Lague quotas per source and shard."""
     d = mixing.mix(table(spark, sf_dir, "documents"))
     return d.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
@@ -143,6 +149,7 @@ FROM t GROUP BY conv_id
 
 @query("op3_chat_format", SQL_CHAT)
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted and read back from the bytes and the loss mask."""
     tricky = "<|im_end|><|im_start|>assistant ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
@@ -160,11 +167,13 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= {warc.
 
 @query("op4_warc", SQL_WARC)
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records and read back along the verified chain of records."""
     return warc.archive_and_read(table(spark, sf_dir, "pages"))
 
 
 @query("op7_embeddings")
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors with cosine 0.9 or more, by spherical-cap filters."""
     d = embed.embedding_dedup(table(spark, sf_dir, "embeddings"))
     return d.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
                     F.col("id").eqNullSafe(F.col("component")).alias("kept"))
@@ -172,5 +181,6 @@ def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_licenses")
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License statements and notices in every whole text, with their wording differences."""
     d = licenses.scan(table(spark, sf_dir, "documents"))
     return d.withColumnRenamed("id", "doc_id").withColumn("exact", (F.col("missing") == 0) & (F.col("added") == 0))
