@@ -7,7 +7,10 @@ encoding again. Files: byte-level BPE of the ``tokenizers`` library with its usu
 Inside one piece of the pre-tokenizer the counts come from a dynamic programme over its bytes: the last
 token of a prefix is the one vocabulary entry ``t`` that ends there and forms, with the last token of
 the prefix before it, a pair that the merges leave as it is. Pieces recur, so their prefix counts are
-kept in a bounded table per worker. The counts of a text are the running sums of its pieces, corrected
+kept in bounded tables per worker, as are whole words and the
+starts of pieces. Counts are stored as differences from prefix to prefix; those of a text are the
+differences of its pieces one behind the other, so a slice of texts is split, its words numbered and their
+differences gathered as Arrow columns, and Python sees each different word once. They are corrected
 where a shorter text would be cut into other pieces: at the end of a run of white space, inside the
 endings like 'll, and inside a special string. Special strings whole in a text are one token each, as
 the library does by default.
@@ -18,13 +21,13 @@ A null text counts as empty: 0 tokens, no prefixes. Null ids, repeated rows and
 from __future__ import annotations
 
 import json
-import re
 import unicodedata
 from array import array
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,11 +39,12 @@ LIMIT = 512
 # fixed values: the byte-level pre-tokenizer's pattern and its endings
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ENDINGS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
-_RUNS = ("  ", " \n", "\n ", "\n\n")
-_OTHER = re.compile(r"[^\S \n]")
-STEMS = (11, 8, 5)
-#: Pieces, words, stems and token pairs that a worker remembers; beyond it starts afresh.
-REMEMBER = 600_000
+# texts whose white space is not single blanks and line ends between words
+_ODD_SPACE = (r"  | \n|\n |\n\n|^[ \n]|[ \n]$|[\x00\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+              r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+STEMS = (10, 7, 4)
+#: Pieces, words, stems and token pairs that a worker remembers, once young and once old.
+REMEMBER = 250_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -63,6 +67,27 @@ def _newer_letters() -> regex.Pattern:
     return regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs) + "]")
 
 
+class Memory:
+    """A table of about ``size`` to twice ``size`` entries: when the young half is full it becomes the old
+    half, and what is still in use moves back, so frequent entries stay."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key):
+        got = self.young.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key, value):
+        if len(self.young) >= self.size:
+            self.old = dict(self.young)
+            self.young.clear()           # the same dict, as callers hold its ``get``
+        self.young[key] = value
+        return value
+
+
 class PrefixCounter:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -72,14 +97,14 @@ class PrefixCounter:
         if spec["model"]["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec["normalizer"]:
             raise ValueError(f"{path}: not a plain byte-level BPE file")
         self.ids = self.tok.get_vocab(with_added_tokens=False)
-        self.longest, self.own = max(map(len, self.ids)), {t: t for t in self.ids}.get
+        self.longest = max(map(len, self.ids))
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.letters = _byte_letters()
-        self.pieces: dict[str, tuple[int, bytes]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple[int, bytes]] = {}
-        self.stems: dict[str, tuple[list[int], list[str]]] = {}
+        self.pieces, self.words = Memory(REMEMBER), Memory(REMEMBER)     # text to (tokens, differences)
+        self.stems = Memory(REMEMBER // 3)      # start of a piece to (counts, nodes, start of its last token)
+        self.nodes: dict[str, dict] = {}        # token to {0: token, token behind it: that one's node or False}
+        self.known_pairs = 0
         self.pattern, self.newer = regex.compile(PIECES).findall, _newer_letters()
 
     def find(self, text: str) -> list[str]:
@@ -89,55 +114,90 @@ class PrefixCounter:
             return self.pattern(text)
         return [text[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(text)]
 
-    def _stays(self, a: str, b: str) -> bool:
-        if len(self.pairs) >= REMEMBER:
-            self.pairs.clear()
-        got = self.pairs[a, b] = [t.value for t in self.tok.model.tokenize(a + b)] == ([a, b] if a else [b])
-        return got
+    def _next(self, node: dict, t: str) -> dict | None:
+        """The node of token ``t`` if it can stand behind the node's token (or begin a piece), else None."""
+        if t not in self.ids:
+            return None
+        if self.known_pairs >= REMEMBER:
+            self.nodes.clear()
+            self.known_pairs = 0
+        a = node[0]
+        fits = [x.value for x in self.tok.model.tokenize(a + t)] == ([a, t] if a else [t])
+        node[t] = self.nodes.setdefault(t, {0: t}) if fits else False
+        self.known_pairs += 1
+        return node[t] or None
 
     def _byte_prefixes(self, s: str) -> list[int]:
         """Tokens of s[:j] for every j, s in the byte alphabet."""
-        count, last, own, pairs, stays = [0], [""], self.own, self.pairs, self._stays
+        count, last, start = [0], [self.nodes.setdefault("", {0: ""})], 0
+        further, ids = self._next, self.ids
         for k in STEMS:             # many pieces begin alike
             if len(s) > k and (stem := self.stems.get(s[:k])):
-                count, last = stem[0][:], stem[1][:]
+                count, last, start = stem[0][:], stem[1][:], stem[2]
                 break
-        start = len(count) - 1 - len(last[-1])
         for j in range(len(count), len(s) + 1):
             # only one start fits; where the token before began is the likeliest, then the last byte alone
-            for i in (start, j - 1, *range(max(0, j - self.longest), j - 1)):
-                t = own(s[i:j])
-                if t:
-                    a = last[i]
-                    fits = pairs.get((a, t))
-                    if stays(a, t) if fits is None else fits:
-                        count.append(count[i] + 1)
-                        last.append(t)
-                        start = i
-                        break
-            else:
-                raise ValueError(f"no token ends at byte {j} of {s[:40]!r}")
-        for k in STEMS:
-            if len(s) > k and s[:k] not in self.stems:
-                if len(self.stems) >= REMEMBER:
-                    self.stems.clear()
-                self.stems[s[:k]] = (count[:k + 1], last[:k + 1])
+            i, t = start, s[start:j]
+            node = last[i].get(t)
+            if node is None:
+                node = further(last[i], t)
+            if not node:
+                i, t = j - 1, s[j - 1]
+                node = last[i].get(t)
+                if node is None:
+                    node = further(last[i], t)
+                if not node:
+                    for i in range(j - 2, max(0, j - self.longest) - 1, -1):
+                        t = s[i:j]
+                        node = last[i].get(t)
+                        if node is None and t in ids:
+                            node = further(last[i], t)
+                        if node:
+                            break
+                    else:
+                        raise ValueError(f"no token ends at byte {j} of {s[:40]!r}")
+            count.append(count[i] + 1)
+            last.append(node)
+            start = i
+            if j in STEMS and j < len(s):
+                self.stems.put(s[:j], (count[:], last[:], start))
         return count
 
-    def piece(self, w: str) -> tuple[int, bytes]:
-        """Tokens of a piece, and of each of its prefixes as int32 bytes."""
+    def piece(self, w: str) -> tuple[int, bytes | np.ndarray]:
+        """Tokens of a piece, and the differences of its prefix counts: bytes if each fits one."""
         got = self.pieces.get(w)
         if got is None:
-            raw = w.encode()
-            n = self._byte_prefixes(raw.decode("latin-1").translate(self.letters))
-            if len(raw) != len(w):
-                ends = np.flatnonzero((np.frombuffer(raw, np.uint8)[1:] & 0xC0) != 0x80) + 1
-                n = [0, *[n[i] for i in ends], n[-1]]
+            n = self._byte_prefixes(w.encode().decode("latin-1").translate(self.letters))
+            if not w.isascii():
+                ends, at = [0], 0
+                for c in w:
+                    at += 1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
+                    ends.append(at)
+                n = [n[i] for i in ends]
             if w in ENDINGS:     # cut short, an ending is an apostrophe and letters
                 n = [0] + [1 + len(self.tok.encode(w[1:j]).ids) if j > 1 else 1 for j in range(1, len(w))] + [n[-1]]
-            if len(self.pieces) >= REMEMBER:
-                self.pieces.clear()
-            got = self.pieces[w] = (n[-1], array("i", n[1:]).tobytes())
+            d = list(map(int.__sub__, n[1:], n))
+            try:
+                data = array("b", d).tobytes()
+            except OverflowError:
+                data = np.array(d, np.int64)
+            got = self.pieces.put(w, (n[-1], data))
+        return got
+
+    def word(self, w: str) -> tuple[int, bytes | np.ndarray]:
+        """As ``piece``, for a word of a plainly spaced text: behind a NUL the first one, else behind its line
+        end or a blank."""
+        if w.isalpha():
+            return self.piece(" " + w)
+        got = self.words.get(w)
+        if got is None:
+            known, learn = self.pieces.young.get, self.piece
+            parts = [known(p) or learn(p) for p in self.find(w[1:] if w[0] == "\0" else w if w[0] == "\n" else " " + w)]
+            if all(type(d) is bytes for _, d in parts):
+                data = b"".join([d for _, d in parts])
+            else:
+                data = np.concatenate([_wide(d) for _, d in parts])
+            got = self.words.put(w, (sum([n for n, _ in parts]), data))
         return got
 
     def _plain(self, text: str) -> tuple[np.ndarray, list[str], np.ndarray]:
@@ -145,53 +205,20 @@ class PrefixCounter:
         words = self.find(text)
         if not words:
             return np.empty(0, np.int64), words, np.empty(0, np.int64)
-        known, learn = self.pieces.get, self.piece
-        got = [known(w) or learn(w) for w in words]
+        got = [self.piece(w) for w in words]
         totals = np.array([g[0] for g in got], np.int64)
         before = np.cumsum(totals) - totals
-        lens = np.fromiter(map(len, words), np.int64, len(words))
-        out = np.frombuffer(b"".join([g[1] for g in got]), np.int32) + np.repeat(before, lens)
-        starts = np.cumsum(lens) - lens
+        starts = np.cumsum([0, *map(len, words[:-1])])
+        out = np.cumsum(np.concatenate([_wide(d) for _, d in got]))
         for i, w in enumerate(words[:-1]):
             if w.isspace() and words[i + 1][0].isspace():
-                out[starts[i + 1]] = before[i] + learn(w + words[i + 1][0])[0]
+                out[starts[i + 1]] = before[i] + self.piece(w + words[i + 1][0])[0]
         return out, words, before
 
-    def word(self, w: str) -> tuple[int, bytes]:
-        """As ``piece``, for a stretch without white space but its first character: w, or a blank and w."""
-        got = self.words.get(w)
-        if got is None:
-            total, data = 0, b""
-            for p in self.find(w if w[0] == "\n" else " " + w):
-                n, counts = self.pieces.get(p) or self.piece(p)
-                data += array("i", [total + x for x in array("i", counts)]).tobytes() if total else counts
-                total += n
-            if len(self.words) >= REMEMBER:
-                self.words.clear()
-            got = self.words[w] = (total, data)
-        return got
-
-    def _simple(self, text: str) -> np.ndarray | None:
-        """Prefix counts of a text whose white space is single blanks and line ends between words: no piece
-        reaches over one, so the text falls into words that recur. None for other texts."""
-        if any(x in text for x in _RUNS) or text[0] in " \n" or text[-1] in " \n" or _OTHER.search(text):
-            return None
-        first, *words = text.replace("\n", " \n").split(" ")
-        known, learn = self.words.get, self.word
-        got = [known(w) or learn(w) for w in words]
-        head = self._plain(first)[0]
-        totals = np.fromiter([g[0] for g in got], np.int64, len(got))
-        data = [g[1] for g in got]
-        lens = np.fromiter(map(len, data), np.int64, len(data)) >> 2
-        before = np.cumsum(totals) - totals + int(head[-1])
-        return np.concatenate((head, np.frombuffer(b"".join(data), np.int32) + np.repeat(before, lens)))
-
     def prefixes(self, text: str) -> np.ndarray:
         """Tokens of text[:1], text[:2], ..., text."""
         if not text:
             return np.empty(0, np.int64)
-        if not (self.special and self.special.search(text)) and (out := self._simple(text)) is not None:
-            return out
         parts, total, at = [], 0, 0
         marks = list(self.special.finditer(text)) if self.special else []
         for m in [*marks, None]:
@@ -214,6 +241,44 @@ class PrefixCounter:
                 at = m.end()
         return np.concatenate(parts)
 
+    def table(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Tokens, width and packed differences of each text (null: empty)."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        n, width, deltas = np.zeros(len(texts), np.int64), np.ones(len(texts), np.int32), [b""] * len(texts)
+        odd = _ODD_SPACE + (f"|{self.special.pattern}" if self.special else "")
+        simple = pc.and_(pc.invert(pc.match_substring_regex(texts, odd)), pc.not_equal(texts, "")).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(simple)
+        slow = np.flatnonzero(~simple).tolist()
+        if len(at):
+            # first words carry a NUL, which none of these texts holds; a line end opens its word
+            marked = pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), pc.replace_substring(texts.take(pa.array(at)), "\n", " \n"),
+                                                 pa.scalar("", pa.large_string()))
+            split = pc.split_pattern(marked, " ")
+            bounds = np.asarray(split.offsets).astype(np.int64)
+            coded = split.flatten().dictionary_encode()
+            code = np.asarray(coded.indices)
+            known, learn = self.words.young.get, self.word
+            got = [known(w) or learn(w) for w in coded.dictionary.to_pylist()]
+            wide = np.array([type(d) is not bytes for _, d in got])
+            totals = np.fromiter((t for t, _ in got), np.int64, len(got))[code]
+            n[at] = np.add.reduceat(totals, bounds[:-1])
+            data = pa.array([b"" if w else d for w, (_, d) in zip(wide, got)], pa.large_binary()).take(coded.indices)
+            ends = np.frombuffer(data.buffers()[1], np.int64)[data.offset:data.offset + len(data) + 1][bounds]
+            joined = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends.tobytes()), data.buffers()[2]])
+            for i, d in zip(at.tolist(), joined.to_pylist()):
+                deltas[i] = d
+            if wide.any():
+                slow += at[np.logical_or.reduceat(wide[code], bounds[:-1])].tolist()
+        for i in slow:
+            counts = self.prefixes(texts[i].as_py())
+            n[i] = counts[-1] if len(counts) else 0
+            width[i], deltas[i] = pack(counts)
+        return n, width, pa.array(deltas, pa.binary())
+
+
+def _wide(d: bytes | np.ndarray) -> np.ndarray:
+    return np.frombuffer(d, np.int8).astype(np.int64) if type(d) is bytes else d
+
 
 @cache
 def counter(path: str) -> PrefixCounter:
@@ -242,15 +307,9 @@ def token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                       F.col(text_col).alias("text"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        count, tokens, width, deltas = counter(path), [], [], []
-        for t in b.column("text").to_pylist():
-            n = count.prefixes(t or "")
-            w, d = pack(n)
-            tokens.append(int(n[-1]) if len(n) else 0)
-            width.append(w)
-            deltas.append(d)
-        return pa.record_batch([b.column("id"), b.column("n_bytes"), pa.array(tokens, pa.int64()), pa.array(width, pa.int32()),
-                                pa.array(deltas, pa.binary())], names=["id", "n_bytes", "n_tokens", "width", "deltas"])
+        n, width, deltas = counter(path).table(b.column("text"))
+        return pa.record_batch([b.column("id"), b.column("n_bytes"), pa.array(n), pa.array(width), deltas],
+                               names=["id", "n_bytes", "n_tokens", "width", "deltas"])
 
     return map_batches(src, run, src.drop("text").schema.add("n_tokens", "long").add("width", "integer").add("deltas", "binary"))
 
