@@ -155,7 +155,7 @@ def q_ewm_mean_gaps(spark, sf):
 _W_NULL = "PARTITION BY k ORDER BY o NULLS LAST, event_id"
 SEQ_NULLS_SQL = f"""
 WITH e AS (SELECT event_id, nullif(user_id % 9, 4) AS k, CASE WHEN event_id % 5 <> 2 THEN ts END AS o, value FROM events)
-SELECT event_id, row_number() OVER ({_W_NULL}) AS rn, lag(value, 2) OVER ({_W_NULL}) AS back, lead(value) OVER ({_W_NULL}) AS ahead,
+SELECT event_id, row_number() OVER ({_W_NULL}) AS rn, {rs(f'lag(value, 2) OVER ({_W_NULL})')} AS back, {rs(f'lead(value) OVER ({_W_NULL})')} AS ahead,
   count(*) OVER (PARTITION BY k) AS n, {rs(f'sum(value) OVER ({_W_NULL} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS total
 FROM e
 """

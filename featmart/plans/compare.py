@@ -21,8 +21,9 @@ def sig_col(c):
     up, down = F.pow(F.lit(10.0), k), F.pow(F.lit(10.0), -k)
     scaled = F.when(k >= 0, m / up).otherwise(m * down)                      # 1 <= scaled < 10
     twelve = F.floor(scaled * F.lit(1e11) + F.lit(0.5)).cast("double")
-    nine = F.floor((twelve + F.lit(500.0)) / F.lit(1000.0)).cast("double") / F.lit(1e8)
-    y = F.when(k >= 0, nine * up).otherwise(nine / down)
+    nine = F.floor((twelve + F.lit(500.0)) / F.lit(1000.0)).cast("double")      # nine digits as a whole number
+    # one division or product by an exact power of ten: the double nearest to the decimal
+    y = F.when(k <= 8, nine / F.pow(F.lit(10.0), F.lit(8) - k)).otherwise(nine * F.pow(F.lit(10.0), k - F.lit(8)))
     return (F.when(x.isNull(), F.lit(None).cast("double")).when(x == 0, F.lit(0.0))
             .when(x < 0, -y).otherwise(y) + F.lit(0.0))
 
@@ -45,9 +46,10 @@ def rs(expr: str) -> str:
     k = f"floor(log10({m}))"
     up, down = f"pow(10.0::DOUBLE, {k})", f"pow(10.0::DOUBLE, -{k})"
     scaled = f"(CASE WHEN {k} >= 0 THEN {m} / {up} ELSE {m} * {down} END)"
-    nine = f"(floor((floor({scaled} * 1e11 + 0.5::DOUBLE) + 500.0::DOUBLE) / 1000.0::DOUBLE) / 1e8)"
+    nine = f"floor((floor({scaled} * 1e11 + 0.5::DOUBLE) + 500.0::DOUBLE) / 1000.0::DOUBLE)"
+    y = f"(CASE WHEN {k} <= 8 THEN {nine} / pow(10.0::DOUBLE, 8 - {k}) ELSE {nine} * pow(10.0::DOUBLE, {k} - 8) END)"
     return (f"(CASE WHEN {x} IS NULL THEN NULL WHEN {x} = 0 THEN 0.0 "
-            f"ELSE (CASE WHEN {x} < 0 THEN -1.0 ELSE 1.0 END) * (CASE WHEN {k} >= 0 THEN {nine} * {up} ELSE {nine} / {down} END) END + 0.0)")
+            f"ELSE (CASE WHEN {x} < 0 THEN -1.0 ELSE 1.0 END) * {y} END + 0.0)")
 
 
 def rsa(expr: str, alias: str) -> str:
