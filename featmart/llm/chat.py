@@ -31,6 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featmart.llm.common import small_batches
+
 # fixed values: the template
 START, END, TRAINED = "<|im_start|>", "<|im_end|>\n", "assistant"
 PART = 1 << 20
@@ -103,6 +105,7 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
     """(conv, part, n_turns, formatted binary, loss array of byte ranges): one row per part."""
     src = rows.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"),
                       F.coalesce(text_col, F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    small_batches(rows.sparkSession)
     src = src.repartitionByRange("conv", "turn", "role", "h").sortWithinPartitions("conv", "turn", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,6 +155,7 @@ def parse(formatted: bytes) -> list[tuple[str, str]]:
 def read_back(parts: DataFrame) -> DataFrame:
     """(conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) per conversation, from the
     formatted bytes and the loss mask alone."""
+    small_batches(parts.sparkSession)
     src = parts.repartition("conv").sortWithinPartitions("conv", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,9 +36,17 @@ def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let the session hand Python Arrow batches of ``SLICE_BYTES`` instead of the usual 64 MB: both sides of
+    the exchange hold a batch or two per task outside the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
     """One Arrow batch in, one out (None: nothing). ``fn`` gets slices of about ``SLICE_BYTES``, at least
     a row, so that the Python objects it makes stay few whatever the texts' length."""
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             step = max(1, b.num_rows * SLICE_BYTES // max(b.nbytes, SLICE_BYTES)) if b.num_rows else 1

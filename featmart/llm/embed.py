@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featmart.llm.common import components, map_batches, materialise
+from featmart.llm.common import components, map_batches, materialise, small_batches
 
 THRESHOLD = 0.9
 BLOCKS = 2
@@ -182,6 +182,7 @@ def class_links(cls: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOC
         F.least("side", o).alias("left"), F.greatest("side", o).alias("right"))))
     dealt = placed.withColumn("p", pair).select("dim", "filter", "p.left", "p.right", "side", "cls", "size", "v", "filters")
     key = ["dim", "filter", "left", "right"]
+    small_batches(cls.sparkSession)
     dealt = dealt.repartition(*key).sortWithinPartitions(*key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
