@@ -168,8 +168,7 @@ def positions(df: DataFrame, key: Sequence[str], order: Sequence, n_parts: int |
 
 def large_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     """Keys with more than ``limit`` rows, by an exact count of the key columns (counted map-side)."""
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-    return cut_lineage(n.select(*keys))
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys)
 
 
 def _plain(df: DataFrame, keys: list[str], order: Sequence, features: Mapping[str, tuple]) -> DataFrame:
@@ -266,6 +265,7 @@ def sequence_features(df: DataFrame, key: str | Sequence[str], order: Sequence,
     hot = large_keys(df if sizes is None else sizes, keys, chunk_rows)
     if hot.isEmpty():
         return _plain(df, keys, order, features)
+    hot = cut_lineage(hot)               # few rows, read by both branches
     cold = _plain(null_safe_join(df, hot, keys, "left_anti"), keys, order, features)
     return cold.unionByName(_chunked(null_safe_join(df, hot, keys, "left_semi"), keys, order, features, chunk_rows))
 

@@ -80,7 +80,7 @@ def _cnt(cols):
 
 
 _RL = "list_filter([q, d, t], lambda x: x IS NOT NULL)"
-_KL = "list_filter([q, d * 100, t * 100, ln], lambda x: x IS NOT NULL)"
+_KL = "list_filter([q, round(d * 100, 0), round(t * 100, 0), ln], lambda x: x IS NOT NULL)"
 _SMALL = "[q, ln, pk]"      # the deviation does not depend on the offset that the query adds
 
 
@@ -110,7 +110,7 @@ def q_row_stats(spark, sf):
         F.when(F.col("l_tax") != 0, F.col("l_tax")).alias("t"), F.col("l_linenumber").alias("ln"),
         (F.col("l_partkey") % 5).alias("pk"))
     cols = ["q", "d", "t"]
-    kc = [F.col("q"), F.col("d") * 100, F.col("t") * 100, F.col("ln")]
+    kc = [F.col("q"), F.round(F.col("d") * 100, 0), F.round(F.col("t") * 100, 0), F.col("ln")]
     return li.select("l_orderkey", "l_partkey",
                      X.row_sum(cols).alias("row_sum"), X.row_mean(cols).alias("row_mean"),
                      X.row_std(cols).alias("row_std"),
