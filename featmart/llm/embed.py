@@ -12,8 +12,8 @@ shared filters and verified in double precision.
 Equal vectors are one class, so copies never meet in pairs. A filter's members are dealt over a triangle
 of block pairs if there are more than ``BUCKET``, so a filter that holds a third of all rows is many
 bounded tasks, each a matrix product; a pair that shares several filters is counted at the smallest of
-them only. A task returns, for each of its vectors, how many it links there and the smallest linked one,
-not the pairs.
+them only. A task returns, for each of its vectors, how many it links there and the smallest vector that its
+links reach there, not the pairs.
 
 The search is approximate: with the defaults at least 0.99 of random pairs at the threshold itself share
 a filter, and more of nearer ones (tests measure recall against brute force); no pair below the threshold
@@ -138,7 +138,7 @@ class _Members:
                         self.filters + other.filters)
 
     def links(self, number: int, left: int, right: int, threshold: float) -> list[np.ndarray]:
-        """Columns cls, n, low of what is linked here and at no smaller filter."""
+        """Columns cls, n, root of what is linked here and at no smaller filter."""
         a = np.flatnonzero(self.side == left)
         b = a if left == right else np.flatnonzero(self.side == right)
         if not len(a) or not len(b):
@@ -146,13 +146,15 @@ class _Members:
         x, n = _scaled(self.x)
         near = (x[a] @ x[b].T) / (n[a][:, None] * n[b][None, :]) >= threshold
         if left == right:
+            near |= near.T        # the product need not be symmetric to the last bit
             np.fill_diagonal(near, False)
         i, j = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
         if not len(i):
             return []
         near = near[np.ix_(i, j)] & ~self._earlier(a[i], b[j], number)
-        out = self._sums(near, a[i], b[j])
-        return out if left == right else [np.concatenate(c) for c in zip(out, self._sums(near.T, b[j], a[i]))]
+        at_row, at_col = _roots(near, self.cls[a[i]], self.cls[b[j]])
+        out = self._sums(near, a[i], b[j], at_row)
+        return out if left == right else [np.concatenate(c) for c in zip(out, self._sums(near.T, b[j], a[i], at_col))]
 
     def _earlier(self, p: np.ndarray, q: np.ndarray, number: int) -> np.ndarray:
         """Which pairs share a filter below ``number``."""
@@ -163,15 +165,39 @@ class _Members:
         has[np.repeat(np.arange(len(lists)), [len(x) for x in lists]), column] = 1
         return has[:len(p)] @ has[len(p):].T > 0
 
-    def _sums(self, near: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> list[np.ndarray]:
+    def _sums(self, near: np.ndarray, rows: np.ndarray, cols: np.ndarray, roots: np.ndarray) -> list[np.ndarray]:
         some = near.any(axis=1)
-        low = np.where(near, self.cls[cols][None, :], np.iinfo(np.int64).max).min(axis=1)
-        return [self.cls[rows][some], (near @ self.size[cols])[some], low[some]]
+        return [self.cls[rows][some], (near @ self.size[cols])[some], roots[some]]
+
+
+def _roots(near: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and each column of ``near`` the smallest class that its links reach, itself included.
+
+    If both are the same vectors, a vector's row and column may lie in two components of the matrix, but these
+    hold the same classes. Every row and column is visited once.
+    """
+    at_row, at_col = rows.copy(), cols.copy()
+    row_left, col_left = near.any(axis=1), near.any(axis=0)
+    for start in np.flatnonzero(row_left):
+        if not row_left[start]:
+            continue
+        row_left[start] = False
+        new, in_rows, in_cols = np.array([start]), [], []
+        while len(new):
+            in_rows.append(new)
+            c = np.flatnonzero(near[new].any(axis=0) & col_left)
+            col_left[c] = False
+            in_cols.append(c)
+            new = np.flatnonzero(near[:, c].any(axis=1) & row_left)
+            row_left[new] = False
+        r, c = np.concatenate(in_rows), np.concatenate(in_cols)
+        at_row[r] = at_col[c] = min(rows[r].min(), cols[c].min())
+    return at_row, at_col
 
 
 def class_links(cls: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCKS, passed: int = PASSED, codes: int = CODES,
                 bucket: int = BUCKET) -> DataFrame:
-    """(cls, n, low): rows linked to a class at one block pair of a filter, and the smallest linked class there."""
+    """(cls, n, root): rows linked to a class at one block pair of a filter, and the smallest class its links reach there."""
     words = code_words(cls.count(), blocks, passed)
     rows = filter_rows(cls, words, blocks, passed, codes)
     sizes = materialise(filter_counts(cls, words, blocks, passed, codes).where(F.col("n") > bucket).select(
@@ -208,7 +234,7 @@ def class_links(cls: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOC
         if held is not None and len(held.cls) > 1:
             yield _links([held.links(*now[1:], threshold)])
 
-    return dealt.mapInArrow(run, "cls long, n long, low long")
+    return dealt.mapInArrow(run, "cls long, n long, root long")
 
 
 def filter_counts(cls: DataFrame, words: int, blocks: int, passed: int, codes: int) -> DataFrame:
@@ -229,7 +255,7 @@ def filter_counts(cls: DataFrame, words: int, blocks: int, passed: int, codes: i
 def _links(found: list[list[np.ndarray]]) -> pa.RecordBatch:
     found = [f for f in found if f]
     return pa.record_batch([pa.array(np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64), pa.int64())
-                            for i in range(3)], names=["cls", "n", "low"])
+                            for i in range(3)], names=["cls", "n", "root"])
 
 
 def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD,
@@ -238,7 +264,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows, cls = classes(vectors, id_col, vector_col)
     links = materialise(class_links(cls, threshold, blocks, passed, codes, bucket), "links")
     degree = links.groupBy("cls").agg(F.sum("n").alias("n"))
-    comp = components(links.select(F.col("cls").alias("a"), F.col("low").alias("b")))
+    comp = components(links.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     known = cls.join(degree, "cls", "left").join(comp, F.col("cls") == F.col("node"), "left").select(
         "cls", "v", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "cls").alias("root"))
     named = materialise(rows.join(known, "v", "left").select("id", "root", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named")

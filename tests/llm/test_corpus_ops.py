@@ -348,6 +348,32 @@ def test_embeddings(spark, bucket):
     assert embed.embedding_dedup(d.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("sides", [[0, 0, 0, 0], [0, 1, 0, 1], [1, 0, 1, 0]])
+def test_links_of_a_chain_stay_connected(sides):
+    """1-4-5-2, where no smallest neighbour crosses the link 4-5."""
+    at = {1: 0, 4: 20, 5: 40, 2: 60}
+    x = np.array([[np.cos(np.radians(d)), np.sin(np.radians(d))] for d in at.values()], np.float32)
+    m = embed._Members(np.array([*at]), np.ones(4, np.int64), np.array(sides), x, [[0]] * 4)
+    cls, n, root = m.links(0, min(sides), max(sides), 0.9)
+    assert dict(zip(cls, n)) == {1: 1, 4: 2, 5: 2, 2: 1}
+    known = [1, 2, 4, 5]
+    assert groups_of(4, [(known.index(a), known.index(b)) for a, b in zip(cls, root)]) == [0] * 4
+
+
+def test_links_of_loose_groups_stay_connected():
+    rng = np.random.default_rng(0)
+    for k in range(60):
+        centre = rng.normal(size=16)
+        x = np.float32(centre + rng.normal(size=(30, 16)) * 0.36)
+        two = k % 2
+        m = embed._Members(rng.permutation(30), np.ones(30, np.int64), np.arange(30) % 2 * two, x, [[0]] * 30)
+        parts = [m.links(0, 0, two, 0.9)]
+        u = np.float64(x) / np.linalg.norm(np.float64(x), axis=1, keepdims=True)
+        near = [(i, j) for i in range(30) for j in range(i) if u[i] @ u[j] >= 0.9 and (not two or m.side[i] != m.side[j])]
+        want = groups_of(30, [(int(m.cls[i]), int(m.cls[j])) for i, j in near])
+        assert groups_of(30, [(int(a), int(b)) for p in parts if p for a, b in zip(p[0], p[2])]) == want
+
+
 @pytest.mark.parametrize("words", [64, 128, 512])
 def test_filter_recall_at_the_threshold(words):
     rng = np.random.default_rng(words)
