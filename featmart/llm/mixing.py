@@ -38,6 +38,12 @@ def n_words(c: Column) -> Column:
     return (F.size(parts) - empty).cast("long")
 
 
+def first_words(c: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word; empty if n is 0 or the text has fewer words."""
+    pattern = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), n.cast("string"), F.lit("}+"))     # possessive: no recursion
+    return F.when(n > 0, F.coalesce(F.regexp_substr(c, pattern), F.lit(""))).otherwise(F.lit(""))
+
+
 def sainte_lague(parties: DataFrame, group: str, party: str, weight: str, house: str) -> DataFrame:
     """Add ``seats``: in each ``group``, ``house`` seats go to the highest quotients weight / 1, 3, 5, ...;
     equal quotients go by ``party``.

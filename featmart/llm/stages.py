@@ -1,7 +1,8 @@
 """The stages of the corpus pipeline: each calls one operator and lets its decisions take effect.
 
 Rows are matched to decisions by a 128-bit hash of id and text, so null and repeated ids are all right;
-equal rows get equal decisions. Every column of the input is kept, whatever else it holds.
+equal rows get equal decisions. In the mix equal rows may differ in what is taken of them, so rows are numbered
+there. Every column of the input is kept, whatever else it holds.
 """
 
 from __future__ import annotations
@@ -73,11 +74,39 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing: every document with the words the mix takes of it (``taken``, 0 if none)."""
-    keep = [F.col(c).alias(c) for c in docs.columns if c not in (ID, TEXT, "source", *_MIX)]
-    d = mixing.mix(docs, ID, TEXT, keep=tuple(keep))
-    return d.select(F.col("id").alias(ID), *[F.col(f"kept.{c}").alias(c) for c in docs.columns if c not in (ID, TEXT, "source", *_MIX)],
-                    "source", *_MIX)
-
-
-_MIX = ("size", "source_size", "target", "taken")
+    """Mixing: every document with the words the mix takes of it (``taken``, 0 if none): so many whole ``copies``
+    and the words of ``part``. An input column of such a name becomes ``doc_<name>`` (with as many _ behind it as it
+    takes to be new). Text takes no part in the windows: decisions are joined back by row number."""
+    new = {c: c for c in docs.columns}
+    for c in _MIX:
+        if c in new:
+            name = f"doc_{c}"
+            while name in (*new, *new.values()):
+                name += "_"
+            new[c] = name
+    row = "_row"
+    while row in new.values():
+        row += "_"
+    rows = materialise(docs.select(*[F.col(c).alias(n) for c, n in new.items()], F.monotonically_increasing_id().alias(row)), "numbered")
+    d = mixing.mix(rows, ID, TEXT, keep=(F.col(row).alias("row"),))
+    d = small(materialise(d.select(F.col("kept.row").alias(row), "size", "source_size", "target", "taken"), "mix"))
+    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("long")
+    out = rows.join(d, row).withColumn("copies", whole)
+    return out.withColumn("part", mixing.first_words(F.col(TEXT), F.col("taken") - F.col("copies") * F.col("size"))).select(*new.values(), *_MIX)
+
+
+def lay_out(mixed: DataFrame) -> DataFrame:
+    """The corpus: of each document a row per whole copy and one with its part, numbered by ``copy`` from 1; a
+    document of which nothing is taken has none. ``text`` is what the row holds; ``n_chars`` follows."""
+    number = "copy"
+    while number in mixed.columns:
+        number += "_"
+    n = F.col("copies") + (F.col("part") != "").cast("long")
+    rows = mixed.where(F.col("taken") > 0).withColumn(number, F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(n, F.lit(1)))))
+    rows = rows.withColumn(TEXT, F.when(F.col(number) <= F.col("copies"), F.col(TEXT)).otherwise(F.col("part")))
+    if "n_chars" in mixed.columns:
+        rows = rows.withColumn("n_chars", F.length(TEXT).cast(mixed.schema["n_chars"].dataType))
+    return rows.drop("copies", "part")
+
+
+_MIX = ("size", "source_size", "target", "taken", "copies", "part")

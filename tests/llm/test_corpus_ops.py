@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from featmart.llm import chat, common, decontam, embed, langid, mixing, pii, simhash, warc
+from featmart.llm import chat, common, decontam, embed, langid, mixing, pii, simhash, stages, warc
 from featmart.llm.queries import ORACLES, QUERIES
 
 sys.path.insert(0, os.path.join(os.path.dirname(__file__), "..", "..", "tools"))
@@ -440,6 +440,45 @@ def test_pipeline_brute_force(spark):
     assert len(rows) == len(before) and all(abs(taken[s] - want[s]) <= 16 for s in sizes)
 
 
+def brute_part(text, n):
+    ends = [m.end() for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
+    return text[:ends[n - 1]] if n else ""
+
+
+def test_mix_is_carried_out(spark, odd, none):
+    """Texts come through the mix: whole copies, the part of the last block, and nothing of what is not taken."""
+    for d in (odd, spark.read.parquet("/root/testdata/sf0.01/documents.parquet")):
+        mixed = common.materialise(stages.mixture(spark, d, SF))
+        rows = mixed.collect()
+        assert [c.removeprefix("doc_") if c in ("doc_size", "doc_target", "doc_taken") else c for c in mixed.columns[:len(d.columns)]] == d.columns
+        assert Counter((r.doc_id, r.text, r.source) for r in rows) == Counter((r.doc_id, r.text, r.source) for r in d.collect())
+        want = Counter()
+        for r in rows:
+            assert (r.copies, r.part) == ((r.taken // r.size, brute_part(r.text, r.taken % r.size)) if r.size else (0, ""))
+            want.update([(r.doc_id, r.source, t) for t in [r.text] * r.copies + [r.part] if t and r.taken])
+        assert any(r.taken == 0 for r in rows) and any(r.part for r in rows)
+        got = stages.lay_out(mixed).collect()
+        assert Counter((r.doc_id, r.source, r.text) for r in got) == want and all(r.n_chars == len(r.text) for r in got)
+        words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+        assert sum(words(r.text) for r in got) == sum(r.taken for r in rows)
+    assert {r.doc_size for r in stages.mixture(spark, odd, SF).collect()} == {7}
+    assert stages.lay_out(stages.mixture(spark, none, SF)).count() == 0
+
+
+def test_first_words_of_long_texts(spark):
+    t = "\n Wort\u00a0eins \t zwei\r\n" * 50_000
+    for n in (0, 1, 3, 99_999, 100_000):
+        (r,) = spark.createDataFrame([(t, n)], "t string, n long").select(mixing.first_words(F.col("t"), F.col("n")).alias("p")).collect()
+        assert r.p == brute_part(t, n)
+
+
+def test_pipeline_returns_the_redacted_corpus(spark):
+    import corpus_pipeline
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert rows and all(r.text and r.taken > 0 and not pii.base_spans(r.text) for r in rows)
+    assert {"doc_id", "text", "lang", "source", "n_chars"} <= set(rows[0].asDict())
+
+
 def test_pipeline_odd_rows(spark, odd, none):
     import corpus_pipeline
     for d in (odd, none):
