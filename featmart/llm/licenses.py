@@ -6,8 +6,9 @@ and with each template as a zstandard raw dictionary; what the dictionary saves,
 template itself takes compressed, ranks the templates. Those from ``GAIN`` on are the winners that go on to
 the check of their exact wording: the template's words are aligned with the block's words (letters and
 digits, any case), and the differences are counted, words missing and words added inside the match. A
-match may differ by ``DIFFER`` of the template's words at most, so short statements must be literal, and
-never in a word with a digit (a version). Of rival matches the one with more words the same, each difference
+match may differ by ``DIFFER`` of the template's words at most, from ``SHORT`` words on by one at least, and
+never in a word that tells licenses apart: one with a digit (a version) or of ``TELLING``, missing or added.
+Templates of which such a word is not in the block are passed over. Of rival matches the one with more words the same, each difference
 counting against two, is confirmed first; its words do not count again, and the next wording is looked for.
 
 Every block of every whole text is scanned; a text without a cue has no block. Blocks that grow beyond
@@ -32,6 +33,7 @@ REACH = 400
 BLOCK = 8_000
 GAIN = 0.1
 DIFFER = 0.1
+SHORT = 5
 LEVEL = 9
 
 # fixed values: license statements and notices, by name
@@ -49,7 +51,6 @@ TEMPLATES: dict[str, list[str]] = {
         "Released under the BSD License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
         "conditions are met:",
-        "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
@@ -82,21 +83,89 @@ TEMPLATES: dict[str, list[str]] = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "reserved": ["All rights reserved."],
 }
-_CUE = re.compile(r"licen[sc]|copyright|rights reserved|permission|redistribut|public domain|creative commons|\bcc[ -]by\b|free software", re.I)
+
+
+def _more(name: str, *texts: str) -> None:
+    TEMPLATES[name] = TEMPLATES.get(name, []) + [t for t in texts if t not in TEMPLATES.get(name, [])]
+
+
+_BSD2 = (TEMPLATES["BSD"][1] + " 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+         "disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+         "disclaimer in the documentation and/or other materials provided with the distribution.")
+_more("BSD-2-Clause", _BSD2)
+_more("BSD-3-Clause", _BSD2 + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+      "derived from this software without specific prior written permission.")
+_FREE = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} General Public License as "
+         "published by the Free Software Foundation, either version {} of the License, or (at your option) any later version.")
+_more("AGPL-3.0", _FREE.format("Affero", "3"))
+_more("LGPL-3.0", _FREE.format("Lesser", "3"))
+_more("LGPL-2.1", _FREE.format("Lesser", "2.1"))
+_more("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any "
+      "damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including "
+      "commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:")
+_more("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at "
+      "http://www.boost.org/LICENSE_1_0.txt)")
+_more("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is "
+      "available at https://www.eclipse.org/legal/epl-2.0/")
+_more("EPL-1.0", "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public "
+      "License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html")
+_more("CDDL-1.0", "The contents of this file are subject to the terms of the Common Development and Distribution License (the License). You may "
+      "not use this file except in compliance with the License.")
+for _c, _long in (("NC-SA", "NonCommercial-ShareAlike"), ("NC-ND", "NonCommercial-NoDerivatives"), ("ND", "NoDerivatives")):
+    _more(f"CC-BY-{_c}-4.0", f"Licensed under CC BY-{_c} 4.0.", f"This work is licensed under a Creative Commons Attribution-{_long} 4.0 International License.")
+for _name, _forms in {
+    "Apache-2.0": ["Apache License 2.0", "Apache 2.0 License"], "BSD-2-Clause": ["BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License"],
+    "Zlib": ["zlib License"], "BSL-1.0": ["Boost Software License 1.0", "Boost Software License, Version 1.0"], "ISC": ["ISC License"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, version 2.0"], "EPL-2.0": ["Eclipse Public License 2.0"],
+    "EPL-1.0": ["Eclipse Public License 1.0"], "CDDL-1.0": ["Common Development and Distribution License 1.0"],
+    "GPL-2.0": ["GNU General Public License v2", "GNU GPL v2"], "GPL-3.0": ["GNU General Public License v3", "GNU GPL v3"],
+    "LGPL-2.1": ["GNU Lesser General Public License v2.1", "GNU Lesser General Public License, version 2.1"],
+    "LGPL-3.0": ["GNU Lesser General Public License v3", "GNU Lesser General Public License, version 3"],
+    "AGPL-3.0": ["GNU Affero General Public License v3", "GNU Affero General Public License, version 3"],
+}.items():
+    _more(_name, *[f"Licensed under the {f}." for f in _forms])
+_more("MIT", "Distributed under the MIT License.")
+_more("BSD-2-Clause", "BSD-2-Clause")
+_more("BSD-3-Clause", "BSD-3-Clause")
+for _name in [n for n in TEMPLATES if n not in ("BSD", "reserved")]:
+    _ids = [_name, f"{_name}-only", f"{_name}-or-later"] if "GPL" in _name else [_name]
+    _more(_name, *[f"SPDX-License-Identifier: {i}" for i in _ids])
+
+# words that tell licenses apart: none may be missing; none but the everyday ones may be added
+_EVERYDAY = {"by", "only", "later", "clause", "development", "distribution"}
+TELLING = _EVERYDAY | {
+    "apache", "bsd", "mit", "gnu", "gpl", "lgpl", "agpl", "affero", "lesser", "cc", "nc", "sa", "nd", "creative", "commons", "attribution",
+    "noncommercial", "sharealike", "noderivatives", "noderivs", "isc", "mozilla", "mpl", "zlib", "boost", "bsl", "eclipse", "epl", "cddl", "unlicense"}
+_CUE = re.compile(r"licen[sc]|\bbsd-\d-clause\b|copyright|rights reserved|permission|redistribut|public domain|creative commons|\bcc[ -]by\b|free software", re.I)
 _WORD = re.compile(r"[A-Za-z0-9]+")
 
 
+def _digit(w: str) -> bool:
+    return any(c.isdigit() for c in w)
+
+
+def _telling(words: list[str]) -> set[str]:
+    """The words of a template that may not be missing; of a long one the names and versions only."""
+    return {w for w in words if _digit(w) or w in TELLING and (len(words) < 20 or w not in _EVERYDAY)}
+
+
+def _limit(n: int) -> float:
+    """Differences allowed to a template of n words."""
+    return max(DIFFER * n, 1 if n >= SHORT else 0)
+
+
 @cache
 def _templates():
-    """(name, words, compressor with the template as dictionary, compressed size of the template)."""
+    """(name, words, compressor with the template as dictionary, compressed size of the template, telling words)."""
     plain = zstandard.ZstdCompressor(level=LEVEL)
     frame = len(plain.compress(b""))
     out = []
     for name, texts in TEMPLATES.items():
         for t in texts:
             d = zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            out.append((name, [w.lower() for w in _WORD.findall(t)], zstandard.ZstdCompressor(level=LEVEL, dict_data=d),
-                        len(plain.compress(t.lower().encode())) - frame))
+            words = [w.lower() for w in _WORD.findall(t)]
+            out.append((name, words, zstandard.ZstdCompressor(level=LEVEL, dict_data=d),
+                        len(plain.compress(t.lower().encode())) - frame, _telling(words)))
     return plain, out
 
 
@@ -128,7 +197,11 @@ def _align(template: list[str], words: list[str], used: list[bool]) -> tuple[int
     first, last = near[0].a, near[-1].a + near[-1].size
     same = sum(x.size for x in near)
     kept = {i for x in near for i in range(x.b, x.b + x.size)}
-    if any(i not in kept and any(c.isdigit() for c in w) for i, w in enumerate(template)):
+    telling = _telling(template)
+    if any(i not in kept and w in telling for i, w in enumerate(template)):
+        return None
+    there = {i for x in near for i in range(x.a, x.a + x.size)}
+    if any(i not in there and (_digit(words[i]) or words[i] in TELLING and words[i] not in _EVERYDAY) for i in range(first, last)):
         return None
     return first, last, len(template) - same, last - first - same
 
@@ -141,15 +214,16 @@ def scan_text(text: str | None) -> list[tuple[str, int, int, float, int, int]]:
         part = text[a:b]
         data = part.lower().encode()
         alone = len(plain.compress(data))
-        gains = [((alone - len(c.compress(data))) / size, name, words) for name, words, c, size in templates]
         spots = [m.span() for m in _WORD.finditer(part)]
         words = [part[i:j].lower() for i, j in spots]
+        known = set(words)
+        gains = [((alone - len(c.compress(data))) / size, name, t) for name, t, c, size, telling in templates if telling <= known]
         used = [False] * len(words)
         winners = sorted((g for g in gains if g[0] >= GAIN), key=lambda g: (-g[0], g[1]))
         place: dict[int, tuple | None] = {i: _align(t, words, used) for i, (_, _, t) in enumerate(winners)}
         while True:
             fit = [(len(winners[i][2]) - got[2] - 2 * (got[2] + got[3]), -i, got) for i, got in place.items()
-                   if got and got[2] + got[3] <= DIFFER * len(winners[i][2])]
+                   if got and got[2] + got[3] <= _limit(len(winners[i][2]))]
             if not fit:
                 break
             _, i, (first, last, missing, added) = max(fit)

@@ -268,6 +268,24 @@ def test_license_lines(spark):
         assert sorted(got.get(r.doc_id, [])) == want
 
 
+@pytest.mark.parametrize("text, name", [
+    ("Distributed under the MIT License.", "MIT"), ("Provided under the MIT License.", "MIT"), ("Licensed under the Apache License 2.0", "Apache-2.0"),
+    ("SPDX-License-Identifier: GPL-3.0-only", "GPL-3.0"), ("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1"), ("BSD-2-Clause", "BSD-2-Clause"),
+    ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"), ("SPDX-License-Identifier: Zlib", "Zlib"),
+    ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"), ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"),
+    *[(licenses.TEMPLATES["GPL-3.0"][1].replace("GNU", f"GNU {w}"), n) for w, n in (("Affero", "AGPL-3.0"), ("Lesser", "LGPL-3.0"))],
+    *[(f"This work is licensed under a Creative Commons Attribution-{w} 4.0 International License.", n)
+      for w, n in (("NoDerivatives", "CC-BY-ND-4.0"), ("NonCommercial-ShareAlike", "CC-BY-NC-SA-4.0"), ("ShareAlike", "CC-BY-SA-4.0"))]])
+def test_usual_licenses(text, name):
+    assert [m[0] for m in licenses.scan_text("some words before it\n\n" + text + "\n\nand some after it")] == [name]
+
+
+def test_every_template_is_found_under_its_name():
+    for name, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            assert [(m[0], m[4], m[5]) for m in licenses.scan_text(t)] == [(name, 0, 0)], t
+
+
 def test_license_wording(odd, none):
     mit = licenses.TEMPLATES["MIT"][2]
     (m,) = licenses.scan_text("x y z " * 50 + "\n// " + mit.replace(", ", ",\n// ") + "\nfoo")
