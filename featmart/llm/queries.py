@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featmart.llm import chat, decontam, embed, langid, licenses, mixing, pii, simhash, tokens, warc
+from featmart.llm import chat, decontam, embed, langid, licenses, merkle, mixing, pii, simhash, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -184,3 +184,57 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License statements and notices in every whole text, with their wording differences."""
     d = licenses.scan(table(spark, sf_dir, "documents"))
     return d.withColumnRenamed("id", "doc_id").withColumn("exact", (F.col("missing") == 0) & (F.col("added") == 0))
+
+
+# CRC-32 bit by bit: a byte (0 to 255) is added, every -1 shifts once
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, CAST(length(hex({0})) / 2 AS BIGINT) + 1),
+  lambda i: [CAST('0x' || substr(hex({0}), 2 * i - 1, 2) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"""
+
+
+def sql_crc32(bytes_: str) -> str:
+    """DuckDB SQL: the unsigned CRC-32 of a blob."""
+    return f"xor({_CRC.format(bytes_)}, 4294967295)"
+
+
+def _sql_field(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
+
+
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_HEAD = " || ".join(_sql_field(c) for c in merkle.FIELDS[:-1])
+# levels by recursion; a leaf's path is the list of its places level by level
+SQL_MERKLE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, sha256({_HEAD} || {_sql_field("text")}) AS leaf,
+    CASE WHEN {sql_crc32("encode(CAST(doc_id AS VARCHAR))")} % {merkle.TAMPER_EVERY} = 0 THEN sha256({_HEAD} || {_sql_field(_LOWERED)}) END AS tampered FROM documents),
+l AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+        row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d),
+lv AS (SELECT tree, 0 AS level, pos, leaf AS digest, n AS cnt FROM l
+  UNION ALL
+  SELECT tree, any_value(level) + 1, pos // {merkle.FANOUT}, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(cnt) + {merkle.FANOUT - 1}) // {merkle.FANOUT}
+  FROM lv WHERE cnt > 1 GROUP BY tree, pos // {merkle.FANOUT}),
+tops AS (SELECT tree, level, digest FROM lv WHERE cnt = 1),
+up AS (SELECT 0 AS level, tree AS pos, digest, (SELECT count(*) FROM tops) AS cnt FROM tops
+  UNION ALL
+  SELECT any_value(level) + 1, pos // {merkle.FANOUT}, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(cnt) + {merkle.FANOUT - 1}) // {merkle.FANOUT}
+  FROM up WHERE cnt > 1 GROUP BY pos // {merkle.FANOUT}),
+nodes AS (SELECT lv.tree, lv.level, lv.pos, digest, 0 AS part FROM lv UNION ALL SELECT -1, level, pos, digest, 1 FROM up),
+climb AS (SELECT tree AS own, pos AS own_pos, tree, 0 AS level, pos, n AS cnt, '' AS proof, coalesce(tampered, leaf) AS fold FROM l
+  UNION ALL
+  SELECT c.own, c.own_pos, c.t, c.level + 1, c.p // {merkle.FANOUT}, (c.cnt + {merkle.FANOUT - 1}) // {merkle.FANOUT},
+    c.proof || coalesce((SELECT string_agg(digest, '' ORDER BY n.pos) FROM nodes n WHERE n.tree = c.t AND n.level = c.level AND n.pos // {merkle.FANOUT} = c.p // {merkle.FANOUT} AND n.pos <> c.p), ''),
+    sha256((SELECT string_agg(CASE WHEN n.pos = c.p THEN c.fold ELSE digest END, '' ORDER BY n.pos) FROM nodes n
+            WHERE n.tree = c.t AND n.level = c.level AND n.pos // {merkle.FANOUT} = c.p // {merkle.FANOUT}))
+  FROM (SELECT own, own_pos, CASE WHEN cnt = 1 THEN -1 ELSE tree END AS t, CASE WHEN cnt = 1 THEN 0 ELSE level END AS level,
+          CASE WHEN cnt = 1 THEN tree ELSE pos END AS p, CASE WHEN cnt = 1 THEN (SELECT count(*) FROM tops) ELSE cnt END AS cnt, proof, fold
+        FROM climb WHERE cnt > 1 OR (tree >= 0 AND (SELECT count(*) FROM tops) > 1)) c)
+SELECT l.doc_id, l.leaf, tops.digest AS subroot, r.digest AS root, sha256(c.proof) AS proof_sha256, c.fold AS folded_root, c.fold = r.digest AS verified
+FROM l JOIN tops USING (tree) JOIN climb c ON c.own = l.tree AND c.own_pos = l.pos
+  AND c.cnt = 1 AND (c.tree = -1 OR (SELECT count(*) FROM tops) = 1), (SELECT digest FROM up WHERE cnt = 1) r
+"""
+
+
+@query("op11_merkle", SQL_MERKLE)
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and the root that its possibly tampered leaf folds to."""
+    return merkle.verify(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
