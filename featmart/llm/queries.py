@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featmart.llm import chat, decontam, embed, langid, licenses, merkle, mixing, pii, simhash, tokens, warc
+from featmart.llm import chat, decontam, embed, langid, licenses, merkle, mixing, pii, simhash, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -238,3 +238,11 @@ FROM l JOIN tops USING (tree) JOIN climb c ON c.own = l.tree AND c.own_pos = l.p
 def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, subroot, root and proof of every document, and the root that its possibly tampered leaf folds to."""
     return merkle.verify(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op13_toxicity")
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text by maximum-scoring segments, learned outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    d = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), keep=(F.col("doc_id"), toxicity.held_out("doc_id").alias("held_out")))
+    return d.withColumn("n_passages", F.size("passages").cast("long"))
