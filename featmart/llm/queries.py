@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featmart.llm import chat, decontam, embed, langid, licenses, merkle, mixing, pii, simhash, tokens, toxicity, warc
+from featmart.llm import chat, decontam, embed, langid, licenses, merkle, mixing, pii, simhash, spelling, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -188,8 +188,8 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # CRC-32 bit by bit: a byte (0 to 255) is added, every -1 shifts once
 _CRC = """list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, CAST(length(hex({0})) / 2 AS BIGINT) + 1),
-  lambda i: [CAST('0x' || substr(hex({0}), 2 * i - 1, 2) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
-  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"""
+  lambda byte_no: [CAST('0x' || substr(hex({0}), 2 * byte_no - 1, 2) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda crc, bit: CASE WHEN bit >= 0 THEN xor(crc, bit) WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END)"""
 
 
 def sql_crc32(bytes_: str) -> str:
@@ -246,3 +246,30 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     d = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), keep=(F.col("doc_id"), toxicity.held_out("doc_id").alias("held_out")))
     return d.withColumn("n_passages", F.size("passages").cast("long"))
+
+
+# words that share all but one code point are met by the word without it; an insertion is met at its last place only
+SQL_SPELLING = f"""
+WITH RECURSIVE r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS i, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+c AS (SELECT i, run, count(*) AS n FROM r WHERE length(run) >= {spelling.LEAST_LENGTH} GROUP BY i, run),
+h AS (SELECT run, n, {sql_crc32("encode(i || ':' || run)")} AS h FROM c),
+w AS (SELECT CASE WHEN h % {spelling.DROP_EVERY} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= {spelling.LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {spelling.LEAST_COUNT}),
+cut AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+lack AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b, substr(word, i, 1) AS x FROM cut),
+pairs AS (SELECT l.word AS u, r.word AS v, r.n AS n FROM lack l JOIN lack r ON l.a = r.a AND l.b = r.b AND l.i = r.i AND l.word <> r.word
+  UNION SELECT l.word, s.word, s.n FROM lack l JOIN v s ON l.a || l.b = s.word
+  UNION SELECT s.word, l.word, l.n FROM lack l JOIN v s ON l.a || l.b = s.word),
+best AS (SELECT u, count(*) AS n_near, max(n) AS top, min(v) FILTER (n = m) AS form FROM (SELECT *, max(n) OVER (PARTITION BY u) AS m FROM pairs) GROUP BY u),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= {spelling.RATIO} * n THEN form END AS form,
+        CASE WHEN top >= {spelling.RATIO} * n THEN top END AS form_n FROM v LEFT JOIN best ON u = word),
+go AS (SELECT word, word AS far, 0 AS step FROM f UNION ALL SELECT go.word, f.form, step + 1 FROM go JOIN f ON f.word = go.far WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM f JOIN (SELECT word, arg_max(far, step) AS root FROM go GROUP BY word) e USING (word)
+"""
+
+
+@query("op12_spelling", SQL_SPELLING)
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the near word that they are a variant of."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
