@@ -288,7 +288,7 @@ def standardize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 #
 # A pre-bin is a quantile interval (numeric) or a group of categories (categorical): categories are
 # ranked by event rate (ties by name) and cut into at most ``prebins`` groups of about equal size, so
-# any number of levels reduces to a bounded table. Merging then works on that table alone.
+# any number of levels reduces to a bounded table. The search for the best bins then works on that table alone.
 
 BIN_SCHEMA = T.StructType([
     T.StructField("feature", T.StringType()), T.StructField("bin", T.IntegerType()),
@@ -299,51 +299,21 @@ BIN_SCHEMA = T.StructType([
 WOE_EPS = 0.5
 
 
-def _merge_bins(pdf, min_share: float, eps: float = WOE_EPS):
-    """Adjacent-bin merging on one feature's pre-bin table (tiny; runs inside applyInPandas).
-
-    Repeatedly merge the adjacent pair whose merge loses the least IV while some bin holds less
-    than ``min_share`` of rows or the event rate is not monotone; ties -> lower index."""
+def _best_bins(pdf, min_share: float, max_bins: int | None, trend: str, eps: float = WOE_EPS):
+    """The optimal bins of one feature's pre-bin table (tiny; runs inside applyInPandas)."""
     import numpy as np
     import pandas as pd
+
+    from featmart.operators.binning import best_partition, bin_values
     pdf = pdf.sort_values("bin").reset_index(drop=True)
-    first, last = list(pdf["bin"]), list(pdf["bin"])
-    cnt, ev = list(pdf["count"].astype(float)), list(pdf["events"].astype(float))
-    te, tn = sum(ev), sum(cnt) - sum(ev)
-
-    def iv_of(c, e):
-        de = (e + eps) / (te + eps * len(cnt))
-        dn = (c - e + eps) / (tn + eps * len(cnt))
-        return (de - dn) * np.log(de / dn)
-
-    def needs_merge():
-        n = sum(cnt)
-        if len(cnt) <= 1:
-            return False
-        if any(c < min_share * n for c in cnt):
-            return True
-        rates = [e / c for e, c in zip(ev, cnt)]
-        d = np.sign(np.diff(rates))
-        d = d[d != 0]
-        return len(d) > 0 and not (np.all(d > 0) or np.all(d < 0))
-
-    while needs_merge():
-        best, best_loss = 0, None
-        for i in range(len(cnt) - 1):
-            loss = iv_of(cnt[i], ev[i]) + iv_of(cnt[i + 1], ev[i + 1]) - iv_of(cnt[i] + cnt[i + 1], ev[i] + ev[i + 1])
-            if best_loss is None or loss < best_loss - 1e-15:
-                best, best_loss = i, loss
-        cnt[best:best + 2] = [cnt[best] + cnt[best + 1]]
-        ev[best:best + 2] = [ev[best] + ev[best + 1]]
-        last[best:best + 2] = [last[best + 1]]
-        first[best:best + 2] = [first[best]]
-    rows = []
-    for i, (c, e) in enumerate(zip(cnt, ev)):
-        de = (e + eps) / (te + eps * len(cnt))
-        dn = (c - e + eps) / (tn + eps * len(cnt))
-        w = float(np.log(de / dn))
-        rows.append((pdf["feature"].iloc[0], i, int(first[i]), int(last[i]), int(c), int(e), w, float((de - dn) * w)))
-    return pd.DataFrame(rows, columns=[f.name for f in BIN_SCHEMA.fields])
+    count, events = pdf["count"].to_numpy(float), pdf["events"].to_numpy(float)
+    ends = best_partition(count, events, min_share, max_bins, trend, eps)
+    starts = [0, *ends[:-1]]
+    cnt, ev = np.add.reduceat(count, starts), np.add.reduceat(events, starts)
+    woe, iv = bin_values(cnt, ev, len(ends), (ev.sum(), cnt.sum() - ev.sum()), eps)
+    number = pdf["bin"].to_numpy()
+    return pd.DataFrame({"feature": pdf["feature"].iloc[0], "bin": np.arange(len(ends)), "first": number[starts], "last": number[[e - 1 for e in ends]],
+                         "count": cnt.astype(int), "events": ev.astype(int), "woe": woe, "iv": iv})[[f.name for f in BIN_SCHEMA.fields]]
 
 
 class Bins:
@@ -369,11 +339,12 @@ def _category_prebins(lab: DataFrame, cols: Sequence[str], prebins: int) -> Data
 
 
 def optimal_bins(df: DataFrame, label: str, num_cols: Sequence[str] = (), cat_cols: Sequence[str] = (), prebins: int = 20,
-                 min_share: float = 0.05) -> Bins:
+                 min_share: float = 0.05, max_bins: int | None = None, trend: str = "monotone") -> Bins:
     """Supervised binning (E8) on the labelled rows: (1) pre-bins of all columns; (2) one unpivot +
-    ``groupBy(feature, bin)`` event table, the only pass over the data; (3) adjacent merging on each
-    feature's at most ``prebins`` rows via ``groupBy(feature).applyInPandas``, distributed over features.
-    NULLs are not binned - they get a fixed value at apply time (E9)."""
+    ``groupBy(feature, bin)`` event table, the only pass over the data; (3) the optimal partition of each
+    feature's at most ``prebins`` rows (``binning.best_partition``) via ``groupBy(feature).applyInPandas``,
+    distributed over features. ``trend``: 'rising', 'falling', 'monotone' (the better of the two), 'peak', 'valley',
+    'any_turn'. NULLs are not binned - they get a fixed value at apply time (E9)."""
     from featmart.session import cut_lineage
     spark = df.sparkSession
     lab = df.filter(F.col(label).isNotNull()).withColumn("_y", F.col(label).cast("long"))
@@ -393,7 +364,7 @@ def optimal_bins(df: DataFrame, label: str, num_cols: Sequence[str] = (), cat_co
         parts.append(levels.groupBy("feature", F.col("prebin").alias("bin")).agg(F.sum("count").alias("count"), F.sum("events").alias("events")))
         levels = levels.select("feature", "value", "prebin")
     pre = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    table = pre.groupBy("feature").applyInPandas(lambda p: _merge_bins(p, min_share), BIN_SCHEMA)
+    table = pre.groupBy("feature").applyInPandas(lambda p: _best_bins(p, min_share, max_bins, trend), BIN_SCHEMA)
     return Bins(edges, levels, cut_lineage(table), list(cat_cols))
 
 
@@ -407,9 +378,10 @@ def bin_edges(bins: Bins) -> DataFrame:
         "feature", "bin", "lo", "hi", "count", "events", "woe", "iv")
 
 
-def optimal_bins_fit(df: DataFrame, label: str, cols: Sequence[str], prebins: int = 20, min_share: float = 0.05) -> DataFrame:
+def optimal_bins_fit(df: DataFrame, label: str, cols: Sequence[str], prebins: int = 20, min_share: float = 0.05,
+                     max_bins: int | None = None, trend: str = "monotone") -> DataFrame:
     """Bins of numeric columns as one table (feature, bin, lo, hi, count, events, woe, iv)."""
-    return bin_edges(optimal_bins(df, label, cols, (), prebins, min_share))
+    return bin_edges(optimal_bins(df, label, cols, (), prebins, min_share, max_bins, trend))
 
 
 def binned_apply(df: DataFrame, bins: Bins, cols: Sequence[str] | None = None, suffix: str = "_binned", missing_value: float = 0.0,

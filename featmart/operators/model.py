@@ -2,8 +2,8 @@
 
 * folds come from a hash of the entity id, ranked within each label class (whole entities, reproducible
   in SQL);
-* every model is a Spark ML estimator (distributed training); out-of-fold scores are the union
-  of k held-out prediction sets, never collected;
+* the k models of a cross-validated run train together, one pass over the data a step (``folds``); other models
+  are Spark ML estimators; scores are never collected;
 * AUC is exact: a rank-sum over distinct scores whose cumulative negative counts come from the
   skew-safe chunked running sum (a single "key" holding every score is the extreme hot key).
 """
@@ -81,24 +81,11 @@ def _prepare_numeric(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.withColumns({c: finite(c) for c in features})
 
 
-def oof_scores(df: DataFrame, id_col: str, entity_col: str, label: str, numeric: Sequence[str],
-               categorical: Sequence[str] = (), k: int = 5, C: float = 1.0, max_iter: int = 100) -> DataFrame:
-    """Out-of-fold logistic scores (M2).
-
-    Folds are stratified by label and assigned per entity (all rows of one entity share a fold).  For each fold f a
-    pipeline (M4 + logistic) is fitted on the labelled rows outside f and scores the labelled rows
-    in f; unlabelled rows get the mean of the k models' scores.  Returns (id, entity, fold,
-    label, score)."""
-    folds = stratified_folds(df, entity_col, label, k).withColumnRenamed("fold", "_fold")
-    d = _prepare_numeric(df, numeric).join(folds, entity_col, "left").withColumn("_label", F.col(label).cast("double"))
-    # k fits and 2k transforms read the input: materialise it once in the shared checkpoint
-    # directory (also cuts the lineage, so a lost executor does not replay the upstream joins)
-    d = cut_lineage(d)
-    lab = d.filter(F.col(label).isNotNull())
-    unl = d.filter(F.col(label).isNull())
-    n = lab.count()
-    ids = [id_col] if id_col == entity_col else [id_col, entity_col]
+def _fold_by_fold(d: DataFrame, ids: list[str], label: str, numeric: Sequence[str], categorical: Sequence[str], k: int, C: float, max_iter: int) -> DataFrame:
+    """A Spark ML pipeline per fold: for more columns than the sums of one pass may have."""
     from pyspark.ml import Pipeline
+    lab, unl = d.filter(F.col(label).isNotNull()), d.filter(F.col(label).isNull())
+    n = lab.count()
     held, test_scores = [], []
     for f in range(k):
         train = lab.filter(F.col("_fold") != f)
@@ -117,6 +104,29 @@ def oof_scores(df: DataFrame, id_col: str, entity_col: str, label: str, numeric:
     return out.unionByName(t)
 
 
+def oof_scores(df: DataFrame, id_col: str, entity_col: str, label: str, numeric: Sequence[str],
+               categorical: Sequence[str] = (), k: int = 5, C: float = 1.0, max_iter: int = 100, max_columns: int | None = None) -> DataFrame:
+    """Out-of-fold logistic scores (M2).
+
+    Folds are stratified by label and assigned per entity (all rows of one entity share a fold).  For each fold f a
+    model (M4 + logistic) is fitted on the labelled rows outside f and scores the labelled rows in f; unlabelled
+    rows get the mean of the k models' scores (fold -1).  All models train together, one pass a Newton step (``folds``);
+    with more than ``max_columns`` columns one after the other.  Returns (id, entity, fold, label, score)."""
+    from featmart.operators import folds as FO
+    folds = stratified_folds(df, entity_col, label, k).withColumnRenamed("fold", "_fold")
+    d = _prepare_numeric(df, numeric).join(folds, entity_col, "left").withColumn("_label", F.col(label).cast("double"))
+    d = d.withColumn("_fold", F.when(F.col(label).isNotNull(), F.col("_fold")))       # an unlabelled row of a labelled entity is in no fold
+    # every pass reads the input: materialise it once in the shared checkpoint directory (also cuts
+    # the lineage, so a lost executor does not replay the upstream joins)
+    ids = [id_col] if id_col == entity_col else [id_col, entity_col]
+    d = cut_lineage(d.select(*dict.fromkeys([*ids, label, "_label", "_fold", *numeric, *categorical])))
+    m = FO.fit(d, label, "_fold", numeric, categorical, k, C, FO.MAX_COLUMNS if max_columns is None else max_columns)
+    if m is None:
+        return _fold_by_fold(d, ids, label, numeric, categorical, k, C, max_iter)
+    return FO.score(d, m.design, categorical, m.weights, "_fold", [*ids, label, "_fold"]).select(
+        *ids, F.coalesce("_fold", F.lit(-1)).alias("fold"), label, "score")
+
+
 def auc(df: DataFrame, score: str, label: str, chunk_rows: int = 200_000, by: Sequence[str] = ()) -> DataFrame:
     """Exact ROC AUC (ties count one half) and Gini = 2 AUC - 1 (M7, M5), optionally per group
     ``by`` (e.g. per fold, all folds in one job).
@@ -158,7 +168,7 @@ def cross_validate(df: DataFrame, entity_col: str, label: str, numeric: Sequence
     """k-fold AUC / Gini of the preprocessing + logistic pipeline (M5) and the fold summary
     (M9: mean, population std, min, max of the fold AUCs)."""
     sc = oof_scores(df, entity_col, entity_col, label, numeric, categorical, k, C)
-    return auc(sc, "score", label, by=["fold"]).select("fold", "auc", "gini")
+    return auc(sc, "score", label, by=["fold"])
 
 
 def fold_summary(per_fold: DataFrame) -> DataFrame:

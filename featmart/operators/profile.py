@@ -30,13 +30,13 @@ def missing_report(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
 
 def describe(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
     """Count, mean, std (ddof=1), min, quartiles (linear interpolation), max per column.
-    Quartiles come from the skew-safe ranked percentiles (a column is one huge group)."""
-    from featmart.operators.quantile import percentiles
+    Quartiles come from rank brackets (a column is one huge group)."""
+    from featmart.operators.quantile import few_group_percentiles
     u = unpivot_values(df.select(*cols), cols, as_string=False)
     m = u.groupBy("feature").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
-    q = percentiles(u, ["feature"], "value", QUARTILES, exact, names=["p25", "p50", "p75"])
+    q = few_group_percentiles(u, ["feature"], "value", QUARTILES, exact, names=["p25", "p50", "p75"])
     return m.join(q, "feature", "left").select("feature", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
@@ -83,18 +83,18 @@ def conditional_rate(df: DataFrame, label: str, cond, positive: bool = True):
 def quantiles_by_label(df: DataFrame, col: str, label: str,
                        probs: Sequence[float] = (0.5, 0.75, 0.9, 0.95, 0.99), exact: bool = True) -> DataFrame:
     """Quantiles (linear interpolation) of ``col`` per label class; a class is a huge group,
-    so the ranked skew-safe percentiles are used."""
-    from featmart.operators.quantile import percentiles
+    so ranks are bracketed first."""
+    from featmart.operators.quantile import few_group_percentiles
     names = [f"q{int(round(p * 100))}" for p in probs]
-    return percentiles(df.filter(F.col(label).isNotNull()), [label], col, probs, exact, names=names)
+    return few_group_percentiles(df.filter(F.col(label).isNotNull()), [label], col, probs, exact, names=names)
 
 
 def five_numbers(df: DataFrame, col: str, label: str, exact: bool = True) -> DataFrame:
     """Min, quartiles, max and the 1.5 IQR fences per label class."""
-    from featmart.operators.quantile import percentiles
+    from featmart.operators.quantile import few_group_percentiles
     lab = df.filter(F.col(label).isNotNull())
     mm = lab.groupBy(label).agg(F.min(col).alias("min"), F.max(col).alias("max"))
-    q = percentiles(lab, [label], col, QUARTILES, exact, names=["q1", "median", "q3"])
+    q = few_group_percentiles(lab, [label], col, QUARTILES, exact, names=["q1", "median", "q3"])
     g = mm.join(q, label)
     q1, q3 = F.col("q1"), F.col("q3")
     return g.select(label, "min", "q1", "median", "q3", "max",

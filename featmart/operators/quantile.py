@@ -1,11 +1,17 @@
 """Exact percentiles without holding a group in one task and without sorting detail rows.
 
-Spark's exact ``percentile`` / ``median`` aggregate keeps every distinct value of a group in one
+Many groups (``percentiles``): Spark's exact ``percentile`` / ``median`` aggregate keeps every distinct value of a group in one
 buffer. Here equal values are counted first (map-side), so a hot value is one row; the cumulative
 counts over the distinct values of a group come from ``seq.sequence_features``, which cuts large
 groups into blocks; and only the distinct values that hold a wanted rank are kept. The interpolation
 ``lo + (hi - lo) * frac`` (linear, as ``quantile_cont`` / pandas) is a small group-by.
 ``exact=False`` uses the fixed-size ``percentile_approx`` sketch (one pass, no sort).
+
+Few groups of any size, such as the columns of a table (``bracketed_percentiles``): a mergeable quantile sketch
+per group gives each wanted rank a bracket of two values in one pass. A second pass counts, map-side, what lies
+below, on and between the bounds, and keeps values only strictly inside a bracket, so that a fraction of the rows
+is shuffled and neither all rows nor all distinct values are sorted. A hot value is a bound or one row. Should a
+rank lie outside its bracket, beyond the sketch's error, the group form takes over: the result is exact always.
 """
 
 from __future__ import annotations
@@ -16,8 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featmart.operators.seq import sequence_features
+from featmart.session import cut_lineage
 
 APPROX_ACCURACY = 100_000
+BRACKET_ACCURACY = 10_000      # the sketch's rank error is at most rows / BRACKET_ACCURACY
 RANK_CHUNK_ROWS = 1_000_000
 
 
@@ -40,6 +48,12 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[
     p = sequence_features(c, kk, ["_v"], {"_cum": ("running_sum", "_c"), "_n": ("key_sum", "_c")}, chunk_rows, adaptive,
                           sizes=d.select(*kk))
     # written as SQL text: one parse per expression instead of dozens of py4j round trips
+    out = _picked(p, kk, probs, names)
+    return out.drop("_all") if not keys else out
+
+
+def _picked(p: DataFrame, keys: Sequence[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Interpolated percentiles from rows (keys, _v, _c, _cum, _n): a value, its count, the cumulative count, the total."""
     want, cols, outs = [], [], []
     for i, q in enumerate(probs):
         h = f"((_n - 1) * CAST({float(q)!r} AS DOUBLE))"
@@ -51,26 +65,67 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[
                  F.expr(f"first({h} - floor({h}))").alias(f"_f{i}")]
         outs.append(F.expr(f"_a{i} + (_b{i} - _a{i}) * _f{i}").alias(names[i]))
     # only the <= 2 distinct values per probability survive the filter: the group-by is tiny
-    g = p.filter(F.expr(" OR ".join(want))).groupBy(*kk).agg(*cols)
-    out = g.select(*kk, *outs)
+    return p.filter(F.expr(" OR ".join(want))).groupBy(*keys).agg(*cols).select(*keys, *outs)
+
+
+def bracketed_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
+                          names: Sequence[str] | None = None, accuracy: int = BRACKET_ACCURACY) -> DataFrame:
+    """``percentiles`` for few groups of any size (a sketch per group and task). The passes run when it is called."""
+    keys, names = list(keys), list(names or [f"p{i}" for i in range(len(probs))])
+    kk = keys or ["_all"]
+    d = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    if not keys:
+        d = d.withColumn("_all", F.lit(0))
+    # a rank's bracket: the values that the sketch holds for two errors below and above it
+    asked = [x for q in probs for x in (max(0.0, q - 2.0 / accuracy), min(1.0, q + 2.0 / accuracy))]
+    sk = d.groupBy(*kk).agg(F.percentile_approx("_v", asked, accuracy).alias("_s"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+                            F.count(F.lit(1)).alias("_n"))
+    bounds = [c for i, q in enumerate(probs) for c in (F.col("_lo") if q <= 2.0 / accuracy else F.col("_s")[2 * i],
+                                                        F.col("_hi") if q >= 1 - 2.0 / accuracy else F.col("_s")[2 * i + 1])]
+    pairs = F.array(*[F.struct(bounds[2 * i].alias("lo"), bounds[2 * i + 1].alias("hi")) for i in range(len(probs))])
+    sk = cut_lineage(sk.select(*kk, "_n", F.array_sort(F.array_distinct(F.array(*bounds))).alias("_b"), pairs.alias("_in")))
+    # place of a value: 2 i + 1 on bound i, 2 i between the bounds i - 1 and i
+    place = "CASE " + " ".join(f"WHEN _v < _b[{i}] THEN {2 * i} WHEN _v = _b[{i}] THEN {2 * i + 1}" for i in range(len(bounds))) + f" ELSE {2 * len(bounds)} END"
+    inside = " OR ".join(f"(_v > _in[{i}].lo AND _v < _in[{i}].hi)" for i in range(len(probs)))
+    names_of = {k: f"_r_{i}" for i, k in enumerate(kk)}
+    cond = F.lit(True)
+    for k, n in names_of.items():
+        cond = cond & d[k].eqNullSafe(F.col(n))
+    placed = d.join(sk.withColumnsRenamed(names_of).withColumn("_b", F.expr(f"slice(concat(_b, array_repeat(CAST(NULL AS DOUBLE), {len(bounds)})), 1, {len(bounds)})")), cond)
+    held = placed.select(*kk, F.expr(place).alias("_at"), F.expr(f"CASE WHEN array_contains(_b, _v) OR {inside} THEN _v END").alias("_v"))
+    c = cut_lineage(held.groupBy(*kk, "_at", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    p = sequence_features(c, kk, ["_at", "_v"], {"_cum": ("running_sum", "_c"), "_n": ("key_sum", "_c")})
+    out = cut_lineage(_picked(p, kk, probs, names))
+    short = F.lit(False)
+    for n in names:
+        short = short | F.col(n).isNull()
+    if not out.filter(short).isEmpty():
+        return percentiles(df, keys, value, probs, names=names)
     return out.drop("_all") if not keys else out
 
 
+def few_group_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], exact: bool = True,
+                          names: Sequence[str] | None = None) -> DataFrame:
+    """Percentiles of few large groups: rank brackets, or the sketch alone with ``exact=False``."""
+    return bracketed_percentiles(df, keys, value, probs, names) if exact else percentiles(df, keys, value, probs, False, names)
+
+
 def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], exact: bool = True) -> dict:
-    """Quantiles of several columns at once: the columns are unpivoted to (feature, value) and
-    ranked per feature, so each column is spread over many tasks.  Returns {column: [q...]}."""
+    """Quantiles of several columns at once: the columns are unpivoted to (feature, value), and a column is
+    a group.  Returns {column: [q...]}."""
     arr = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols])
     u = df.select(F.explode(arr).alias("_kv")).select("_kv.feature", "_kv.value")
-    rows = percentiles(u, ["feature"], "value", probs, exact).collect()   # one row per column
+    q = few_group_percentiles(u, ["feature"], "value", probs, exact)
     out = {c: [] for c in cols}
-    for r in rows:
+    for r in q.collect():                         # one row per column
         out[r["feature"]] = [r[f"p{i}"] for i in range(len(probs))]
     return out
 
 
-def median_by(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", exact: bool = True) -> DataFrame:
-    """(keys, median) per group, skew-safe."""
-    return percentiles(df, keys, value, [0.5], exact, names=[name])
+def median_by(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", exact: bool = True,
+              few: bool = False) -> DataFrame:
+    """(keys, median) per group, skew-safe (A20); ``few``: the groups are few and large."""
+    return (few_group_percentiles if few else percentiles)(df, keys, value, [0.5], exact, names=[name])
 
 
 def mode_by(df: DataFrame, keys: Sequence[str], value: str, name: str = "mode") -> DataFrame:

@@ -397,8 +397,8 @@ def q_median_ratio(spark, sf):
     """Median per one and two keys attached to rows, ratio to it (A20, W1).  Medians are the
     skew-safe ranked medians joined back on the group key."""
     o = load(spark, sf, "orders", ["o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice"])
-    o = o.join(Q.median_by(o, ["o_orderpriority"], "o_totalprice", "med_prio"), ["o_orderpriority"], "left")
-    o = o.join(Q.median_by(o, ["o_orderpriority", "o_orderstatus"], "o_totalprice", "med_prio_status"),
+    o = o.join(Q.median_by(o, ["o_orderpriority"], "o_totalprice", "med_prio", few=True), ["o_orderpriority"], "left")
+    o = o.join(Q.median_by(o, ["o_orderpriority", "o_orderstatus"], "o_totalprice", "med_prio_status", few=True),
                ["o_orderpriority", "o_orderstatus"], "left")
     return o.select("o_orderkey", "med_prio", "med_prio_status",
                     N.safe_div("o_totalprice", "med_prio").alias("price_to_median"))

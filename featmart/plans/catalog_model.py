@@ -1,11 +1,10 @@
 """Catalogue: model-derived features, metrics, supervised binning and importances
-(SURVEY §2.11, E8/E9/Q7, Q8/Q9).  A fitted score has no SQL form, so the queries on models return what is
-determined - which rows are scored, in which fold, whether the scores are probabilities and the statistics
-and metrics follow from them - and have exact oracles; the marts return the scores themselves."""
+(SURVEY §2.11, E8/E9/Q7, Q8/Q9).  A fitted score has no SQL form: the queries on models return the scores and
+metrics, and beside each stands a ``*_check`` query of what is determined - which rows are scored, in which
+fold, that the statistics and metrics follow from the scores - with an exact oracle. Bins have SQL oracles."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from featmart.operators import encode as EN
@@ -13,6 +12,7 @@ from featmart.operators import model as MD
 from featmart.operators import select as SE
 from featmart.operators import seq
 from featmart.operators.agg import dist_pack
+from featmart.plans import binning_sql as BS
 from featmart.plans.compare import rs
 from featmart.plans.registry import query
 from featmart.session import cut_lineage
@@ -81,8 +81,14 @@ FROM orders o JOIN l ON o.o_custkey = l.c_custkey LEFT JOIN f ON f.c_custkey = o
 """
 
 
-@query("oof_scores", _OOF_SQL)
+@query("oof_scores")
 def q_oof_scores(spark, sf):
+    """Out-of-fold logistic score per order; unlabelled orders get the mean of all models, fold -1 (M2, M4)."""
+    return oof(spark, sf)
+
+
+@query("oof_scores_check", _OOF_SQL)
+def q_oof_scores_check(spark, sf):
     """Out-of-fold logistic score per order, stratified folds by customer, preprocessing inside each
     fold, unlabelled orders scored by all models (M2, M4): every order is scored once, in its
     customer's fold, with a probability."""
@@ -90,17 +96,31 @@ def q_oof_scores(spark, sf):
     return oof(spark, sf).select("o_orderkey", "o_custkey", "y", "fold", F.coalesce((s >= 0) & (s <= 1), F.lit(False)).alias("is_probability"))
 
 
-@query("mart_nested", """
-SELECT o_custkey, count(*) AS oof_size, true AS in_order, true AS sum_is_mean_times_size
+@query("mart_nested")
+def q_mart_nested(spark, sf):
+    """Nested-model mart: nine statistics of the OOF order scores per customer."""
+    return nested_mart(spark, sf)
+
+
+@query("mart_nested_check", """
+SELECT o_custkey, count(*) AS oof_size, true AS in_order, true AS sum_is_mean_times_size, true AS follow_from_scores
 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1
 """)
-def q_mart_nested(spark, sf):
-    """Nested-model mart: nine statistics of the OOF order scores per customer, and how they must relate
-    (D9, M3, A21)."""
-    m = nested_mart(spark, sf)
+def q_mart_nested_check(spark, sf):
+    """How the nested-model statistics must relate, and that they follow from the customer's scores."""
+    scores = cut_lineage(oof(spark, sf))
+    m = dist_pack(scores, "o_custkey", "score", prefix="oof_")
+    again = scores.groupBy(F.col("o_custkey").alias("_k")).agg(F.sort_array(F.collect_list("score")).alias("s"))       # a customer's orders
+    m = m.join(again, F.col("o_custkey") == F.col("_k"))
     lo, hi, mean, med = (F.col(f"oof_{x}") for x in ("min", "max", "mean", "median"))
+    n = F.size("s")
+    middle = (F.col("s")[F.floor((n - 1) / 2).cast("int")] + F.col("s")[F.floor(n / 2).cast("int")]) / 2
+    total = F.aggregate("s", F.lit(0.0), lambda a, x: a + x)
+    square = F.aggregate("s", F.lit(0.0), lambda a, x: a + (x - total / n) * (x - total / n))
+    follow = ((lo == F.col("s")[0]) & (hi == F.element_at("s", -1)) & (F.abs(med - middle) < 1e-12) & (F.abs(mean - total / n) < 1e-12)
+              & (F.abs(F.col("oof_std") - F.sqrt(square / n)) < 1e-9))
     return m.select("o_custkey", "oof_size", ((lo >= 0) & (lo <= med) & (med <= hi) & (lo <= mean + 1e-12) & (mean <= hi + 1e-12) & (hi <= 1)).alias("in_order"),
-                    (F.abs(F.col("oof_sum") - mean * F.col("oof_size")) < 1e-6).alias("sum_is_mean_times_size"))
+                    (F.abs(F.col("oof_sum") - mean * F.col("oof_size")) < 1e-6).alias("sum_is_mean_times_size"), follow.alias("follow_from_scores"))
 
 
 # ------------------------------------------------------------------ M7 M5
@@ -161,10 +181,18 @@ def _docs(spark, sf):
     return d.join(lab, "doc_id", "left").withColumn("n_chars", F.col("n_chars").cast("double"))
 
 
-@query("train_predict", """
+@query("train_predict")
+def q_train_predict(spark, sf):
+    """Fit the preprocessing + logistic pipeline on labelled documents, score the unlabelled ones; id as
+    int32 plus probability (M4, M6, S8)."""
+    d = _docs(spark, sf)
+    return MD.fit_and_score(d, d.filter(F.col("toxic").isNull()), "doc_id", "toxic", ["n_chars"], ["lang", "source"])
+
+
+@query("train_predict_check", """
 SELECT CAST(d.doc_id AS INTEGER) AS doc_id, true AS is_probability FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic IS NULL
 """)
-def q_train_predict(spark, sf):
+def q_train_predict_check(spark, sf):
     """Fit the preprocessing + logistic pipeline on labelled documents, score the unlabelled ones: each
     once, with a probability (M4, M6, S8)."""
     d = _docs(spark, sf)
@@ -176,26 +204,40 @@ _CV_FOLDS = """SELECT toxic, CAST((row_number() OVER (PARTITION BY toxic ORDER B
 FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL"""
 
 
-@query("cv_auc", f"""
+def _cv(spark, sf):
+    d = _docs(spark, sf).filter(F.col("toxic").isNotNull())
+    return MD.cross_validate(d, "doc_id", "toxic", ["n_chars"], ["lang", "source"], k=5)
+
+
+@query("cv_auc")
+def q_cv_auc(spark, sf):
+    """5-fold cross-validated AUC / Gini per fold and their summary (M5, M9)."""
+    per = cut_lineage(_cv(spark, sf).drop("n_pos", "n_neg"))
+    return per.crossJoin(F.broadcast(MD.fold_summary(per)))          # one row: the k fold AUCs summarised
+
+
+@query("cv_auc_check", f"""
 SELECT fold, CAST(sum(toxic) AS BIGINT) AS n_pos, CAST(sum(1 - toxic) AS BIGINT) AS n_neg, true AS auc_follows, true AS summary_follows
 FROM ({_CV_FOLDS}) GROUP BY 1
 """)
-def q_cv_auc(spark, sf):
-    """5-fold cross-validated AUC / Gini per fold and their summary, recomputed from the written scores by
-    another formula: the mean rank of the positives (M5, M9)."""
+def q_cv_auc_check(spark, sf):
+    """Fold AUCs and their summary, recomputed from the written scores by another formula: the mean rank of the
+    positives (M5, M9)."""
     d = _docs(spark, sf).filter(F.col("toxic").isNotNull())
     scores = cut_lineage(MD.oof_scores(d, "doc_id", "doc_id", "toxic", ["n_chars"], ["lang", "source"], k=5))
     per = cut_lineage(MD.auc(scores, "score", "toxic", by=["fold"]))
-    s = MD.fold_summary(per).first()          # one row: the k fold AUCs summarised
     counts = scores.groupBy("fold", "score").agg(F.sum("toxic").alias("p"), F.count(F.lit(1)).alias("n"))
     run = seq.sequence_features(counts, "fold", ["score"], {"cum": ("running_sum", "n")})
     ranks = run.groupBy("fold").agg(F.sum(F.col("p") * (F.col("cum") - (F.col("n") - 1) / 2)).alias("rank_sum"))
     p, n = F.col("n_pos"), F.col("n_neg")
     again = F.try_divide(F.col("rank_sum") - p * (p + 1) / 2, p * n)
-    aucs = [r["auc"] for r in per.select("auc").collect()]          # k numbers
-    ok = all(a is not None for a in aucs) and abs(s["auc_mean"] - sum(aucs) / len(aucs)) < 1e-9 and s["auc_min"] == min(aucs) and s["auc_max"] == max(aucs)
     same = (F.abs(F.col("auc") - again) < 1e-9) & (F.abs(F.col("gini") - (2 * again - 1)) < 1e-9)
-    return per.join(ranks, "fold").select("fold", "n_pos", "n_neg", same.alias("auc_follows"), F.lit(bool(ok)).alias("summary_follows"))
+    every = per.agg(F.avg("auc").alias("mean"), F.min("auc").alias("lo"), F.max("auc").alias("hi"), F.count("auc").alias("k"),
+                    F.avg(F.col("auc") * F.col("auc")).alias("square"))
+    s = MD.fold_summary(per).crossJoin(F.broadcast(every)).select(          # two rows of one row each
+        ((F.col("k") == 5) & (F.abs(F.col("auc_mean") - F.col("mean")) < 1e-9) & (F.col("auc_min") == F.col("lo")) & (F.col("auc_max") == F.col("hi"))
+         & (F.abs(F.pow("auc_std", F.lit(2)) - (F.col("square") - F.col("mean") * F.col("mean"))) < 1e-9)).alias("summary_follows"))
+    return per.join(ranks, "fold").crossJoin(F.broadcast(s)).select("fold", "n_pos", "n_neg", same.alias("auc_follows"), "summary_follows")
 
 
 # ------------------------------------------------------------------ E8 E9 Q7
@@ -212,52 +254,42 @@ _BIN_COLS = ["price_mean", "price_max", "lines_mean", "disc_mean", "qty_sum", "n
 
 
 _BIN_CATS = ["top_status", "nation"]
-_BIN_SQL = """
-WITH l AS (SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_acctbal < 0 AS INTEGER) END AS y FROM customer),
-m AS (SELECT DISTINCT o_custkey, y FROM orders JOIN l ON o_custkey = c_custkey WHERE y IS NOT NULL)
-SELECT feature, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(y) AS BIGINT) AS n_events, true AS shares_kept, true AS monotone, true AS iv_follows
-FROM m, (SELECT unnest([COLUMNS_HERE]) AS feature) GROUP BY feature
-"""
+_BIN_MART_SQL = """
+li AS (SELECT l_orderkey, count(*) AS n_lines, avg(l_discount) AS disc_mean, sum(l_quantity) AS qty FROM lineitem GROUP BY 1),
+lab AS (SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_acctbal < 0 AS INTEGER) END AS y FROM customer),
+m AS (SELECT o.o_custkey, lab.y, max(o_orderstatus) AS top_status, CAST(o.o_custkey % 83 AS VARCHAR) AS nation, avg(o_totalprice) AS price_mean,
+        max(o_totalprice) AS price_max, avg(n_lines) AS lines_mean, avg(disc_mean) AS disc_mean, sum(qty) AS qty_sum, count(*) AS n_orders
+      FROM orders o LEFT JOIN li ON o.o_orderkey = li.l_orderkey JOIN lab ON o.o_custkey = lab.c_custkey GROUP BY o.o_custkey, lab.y)"""
+_BIN_CTES = f"WITH RECURSIVE {_BIN_MART_SQL},\n{BS.bins_ctes('m', _BIN_COLS, _BIN_CATS, 'o_custkey', 20, 0.05)}"
 
 
 def supervised_bins(spark, sf):
     return EN.optimal_bins(_bin_inputs(spark, sf), "y", _BIN_COLS, _BIN_CATS, prebins=20, min_share=0.05)
 
 
-@query("optimal_bins", _BIN_SQL.replace("COLUMNS_HERE", ", ".join(f"'{c}'" for c in [*_BIN_COLS, *_BIN_CATS])))
+@query("optimal_bins", f"""{_BIN_CTES},
+f AS (SELECT feature, sum(iv) AS feature_iv FROM bins GROUP BY 1)
+SELECT b.feature, bin, {rs('e.edges[first + 1]')} AS lo, {rs('e.edges[last + 2]')} AS hi, count, events, {rs('woe')} AS woe, {rs('iv')} AS iv,
+  {rs('feature_iv')} AS feature_iv, feature_iv >= 0.02 AS keep
+FROM bins b JOIN f USING (feature) LEFT JOIN edges e ON e.feature = b.feature
+""")
 def q_optimal_bins(spark, sf):
-    """Supervised binning of numeric and categorical columns (E8, Q7): the bins of each column cover every
-    labelled row, hold at least 5 % of them, have a monotone event rate, and WoE and IV follow from the
-    counts."""
-    b = cut_lineage(supervised_bins(spark, sf).table)
-    w = Window.partitionBy("feature")
-    te, tn, k = F.sum("events").over(w), F.sum(F.col("count") - F.col("events")).over(w), F.count(F.lit(1)).over(w)
-    de = (F.col("events") + EN.WOE_EPS) / (te + EN.WOE_EPS * k)
-    dn = (F.col("count") - F.col("events") + EN.WOE_EPS) / (tn + EN.WOE_EPS * k)
-    step = F.signum(F.col("events") / F.col("count") - F.lag(F.col("events") / F.col("count")).over(w.orderBy("bin")))
-    d = b.select("feature", "count", "events", step.alias("step"), (F.col("count") >= 0.05 * F.sum("count").over(w)).alias("share_ok"),
-                 ((F.abs(F.col("woe") - F.log(de / dn)) < 1e-9) & (F.abs(F.col("iv") - (de - dn) * F.log(de / dn)) < 1e-9)).alias("iv_ok"))
-    return d.groupBy("feature").agg(
-        F.sum("count").alias("n_rows"), F.sum("events").alias("n_events"), F.min("share_ok").alias("shares_kept"),
-        (~(F.coalesce(F.max("step") > 0, F.lit(False)) & F.coalesce(F.min("step") < 0, F.lit(False)))).alias("monotone"), F.min("iv_ok").alias("iv_follows"))
-
-
-@query("binned_apply", """
-SELECT DISTINCT o_custkey, true AS woes_fit FROM orders JOIN customer ON o_custkey = c_custkey
+    """Supervised bins of numeric and categorical columns: of all monotone cuts of 20 pre-bins with at least 5 % of
+    the rows a bin, the one of greatest IV; WoE and IV per bin, IV per feature with the 0.02 selection (E8, Q7)."""
+    b = EN.bin_edges(supervised_bins(spark, sf))
+    iv = SE.information_value(b, 0.02).select("feature", F.col("stat").alias("feature_iv"), "keep")
+    return b.join(iv, "feature")
+
+
+@query("binned_apply", f"""{_BIN_CTES},
+r AS ({BS.woe_of_rows('', 'o_custkey', 0.05)})
+SELECT o_custkey, y, {", ".join(f"{rs(f'max(woe) FILTER (feature = {chr(39)}{c}{chr(39)})')} AS {c}_binned" for c in [*_BIN_COLS, *_BIN_CATS])}
+FROM r GROUP BY 1, 2
 """)
 def q_binned_apply(spark, sf):
-    """Fitted bins applied as WoE columns with a fixed value for missing, to labelled and unlabelled rows
-    (E9): every value is one of its column's WoEs or the fixed value."""
+    """Fitted bins applied as WoE columns with a fixed value for missing, to labelled and unlabelled rows."""
     data = _bin_inputs(spark, sf)
-    bins = supervised_bins(spark, sf)
-    out = EN.binned_apply(data, bins, missing_value=0.05, keep="binned")
-    woes: dict[str, list] = {}
-    for r in bins.table.collect():                     # columns x bins
-        woes.setdefault(r["feature"], []).append(r["woe"])
-    fits = F.lit(True)
-    for c, values in woes.items():
-        fits = fits & F.col(f"{c}_binned").isin([*values, 0.05])
-    return out.select("o_custkey", fits.alias("woes_fit"))
+    return EN.binned_apply(data, supervised_bins(spark, sf), missing_value=0.05, keep="binned")
 
 
 # ------------------------------------------------------------------ Q8 Q9
