@@ -9,10 +9,12 @@ Numbering: the narrow leaf rows are range-partitioned by source and id; a row's
 partition plus the counts of the partitions before, so a source that holds a third of all rows spreads over
 many tasks. Levels are built bottom up, each a group-by of at most ``FANOUT`` rows a group, and written.
 
-Climb: a recursive query ascends from the leaves to the root by the parent links. The leaves of one run have
-the same ancestors, so they ascend in one row, each with a fold of its own: every step appends the siblings at
-that node and folds each leaf's hash with them. As all rows meet in the upper nodes, a node has a copy for
-every ``SHARE`` runs below it, and a run asks for one copy by its hash: no join key is hot.
+Climb: a recursive query ascends from the leaves to the root by the parent links. The leaves below one node
+of level 2 have the same ancestors, so such a pack of at most ``FANOUT`` squared leaves ascends in one row with
+a fold for each different leaf hash: every step appends the siblings at that node and folds each hash with them.
+Inside a pack all siblings are at hand, so its first steps are done where it is made. As all packs meet in the
+upper nodes, a node has a copy for every ``SHARE`` packs below it, and a pack asks for one copy by its hash: no
+join key is hot.
 
 Odd rows: a null id sorts first and is never tampered with; rows with the same id ascend by leaf digest, equal
 rows are interchangeable; an empty table has no leaves and gives no rows. Columns not named are ignored.
@@ -35,6 +37,7 @@ TAMPER_EVERY = 5
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _HEX = 64
 _TOP = -1           # the tree of subroots
+_RUN_DIGESTS = "array_join(transform(runs, k -> sha2(k, 256)), '')"
 _UNLIMITED = {"spark.sql.cteRecursionRowLimit": "-1"}
 
 
@@ -69,10 +72,10 @@ def _sorted(df: DataFrame, group: list[str], order: list[str], name: str) -> tup
 
 @dataclass
 class Manifest:
-    """``runs``: (tree, run, n, members, kids, digest), the leaves in runs; ``nodes``: (tree, level, pos, salt, kids,
-    digest and the parent's p_tree, p_level, p_pos, p_slot, p_copies), every node above the runs; ``links``: a row per run
-    with its parent's; ``root``. All are written tables."""
-    runs: DataFrame
+    """``packs``: (tree, pack, n, members, runs, digest), the leaves by nodes of level 2, ``runs`` being the joined digests
+    of each run; ``nodes``: (tree, level, pos, salt, kids, digest and the parent's p_tree, p_level, p_pos, p_slot, p_copies),
+    every node above the packs; ``links``: a row per pack with its parent's. All are written tables."""
+    packs: DataFrame
     nodes: DataFrame | None
     links: DataFrame
     fanout: int
@@ -107,12 +110,16 @@ def build(leaf_rows: DataFrame, fanout: int = FANOUT, share: int = SHARE) -> Man
     head = trees.agg(F.max("n_trees")).first()[0]
     n_trees = head or 0
     numbered = t.join(spans.join(trees, "key"), ["key", "_p"]).withColumn("pos", F.col("_m") + F.col("_shift"))
-    members = F.array_sort(F.collect_list(F.struct((F.col("pos") % fanout).cast("int").alias("slot"), "id", "leaf", "tampered")))
-    runs = numbered.groupBy("tree", F.floor(F.col("pos") / fanout).cast("long").alias("run"), "n").agg(members.alias("members"))
-    runs = runs.withColumn("kids", F.array_join(F.transform("members", lambda m: m["leaf"]), ""))
-    runs = materialise(runs.withColumn("digest", F.when(F.col("n") == 1, F.col("kids")).otherwise(F.sha2("kids", 256))), "runs")
-    first = runs.select("tree", F.lit(1).alias("level"), F.col("run").alias("pos"), F.ceil(F.col("n") / fanout).cast("long").alias("cnt"),
-                        "digest", F.lit(1).cast("long").alias("load"))
+    width = fanout * fanout
+    members = F.array_sort(F.collect_list(F.struct((F.col("pos") % width).cast("int").alias("slot"), "id", "leaf", "tampered")))
+    packs = numbered.groupBy("tree", F.floor(F.col("pos") / width).cast("long").alias("pack"), "n").agg(members.alias("members"))
+    packs = packs.withColumn("runs", F.expr(f"""transform(sequence(0, (size(members) - 1) div {fanout}),
+        r -> array_join(transform(slice(members, r * {fanout} + 1, {fanout}), m -> m.leaf), ''))"""))
+    packs = materialise(packs.withColumn("digest", F.expr(f"""CASE WHEN n = 1 THEN runs[0] WHEN n <= {fanout} THEN sha2(runs[0], 256)
+        ELSE sha2({_RUN_DIGESTS}, 256) END""")), "packs")
+    # a tree of at most one run has no level 2: its top is the run's digest, or the lone leaf
+    first = packs.select("tree", F.lit(2).alias("level"), F.col("pack").alias("pos"), F.ceil(F.col("n") / width).cast("long").alias("cnt"),
+                         "digest", F.lit(1).cast("long").alias("load"))
 
     made: list[DataFrame] = []
 
@@ -127,7 +134,7 @@ def build(leaf_rows: DataFrame, fanout: int = FANOUT, share: int = SHARE) -> Man
             below, level, most = made[-1].where("cnt > 1"), level + 1, -(-most // fanout)
         return tops
 
-    tops = raise_to_top(first, 2)
+    tops = raise_to_top(first, 3)
     if n_trees > 1:
         raise_to_top(tops.select(F.lit(_TOP).cast("long").alias("tree"), F.col("tree").alias("pos"),
                                  F.lit(n_trees).cast("long").alias("cnt"), "digest", "load"), 1)
@@ -146,58 +153,69 @@ def build(leaf_rows: DataFrame, fanout: int = FANOUT, share: int = SHARE) -> Man
         nodes = materialise(nodes.select("tree", "level", "pos", "salt", "kids", "digest", *parent, "p_slot", "p_copies"), "nodes")
     else:
         links = links.withColumn("p_copies", F.lit(None).cast("long"))
-    return Manifest(runs, nodes, materialise(links.select("tree", F.col("pos").alias("run"), *parent, "p_slot", "p_copies"), "links"), fanout)
+    return Manifest(packs, nodes, materialise(links.select("tree", F.col("pos").alias("pack"), *parent, "p_slot", "p_copies"), "links"), fanout)
 
 
 def _replaced(kids: str, slot: str, mine: str) -> str:
     """SQL: the SHA-256 of ``kids`` with ``mine`` in place of the digest at ``slot``."""
-    return f"sha2(concat(substring({kids}, 1, {_HEX} * {slot}), {mine}, substring({kids}, {_HEX} * {slot} + {_HEX + 1})), 256)"
+    return f"sha2(concat(substring({kids}, 1, {_HEX} * ({slot})), {mine}, substring({kids}, {_HEX} * ({slot}) + {_HEX + 1})), 256)"
 
 
 def _others(kids: str, slot: str) -> str:
-    return f"concat(substring({kids}, 1, {_HEX} * {slot}), substring({kids}, {_HEX} * {slot} + {_HEX + 1}))"
+    return f"concat(substring({kids}, 1, {_HEX} * ({slot})), substring({kids}, {_HEX} * ({slot}) + {_HEX + 1}))"
+
+
+def _folds(fanout: int) -> str:
+    """SQL: what each member of a pack folds to at the pack's node."""
+    mine = "coalesce(m.tampered, m.leaf)"
+    run = _replaced(f"runs[m.slot div {fanout}]", f"m.slot % {fanout}", mine)
+    return f"""transform(members, m -> CASE WHEN n = 1 THEN {mine} WHEN n <= {fanout} THEN {run}
+        ELSE {_replaced(_RUN_DIGESTS, f"m.slot div {fanout}", run)} END)"""
 
 
 def climb(m: Manifest) -> DataFrame:
-    """(tree, run, siblings, folds, subroot, root) per run: the digests beside its path from the run up, and what each of
-    its leaves, tampered with or not, folds to with the original siblings."""
-    spark, name = m.runs.sparkSession, f"merkle_{uuid.uuid4().hex}"
-    start = m.runs.join(m.links, ["tree", "run"]).select(
-        "tree", "run", "p_tree", "p_level", "p_pos", "p_slot", F.expr("pmod(xxhash64(tree, run), p_copies)").alias("salt"),
-        F.lit("").alias("siblings"),
-        F.expr(f"transform(members, m -> CASE WHEN n = 1 THEN coalesce(m.tampered, m.leaf) ELSE {_replaced('kids', 'm.slot', 'coalesce(m.tampered, m.leaf)')} END)").alias("folds"),
-        F.col("digest").alias("subroot"), F.col("digest").alias("root"))
+    """(tree, pack, siblings, starts, folds, subroot, root) per pack: the digests beside its path from the pack up, and
+    what each different hash that its leaves fold to at the pack's node (``starts``) folds to at the root (``folds``)."""
+    spark, name = m.packs.sparkSession, f"merkle_{uuid.uuid4().hex}"
+    start = m.packs.join(m.links, ["tree", "pack"]).withColumn("starts", F.array_distinct(F.expr(_folds(m.fanout)))).select(
+        "tree", "pack", "p_tree", "p_level", "p_pos", "p_slot", F.expr("pmod(xxhash64(tree, pack), p_copies)").alias("salt"),
+        F.lit("").alias("siblings"), "starts", F.col("starts").alias("folds"), F.col("digest").alias("subroot"), F.col("digest").alias("root"))
+    start = materialise(start, "climb-start")
     if m.nodes is None:
-        return materialise(start.select("tree", "run", "siblings", "folds", "subroot", "root"), "climbed")
+        return start.select("tree", "pack", "siblings", "starts", "folds", "subroot", "root")
     before = {k: spark.conf.get(k, None) for k in _UNLIMITED}
-    views = {f"{name}_start": materialise(start, "climb-start"), f"{name}_nodes": m.nodes}
+    views = {f"{name}_start": start.drop("starts"), f"{name}_nodes": m.nodes}
     for v, df in views.items():
         df.createOrReplaceTempView(v)
     try:
-        for k, v in _UNLIMITED.items():          # rows are as many as runs times levels; levels are few
+        for k, v in _UNLIMITED.items():          # rows are as many as packs times levels; levels are few
             spark.conf.set(k, v)
-        return materialise(spark.sql(f"""
-            WITH RECURSIVE path(tree, run, p_tree, p_level, p_pos, p_slot, salt, siblings, folds, subroot, root) AS (
+        top = materialise(spark.sql(f"""
+            WITH RECURSIVE path(tree, pack, p_tree, p_level, p_pos, p_slot, salt, siblings, folds, subroot, root) AS (
               SELECT * FROM {name}_start
               UNION ALL
-              SELECT c.tree, c.run, n.p_tree, n.p_level, n.p_pos, n.p_slot, pmod(xxhash64(c.tree, c.run), n.p_copies),
+              SELECT c.tree, c.pack, n.p_tree, n.p_level, n.p_pos, n.p_slot, pmod(xxhash64(c.tree, c.pack), n.p_copies),
                      concat(c.siblings, {_others('n.kids', 'c.p_slot')}), transform(c.folds, f -> {_replaced('n.kids', 'c.p_slot', 'f')}),
                      CASE WHEN n.tree = c.tree THEN n.digest ELSE c.subroot END, n.digest
               FROM path c JOIN {name}_nodes n ON c.p_tree = n.tree AND c.p_level = n.level AND c.p_pos = n.pos AND c.salt = n.salt)
-            SELECT tree, run, siblings, folds, subroot, root FROM path WHERE p_tree IS NULL"""), "climbed")
+            SELECT tree, pack, siblings, folds, subroot, root FROM path WHERE p_tree IS NULL"""), "climbed")
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
         for v in views:
             spark.catalog.dropTempView(v)
+    return top.join(start.select("tree", "pack", "starts"), ["tree", "pack"])
 
 
 def verify(docs: DataFrame, fields: Sequence[str] = FIELDS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
            fanout: int = FANOUT, every: int = TAMPER_EVERY) -> DataFrame:
     """(id, leaf, subroot, root, proof_sha256, folded_root, verified) per row of ``docs``."""
     m = build(leaves(docs, fields, id_col, source_col, text_col, every), fanout)
-    d = m.runs.join(climb(m), ["tree", "run"]).withColumn("both", F.explode(F.arrays_zip("members", "folds")))
-    own = F.when(F.col("n") == 1, F.lit("")).otherwise(F.expr(_others("kids", "both.members.slot")))
-    fold = F.col("both.folds")
+    d = m.packs.join(climb(m), ["tree", "pack"]).withColumn("both", F.explode(F.arrays_zip("members", F.expr(_folds(fanout)).alias("at"))))
+    slot = "both.members.slot"
+    run = f"CASE WHEN n = 1 THEN '' ELSE {_others(f'runs[{slot} div {fanout}]', f'{slot} % {fanout}')} END"
+    pack = f"CASE WHEN n <= {fanout} THEN '' ELSE {_others(_RUN_DIGESTS, f'{slot} div {fanout}')} END"
+    fold = F.expr("folds[array_position(starts, both.at) - 1]")
     return d.select(F.col("both.members.id").alias("id"), F.col("both.members.leaf").alias("leaf"), "subroot", "root",
-                    F.sha2(F.concat(own, "siblings"), 256).alias("proof_sha256"), fold.alias("folded_root"), (fold == F.col("root")).alias("verified"))
+                    F.sha2(F.concat(F.expr(run), F.expr(pack), "siblings"), 256).alias("proof_sha256"), fold.alias("folded_root"),
+                    (fold == F.col("root")).alias("verified"))
