@@ -83,16 +83,26 @@ def bracketed_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs:
     bounds = [c for i, q in enumerate(probs) for c in (F.col("_lo") if q <= 2.0 / accuracy else F.col("_s")[2 * i],
                                                         F.col("_hi") if q >= 1 - 2.0 / accuracy else F.col("_s")[2 * i + 1])]
     pairs = F.array(*[F.struct(bounds[2 * i].alias("lo"), bounds[2 * i + 1].alias("hi")) for i in range(len(probs))])
-    sk = cut_lineage(sk.select(*kk, "_n", F.array_sort(F.array_distinct(F.array(*bounds))).alias("_b"), pairs.alias("_in")))
-    # place of a value: 2 i + 1 on bound i, 2 i between the bounds i - 1 and i
-    place = "CASE " + " ".join(f"WHEN _v < _b[{i}] THEN {2 * i} WHEN _v = _b[{i}] THEN {2 * i + 1}" for i in range(len(bounds))) + f" ELSE {2 * len(bounds)} END"
-    inside = " OR ".join(f"(_v > _in[{i}].lo AND _v < _in[{i}].hi)" for i in range(len(probs)))
+    room = 1 << (len(bounds) - 1).bit_length()           # of the sorted bounds, for the binary search
+    sk = sk.select(*kk, F.array_sort(F.array_distinct(F.array(*bounds))).alias("_b"), pairs.alias("_in"))
+    between = F.expr(f"""transform(sequence(0, {room}), i -> i > 0 AND i < size(_b)
+        AND exists(_in, p -> p.lo <= element_at(_b, i) AND p.hi >= element_at(_b, i + 1)))""") if len(bounds) > 1 else F.array(F.lit(False))
+    pad = F.expr(f"slice(concat(_b, array_repeat(CAST(NULL AS DOUBLE), {room})), 1, {room})")
+    sk = cut_lineage(sk.select(*kk, pad.alias("_b"), between.alias("_open")))
     names_of = {k: f"_r_{i}" for i, k in enumerate(kk)}
     cond = F.lit(True)
     for k, n in names_of.items():
         cond = cond & d[k].eqNullSafe(F.col(n))
-    placed = d.join(sk.withColumnsRenamed(names_of).withColumn("_b", F.expr(f"slice(concat(_b, array_repeat(CAST(NULL AS DOUBLE), {len(bounds)})), 1, {len(bounds)})")), cond)
-    held = placed.select(*kk, F.expr(place).alias("_at"), F.expr(f"CASE WHEN array_contains(_b, _v) OR {inside} THEN _v END").alias("_v"))
+    # how many bounds lie below the value, by halving; place 2 i + 1 is on bound i, 2 i between the bounds i - 1 and i
+    placed = d.join(sk.withColumnsRenamed(names_of), cond).withColumn("_i", F.lit(0))
+    step = room // 2
+    while step:
+        placed = placed.withColumn("_i", F.col("_i") + F.when(F.col("_b")[F.col("_i") + (step - 1)] < F.col("_v"), step).otherwise(0))
+        step //= 2
+    placed = placed.withColumn("_i", F.col("_i") + F.when(F.col("_b")[F.col("_i")] < F.col("_v"), 1).otherwise(0))
+    on = F.coalesce(F.when(F.col("_i") < room, F.col("_b")[F.least("_i", F.lit(room - 1))] == F.col("_v")), F.lit(False))
+    held = placed.withColumn("_on", on).select(*kk, (F.col("_i") * 2 + F.col("_on").cast("int")).alias("_at"),
+                                               F.when(F.col("_on") | F.col("_open")[F.col("_i")], F.col("_v")).alias("_v"))
     c = cut_lineage(held.groupBy(*kk, "_at", "_v").agg(F.count(F.lit(1)).alias("_c")))
     p = sequence_features(c, kk, ["_at", "_v"], {"_cum": ("running_sum", "_c"), "_n": ("key_sum", "_c")})
     out = cut_lineage(_picked(p, kk, probs, names))

@@ -44,7 +44,8 @@ def numeric_variance(df: DataFrame, threshold: float, cols: Sequence[str]) -> Da
 def frequency_variance(df: DataFrame, threshold: float, cols: Sequence[str], keep_above: bool = False) -> DataFrame:
     """Q2 / Q5: variance (ddof=1) of the relative frequencies of a column's values (NULL not
     counted).  Q2 drops columns with variance < threshold; Q5 keeps those with variance >
-    threshold (``keep_above``).  One unpivot + one (feature, value) count pass."""
+    threshold (``keep_above``).  One unpivot + one (feature, value) count pass, so every distinct value is
+    shuffled; ``select_by_frequency`` decides most columns without."""
     u = unpivot_values(df.select(*cols), cols).filter(F.col("value").isNotNull())
     cnt = u.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     tot = cnt.groupBy("feature").agg(F.sum("n").alias("t"))
@@ -54,6 +55,23 @@ def frequency_variance(df: DataFrame, threshold: float, cols: Sequence[str], kee
     return v.withColumn("keep", F.coalesce(keep, F.lit(False)))
 
 
+def select_by_frequency(df: DataFrame, threshold: float, cols: Sequence[str], keep_above: bool = False) -> DataFrame:
+    """Q2 / Q5 at scale: (feature, low, high, exact, keep). A sketch of second frequency moments and of distinct
+    counts bounds each column's variance of relative frequencies (``frequency``); a column whose bounds lie on one
+    side of the threshold is decided, the others are counted exactly, and their bounds are that value."""
+    from featmart.operators.frequency import variance_bounds
+    found = variance_bounds(df, cols)                        # a row per column
+    over = (lambda v: v > threshold) if keep_above else (lambda v: v >= threshold)
+    near = [c for c, (lo, hi) in found.items() if lo is not None and over(lo) != over(hi)]
+    exact = {r["feature"]: r["stat"] for r in frequency_variance(df, threshold, near, keep_above).collect()} if near else {}      # a row per column
+    rows = []
+    for c, (lo, hi) in found.items():
+        if c in exact:
+            lo = hi = exact[c]
+        rows.append((c, lo, hi, c in exact, lo is not None and over(lo)))
+    return df.sparkSession.createDataFrame(rows, "feature string, low double, high double, exact boolean, keep boolean")
+
+
 def constant_columns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Q6: columns with at most one distinct non-NULL value are dropped; ``min < max`` in one
     pass is cheaper than counting distinct values.  stat = 1 if the column varies."""
@@ -63,23 +81,11 @@ def constant_columns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
     return _stat_table(a, cols, lambda s: F.coalesce(s == 1.0, F.lit(False)))
 
 
-def pearson(a, b):
-    """Pearson correlation over the rows where both are non-NULL (pandas ``corr``); NULL for a
-    constant column.  Spark's ``corr`` divides by a zero variance under ANSI mode, so the ratio
-    is taken with ``try_divide``."""
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-
 def correlation_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair (pairwise-complete rows, as pandas ``corr``) from one
-    aggregate; long form (a, b, corr) with a before b in column order."""
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    a = df.agg(*[pearson(f"`{cols[i]}`", f"`{cols[j]}`").alias(f"c{i}_{j}") for i, j in pairs])
-    arr = F.array(*[F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), F.lit(i).alias("ia"),
-                             F.lit(j).alias("ib"), F.col(f"c{i}_{j}").alias("corr")) for i, j in pairs])
-    return a.select(F.explode(arr).alias("x")).select("x.*")
+    """Pearson correlation of every pair (pairwise-complete rows, as pandas ``corr``) from the pair sums of one
+    pass (``gram``); long form (a, b, ia, ib, corr) with a before b in column order; NULL for a constant column."""
+    from featmart.operators.gram import correlations
+    return correlations(df, cols)
 
 
 def correlated(df: DataFrame, cols: Sequence[str], threshold: float) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from featmart.plans.compare import rs
+from featmart.plans.compare import normalize, rs
 from featmart.plans.marts import LATE_DAYS, customer_mart
 from featmart.plans.registry import query
 from featmart.sources import load
@@ -72,6 +72,7 @@ def q_customer_mart(spark, sf):
 
 from pyspark.sql import functions as F  # noqa: E402
 
+from featmart.plans import binning_sql as BS  # noqa: E402
 from featmart.plans import marts as M  # noqa: E402
 from featmart.plans.catalog_seq import LOOKALIKE_SQL  # noqa: E402
 
@@ -346,6 +347,56 @@ for _keep in ("both", "binned", "numeric_binned", "originals_passing"):
     query("binned_mart" if _keep == "both" else f"binned_mart_{_keep}")(_mk(_keep))
 
 
+# Which columns a binned mart has depends on the data, so the checked form is long: a row per customer and column. Both sides bin
+# the inputs rounded as for comparison, in 10 pre-bins, as the SQL lists every way to cut them.
+_D10_INTS = ["ord_n_size", "ins_late_n_sum", "ins_late_n_max"]
+_D10_NUMS = (["ord_price_min", "ord_price_mean", "ord_price_max", "ord_price_var", "ord_n_size", "share_status_f", "share_status_o", "share_status_p",
+              *[f"share_prio_{i}" for i in range(1, 6)], "months_per_order"]
+             + [f"ins_{c}_{fn}" for c in ("ratio_mean", "diff_sum", "late_n", "paid_total", "roll3_max", "paid_std") for fn in ("mean", "sum", "max")])
+_D10_CATS = ["c_mktsegment", "ord_status_last"]
+
+
+def _varied(src, cols):
+    """SQL: names of the columns that take two values at least among labelled rows."""
+    return " UNION ALL ".join(f"SELECT '{c}' AS feature WHERE (SELECT min({c}) < max({c}) FROM {src} WHERE y IS NOT NULL)" for c in cols)
+
+
+def _d10_sql(keep):
+    nums, cats = _D10_NUMS, [] if keep == "numeric_binned" else _D10_CATS
+    means = ", ".join(f"coalesce({c}, (SELECT {'trunc(avg(' + c + '))' if c in _D10_INTS else 'avg(' + c + ')'} FROM m WHERE y IS NOT NULL)) AS {c}" for c in nums)
+    fill = f"imp AS (SELECT c_custkey, y, {means} FROM m),\n{BS.bins_ctes('imp', nums, [], 'c_custkey', 10, 0.05, '_i')}," if keep in ("both", "numeric_binned") else ""
+    none = "CAST(NULL AS VARCHAR)"
+    binned = f"SELECT c_custkey, y, feature || '_binned' AS feature, {rs('woe')} AS value, {none} AS text FROM ({BS.woe_of_rows('', 'c_custkey', 0.05)}) JOIN passing USING (feature)"
+    if keep in ("both", "numeric_binned"):
+        out = f"""{binned} UNION ALL SELECT c_custkey, y, feature, {rs('x')}, {none} FROM nl_i
+JOIN (SELECT feature FROM bins_i JOIN varied USING (feature) GROUP BY 1 HAVING sum(iv) >= 0.02) USING (feature)"""
+    elif keep == "binned":
+        out = binned
+    else:
+        out = f"""SELECT c_custkey, y, feature, {rs('x')} AS value, {none} AS text FROM nl JOIN passing USING (feature)
+UNION ALL SELECT c_custkey, y, feature, CAST(NULL AS DOUBLE), v FROM tl JOIN passing USING (feature)"""
+    return f"""WITH RECURSIVE c AS (SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_acctbal < 0 AS INTEGER) END AS y, c_mktsegment FROM customer),
+m AS (SELECT * FROM c LEFT JOIN ({D3_SQL}) USING (c_custkey) LEFT JOIN ({D5_SQL}) USING (c_custkey)),
+varied AS ({_varied('m', nums + cats)}),
+{BS.bins_ctes('m', nums, cats, 'c_custkey', 10, 0.05)},
+{fill}
+passing AS (SELECT feature FROM bins JOIN varied USING (feature) GROUP BY 1 HAVING sum(iv) >= 0.02)
+{out}"""
+
+
+for _keep in ("both", "binned", "numeric_binned", "originals_passing"):
+    def _mk_check(keep):
+        def q(spark, sf):
+            d = M.binned_mart(normalize(_binned_inputs(spark, sf)), "y", keep=keep, prebins=10)
+            kinds = dict(d.dtypes)
+            cells = [F.struct(F.lit(c).alias("feature"), (F.lit(None) if kinds[c] == "string" else F.col(c)).cast("double").alias("value"),
+                              (F.col(c) if kinds[c] == "string" else F.lit(None)).cast("string").alias("text")) for c in d.columns if c not in ("c_custkey", "y")]
+            return d.select("c_custkey", "y", F.explode(F.array(*cells)).alias("x")).select("c_custkey", "y", "x.feature", "x.value", "x.text")
+        q.__doc__ = f"D10 binned mart (keep={keep!r}) in long form, over 10 pre-bins."
+        return q
+    query(f"binned_mart_{_keep}_long", _d10_sql(_keep))(_mk_check(_keep))
+
+
 @query("mart_final_full")
 def q_mart_final_full(spark, sf):
     """D11 with the model marts: D1-D8 plus nested-model statistics (D9) and binned columns

@@ -285,3 +285,50 @@ def q_histogram_by_label(spark, sf):
     """20-bin equal-width histogram on [min, max] split by label, with per-class density
     (X9, X11)."""
     return PR.histogram(_spend(spark, sf), "spend", 20, by="y", density=True)
+
+
+# ------------------------------------------------------------------ X11
+@query("density_by_label", f"""
+WITH s AS (SELECT * FROM ({_SPEND}) WHERE spend IS NOT NULL AND y IS NOT NULL),
+p AS (SELECT y, count(*) AS n, pow(count(*)::DOUBLE, -0.2::DOUBLE) * stddev_samp(spend) AS h, min(spend) AS lo, max(spend) AS hi FROM s GROUP BY 1),
+e AS (SELECT min(lo) - 3 * max(h) AS a, (max(hi) + 3 * max(h) - (min(lo) - 3 * max(h))) / 199 AS d FROM p),
+b AS (SELECT y, (spend - a) / d AS t, least(floor((spend - a) / d), 198) AS i FROM s, e),
+g AS (SELECT y, j, sum(w) AS w FROM (SELECT y, i AS j, 1 - (t - i) AS w FROM b UNION ALL SELECT y, i + 1, t - i FROM b) GROUP BY 1, 2),
+c AS (SELECT unnest(range(0, 200)) AS i)
+SELECT g.y, CAST(c.i AS INTEGER) AS i, {rs('any_value(e.a + c.i * e.d)')} AS x,
+  {rs('round(sum(g.w * exp(-0.5::DOUBLE * pow((c.i - g.j) * e.d / p.h, 2))) / (any_value(p.n) * any_value(p.h) * sqrt(2 * pi())) * 1e6, 9)')} AS density
+FROM c, e, g JOIN p USING (y) GROUP BY g.y, c.i
+""")
+def q_density_by_label(spark, sf):
+    """Gaussian kernel density of spend per label class on a grid of 200 points, Scott's bandwidth (X11); per million,
+    to nine decimals."""
+    d = PR.density_curve(_spend(spark, sf), "spend", "y")
+    return d.withColumn("density", F.round(F.col("density") * 1e6, 9))
+
+
+# ------------------------------------------------------------------ Q2 Q5 by sketch
+def _wide_orders(spark, sf):
+    """String columns of few and of very many values."""
+    o = load(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_orderdate"])
+    return o.select("o_orderstatus", "o_orderpriority", F.year("o_orderdate").cast("string").alias("yr"), F.col("o_custkey").cast("string").alias("cust"),
+                    F.col("o_orderkey").cast("string").alias("okey"), F.to_date("o_orderdate").cast("string").alias("day"),
+                    F.when(F.col("o_orderkey") % 10 > 0, "most").otherwise(F.col("o_orderkey").cast("string")).alias("hot"))
+
+
+_WIDE_SQL = """SELECT o_orderstatus, o_orderpriority, CAST(year(o_orderdate) AS VARCHAR) AS yr, CAST(o_custkey AS VARCHAR) AS cust, CAST(o_orderkey AS VARCHAR) AS okey,
+  CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, CASE WHEN o_orderkey % 10 > 0 THEN 'most' ELSE CAST(o_orderkey AS VARCHAR) END AS hot FROM orders"""
+_WIDE_COLS = ["o_orderstatus", "o_orderpriority", "yr", "cust", "okey", "day", "hot"]
+
+
+@query("select_frequency_sketch", f"WITH o AS ({_WIDE_SQL})\n" + "\nUNION ALL\n".join(
+    f"SELECT feature, coalesce(stat {op} {t!r}, false) AS keep, true AS bounds_hold, '{m}' AS method FROM ({_freq_var_sql(c)})"
+    for c in _WIDE_COLS for m, op, t in (("Q2", ">=", 1e-4), ("Q5", ">", 1e-6))))
+def q_select_frequency_sketch(spark, sf):
+    """Frequency-variance selection by sketch: the same columns as the exact count, which only columns near the
+    threshold get, and bounds that hold the exact value (Q2, Q5)."""
+    o = _wide_orders(spark, sf)
+    a = SE.select_by_frequency(o, 1e-4, _WIDE_COLS).withColumn("method", F.lit("Q2"))
+    b = SE.select_by_frequency(o, 1e-6, _WIDE_COLS, keep_above=True).withColumn("method", F.lit("Q5"))
+    exact = SE.frequency_variance(o, 0.0, _WIDE_COLS).select("feature", "stat")
+    hold = F.col("stat").between(F.col("low") * (1 - 1e-9), F.col("high") * (1 + 1e-9))
+    return a.unionByName(b).join(exact, "feature").select("feature", "keep", hold.alias("bounds_hold"), "method")

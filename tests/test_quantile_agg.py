@@ -33,6 +33,56 @@ def test_hot_value_and_null_key(spark):
     assert len(r) == 1 and [r[0].p0, r[0].p1, r[0].p2] == pytest.approx(list(np.percentile(vals, [1, 50, 99])))
 
 
+def _shuffled_rows(spark, run):
+    """Rows that went through exchanges, over all jobs of ``run``, from the plans that ran."""
+    import featmart.operators.quantile as module
+    seen, cut = [], module.cut_lineage
+
+    def keep(df):
+        out = cut(df)
+        seen.append(out.count())
+        return out
+    module.cut_lineage = keep
+    try:
+        run()
+    finally:
+        module.cut_lineage = cut
+    return sum(seen)
+
+
+@pytest.mark.parametrize("n_groups", [1, 3])
+def test_bracketed_percentiles_match_numpy(spark, n_groups):
+    rnd = random.Random(n_groups)
+    kinds = [lambda: rnd.gauss(0, 1), lambda: float(rnd.randint(0, 5)), lambda: rnd.choice([7.0] * 9 + [rnd.random() * 100])]
+    rows = [(f"k{i % n_groups}" if i % n_groups else None, rnd.choice([None, kinds[i % n_groups]()])) for i in range(6_000)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for probs in ([0.0, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0], [0.5], [1.0], [0.0], [i / 30 for i in range(31)]):
+        got = {r.k: [r[f"p{i}"] for i in range(len(probs))] for r in Q.bracketed_percentiles(df, ["k"], "v", probs, accuracy=200).collect()}
+        exact = {r.k: [r[f"p{i}"] for i in range(len(probs))] for r in Q.percentiles(df, ["k"], "v", probs).collect()}
+        assert got == exact                                   # to the last bit
+        for k in got:
+            vals = [v for kk, v in rows if kk == k and v is not None]
+            assert got[k] == pytest.approx(list(np.percentile(vals, [p * 100 for p in probs])), rel=1e-12, abs=1e-12)
+
+
+def test_brackets_shuffle_few_rows_of_a_unique_column(spark):
+    n = 200_000
+    df = spark.range(n).select(F.lit("f").alias("k"), F.xxhash64("id").cast("double").alias("v"))
+    moved = _shuffled_rows(spark, lambda: Q.bracketed_percentiles(df, ["k"], "v", [0.25, 0.5, 0.75]).collect())
+    assert moved < 0.02 * n
+    hot = df.withColumn("v", F.when(F.col("v") > -8e18, 1.0).otherwise(F.col("v")))        # some 90 % equal values
+    assert _shuffled_rows(spark, lambda: Q.bracketed_percentiles(hot, ["k"], "v", [0.01, 0.5, 0.99]).collect()) < 0.02 * n
+
+
+def test_brackets_fall_back_when_a_rank_is_outside(spark, monkeypatch):
+    df = spark.createDataFrame([("a", float(i)) for i in range(500)], "k string, v double")
+    monkeypatch.setattr(F, "percentile_approx", lambda c, p, a: F.array(*[F.lit(1.5) for _ in p]))       # a sketch that knows nothing
+    (r,) = Q.bracketed_percentiles(df, ["k"], "v", [0.0, 0.5, 0.75]).collect()
+    assert (r.p0, r.p1, r.p2) == (0.0, 249.5, 374.25)
+    none = spark.createDataFrame([("a", None)], "k string, v double")
+    assert Q.bracketed_percentiles(none, ["k"], "v", [0.5]).collect() == []
+
+
 def test_global_column_quantiles(spark):
     df = spark.createDataFrame([(float(i), float(i % 3)) for i in range(101)], "a double, b double")
     q = Q.column_quantiles(df, ["a", "b"], [0.0, 0.5, 1.0])
