@@ -113,7 +113,7 @@ seat AS (SELECT rk, target / (2 * unnest(range(1, CAST(ceil(target / {mixing.BLO
 src AS (SELECT rk, count(*) AS n FROM (SELECT rk, row_number() OVER (ORDER BY q DESC, rk) AS r FROM seat)
         WHERE r <= (SELECT floor(sum(target) / {mixing.BLOCK}::DOUBLE + 0.5::DOUBLE) FROM t) GROUP BY rk),
 p AS (SELECT d.*, t.rk, t.source_size, t.target, coalesce(src.n, 0) AS n,
-        CAST('0x' || substr(h, 1, 8) AS BIGINT) % greatest(1, CAST(ceil(t.source_size / {mixing.SHARD_WORDS}) AS BIGINT)) AS shard
+        CAST('0x' || substr(h, 1, 8) AS BIGINT) % greatest(1, CAST(ceil(t.source_size / greatest({mixing.SHARD_WORDS}, ceil((SELECT sum(source_size) FROM s) / {mixing.MAX_SHARDS}))) AS BIGINT)) AS shard
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN src ON src.rk = t.rk),
 sh AS (SELECT rk, shard, sum(size) AS shard_size, max(n) AS n, max(source_size) AS source_size FROM p GROUP BY rk, shard),
 bid AS (SELECT rk, shard, n, shard_size / (2 * unnest(range(1, CAST(ceil(2.0 * shard_size / {mixing.BLOCK}) AS BIGINT) + 3)) - 1) AS q FROM sh WHERE shard_size > 0),
@@ -140,11 +140,11 @@ WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 t AS (SELECT *, length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g'))
         + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + length('<|im_start|>') + length('<|im_end|>') + 2 AS f FROM rows)
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, left(text, {0}), md5(text))) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(f) AS BIGINT) AS formatted_chars
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, left(text, {0}), md5(text)) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(f) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id
-"""
+""".replace("{0}", str(chat.TIE))
 
 
 @query("op3_chat_format", SQL_CHAT)

@@ -1,8 +1,9 @@
 """The stages of the corpus pipeline: each calls one operator and lets its decisions take effect.
 
 Rows are matched to decisions by a 128-bit hash of id and text, so null and repeated ids are all right;
-equal rows get equal decisions. In the mix equal rows may differ in what is taken of them, so rows are numbered
-there. Every column of the input is kept, whatever else it holds.
+equal rows get equal decisions; in the mix equal rows may differ in what is taken of them, and only those are numbered.
+Decisions are made on narrow rows and looked up by the documents (``common.marked``, ``mixing.apply``), so texts are
+neither shuffled nor written a second time. Every column of the input is kept, whatever else it holds.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featmart.llm import decontam, langid, mixing, pii, simhash
-from featmart.llm.common import materialise, small
+from featmart.llm.common import marked, materialise
 
 ID, TEXT = "doc_id", "text"
 
@@ -28,11 +29,12 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     return docs.withColumns({names[0]: F.xxhash64(i, t), names[1]: F.xxhash64(t, i, F.lit(1))}), names
 
 
-def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose key (k1, k2) is not in ``keys``."""
+def _marked(docs: DataFrame, inside: DataFrame, others: DataFrame) -> tuple[DataFrame, list[str], str]:
+    """``docs`` with key columns and a flag: whether the key is in ``inside``; ``others`` has all other keys (k1, k2)."""
     keyed, names = _keyed(docs)
-    gone = small(materialise(keys.select(F.col("k1").alias(names[0]), F.col("k2").alias(names[1])).distinct(), "gone"))
-    return keyed.join(gone, names, "left_anti").drop(*names)
+    flag = names[0] + "_in"
+    inside, others = (d.select(F.col("k1").alias(names[0]), F.col("k2").alias(names[1])) for d in (inside, others))
+    return marked(keyed, names, inside, others, flag), names, flag
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,20 +53,23 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")
     first = prints.groupBy("fp").agg(F.min(order).alias("m")).join(groups, "fp").groupBy("group").agg(F.min("m").alias("m"))
     stays = materialise(first.select("m.k1", "m.k2"), "stays")
-    kept = _without(docs, prints.select("k1", "k2").join(stays, ["k1", "k2"], "left_anti"))
+    gone = materialise(prints.select("k1", "k2").join(stays, ["k1", "k2"], "left_anti").distinct(), "gone")
+    found, names, flag = _marked(docs, gone, stays)
+    kept = found.where(~F.col(flag)).drop(*names, flag)
     again = materialise(prints.groupBy("k1", "k2").count().where("count > 1").join(stays, ["k1", "k2"], "left_semi").select("k1", "k2"), "again")
     if again.isEmpty():
         return kept
-    keyed, names = _keyed(kept)
-    twice = small(again.select(F.col("k1").alias(names[0]), F.col("k2").alias(names[1])))
-    one = keyed.join(twice, names, "left_semi").dropDuplicates(names)
-    return keyed.join(twice, names, "left_anti").unionByName(one).drop(*names)
+    found, names, flag = _marked(kept, again, stays)
+    one = found.where(flag).dropDuplicates(names)
+    return found.where(~F.col(flag)).unionByName(one).drop(*names, flag)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents that hold a test window go."""
-    found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ID, TEXT)
-    return _without(docs, found.where("n_hit > 0").select("k1", "k2"))
+    hits = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ID, TEXT)
+    hits = materialise(hits.select("k1", "k2", (F.col("n_hit") > 0).alias("hit")).distinct(), "contaminated")
+    found, names, flag = _marked(docs, hits.where("hit"), hits.where("not hit"))
+    return found.where(~F.col(flag)).drop(*names, flag)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +81,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: every document with the words the mix takes of it (``taken``, 0 if none): so many whole ``copies``
     and the words of ``part``. An input column of such a name becomes ``doc_<name>`` (with as many _ behind it as it
-    takes to be new). Text takes no part in the windows: decisions are joined back by row number."""
+    takes to be new)."""
     new = {c: c for c in docs.columns}
     for c in _MIX:
         if c in new:
@@ -84,14 +89,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             while name in (*new, *new.values()):
                 name += "_"
             new[c] = name
-    row = "_row"
-    while row in new.values():
-        row += "_"
-    rows = materialise(docs.select(*[F.col(c).alias(n) for c, n in new.items()], F.monotonically_increasing_id().alias(row)), "numbered")
-    d = mixing.mix(rows, ID, TEXT, keep=(F.col(row).alias("row"),))
-    d = small(materialise(d.select(F.col("kept.row").alias(row), "size", "source_size", "target", "taken"), "mix"))
+    rows = docs.select(*[F.col(c).alias(n) for c, n in new.items()])
+    out = mixing.apply(rows, mixing.plan(rows, ID, TEXT), ID, TEXT, names=_MIX[:4])
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("long")
-    out = rows.join(d, row).withColumn("copies", whole)
+    out = out.withColumn("copies", whole)
     return out.withColumn("part", mixing.first_words(F.col(TEXT), F.col("taken") - F.col("copies") * F.col("size"))).select(*new.values(), *_MIX)
 
 

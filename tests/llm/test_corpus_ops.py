@@ -232,7 +232,7 @@ def test_sainte_lague_is_by_highest_quotients(spark):
 def brute_chat(rows):
     out = {}
     for conv in {r[0] for r in rows}:
-        turns = [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))]
+        turns = [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", (r[3] or "")[:64], hashlib.md5((r[3] or "").encode()).hexdigest()))]
         loss = "".join(t for role, t in turns if role == "assistant")
         out[conv] = (len(turns), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     return out
@@ -258,6 +258,22 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_conversations(d.where("false"))).count() == 0
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_chat_order_of_ties_does_not_depend_on_partitions(spark, adaptive):
+    """One conversation without turn numbers, over many range partitions: texts that differ early, late, and not at all."""
+    rows = [(1, None, "user" if i % 3 else "assistant", [f"{i % 500} short", "x" * 80 + str(i % 700), "same"][i % 7 % 3] + " y" * (i % 50)) for i in range(6_000)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        (r,) = chat.read_back(chat.format_conversations(d.repartition(5))).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == brute_chat(rows)[1]
+
+
 def test_scatter():
     rng = np.random.default_rng(0)
     data = rng.integers(0, 255, 500_000).astype(np.uint8)
@@ -305,14 +321,59 @@ def test_warc_chain_over_blocks(spark):
         assert pieces.select("block").distinct().count() > 20
         cand = common.materialise(warc.candidates(pieces))
         assert cand.count() > 700 == warc.reachable(cand).count()
-        rec = warc.read_archives(spark, path).collect()
+        read = warc.read_archives(spark, path)
+        # the payloads are read with other splits than the chain was
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+        rec = read.rows.collect()
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
-    assert all(r.intact for r in rec)
+    assert all(r.intact for r in rec) and read.verified == len(rec) == 700
     assert {r.page_id: r.payload for r in rec} == {r.page_id: r.html for r in d.collect()}
 
 
+def test_warc_reads_survive_a_change_of_parallelism(spark):
+    """More or fewer cores at the second read change the splits of the files; no record is lost or doubled."""
+    d = spark.range(40_000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("page "), F.col("id") % 30_000, F.repeat(F.lit(" x"), 60)).alias("html"))
+    path = common.shared_path(spark, "warc-test")
+    warc.write_archives(warc.plan_records(d.repartition(2)), path)
+    got = []
+    try:
+        for before, after in ((4, 7), (7, 4), (3, 31)):
+            spark.conf.set("spark.sql.files.minPartitionNum", str(before))
+            read = warc.read_archives(spark, path)
+            spark.conf.set("spark.sql.files.minPartitionNum", str(after))
+            got.append((read.verified, read.rows.count(), read.rows.select("page_id").distinct().count(), warc.resolve(read).count()))
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert got == [(40_000,) * 4] * 3
+
+
+def test_warc_equal_pieces_inside_and_outside_payloads(spark):
+    """A verified record whose very bytes also stand in another's payload counts once for each time it is verified."""
+    path = common.shared_path(spark, "warc-test")
+    one = spark.createDataFrame([(7, "u", "small")], "page_id long, url string, html string")
+    warc.write_archives(warc.plan_records(one), path)
+    twin = spark.read.option("wholetext", True).text(path).first()[0]
+    rows = [(7, "u", "small"), (7, "u", "small"), (8, "u", "x" + twin), (9, "u", twin + twin + warc.MAGIC * 2), (10, "u", warc.MAGIC + "y" * 9000)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = common.shared_path(spark, "warc-test")
+    warc.write_archives(warc.plan_records(d), path)
+    read = warc.read_archives(spark, path)
+    assert Counter((r.page_id, r.payload) for r in read.rows.collect()) == Counter((i, h) for i, _, h in rows)
+    narrow = warc.resolve(read)
+    assert narrow.count() == 5
+    with pytest.raises(RuntimeError, match="verified"):
+        warc.resolve(warc.Records(read.rows, 6))
+
+
+def test_warc_skips_what_precedes_the_first_magic(spark):
+    path = common.shared_path(spark, "warc-test")
+    spark.createDataFrame([("rubbish before",)], "value string").coalesce(1).write.option("lineSep", warc.MAGIC).text(path)
+    read = warc.read_archives(spark, path)
+    assert read.verified == 0 and read.rows.count() == 0
+
+
 # --- embeddings ---------------------------------------------------------------------------------
 
 def brute_embeddings(rows, least=0.9):
@@ -465,6 +526,66 @@ def test_mix_is_carried_out(spark, odd, none):
     assert stages.lay_out(stages.mixture(spark, none, SF)).count() == 0
 
 
+def _shuffles_text(spark, run, monkeypatch):
+    """Whether any exchange of any job of ``run``, its result's among them, carries a text column."""
+    found = []
+
+    def look(df):
+        text = df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        for block in re.findall(r"\n\(\d+\) (?:Exchange|Sort|SortMergeJoin)\b[^\n]*\n(?:[^\n]+\n)*", text):
+            if block.split(")")[1].strip().startswith("Exchange") and re.search(r"Input \[\d+\]: .*\b(text|t|w|payload|value)#", block):
+                found.append(block)
+        return df
+    write = common.materialise
+    for module in (common, stages, mixing, decontam, simhash, langid):
+        monkeypatch.setattr(module, "materialise", lambda df, name="table": write(look(df), name), raising=False)
+    look(run())
+    return found
+
+
+@pytest.mark.parametrize("filter_keys", [common.FILTER_KEYS, 0])
+def test_stages_do_not_shuffle_texts(spark, monkeypatch, filter_keys):
+    """Beyond the number of keys that is broadcast, a filter takes its place; only without it texts move."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {f.__name__: Counter(map(tuple, f(spark, docs, "/root/testdata/sf0.01").collect())) for f in (stages.deduplicate, stages.mixture)}
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(common, "FILTER_KEYS", filter_keys)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for f in (stages.deduplicate, stages.mixture):
+            got = []
+            moved = _shuffles_text(spark, lambda: got.append(f(spark, docs, "/root/testdata/sf0.01")) or got[0], monkeypatch)
+            assert bool(moved) == (f is stages.deduplicate and not filter_keys), (f, moved)
+            assert Counter(map(tuple, got[0].collect())) == want[f.__name__]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("rows, filter_keys", [(10, 1 << 20), (10, 0), (1 << 20, 0)])
+def test_marked_is_exact(spark, monkeypatch, rows, filter_keys):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(common, "FILTER_KEYS", filter_keys)
+    monkeypatch.setattr(common, "FILTER_BITS", 2)            # many strays
+    every = spark.range(20_000).select(F.xxhash64("id").alias("a"), F.xxhash64("id", F.lit(1)).alias("b"), "id")
+    inside = common.materialise(every.where("id % 3 = 0").select("a", "b"))
+    others = common.materialise(every.select("a", "b"))
+    got = common.marked(every.unionByName(every.where("id < 50")), ["a", "b"], inside, others, "f")
+    assert got.columns == ["a", "b", "id", "f"] and got.where("f <> (id % 3 = 0)").isEmpty() and got.count() == 20_050
+
+
+def test_equal_rows_at_the_cut_are_numbered(spark):
+    rows = [(1, "one two three", "s", 7)] * 40 + [(2, "four five", "s", 7)] * 30 + [(3, "x " * 9, "t", 7)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, _mix_rk int").repartition(5)
+    p = mixing.plan(d)
+    assert p.shards.agg(F.max("copies")).first()[0] > 1
+    got = mixing.apply(d, p).collect()
+    assert len(got) == len(rows) and got[0].asDict().keys() == {"doc_id", "text", "source", "_mix_rk", "size", "source_size", "target", "taken"}
+    for s, blocks in (("s", 8), ("t", 8)):
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 2 * blocks
+        assert sum(0 < r.taken % r.size for r in mine) <= 1 and all(r.taken <= 2 * r.size for r in mine)
+
+
 def test_first_words_of_long_texts(spark):
     t = "\n Wort\u00a0eins \t zwei\r\n" * 50_000
     for n in (0, 1, 3, 99_999, 100_000):
