@@ -13,6 +13,12 @@ the blocks' entries (each round doubles the pointers) finds the entries reached
 each block then marks what lies on the chain from its entry. Pieces that a payload's magic split are put
 together again. A chain that hits an offset without a candidate ends there.
 
+The files are read twice: for the chain (lengths, headers and a 128-bit hash of every piece, numbered once and written),
+and for the payloads. How files are split may differ between the reads, as it follows the number of cores, so pieces are
+matched by their hash: equal pieces are interchangeable, and of a hash as many are kept as are verified. Nearly all
+pieces are whole verified records; only the others' hashes are looked up, so payloads are not shuffled. ``resolve``
+fails if the records read are not as many as those verified.
+
 Odd rows: null HTML is an empty payload; a null URL is an empty header, line ends in it are
 percent-encoded; a null page id is written as an empty id, takes no part in naming a response and is a
 revisit if an equal payload has an id. Rows with the same id and payload get the same type. An empty
@@ -21,6 +27,8 @@ table writes no record. Extra columns are ignored.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -66,21 +74,27 @@ def write_archives(records: DataFrame, path: str) -> None:
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """What lies between magics: (file, block, mid, size, value). ``mid`` orders the pieces of a block; the
-    files do not change, so every read of this plan gives the same numbers."""
+    """What lies between magics: (file, block, mid, size, value, h1, h2). ``mid`` orders the pieces of a block, in one
+    evaluation of the plan only."""
+    v = F.col("value")
     return spark.read.option("lineSep", MAGIC).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("mid"), F.col("_metadata.file_size").alias("size"), "value")
+        F.monotonically_increasing_id().alias("mid"), F.col("_metadata.file_size").alias("size"), "value",
+        F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(1), v).alias("h2"))
 
 
-def candidates(pieces: DataFrame) -> DataFrame:
-    """(file, block, mid, i, off, succ, size): every piece behind a magic with its successor's offset;
-    ``i`` numbers the pieces of a file; ``succ`` is null without a readable header."""
-    head = F.substring_index("value", CLOSE, 1)
+def _span(head: Column, value: Column) -> Column:
+    """Bytes from a piece's start to its record's end, as its header says; null without a readable header."""
     length = F.regexp_extract(head, r"(?i)(?:^|\r\n)Content-Length: *([0-9]{1,15})(?:\r\n|$)", 1)
-    whole = F.instr("value", CLOSE) > 0
+    return F.when((F.instr(value, CLOSE) > 0) & (length != ""), F.octet_length(head) + 8 + length.cast("long"))
+
+
+def candidates(pieces: DataFrame) -> DataFrame:
+    """(file, block, mid, i, off, succ, size, h1, h2): every piece with its own offset, that of the magic before it (negative
+    for what precedes a file's first magic), and its successor's; ``i`` numbers the pieces of a file; ``succ`` is null
+    without a readable header."""
     n = materialise(pieces.select("file", "block", "mid", "size", F.octet_length("value").cast("long").alias("n"),
-                                  F.when(whole & (length != ""), F.octet_length(head) + 8 + length.cast("long")).alias("span")), "pieces")
+                                  _span(F.substring_index("value", CLOSE, 1), F.col("value")).alias("span"), "h1", "h2"), "pieces")
     per_block = n.groupBy("file", "block").agg(F.sum(F.col("n") + _M).alias("b"), F.count(F.lit(1)).alias("c"))
     prior = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = materialise(per_block.select("file", "block", F.coalesce(F.sum("b").over(prior), F.lit(0)).alias("b0"),
@@ -90,7 +104,7 @@ def candidates(pieces: DataFrame) -> DataFrame:
                   F.coalesce(F.count("mid").over(inside), F.lit(0)).alias("c1")).join(blocks, ["file", "block"])
     off = F.col("b0") + F.col("b1") - _M
     return at.select("file", "block", "mid", (F.col("c0") + F.col("c1")).alias("i"), off.alias("off"),
-                     (off + _M + F.col("span")).alias("succ"), "size").where("off >= 0")
+                     (off + _M + F.col("span")).alias("succ"), "size", "h1", "h2")
 
 
 def _exits(g: pd.DataFrame) -> pd.DataFrame:
@@ -114,7 +128,7 @@ def _on_chain(g: pd.DataFrame) -> pd.DataFrame:
 
 def reachable(cand: DataFrame) -> DataFrame:
     """The candidates that the chain from their file's start reaches, as (file, block, mid, i, off, succ, size)."""
-    known = cand.where("succ is not null").select("file", "block", "mid", "i", "off", "succ", "size")
+    known = cand.where("succ is not null and off >= 0").select("file", "block", "mid", "i", "off", "succ", "size")
     kinds = "file string, block long, mid long, i long, off long, succ long, size long"
     local = materialise(known.groupBy("file", "block").applyInPandas(_exits, kinds + ", exit long"), "exits")
     # entries: file starts and offsets that another block exits to
@@ -133,28 +147,41 @@ def reachable(cand: DataFrame) -> DataFrame:
     return local.drop("exit").join(entry, ["file", "block"]).groupBy("file", "block").applyInPandas(_on_chain, kinds)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per verified record: (page_id, url, type, digest, refers_to, payload, intact). ``digest`` is
-    the one that the header states; ``intact``: the record has the length that its header states."""
-    pieces = _pieces(spark, path)
-    cand = materialise(candidates(pieces), "candidates")
+@dataclass
+class Records:
+    """``rows``: one per record (page_id, url, type, digest, refers_to, payload, intact); ``verified``: how many there are."""
+    rows: DataFrame
+    verified: int
+
+
+def read_archives(spark: SparkSession, path: str) -> Records:
+    """The verified records. ``digest`` is the one that the header states; ``intact``: the record has the length that its
+    header states."""
+    cand = materialise(candidates(_pieces(spark, path)), "candidates")
     good = materialise(reachable(cand), "records")
     after = cand.select("file", F.col("off").alias("succ"), F.col("i").alias("j"))
     # the last piece of each record: the one before its successor, or the file's last
     last = cand.groupBy("file").agg((F.max("i") + 1).alias("end"))
     known = good.join(after, ["file", "succ"], "left").join(last, "file").select(
-        "mid", "file", "i", (F.col("succ") - F.col("off") - _M).alias("stated"), F.coalesce("j", "end").alias("j"))
+        "file", "i", (F.col("succ") - F.col("off") - _M).alias("stated"), F.coalesce("j", "end").alias("j"))
     known = materialise(known, "spans")
-    values = pieces.select("mid", "value")
-    one = values.join(small(known.where("j = i + 1").select("mid", "stated")), "mid")
+    # pieces by hash: how often in the files, and how often as a whole verified record
+    whole = cand.join(known.where("j = i + 1").select("file", "i", F.lit(1).alias("one")), ["file", "i"], "left")
+    by_hash = whole.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.count("one").alias("v"))
+    special = materialise(by_hash.where("v < n").select("h1", "h2", "v"), "special")
     torn = materialise(known.where("j > i + 1"), "torn")
-    parts = torn.select("mid", "stated", "file", F.explode(F.sequence("i", F.col("j") - 1)).alias("i")).join(
-        cand.select("file", "i", F.col("mid").alias("piece")), ["file", "i"])
-    parts = materialise(parts.select(F.col("mid").alias("rec"), "stated", "i", F.col("piece").alias("mid")), "parts")
-    put = values.join(small(parts), "mid").groupBy("rec", "stated").agg(
-        F.array_sort(F.collect_list(F.struct("i", "value"))).alias("v"))
-    mended = put.select(F.col("rec").alias("mid"), F.array_join(F.transform("v", lambda x: x["value"]), MAGIC).alias("value"), "stated")
-    rec = one.select("mid", "value", "stated").unionByName(mended)
+    parts = torn.select(F.col("i").alias("rec"), "stated", "file", F.explode(F.sequence("i", F.col("j") - 1)).alias("i")).join(
+        cand.select("file", "i", "h1", "h2"), ["file", "i"])
+    parts = materialise(parts.select("file", "rec", "stated", "i", "h1", "h2"), "parts")
+    values = _pieces(spark, path).select("value", "h1", "h2")
+    hashes = special.select("h1", "h2", "v")
+    one = values.join(small(hashes.select("h1", "h2")), ["h1", "h2"], "left_anti")
+    stated = _span(F.substring_index("value", CLOSE, 1), F.col("value"))
+    texts = values.join(small(hashes), ["h1", "h2"]).dropDuplicates(["h1", "h2"])
+    again = texts.where("v > 0").select("value", F.explode(F.sequence(F.lit(1).cast("long"), "v"))).select("value")
+    put = texts.join(parts, ["h1", "h2"]).groupBy("file", "rec", "stated").agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("v"))
+    mended = put.select(F.array_join(F.transform("v", lambda x: x["value"]), MAGIC).alias("value"), "stated")
+    rec = one.select("value", stated.alias("stated")).unionByName(again.select("value", stated.alias("stated"))).unionByName(mended)
     head = F.substring_index("value", CLOSE, 1)
     body = F.expr(f"substr(value, instr(value, '{CLOSE}') + 4)".replace("\r", "\\r").replace("\n", "\\n"))
     block = F.expr("substr(body, 1, length(body) - 4)")
@@ -169,17 +196,21 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def number(c: Column) -> Column:
         return F.when(c != "", c.cast("long"))
 
-    return rec.withColumns({"head": head, "body": body}).withColumns({"block": block}).select(
+    rows = rec.withColumns({"head": head, "body": body}).withColumns({"block": block}).select(
         number(page("WARC-Record-ID")).alias("page_id"), field("WARC-Target-URI", "[^\\r\\n]*").alias("url"), field("WARC-Type", "[a-z]*").alias("type"),
         field("WARC-Payload-Digest", "sha1:[0-9a-f]*").substr(F.lit(6), F.lit(64)).alias("digest"), number(page("WARC-Refers-To")).alias("refers_to"),
         payload.alias("payload"), (F.octet_length("value") == F.col("stated")).alias("intact"))
+    return Records(rows, known.count())
 
 
-def resolve(records: DataFrame) -> DataFrame:
+def resolve(records: Records) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to): size and digest of responses from
     their payload, of revisits from the response that they refer to (null if the archives lack it)."""
-    narrow = materialise(records.select("page_id", "type", "digest", "refers_to", F.octet_length("payload").cast("long").alias("n"),
+    narrow = materialise(records.rows.select("page_id", "type", "digest", "refers_to", F.octet_length("payload").cast("long").alias("n"),
                                         F.sha1("payload").alias("actual")), "resolved")
+    read = narrow.count()
+    if read != records.verified:
+        raise RuntimeError(f"{records.verified} records verified, {read} read: the archives changed between the reads")
     own = narrow.where("type = 'response'")
     target = own.where("page_id is not null").select(F.col("page_id").alias("refers_to"), F.col("actual").alias("digest"), F.col("n").alias("m")).distinct()
     back = narrow.where("type = 'revisit'").join(target, ["refers_to", "digest"], "left")
