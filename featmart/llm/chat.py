@@ -14,8 +14,9 @@ spreads over tasks. A formatted row is a part of a conversation: whole turns, at
 or one turn; ``part`` orders the parts. ``read_back`` parses parts in that order with a running hash, so
 no conversation is ever held as a whole.
 
-Turns are ordered by turn (null first), role, text; equal rows stay, in a row. Null texts and roles are
-empty strings. A null conversation id is a conversation like any other. Extra columns are ignored.
+Turns are ordered by turn (null first), role, the text's first ``TIE`` code points, then the md5 of the text. Rows are
+dealt out and sorted by that same order, with a number behind it that lets equal rows, which stay in a row, spread
+over tasks too. Null texts and roles are empty strings. A null conversation id is a conversation like any other. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from featmart.llm.common import small_batches
 # fixed values: the template
 START, END, TRAINED = "<|im_start|>", "<|im_end|>\n", "assistant"
 PART = 1 << 20
+TIE = 64
 _LONG = 1 << 16
 
 
@@ -104,9 +106,11 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
                          text_col: str = "text") -> DataFrame:
     """(conv, part, n_turns, formatted binary, loss array of byte ranges): one row per part."""
     src = rows.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"),
-                      F.coalesce(text_col, F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+                      F.coalesce(text_col, F.lit("")).alias("text"))
+    order = ["conv", "turn", "role", "head", "digest", "number"]
+    src = src.withColumns({"head": F.substring("text", 1, TIE), "digest": F.md5("text"), "number": F.monotonically_increasing_id()})
     small_batches(rows.sparkSession)
-    src = src.repartitionByRange("conv", "turn", "role", "h").sortWithinPartitions("conv", "turn", "role", "text")
+    src = src.repartitionByRange(*order).sortWithinPartitions(*order).select("conv", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 32          # range partitions are in order
