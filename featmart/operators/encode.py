@@ -3,8 +3,9 @@
 Every ``*_fit`` is one distributed pass. Tables with a row per category level (codes, WoE, risk
 groups) stay DataFrames of any length, and applying them is an equi-join (AQE broadcasts a small
 table and shuffles beyond). Tables with a row per bin are bounded by features x bins; their edges are
-folded into the plan as literal arrays. One-hot makes a column per level, so its levels are a
-driver-side list by nature: pass one, or let ``one_hot_fit`` collect them up to ``ONE_HOT_COLUMNS``.
+folded into the plan as literal arrays. One-hot as columns needs a driver-side list of levels by nature: pass one, or
+let ``one_hot_fit`` collect them up to ``ONE_HOT_COLUMNS``; beyond that, ``one_hot_vector`` makes one sparse vector and
+``level_counts`` counts per key, of any number of levels.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def one_hot_fit(df: DataFrame, cols: Sequence[str] | None = None, max_columns: i
     cols = list(cols or [c for c, t in df.dtypes if t == "string"])
     rows = unpivot_values(df, cols).filter(F.col("value").isNotNull()).distinct().limit(max_columns + 1).collect()
     if len(rows) > max_columns:
-        raise ValueError(f"one-hot would add more than {max_columns} columns; pass the levels to keep")
+        raise ValueError(f"one-hot would add more than {max_columns} columns; use one_hot_vector or level_counts, or pass the levels to keep")
     out: dict[str, list] = {c: [] for c in cols}
     for r in rows:
         out[r["feature"]].append(r["value"])
@@ -63,6 +64,44 @@ def one_hot_apply(df: DataFrame, levels: Mapping[str, list], dummy_na: bool = Tr
     return df.select(*keep, *exprs), new
 
 
+def one_hot_index(df: DataFrame, cols: Sequence[str], dummy_na: bool = True) -> DataFrame:
+    """(feature, level, index): a place for every level of every column, of any number; with ``dummy_na`` a NULL level
+    per column that has NULLs. Places follow the columns' order, then the levels (NULL first)."""
+    u = unpivot_values(df, cols)
+    levels = (u if dummy_na else u.filter(F.col("value").isNotNull())).distinct()
+    at = F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("feature"))
+    from featmart.operators.seq import positions
+    p = positions(levels.withColumns({"_one": F.lit(0), "_at": at, "_null": F.col("value").isNotNull()}), ["_one"], [F.col("_at").asc(), F.col("_null").asc(), F.col("value").asc()])
+    return p.select("feature", F.col("value").alias("level"), (F.col("_pos") - 1).alias("index"))
+
+
+def one_hot_vector(df: DataFrame, cols: Sequence[str], index: DataFrame, name: str = "one_hot") -> DataFrame:
+    """E1 without a column per level: ``name`` is one sparse vector with a 1 at the place of each column's level (none
+    for a level that ``index`` lacks). A column's place comes from an equi-join; Spark's encoder makes the vector."""
+    from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+    from featmart.session import cut_lineage
+    spark, index = df.sparkSession, cut_lineage(index)
+    spans = {r["feature"]: (r["lo"], r["n"]) for r in index.groupBy("feature").agg(F.min("index").alias("lo"), F.count(F.lit(1)).alias("n")).collect()}     # a row per column
+    used = [c for c in cols if c in spans]
+    out = df
+    for c in used:
+        lo, n = spans[c]
+        t = index.where(F.col("feature") == c).select(F.col("level").alias(f"_level_{c}"), (F.col("index") - lo).cast("double").alias(f"_at_{c}"))
+        out = out.join(t, out[c].cast("string").eqNullSafe(F.col(f"_level_{c}")), "left").withColumn(f"_at_{c}", F.coalesce(f"_at_{c}", F.lit(float(n)))).drop(f"_level_{c}")
+    # the encoder learns each column's number of places from its largest; the place behind them is 'none'
+    largest = spark.createDataFrame([tuple(float(spans[c][1] - 1) for c in used)], [f"_at_{c}" for c in used])
+    enc = OneHotEncoder(inputCols=[f"_at_{c}" for c in used], outputCols=[f"_hot_{c}" for c in used], handleInvalid="keep", dropLast=True).fit(largest)
+    out = VectorAssembler(inputCols=[f"_hot_{c}" for c in used], outputCol=name).transform(enc.transform(out))
+    return out.drop(*[f"_at_{c}" for c in used], *[f"_hot_{c}" for c in used])
+
+
+def level_counts(df: DataFrame, key: str, cols: Sequence[str], dummy_na: bool = True) -> DataFrame:
+    """(key, feature, level, n): the sums of the one-hot columns per key that are not zero (E1, A11), counted map-side;
+    of any number of levels."""
+    u = unpivot_values(df, cols, extra=[key])
+    return (u if dummy_na else u.filter(F.col("value").isNotNull())).groupBy(key, "feature", F.col("value").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # ------------------------------------------------------------------ E2 E3 codes
 
 def _numbered(levels: DataFrame, order: Sequence[Column]) -> DataFrame:

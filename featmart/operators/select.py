@@ -113,24 +113,32 @@ def _assemble(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
 def forest_importance(df: DataFrame, cols: Sequence[str], label: str, threshold: float = 0.001,
                       trees: int = 100, seed: int = 0) -> DataFrame:
     """Q8: random-forest importances (Spark ML, distributed training); keep >= threshold."""
-    from pyspark.ml.classification import RandomForestClassifier
-    data = _assemble(df.filter(F.col(label).isNotNull()), cols, label)
-    m = RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=trees, seed=seed).fit(data)
-    imp = m.featureImportances.toArray()
+    imp = fitted_forest(df, cols, label, trees, seed).featureImportances.toArray()
     return _table(df.sparkSession, [(c, float(imp[i]), bool(imp[i] >= threshold)) for i, c in enumerate(cols)])
 
 
 def boosting_importance(df: DataFrame, cols: Sequence[str], label: str, threshold: float = 0.005,
-                        scale: str = "max", iters: int = 50, seed: int = 0) -> DataFrame:
-    """Q9: gradient-boosted-tree importances scaled by the maximum ('max') or divided by 10
-    ('tenth'); keep >= threshold."""
+                        scale: str = "max", iters: int = 50, seed: int = 0, rank_by: str = "n_splits") -> DataFrame:
+    """Q9: gradient-boosted-tree importances, scaled by the maximum ('max') or divided by 10 ('tenth'); keep
+    >= threshold. ``rank_by``: 'n_splits' (how often a column splits), 'gain' or 'cover', from the node table."""
+    from featmart.operators import trees as TR
+    stats = TR.split_statistics(TR.stored_nodes(fitted_boosting(df, cols, label, iters, seed))[0], cols)
+    vals = {r["feature"]: float(r[rank_by]) for r in stats.collect()}          # a row per column
+    mx = max(vals.values(), default=0.0) or 1.0
+    div = mx if scale == "max" else 10.0
+    return _table(df.sparkSession, [(c, vals[c] / div, bool(vals[c] / div >= threshold)) for c in cols])
+
+
+def fitted_forest(df: DataFrame, cols: Sequence[str], label: str, trees: int = 100, seed: int = 0):
+    from pyspark.ml.classification import RandomForestClassifier
+    data = _assemble(df.filter(F.col(label).isNotNull()), cols, label)
+    return RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=trees, seed=seed).fit(data)
+
+
+def fitted_boosting(df: DataFrame, cols: Sequence[str], label: str, iters: int = 50, seed: int = 0):
     from pyspark.ml.classification import GBTClassifier
     data = _assemble(df.filter(F.col(label).isNotNull()), cols, label)
-    m = GBTClassifier(featuresCol="_features", labelCol="_label", maxIter=iters, seed=seed).fit(data)
-    imp = m.featureImportances.toArray()
-    mx = max(imp) if len(imp) and max(imp) > 0 else 1.0
-    vals = [v / mx if scale == "max" else v / 10.0 for v in imp]
-    return _table(df.sparkSession, [(c, float(vals[i]), bool(vals[i] >= threshold)) for i, c in enumerate(cols)])
+    return GBTClassifier(featuresCol="_features", labelCol="_label", maxIter=iters, seed=seed).fit(data)
 
 
 def apply_selection(df: DataFrame, table: DataFrame, always_keep: Sequence[str] = ()) -> DataFrame:

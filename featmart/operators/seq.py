@@ -270,10 +270,25 @@ def sequence_features(df: DataFrame, key: str | Sequence[str], order: Sequence,
     return cold.unionByName(_chunked(null_safe_join(df, hot, keys, "left_semi"), keys, order, features, chunk_rows))
 
 
-def first_last_k(df: DataFrame, key: str, order: Sequence[str], first_k: int | None = None,
-                 last_k: int | None = None, chunk_rows: int | None = None, adaptive: bool = True) -> DataFrame:
-    """Flags ``_first`` (row among the first k of its key) and ``_last`` (among the last k) for a
-    single conditional aggregation pass afterwards (W6, O5)."""
+def first_last_k(df: DataFrame, key: str, order: Sequence[str], first_k: int | None = None, last_k: int | None = None) -> DataFrame:
+    """The first k rows of each key (``_first``) and the last k (``_last``), for a conditional aggregation afterwards
+    (W6, O5). A row that is both comes twice, with one flag each. Either end is a window whose rank is limited, so
+    a task keeps at most k rows of a key before the exchange: no row beyond them is shuffled, and a hot key brings k rows
+    a task."""
+    up = [_ord(o) for o in order]
+    down = [F.col(o).desc_nulls_first() for o in order]
+    parts = []
+    for k, by, flags in ((first_k, up, (True, False)), (last_k, down, (False, True))):
+        if k is not None:
+            rn = F.row_number().over(Window.partitionBy(key).orderBy(*by))
+            parts.append(df.withColumn("_rn", rn).where(F.col("_rn") <= k).drop("_rn").withColumns({"_first": F.lit(flags[0]), "_last": F.lit(flags[1])}))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def flag_first_last_k(df: DataFrame, key: str, order: Sequence[str], first_k: int | None = None,
+                      last_k: int | None = None, chunk_rows: int | None = None, adaptive: bool = True) -> DataFrame:
+    """All rows with the flags ``_first`` (among the first k of its key) and ``_last`` (among the last k), for slices that
+    need every row's place anyway."""
     s = sequence_features(df, key, order, {"_rn": ("row_number",), "_cnt": ("key_count",)}, chunk_rows, adaptive)
     if first_k is not None:
         s = s.withColumn("_first", F.col("_rn") <= first_k)

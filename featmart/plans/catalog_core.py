@@ -16,7 +16,7 @@ from featmart.plans.compare import rs
 from featmart.plans.registry import query
 from featmart.session import checkpoint_dir
 from featmart.sources import (
-    SCHEMAS, limit_rows, load, load_json, load_vectors, read_csv, save_json, save_vectors, split_by_label, write_scores, write_table,
+    SCHEMAS, limit_rows, load, load_json, load_vectors, read_csv, read_csv_checked, save_json, save_vectors, split_by_label, write_scores, write_table,
 )
 
 INF = float("inf")
@@ -90,6 +90,32 @@ def q_scan_sink_roundtrip(spark, sf):
     return back_csv.join(scores, back_csv.o_orderkey == scores.score_id.cast("bigint"), "inner")
 
 
+@query("csv_quarantine", f"""
+WITH c AS (SELECT *, CASE WHEN c_custkey % 60 = 7 THEN 'not 5 fields' WHEN c_custkey % 50 = 0 THEN 'c_acctbal: not double' END AS reason FROM customer)
+SELECT c_custkey, CASE WHEN reason IS NULL THEN c_name END AS c_name, CASE WHEN reason IS NULL THEN {rs('c_acctbal')} END AS c_acctbal,
+  CASE WHEN reason IS NULL THEN CAST(c_nationkey AS INTEGER) END AS c_nationkey, reason, true AS types_right FROM c
+""")
+def q_csv_quarantine(spark, sf):
+    """A CSV of all customers with a stray index column, rows that lack a field and values that are no numbers: types
+    inferred, good rows typed, bad ones in a quarantine table with file and reason (S1, S4)."""
+    base = os.path.join(checkpoint_dir(spark), "featmart-io", uuid.uuid4().hex)
+    c = load(spark, sf, "customer", ["c_custkey", "c_name", "c_acctbal", "c_nationkey"])
+    index, name = F.monotonically_increasing_id().cast("string"), F.col("c_name")
+    bal = F.when(F.col("c_custkey") % 50 == 0, "abc").otherwise(F.col("c_acctbal").cast("string"))
+    last = F.when(F.col("c_custkey") % 60 != 7, F.col("c_nationkey").cast("string"))               # concat_ws leaves NULL out: a field less
+    head = ",c_custkey,c_name,c_acctbal,c_nationkey"
+    # every part file has a header, as Spark's own CSV writer puts one
+    lines = c.select(F.concat_ws(",", index, F.col("c_custkey").cast("string"), name, bal, last).alias("value"), F.spark_partition_id().alias("p"))
+    heads = lines.select("p").distinct().select(F.lit(head).alias("value"), "p")
+    heads.withColumn("o", F.lit(0)).unionByName(lines.withColumn("o", F.lit(1))).repartition("p").sortWithinPartitions("p", "o").select("value", "p").write.partitionBy("p").text(f"{base}/csv")
+    rows, bad = read_csv_checked(spark, f"{base}/csv/p=*", quarantine=f"{base}/bad")
+    kinds = dict(rows.dtypes)
+    right = kinds["c_acctbal"] == "double" and kinds["c_nationkey"] == "int" and kinds["c_custkey"] in ("int", "bigint") and list(kinds) == ["c_custkey", "c_name", "c_acctbal", "c_nationkey"]
+    good = rows.select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "c_name", "c_acctbal", "c_nationkey", F.lit(None).cast("string").alias("reason"))
+    broken = bad.where(F.col("file").contains("/csv/p=")).select(F.split("line", ",")[1].cast("bigint").alias("c_custkey"), "reason")
+    return union_named([good, broken]).withColumn("types_right", F.lit(bool(right)))
+
+
 # ------------------------------------------------------------------ P16
 @query("filter_pack", f"""
 SELECT 'eq_status_f' AS filter, count(*) AS n, {rs('sum(o_totalprice)')} AS price

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from featmart.operators import encode as EN
@@ -40,6 +42,81 @@ def q_one_hot(spark, sf):
     return enc.groupBy("o_custkey").agg(*[F.sum(F.col(f"`{c}`")).alias(c) for c in new])
 
 
+_CUST_LAB = ("SELECT c_custkey, c_mktsegment, CAST(c_nationkey AS VARCHAR) AS c_nationkey, "
+             "CAST(c_acctbal < 0 AS INTEGER) AS y FROM customer")
+_WOE_CAT_FIT = f"""
+WITH b AS ({_CUST_LAB}),
+s AS (SELECT avg(y) + 0.5 AS er, sum(y) AS te, count(*) - sum(y) AS tn FROM b),
+u AS (SELECT 'c_mktsegment' AS feature, coalesce(c_mktsegment, 'Missing') AS value, y FROM b
+      UNION ALL SELECT 'c_nationkey', coalesce(c_nationkey, 'Missing'), y FROM b),
+g AS (SELECT feature, value, count(*) AS count, CAST(sum(y) AS BIGINT) AS events FROM u GROUP BY 1, 2)
+SELECT feature, value, count, events,
+  ln(((events + 1e-10) / (count + 1e-10)) / (er / (1 - er + 0.5))) AS woe_rate_odds,
+  ln(((events + 1e-10) / te) / ((count - events + 1e-10) / tn)) AS woe_standard
+FROM g, s
+"""
+
+
+_HOT_COLS = ["o_orderstatus", "o_orderpriority", "day"]
+_HOT_SQL = """WITH o AS (SELECT o_custkey, o_orderstatus, nullif(o_orderpriority, '5-LOW') AS o_orderpriority, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders),
+u AS (SELECT o_custkey, 'o_orderstatus' AS feature, o_orderstatus AS level FROM o UNION ALL SELECT o_custkey, 'o_orderpriority', o_orderpriority FROM o
+  UNION ALL SELECT o_custkey, 'day', day FROM o)"""
+
+
+def _hot_orders(spark, sf):
+    """Columns of three, four (and NULL) and some thousand levels."""
+    return load(spark, sf, "orders", ["o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate"]).select(
+        "o_custkey", "o_orderstatus", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("o_orderpriority"), F.to_date("o_orderdate").cast("string").alias("day"))
+
+
+@query("one_hot_counts", f"{_HOT_SQL}\nSELECT o_custkey, feature, level, count(*) AS n FROM u GROUP BY 1, 2, 3")
+def q_one_hot_counts(spark, sf):
+    """One-hot sums per customer as keyed counts, no column per level."""
+    return EN.level_counts(_hot_orders(spark, sf), "o_custkey", _HOT_COLS)
+
+
+@query("one_hot_vector", f"""{_HOT_SQL}, n AS (SELECT feature, level, count(*) AS n FROM u GROUP BY 1, 2)
+SELECT row_number() OVER (ORDER BY list_position(['o_orderstatus', 'o_orderpriority', 'day'], feature), level NULLS FIRST) - 1 AS index, feature, level, n FROM n
+""")
+def q_one_hot_vector(spark, sf):
+    """One sparse vector per order for all levels of all columns, added up: how often each place holds a 1."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+    o = _hot_orders(spark, sf)
+    index = EN.one_hot_index(o, _HOT_COLS)
+    total = EN.one_hot_vector(o, _HOT_COLS, index, "v").agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("s"))      # one row
+    sums = total.select(F.posexplode("s").alias("index", "n"))
+    return index.join(sums, "index").select("index", "feature", "level", F.round("n").cast("long").alias("n"))
+
+
+# ------------------------------------------------------------------ F7: saved estimators
+@query("saved_estimators", f"""
+WITH f AS (SELECT * FROM ({_WOE_CAT_FIT})),
+e AS (SELECT list_sort(list_distinct(quantile_cont(c_acctbal, [0, 0.25, 0.5, 0.75, 1]))) AS edges FROM customer),
+k AS (SELECT c_mktsegment, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS code FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_mktsegment IS NOT NULL))
+SELECT c.c_custkey, {rs('f.woe_rate_odds')} AS c_mktsegment_woe, CAST({_bin_sql('c.c_acctbal')} AS INTEGER) AS c_acctbal_bin,
+  CAST(coalesce(k.code, -1) AS INTEGER) AS c_mktsegment_code
+FROM customer c CROSS JOIN e LEFT JOIN f ON f.feature = 'c_mktsegment' AND f.value = coalesce(c.c_mktsegment, 'Missing') LEFT JOIN k ON k.c_mktsegment = c.c_mktsegment
+""")
+def q_saved_estimators(spark, sf):
+    """A pipeline of the library's estimators fitted and saved by one session, loaded from the folder and applied by
+    another (F7, M4, M6)."""
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from featmart.operators.estimators import FiniteOrNull, LevelCoder, QuantileBinner, WoeEncoder
+    from featmart.session import checkpoint_dir
+
+    def customers(session):
+        return load(session, sf, "customer", ["c_custkey", "c_mktsegment", "c_acctbal"]).withColumn("y", (F.col("c_acctbal") < 0).cast("int"))
+
+    stages = [FiniteOrNull(inputCols=["c_acctbal"]), QuantileBinner(inputCols=["c_acctbal"], bins=4), WoeEncoder(inputCols=["c_mktsegment"], labelCol="y"),
+              LevelCoder(inputCols=["c_mktsegment"])]
+    path = f"{checkpoint_dir(spark)}/estimators-{uuid.uuid4().hex}"
+    Pipeline(stages=stages).fit(customers(spark)).write().save(path)
+    scored = PipelineModel.load(path).transform(customers(spark))
+    return scored.select("c_custkey", "c_mktsegment_woe", "c_acctbal_bin", "c_mktsegment_code")
+
+
 # ------------------------------------------------------------------ E2 E3
 @query("label_codes", """
 WITH p AS (SELECT o_orderpriority, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS prio_code
@@ -83,21 +160,6 @@ def q_quantile_bins(spark, sf):
 
 
 # ------------------------------------------------------------------ E5 E7 categorical
-_CUST_LAB = ("SELECT c_custkey, c_mktsegment, CAST(c_nationkey AS VARCHAR) AS c_nationkey, "
-             "CAST(c_acctbal < 0 AS INTEGER) AS y FROM customer")
-_WOE_CAT_FIT = f"""
-WITH b AS ({_CUST_LAB}),
-s AS (SELECT avg(y) + 0.5 AS er, sum(y) AS te, count(*) - sum(y) AS tn FROM b),
-u AS (SELECT 'c_mktsegment' AS feature, coalesce(c_mktsegment, 'Missing') AS value, y FROM b
-      UNION ALL SELECT 'c_nationkey', coalesce(c_nationkey, 'Missing'), y FROM b),
-g AS (SELECT feature, value, count(*) AS count, CAST(sum(y) AS BIGINT) AS events FROM u GROUP BY 1, 2)
-SELECT feature, value, count, events,
-  ln(((events + 1e-10) / (count + 1e-10)) / (er / (1 - er + 0.5))) AS woe_rate_odds,
-  ln(((events + 1e-10) / te) / ((count - events + 1e-10) / tn)) AS woe_standard
-FROM g, s
-"""
-
-
 @query("woe_categorical", f"""
 SELECT feature, value, count, events, {rs('woe_rate_odds')} AS woe_rate_odds, {rs('woe_standard')} AS woe_standard
 FROM ({_WOE_CAT_FIT})

@@ -11,6 +11,7 @@ from featmart.operators import encode as EN
 from featmart.operators import model as MD
 from featmart.operators import select as SE
 from featmart.operators import seq
+from featmart.operators import trees as TR
 from featmart.operators.agg import dist_pack
 from featmart.plans import binning_sql as BS
 from featmart.plans.compare import rs
@@ -295,8 +296,49 @@ def q_binned_apply(spark, sf):
 # ------------------------------------------------------------------ Q8 Q9
 @query("select_importance")
 def q_select_importance(spark, sf):
-    """Random-forest (100 trees) and gradient-boosting importances on Spark ML (Q8, Q9)."""
+    """Random-forest (100 trees) impurity importances and gradient-boosting split counts, scaled by the largest (Q8, Q9)."""
     d = _bin_inputs(spark, sf)
     rf = SE.forest_importance(d, _BIN_COLS, "y", threshold=0.001).withColumn("method", F.lit("forest"))
     gb = SE.boosting_importance(d, _BIN_COLS, "y", threshold=0.005, iters=20).withColumn("method", F.lit("boosting"))
     return rf.unionByName(gb)
+
+
+def _ensembles(spark, sf):
+    d = cut_lineage(_bin_inputs(spark, sf))
+    return d, {"forest": SE.fitted_forest(d, _BIN_COLS, "y", trees=20), "boosting": SE.fitted_boosting(d, _BIN_COLS, "y", iters=10)}
+
+
+@query("tree_statistics")
+def q_tree_statistics(spark, sf):
+    """Splits, trees, gain and cover per column from the stored node tables of a forest and a boosted ensemble (Q8, Q9)."""
+    out = None
+    for name, model in _ensembles(spark, sf)[1].items():
+        t = TR.split_statistics(TR.stored_nodes(model)[0], _BIN_COLS).withColumn("method", F.lit(name))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+@query("tree_statistics_check", f"""
+SELECT method, feature, true AS importance_follows, true AS trees_are_whole, CASE WHEN method = 'forest' THEN 20 ELSE 10 END AS n_trees,
+  CASE WHEN method = 'boosting' THEN (SELECT count(*) FROM (SELECT DISTINCT o_custkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 7 <> 0)) END AS root_rows
+FROM (SELECT unnest(['forest', 'boosting']) AS method), (SELECT unnest({_BIN_COLS!r}) AS feature)
+""")
+def q_tree_statistics_check(spark, sf):
+    """The node tables against the fitted models: Spark's importances recomputed from the trees, every child there once,
+    covers adding up, the boosted trees' roots holding every labelled row (Q8, Q9)."""
+    out = None
+    for name, model in _ensembles(spark, sf)[1].items():
+        n = cut_lineage(TR.stored_nodes(model)[0])
+        said = spark.createDataFrame([(c, float(v)) for c, v in zip(_BIN_COLS, model.featureImportances.toArray())], "feature string, said double")     # a row per column
+        follows = TR.gain_importances(n, _BIN_COLS, per_tree=name == "forest").join(said, "feature").select(
+            "feature", (F.abs(F.col("importance") - F.col("said")) < 1e-9).alias("importance_follows"))
+        kids = n.where("left IS NOT NULL").select("tree", F.col("node").alias("parent"), F.col("cover").alias("whole"), F.explode(F.array("left", "right")).alias("node"))
+        held = n.join(kids, ["tree", "node"], "left")
+        per_parent = held.where("parent IS NOT NULL").groupBy("tree", "parent").agg(F.count(F.lit(1)).alias("n"), F.sum("cover").alias("c"), F.first("whole").alias("w"))
+        whole = per_parent.agg(F.min((F.col("n") == 2) & (F.col("c") == F.col("w"))).alias("ok")).crossJoin(
+            held.where("parent IS NULL").agg(F.count(F.lit(1)).alias("roots"), F.min("cover").alias("lo"), F.max("cover").alias("hi"), F.min(F.col("node") == 0).alias("first")))
+        whole = whole.select((F.coalesce("ok", F.lit(True)) & F.col("first")).alias("trees_are_whole"), F.col("roots").cast("int").alias("n_trees"),
+                             F.when(F.lit(name == "boosting") & (F.col("lo") == F.col("hi")), F.col("lo")).alias("root_rows"))
+        t = follows.crossJoin(F.broadcast(whole)).withColumn("method", F.lit(name))          # one row beside one per column
+        out = t if out is None else out.unionByName(t)
+    return out

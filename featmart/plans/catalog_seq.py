@@ -209,27 +209,27 @@ FROM o GROUP BY 1
 """
 
 
-def _first_last(spark, sf, chunk):
-    o = load(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"])
-    s = S.first_last_k(o, "o_custkey", ["o_orderdate", "o_orderkey"], first_k=2, last_k=5, chunk_rows=chunk, adaptive=chunk is None)
-    exprs = []
-    for tag, cond in (("first_2", F.col("_first")), ("last_5", F.col("_last")), ("all", F.lit(True))):
-        x = F.when(cond, F.col("o_totalprice"))
-        exprs += [A.agg_fn("sum", x).alias(f"price_sum_{tag}"), F.avg(x).alias(f"price_mean_{tag}"),
-                  F.max(x).alias(f"price_max_{tag}")]
-    return s.groupBy("o_custkey").agg(*exprs)
+def _ends(tag, cond):
+    x = F.when(cond, F.col("o_totalprice"))
+    return [A.agg_fn("sum", x).alias(f"price_sum_{tag}"), F.avg(x).alias(f"price_mean_{tag}"), F.max(x).alias(f"price_max_{tag}")]
 
 
 @query("first_last_k", _flk_sql())
 def q_first_last_k(spark, sf):
-    """First 2 / last 5 / all orders per customer aggregated in one conditional pass."""
-    return _first_last(spark, sf, None)
+    """First 2 / last 5 / all orders per customer: either end by a limited rank, aggregated in one conditional pass, joined
+    with the aggregate over all rows (W6, O5)."""
+    o = load(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"])
+    s = S.first_last_k(o, "o_custkey", ["o_orderdate", "o_orderkey"], first_k=2, last_k=5)
+    ends = s.groupBy("o_custkey").agg(*_ends("first_2", F.col("_first")), *_ends("last_5", F.col("_last")))
+    return S.null_safe_join(ends, o.groupBy("o_custkey").agg(*_ends("all", F.lit(True))), ["o_custkey"])
 
 
 @query("first_last_k_chunked", _flk_sql())
 def q_first_last_k_chunked(spark, sf):
-    """Same as first_last_k with positions from the chunked plan (no window over the key)."""
-    return _first_last(spark, sf, 4)
+    """Same as first_last_k from every row's position, by the chunked plan (no window over the key)."""
+    o = load(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"])
+    s = S.flag_first_last_k(o, "o_custkey", ["o_orderdate", "o_orderkey"], first_k=2, last_k=5, chunk_rows=4, adaptive=False)
+    return s.groupBy("o_custkey").agg(*_ends("first_2", F.col("_first")), *_ends("last_5", F.col("_last")), *_ends("all", F.lit(True)))
 
 
 # ------------------------------------------------------------------ W8 W9 A22

@@ -96,6 +96,57 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     return df
 
 
+_TYPES = ["int", "bigint", "double", "date", "timestamp_ntz", "boolean"]
+
+
+def _lines(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """The rows of a CSV with header as text columns, a broken row with its line in ``_line``, each with its file."""
+    names = spark.read.option("header", True).csv(path).columns            # reads the first line
+    raw = T.StructType([*[T.StructField(c, T.StringType()) for c in names], T.StructField("_line", T.StringType())])
+    reader = spark.read.schema(raw).option("header", True).option("nullValue", "").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line")
+    # a row's fields are counted only if all columns are parsed
+    d = reader.option("columnPruning", False).csv(path).withColumn("_file", F.col("_metadata.file_path"))
+    return d, names
+
+
+def infer_types(rows: DataFrame, names: list[str], tolerance: float) -> dict[str, str]:
+    """The narrowest type that all but a share ``tolerance`` of a column's values can be cast to; one aggregate for all columns."""
+    def can(c, t):
+        return F.count(F.expr(f"try_cast(`{c}` AS {t})"))
+    got = rows.agg(*[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(names)],
+                   *[can(c, t).alias(f"c{i}_{j}") for i, c in enumerate(names) for j, t in enumerate(_TYPES)]).first()
+    out = {}
+    for i, c in enumerate(names):
+        n = got[f"n{i}"]
+        out[c] = next((t for j, t in enumerate(_TYPES) if n and got[f"c{i}_{j}"] >= (1 - tolerance) * n), "string")
+    return out
+
+
+def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType | None = None, quarantine: str | None = None,
+                     tolerance: float = 0.05, drop_index: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, bad) of a CSV with header that may hold broken rows (S1, S4): a row with too few or too many fields, or with
+    a value that is not of its column's type, goes to ``bad`` (file, reason, line) and does not end the read.
+
+    Without ``schema`` the types come from one pass over the whole file (``infer_types``); ``tolerance`` is the share of
+    values that may be broken. A stray unnamed index column is dropped. With ``quarantine`` the bad rows are written there."""
+    d, names = _lines(spark, path)
+    whole = F.col("_line").isNull()
+    types = {f.name: f.dataType.simpleString() for f in schema.fields} if schema is not None else infer_types(d.where(whole), names, tolerance)
+    stray = [c for c in names if c in ("_c0", "", "Unnamed: 0")] if drop_index else []
+    types = {c: types.get(c, "string") for c in names}
+    cast = {c: F.expr(f"try_cast(`{c}` AS {t})") for c, t in types.items()}
+    faults = F.concat_ws("; ", *[F.when(F.col(f"`{c}`").isNotNull() & cast[c].isNull(), F.lit(f"{c}: not {t}")) for c, t in types.items() if t != "string"])
+    reason = F.when(~whole, F.lit(f"not {len(names)} fields")).when(faults != "", faults)
+    d = d.withColumn("_reason", reason)
+    rows = d.where(F.col("_reason").isNull()).select(*[cast[c].alias(c) for c in names if c not in stray])
+    line = F.coalesce("_line", F.concat_ws(",", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in names]))
+    bad = d.where(F.col("_reason").isNotNull()).select(F.col("_file").alias("file"), F.col("_reason").alias("reason"), line.alias("line"))
+    if quarantine:
+        bad.write.mode("overwrite").parquet(quarantine)
+        bad = spark.read.parquet(quarantine)
+    return rows, bad
+
+
 def limit_rows(df: DataFrame, nrows: int | None) -> DataFrame:
     """Row-limited scan (S3); ``None`` reads everything."""
     return df if nrows is None else df.limit(nrows)
