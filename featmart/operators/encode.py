@@ -378,15 +378,18 @@ def _category_prebins(lab: DataFrame, cols: Sequence[str], prebins: int) -> Data
 
 
 def optimal_bins(df: DataFrame, label: str, num_cols: Sequence[str] = (), cat_cols: Sequence[str] = (), prebins: int = 20,
-                 min_share: float = 0.05, max_bins: int | None = None, trend: str = "monotone") -> Bins:
+                 min_share: float = 0.05, max_bins: int | None = None, trend: str = "monotone", written: bool = False) -> Bins:
     """Supervised binning (E8) on the labelled rows: (1) pre-bins of all columns; (2) one unpivot +
     ``groupBy(feature, bin)`` event table, the only pass over the data; (3) the optimal partition of each
     feature's at most ``prebins`` rows (``binning.best_partition``) via ``groupBy(feature).applyInPandas``,
     distributed over features. ``trend``: 'rising', 'falling', 'monotone' (the better of the two), 'peak', 'valley',
-    'any_turn'. NULLs are not binned - they get a fixed value at apply time (E9)."""
+    'any_turn'. NULLs are not binned - they get a fixed value at apply time (E9). The labelled rows are read by the
+    sketch, the ranks, the category counts and the event table, so they are written once first, unless ``df`` is
+    ``written`` already."""
     from featmart.session import cut_lineage
     spark = df.sparkSession
-    lab = df.filter(F.col(label).isNotNull()).withColumn("_y", F.col(label).cast("long"))
+    lab = df.filter(F.col(label).isNotNull()).select(F.col(label).cast("long").alias("_y"), *dict.fromkeys([*num_cols, *cat_cols]))
+    lab = lab if written else cut_lineage(lab)
     parts, edges, levels = [], {}, None
     if num_cols:
         edges = quantile_edges_fit(lab, num_cols, q=prebins)

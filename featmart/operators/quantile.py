@@ -31,10 +31,11 @@ RANK_CHUNK_ROWS = 1_000_000
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
                 exact: bool = True, names: Sequence[str] | None = None,
-                chunk_rows: int = RANK_CHUNK_ROWS, adaptive: bool = True) -> DataFrame:
+                chunk_rows: int = RANK_CHUNK_ROWS, adaptive: bool = True, largest: int | None = None) -> DataFrame:
     """One row per key with a column per probability (default names ``p0``, ``p1``, ...).
     NULL values are ignored; a key whose values are all NULL does not appear; a NULL key is a group
-    like any other. ``adaptive=False`` cuts every group into blocks (for tests)."""
+    like any other. ``adaptive=False`` cuts every group into blocks (for tests); ``largest``: the rows of the largest key,
+    if they are known."""
     keys = list(keys)
     names = list(names or [f"p{i}" for i in range(len(probs))])
     d = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
@@ -46,7 +47,7 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[
         d = d.withColumn("_all", F.lit(0))
     c = d.groupBy(*kk, "_v").agg(F.count(F.lit(1)).alias("_c"))
     p = sequence_features(c, kk, ["_v"], {"_cum": ("running_sum", "_c"), "_n": ("key_sum", "_c")}, chunk_rows, adaptive,
-                          sizes=d.select(*kk))
+                          sizes=d.select(*kk), largest=largest)
     # written as SQL text: one parse per expression instead of dozens of py4j round trips
     out = _picked(p, kk, probs, names)
     return out.drop("_all") if not keys else out

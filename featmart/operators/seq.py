@@ -171,6 +171,19 @@ def large_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys)
 
 
+def largest_keys(parts: Mapping[str, tuple]) -> dict[str, int]:
+    """Rows of the largest key of several frames by one shuffled count. parts: name -> (frame, keys, weight): at most two
+    keys, a whole number and a text, either may be None; weight: a Column of row counts, or None for one a row."""
+    one = None
+    for name, (df, (number, text), weight) in parts.items():
+        d = df.select(F.lit(name).alias("_part"), (F.col(number) if number else F.lit(None)).cast("bigint").alias("_number"),
+                      (F.col(text) if isinstance(text, str) else F.lit(None) if text is None else text).cast("string").alias("_text"),
+                      (F.lit(1) if weight is None else weight).cast("bigint").alias("_w"))
+        one = d if one is None else one.unionByName(d)
+    n = one.groupBy("_part", "_number", "_text").agg(F.sum("_w").alias("n")).groupBy("_part").agg(F.max("n").alias("n"))
+    return {r["_part"]: r["n"] for r in n.collect()}                   # a row per part
+
+
 def _plain(df: DataFrame, keys: list[str], order: Sequence, features: Mapping[str, tuple]) -> DataFrame:
     by = [_ord(o) for o in order]
     exprs = _window_exprs(keys, by, features, None)
@@ -241,10 +254,12 @@ def _chunked(df: DataFrame, keys: list[str], order: Sequence, features: Mapping[
 
 
 def sequence_features(df: DataFrame, key: str | Sequence[str], order: Sequence, features: Mapping[str, tuple],
-                      chunk_rows: int | None = None, adaptive: bool = True, sizes: DataFrame | None = None) -> DataFrame:
+                      chunk_rows: int | None = None, adaptive: bool = True, sizes: DataFrame | None = None,
+                      largest: int | None = None) -> DataFrame:
     """Add order-aware features per key. Keys with more than ``chunk_rows`` rows (default
     ``CHUNK_ROWS``) are cut into blocks; ``adaptive=False`` cuts every key (for tests). ``sizes``: a
-    frame with the key columns and at least as many rows per key, if counting it is cheaper.
+    frame with the key columns and at least as many rows per key, if counting it is cheaper. ``largest``: the rows of the
+    largest key, where they have been counted before (``largest_keys``).
 
     features: name -> spec, where spec is one of
       ("diff", col[, fill])          x - previous x; first row of the key gets ``fill`` (W2)
@@ -262,6 +277,8 @@ def sequence_features(df: DataFrame, key: str | Sequence[str], order: Sequence,
     chunk_rows = chunk_rows or CHUNK_ROWS
     if not adaptive:
         return _chunked(df, keys, order, features, chunk_rows)
+    if largest is not None and largest <= chunk_rows:
+        return _plain(df, keys, order, features)
     hot = large_keys(df if sizes is None else sizes, keys, chunk_rows)
     if hot.isEmpty():
         return _plain(df, keys, order, features)
@@ -297,24 +314,27 @@ def flag_first_last_k(df: DataFrame, key: str, order: Sequence[str], first_k: in
     return s.drop("_cnt")
 
 
-def lookalike_clusters(df: DataFrame, attrs: Sequence[str], id_col: str) -> DataFrame:
+def lookalike_clusters(df: DataFrame, attrs: Sequence[str], id_col: str, counts: DataFrame | None = None, n_clusters: int | None = None) -> DataFrame:
     """Rows equal on ``attrs`` form a cluster when there are at least two of them.
 
     Cluster size comes from an aggregate + join (no window over a possibly hot attribute
-    combination). The cluster number is the group's rank by size (largest first), then attributes; the
-    group table is numbered by ``positions``, so it may be of any length."""
+    combination); ``counts`` (attrs, _n) if it is there already, with ``n_clusters`` rows of two or more. The cluster
+    number is the group's rank by size (largest first), then attributes; the group table is numbered by
+    ``positions``, so it may be of any length."""
     attrs = list(attrs)
-    sizes = df.groupBy(*attrs).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).withColumn("_one", F.lit(0))
-    ranked = positions(sizes, ["_one"], [F.desc("_n"), *[F.col(a).asc_nulls_last() for a in attrs]])
+    counts = df.groupBy(*attrs).agg(F.count(F.lit(1)).alias("_n")) if counts is None else counts
+    sizes = counts.filter(F.col("_n") > 1).withColumn("_one", F.lit(0))
+    parts = None if n_clusters is None else max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_clusters // ROWS_PER_RANGE_PARTITION))
+    ranked = positions(sizes, ["_one"], [F.desc("_n"), *[F.col(a).asc_nulls_last() for a in attrs]], parts)
     return null_safe_join(df, ranked.select(*attrs, F.col("_pos").alias("cluster"), F.col("_n").alias("cluster_size")), attrs, "left")
 
 
 def neighbour_labels(df: DataFrame, cluster: str, order: Sequence[str], label: str,
-                     chunk_rows: int | None = None, adaptive: bool = True) -> DataFrame:
+                     chunk_rows: int | None = None, adaptive: bool = True, largest: int | None = None) -> DataFrame:
     """Next / previous label inside a cluster ordered by ``order``, in one pass; NULL outside clusters
     (W9). The neighbour's label is a leak-prone feature: it reads another entity's target."""
     inside = df.filter(F.col(cluster).isNotNull())
     none = F.lit(None).cast(df.schema[label].dataType)
     outside = df.filter(F.col(cluster).isNull()).withColumns({"prev_label": none, "next_label": none})
-    both = sequence_features(inside, cluster, order, {"prev_label": ("lag", label, 1), "next_label": ("lead", label, 1)}, chunk_rows, adaptive)
+    both = sequence_features(inside, cluster, order, {"prev_label": ("lag", label, 1), "next_label": ("lead", label, 1)}, chunk_rows, adaptive, largest=largest)
     return both.unionByName(outside)

@@ -83,14 +83,19 @@ ORDER_ORDER = ["o_orderdate", "o_orderkey"]
 REF_DATE = "2001-01-01"
 
 
-def mart_base(customer: DataFrame, nation: DataFrame) -> DataFrame:
+def mart_base(customer: DataFrame, nation: DataFrame, largest: int | None = None, rows: DataFrame | None = None, extra: Sequence[str] = ()) -> DataFrame:
     """Customer + nation name; balance relative to the median of its (nation, segment) and
     of its segment (attached via aggregate + join); segment one-hot with a missing column;
-    guarded log1p; row statistics."""
-    c = customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
-    # the medians read the customer columns alone; names come last
-    ns = Q.median_by(c, ["c_nationkey", "c_mktsegment"], "c_acctbal", "med_ns")
-    s = Q.median_by(c, ["c_mktsegment"], "c_acctbal", "med_s")
+    guarded log1p; row statistics. ``rows``: the customers with the further columns ``extra``, to be kept."""
+    from featmart.session import cut_lineage
+    c = (customer if rows is None else rows).select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment", *extra)
+    # both medians by one ranking: a row counts for its (nation, segment) and for its segment
+    none = F.lit(None).cast(c.schema["c_nationkey"].dataType)
+    sets = F.array(F.struct(F.lit(0).alias("s"), F.col("c_nationkey").alias("n")), F.struct(F.lit(1).alias("s"), none.alias("n")))
+    both = customer.select("c_mktsegment", "c_acctbal", F.explode(sets).alias("g")).select("g.s", "g.n", "c_mktsegment", "c_acctbal")
+    m = cut_lineage(Q.percentiles(both, ["s", "n", "c_mktsegment"], "c_acctbal", [0.5], names=["med"], largest=largest))
+    ns = m.where("s = 0").select(F.col("n").alias("c_nationkey"), "c_mktsegment", F.col("med").alias("med_ns"))
+    s = m.where("s = 1").select("c_mktsegment", F.col("med").alias("med_s"))
     c = c.join(ns, ["c_nationkey", "c_mktsegment"], "left").join(s, ["c_mktsegment"], "left")
     c = c.join(nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey", "left")
     c, _ = EN.one_hot_apply(c, {"c_mktsegment": SEGMENTS}, dummy_na=True, drop_source=False)
@@ -101,7 +106,7 @@ def mart_base(customer: DataFrame, nation: DataFrame) -> DataFrame:
         *[F.col(f"c_mktsegment_{s}").alias(f"seg_{s.lower()}") for s in SEGMENTS],
         F.col("c_mktsegment_nan").alias("seg_nan"),
         log1p_guarded("c_acctbal").alias("log_bal"),
-        X.row_mean(parts).alias("row_mean"), X.row_max(parts).alias("row_max"), X.row_std(parts).alias("row_std"))
+        X.row_mean(parts).alias("row_mean"), X.row_max(parts).alias("row_max"), X.row_std(parts).alias("row_std"), *extra)
 
 
 # ---------------------------------------------------------------------------- per-order stage
@@ -119,7 +124,7 @@ _D5_SEQ = {"due_diff": ("diff", "due", 0.0), "paid_run": ("running_sum", "paid")
 
 
 def order_level(orders: DataFrame, lineitem: DataFrame, parts: Sequence[str] = ("external", "monthly", "instalments"),
-                chunk_rows: int | None = SEQ_CHUNK_ROWS, adaptive: bool = True) -> DataFrame:
+                chunk_rows: int | None = SEQ_CHUNK_ROWS, adaptive: bool = True, largest: int | None = None) -> DataFrame:
     """One row per order (with its customer and status) holding the order-level columns of the
     requested marts: 'external' (D2: line count, return-flag counts and shares), 'monthly' (D4:
     quantity range, counts per line status, returned-and-closed flag), 'instalments' (D5: lines
@@ -139,7 +144,7 @@ def order_level(orders: DataFrame, lineitem: DataFrame, parts: Sequence[str] = (
                            ("ret_closed", ["max"],
                             "CAST(coalesce(l_returnflag = 'R' AND l_linestatus = 'F', false) AS INT)")]).columns()
     if "instalments" in parts:
-        li = S.sequence_features(li, "l_orderkey", LINE_ORDER, _D5_SEQ, chunk_rows=chunk_rows, adaptive=adaptive)
+        li = S.sequence_features(li, "l_orderkey", LINE_ORDER, _D5_SEQ, chunk_rows=chunk_rows, adaptive=adaptive, largest=largest)
         li = li.withColumn("ratio", safe_div("paid", "due")).withColumn(
             "late", flag(F.datediff("l_shipdate", "prev_ship") > 30))
         aggs += [F.avg("ratio").alias("ratio_mean"), F.sum("due_diff").alias("diff_sum"),
@@ -167,9 +172,9 @@ def order_customer_exprs(parts: Sequence[str] = ("external", "monthly", "instalm
 
 
 def orders_marts(orders: DataFrame, lineitem: DataFrame, parts: Sequence[str] = ("external", "monthly", "instalments"),
-                 chunk_rows: int | None = SEQ_CHUNK_ROWS, adaptive: bool = True) -> DataFrame:
+                 chunk_rows: int | None = SEQ_CHUNK_ROWS, adaptive: bool = True, largest: int | None = None) -> DataFrame:
     """D2 + D4 + D5 (any subset) per customer: one lineitem pass, one customer group-by."""
-    per_o = order_level(orders, lineitem, parts, chunk_rows, adaptive).filter(F.col("c_custkey").isNotNull())
+    per_o = order_level(orders, lineitem, parts, chunk_rows, adaptive, largest).filter(F.col("c_custkey").isNotNull())
     return per_o.groupBy("c_custkey").agg(*order_customer_exprs(parts))
 
 
@@ -222,11 +227,11 @@ def mart_orders(orders: DataFrame) -> DataFrame:
     return _d3_finish(g)
 
 
-def mart_series(events: DataFrame, chunk_rows: int | None = SEQ_CHUNK_ROWS) -> DataFrame:
+def mart_series(events: DataFrame, chunk_rows: int | None = SEQ_CHUNK_ROWS, largest: int | None = None) -> DataFrame:
     """Per user: % events under a value limit, ratio of sums for one event type, max over a
     limit, distinct types, count of increases along time."""
     e = events.select("event_id", F.col("user_id").alias("c_custkey"), "ts", "event_type", "value")
-    s = S.sequence_features(e, "c_custkey", ["ts", "event_id"], {"up": ("increase", "value")}, chunk_rows=chunk_rows)
+    s = S.sequence_features(e, "c_custkey", ["ts", "event_id"], {"up": ("increase", "value")}, chunk_rows=chunk_rows, largest=largest)
     return s.groupBy("c_custkey").agg(
         (F.avg(flag(F.col("value") < 50)) * 100.0).alias("ser_pct_under_50"),
         (safe_div(F.sum(F.when(F.col("event_type") == "purchase", F.col("value"))), F.sum("value")) * 100.0)
@@ -236,12 +241,12 @@ def mart_series(events: DataFrame, chunk_rows: int | None = SEQ_CHUNK_ROWS) -> D
         F.sum("up").alias("ser_n_up"))
 
 
-def _slices_input(orders: DataFrame, chunk_rows: int | None, alpha: float) -> DataFrame:
+def _slices_input(orders: DataFrame, chunk_rows: int | None, alpha: float, largest: int | None = None) -> DataFrame:
     o = orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_orderdate", "o_totalprice",
                       "o_orderstatus", "o_orderpriority").filter(F.col("c_custkey").isNotNull())
     return S.sequence_features(o, "c_custkey", ORDER_ORDER,
                                {"rn": ("row_number",), "_cnt": ("key_count",), "ewm": ("ewm", "o_totalprice", alpha)},
-                               chunk_rows=chunk_rows)
+                               chunk_rows=chunk_rows, largest=largest)
 
 
 def _slices_exprs() -> list[Column]:
@@ -264,33 +269,58 @@ def mart_slices(orders: DataFrame, chunk_rows: int | None = SEQ_CHUNK_ROWS, alph
     return _slices_input(orders, chunk_rows, alpha).groupBy("c_custkey").agg(*_slices_exprs())
 
 
-def orders_slices_marts(orders: DataFrame, chunk_rows: int | None = SEQ_CHUNK_ROWS, alpha: float = 0.7) -> DataFrame:
+def orders_slices_marts(orders: DataFrame, chunk_rows: int | None = SEQ_CHUNK_ROWS, alpha: float = 0.7, largest: int | None = None) -> DataFrame:
     """D3 + D7 per customer from one orders window (partitioned by customer) and one group-by on
     the same key (no second exchange)."""
-    g = _slices_input(orders, chunk_rows, alpha).groupBy("c_custkey").agg(*_d3_exprs(), *_slices_exprs())
+    g = _slices_input(orders, chunk_rows, alpha, largest).groupBy("c_custkey").agg(*_d3_exprs(), *_slices_exprs())
     return _d3_finish(g)
 
 
-def mart_neighbours(customer: DataFrame) -> DataFrame:  # noqa: D401
-    """Customers alike on (nation, segment, balance bucket): previous / next label."""
-    c = customer.select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal",
-                        F.floor(F.abs("c_acctbal") / 2500).alias("bal_bucket"),
-                        (F.col("c_acctbal") < 0).cast("int").alias("label"))
-    cl = S.lookalike_clusters(c, ["c_nationkey", "c_mktsegment", "bal_bucket"], "c_custkey")
+_ALIKE = ["c_nationkey", "c_mktsegment", "bal_bucket"]
+
+
+def _bucketed(customer: DataFrame) -> DataFrame:
+    return customer.withColumns({"bal_bucket": F.floor(F.abs("c_acctbal") / 2500), "label": (F.col("c_acctbal") < 0).cast("int")})
+
+
+def with_neighbours(customer: DataFrame, counts: DataFrame | None = None, n_clusters: int | None = None, largest: int | None = None) -> DataFrame:
+    """The customers with their cluster's size and the previous / next label in it."""
+    cl = S.lookalike_clusters(_bucketed(customer), _ALIKE, "c_custkey", counts, n_clusters)
     # a group of copies can hold a large share of all rows: chunked plan
-    nb = S.neighbour_labels(cl, "cluster", ["c_acctbal", "c_custkey"], "label", chunk_rows=SEQ_CHUNK_ROWS)
-    return nb.select("c_custkey", F.col("cluster_size").alias("nb_cluster_size"),
+    nb = S.neighbour_labels(cl, "cluster", ["c_acctbal", "c_custkey"], "label", chunk_rows=SEQ_CHUNK_ROWS, largest=largest)
+    return nb.select(*customer.columns, F.col("cluster_size").alias("nb_cluster_size"),
                      F.col("prev_label").alias("nb_prev_label"), F.col("next_label").alias("nb_next_label"))
 
 
+_NB = ["nb_cluster_size", "nb_prev_label", "nb_next_label"]
+
+
+def mart_neighbours(customer: DataFrame) -> DataFrame:  # noqa: D401
+    """Customers alike on (nation, segment, balance bucket): previous / next label."""
+    c = customer.select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
+    return with_neighbours(c).select("c_custkey", *_NB)
+
+
 def final_marts(customer: DataFrame, nation: DataFrame, orders: DataFrame, lineitem: DataFrame,
                 events: DataFrame) -> DataFrame:
     """D11 over D1-D8 with shared stages: one lineitem plan serves D2 + D4 + D5, one orders window
-    D3 + D7, one events window D6 (beside each, a count of the key column finds large keys); everything
-    is then keyed by the customer and star-joined onto the base mart (D1)."""
-    marts = [orders_marts(orders, lineitem), orders_slices_marts(orders), mart_series(events),
-             mart_neighbours(customer)]
-    return mart_final(marts, mart_base(customer, nation))
+    D3 + D7, one events window D6, one customer window D8 below D1; everything is then keyed by the customer and
+    star-joined onto the base mart (D1).
+
+    Before the plan runs there are three steps: the customers counted by what makes them alike; one count that finds
+    the largest key of every window of the plan; the medians of D1."""
+    from featmart.session import cut_lineage
+    c = customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    alike = cut_lineage(_bucketed(c).groupBy(*_ALIKE).agg(F.count(F.lit(1)).alias("_n")))
+    n = F.col("_n")
+    group = F.concat_ws("|", "c_mktsegment", "bal_bucket", F.col("c_mktsegment").isNull().cast("string"))
+    top = S.largest_keys({
+        "lines": (lineitem, ("l_orderkey", None), None), "orders": (orders, ("o_custkey", None), None), "events": (events, ("user_id", None), None),
+        "segment": (alike, (None, "c_mktsegment"), n), "cluster": (alike, ("c_nationkey", group), n), "clusters": (alike.where("_n > 1"), (None, None), None)})
+    base = mart_base(c, nation, top.get("segment", 0), with_neighbours(c, alike, top.get("clusters", 0), top.get("cluster", 0)), _NB)
+    marts = [orders_marts(orders, lineitem, largest=top.get("lines", 0)), orders_slices_marts(orders, largest=top.get("orders", 0)),
+             mart_series(events, largest=top.get("events", 0))]
+    return mart_final(marts, base)
 
 
 def mart_final(marts: list[DataFrame], base: DataFrame) -> DataFrame:
@@ -321,7 +351,7 @@ def binned_mart(features: DataFrame, label: str, keep: str = "both", iv_min: flo
     kinds = dict(data.dtypes)
     nums = [c for c in feats if c in varied and kinds[c] in ("double", "int", "bigint", "float")]
     cats = [c for c in feats if c in varied and kinds[c] == "string"] if keep != "numeric_binned" else []
-    bins = EN.optimal_bins(lab, label, nums, cats, prebins, min_share)
+    bins = EN.optimal_bins(lab, label, nums, cats, prebins, min_share, written=True)
     iv = {r["feature"]: r["iv"] for r in bins.table.groupBy("feature").agg(F.sum("iv").alias("iv")).collect()}
     binned = EN.binned_apply(data.select("c_custkey", label, *nums, *cats), bins, missing_value=missing_value)
     passing = [c for c in [*nums, *cats] if iv.get(c, 0.0) >= iv_min]

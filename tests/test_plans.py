@@ -3,6 +3,8 @@ the hot path of the flagship."""
 
 import os
 
+from pyspark.sql import functions as F
+
 from featmart.plans.catalog import RAW
 
 SF = os.environ.get("FEATMART_TEST_SF", "/root/testdata/sf0.001")
@@ -63,6 +65,38 @@ def test_sequence_and_quantile_plans(spark):
     assert "rangepartitioning" not in med          # nothing is sorted as a whole
 
 
+def _jobs(spark, name, run):
+    sc = spark.sparkContext
+    sc.setJobGroup(name, name)
+    try:
+        out = run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    return len(sc.statusTracker().getJobIdsForGroup(name)), out
+
+
+def test_final_mart_starts_few_jobs_and_scans_little(spark):
+    from featmart.plans import marts as M
+    from featmart.sources import load
+    tables = [load(spark, SF, t) for t in ("customer", "nation", "orders", "lineitem", "events")]
+    jobs, df = _jobs(spark, "final-mart", lambda: M.final_marts(*tables))
+    assert jobs <= 12
+    plan = _plan(df)
+    # one scan of the customers for D1 and D8; before the plan the counts and the medians read them once each
+    assert _scans(plan, "c_custkey") <= 2 and _scans(plan, "o_orderkey") <= 2 and _scans(plan, "l_linenumber") == 1
+
+
+def test_optimal_bins_write_their_input_once(spark, monkeypatch):
+    import featmart.session as session
+    from featmart.operators import encode as EN
+    cols = [f"x{i}" for i in range(12)]
+    df = spark.range(500).select(*[(F.col("id") * (i + 3) % 101).cast("double").alias(c) for i, c in enumerate(cols)], (F.col("id") % 3 == 0).cast("int").alias("y"))
+    seen, cut = [], session.cut_lineage
+    monkeypatch.setattr(session, "cut_lineage", lambda d: seen.append(d.columns) or cut(d))
+    jobs, _ = _jobs(spark, "bins", lambda: EN.optimal_bins(df, "y", cols))
+    assert [c for c in seen if {*cols} <= {*c}] == [["_y", *cols]] and jobs <= 25
+
+
 def test_hot_value_does_not_fill_a_partition(spark):
     """90 % equal values: what is ranked is a row per distinct value."""
     from pyspark.sql import functions as F
