@@ -2,12 +2,14 @@
 
 Words are runs of ASCII letters and digits (A-Z lower-cased) and of any non-ASCII character. A test
 item of at least ``n`` words has a window at every offset; a shorter one, but not an empty one, is a
-window as a whole. ``build_index`` counts every test term in the whole training corpus, picks for each
-window its ``lists`` rarest terms, and stores the training postings (term, document, position) of those
-terms in the shared folder. ``phrase_matches`` intersects the offset-adjusted lists from the rarest term
-on and compares the survivors with the document's words; ``proximity_matches`` asks only that the listed
-terms lie within ``slop`` words of their places. ``decontaminate`` reduces the phrase matches to a row
-per document.
+window as a whole. ``build_index`` counts every test term in the whole training corpus, ranks each window's
+words from the rarest on, and stores the training postings (term, document, position) of the first ``near_lists``
+in the shared folder. Phrase candidates: the offset-adjusted lists of the ``lists`` rarest, intersected. Proximity
+candidates: with one of the listed words in place, ``share`` of the window's words must lie at most ``slop`` words from
+their places; as at most the rest may be missing, two of the listed words must lie on nearly the same diagonal
+(document position less test position), so hits are counted by diagonal, per test item, before a window
+is looked at. ``matches`` compares both kinds with the document's words, so both are exact; ``decontaminate``
+reduces them to a row per document.
 
 A document's row key is a 128-bit hash of id and text, so null ids, repeated ids and repeated rows are
 all right: equal rows share a key and get the same result. A null or empty text has no words. A window
@@ -17,6 +19,7 @@ the empty string. Empty tables give no matches. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +29,9 @@ from featmart.llm.common import ascii_lower, materialise, small
 
 WINDOW_WORDS = 10
 LISTS = 2
+NEAR_LISTS = 4
+SHARE = 0.8
+SLOP = 2
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _DOC = ["k1", "k2"]
 
@@ -46,20 +52,23 @@ class Index:
     """The written tables of one benchmark over one corpus."""
     windows: DataFrame    # wid, win (array), len
     items: DataFrame      # wid, item
-    lists: DataFrame      # wid, len, r (1: rarest), term, off
+    lists: DataFrame      # wid, len, r (1: rarest), term, off: of windows all of whose words the corpus has
+    near: DataFrame       # wid, term, off: the near_lists rarest words of every window
+    spots: DataFrame      # term, row, at, alone: where those words stand in the test items
     postings: DataFrame   # term, k1, k2, pos
 
 
-def test_windows(bench: DataFrame, item_col: str, text_col: str, n: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct windows (wid, win, len) and their items (wid, item)."""
+def test_windows(bench: DataFrame, item_col: str, text_col: str, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct windows (wid, win, len), their items (wid, item), and their places (wid, row, at) in the test rows."""
     w = F.col("w")
-    each = bench.select(F.col(item_col).alias("item"), words(F.col(text_col)).alias("w")).where(F.size(w) > 0).select(
-        "item", F.explode(F.when(F.size(w) < n, F.array(w)).otherwise(
-            F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.slice(w, i + 1, n)))).alias("win"))
+    rows = bench.select(F.col(item_col).alias("item"), words(F.col(text_col)).alias("w")).where(F.size(w) > 0)
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "test-rows")
+    each = rows.select("item", "row", F.posexplode(F.when(F.size(w) < n, F.array(w)).otherwise(
+        F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.slice(w, i + 1, n)))).alias("at", "win"))
     wins = materialise(each.select("win").distinct().select(
         F.monotonically_increasing_id().alias("wid"), "win", F.size("win").alias("len")), "windows")
-    items = materialise(each.join(wins, "win").select("wid", "item").distinct(), "window-items")
-    return wins, items
+    places = materialise(each.join(wins, "win").select("wid", "item", "row", "at"), "window-places")
+    return wins, materialise(places.select("wid", "item").distinct(), "window-items"), places.select("wid", "row", "at")
 
 
 def doc_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -67,9 +76,9 @@ def doc_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return doc_keys(docs, id_col, text_col, F.posexplode(words(F.col(text_col))).alias("pos", "term"))
 
 
-def build_index(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                item_col: str = "item_id", item_text: str = "text", n: int = WINDOW_WORDS, lists: int = LISTS) -> Index:
-    wins, items = test_windows(bench, item_col, item_text, n)
+def build_index(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+                item_text: str = "text", n: int = WINDOW_WORDS, lists: int = LISTS, near_lists: int = NEAR_LISTS) -> Index:
+    wins, items, places = test_windows(bench, item_col, item_text, n)
     entries = wins.select("wid", "len", F.posexplode("win").alias("off", "term"))
     terms = materialise(entries.select("term").distinct(), "terms")
     counts = materialise(doc_words(docs, id_col, text_col).join(small(terms), "term").groupBy("term").agg(
@@ -77,14 +86,19 @@ def build_index(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_
     ranked = entries.join(counts, "term", "left").withColumn("cf", F.coalesce("cf", F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("wid").orderBy("cf", "off"))
     rarest = F.min("cf").over(Window.partitionBy("wid"))
-    picked = ranked.select("*", rank.alias("r"), rarest.alias("least")).where((F.col("least") > 0) & (F.col("r") <= lists))
+    ranked = materialise(ranked.select("wid", "len", "off", "term", "cf", rank.alias("r"), rarest.alias("least")).where(
+        F.col("r") <= max(lists, near_lists)), "ranked")
+    picked = ranked.where((F.col("least") > 0) & (F.col("r") <= lists))
     # a window of fewer words than lists repeats its last one
     fill = F.explode(F.when(F.col("r") == F.least("len", F.lit(lists)), F.sequence(F.col("r"), F.lit(lists)))
                      .otherwise(F.array("r")))
     chosen = materialise(picked.select("wid", "len", "term", "off", fill.alias("r")), "lists")
-    used = materialise(chosen.select("term").distinct(), "used-terms")
+    near = ranked.where((F.col("r") <= near_lists) & (F.col("cf") > 0)).select("wid", "len", "term", "off")
+    spots = materialise(near.join(places, "wid").groupBy("term", "row", (F.col("at") + F.col("off")).alias("at")).agg(
+        F.min(F.col("len") == 1).alias("alone")), "spots")
+    used = materialise(ranked.where("cf > 0").select("term").distinct(), "used-terms")
     posts = materialise(doc_words(docs, id_col, text_col).join(small(used), "term").select("term", *_DOC, "pos"), "postings")
-    return Index(wins, items, chosen, posts)
+    return Index(wins, items, chosen, near.select("wid", "term", "off"), spots, posts)
 
 
 def _rarest(ix: Index) -> DataFrame:
@@ -102,35 +116,59 @@ def _intersected(ix: Index, lists: int) -> DataFrame:
     return found
 
 
-def phrase_matches(docs: DataFrame, ix: Index, id_col: str = "doc_id", text_col: str = "text", lists: int = LISTS) -> DataFrame:
-    """Exact matches (k1, k2, wid, start, len): the window's words stand at ``start`` of the document."""
-    cand = materialise(_intersected(ix, lists).distinct(), "candidates")
-    per_doc = materialise(cand.groupBy(*_DOC).agg(F.collect_list(F.struct("wid", "start", "len")).alias("c")), "per-doc")
+def _near_candidates(ix: Index, slop: int) -> DataFrame:
+    """Places (k1, k2, wid, start) that one of a window's listed words allows, where another listed word of the same test
+    row lies near its diagonal."""
+    spots = small(ix.spots)
+    wide = 2 * slop + 1
+    hits = ix.postings.join(spots, "term").select(*_DOC, "term", "row", "at", "alone", "pos", (F.col("pos") - F.col("at")).alias("d"))
+    # any two diagonals at most 2 * slop apart share one of their two buckets
+    first = F.floor(F.col("d") / wide).cast("int")
+    dealt = hits.withColumn("bucket", F.explode(F.array(first, first + 1)))
+    key = [*_DOC, "row", "bucket"]
+    dense = dealt.groupBy(*key).agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.max("alone").alias("alone")).where("lo < hi OR alone")
+    dense = materialise(dense.select(*_DOC, "row").distinct(), "dense")
+    kept = hits.join(small(dense), [*_DOC, "row"], "left_semi").select(*_DOC, "term", "pos").distinct()
+    listed = small(materialise(ix.near, "near-lists"))
+    return kept.join(listed, "term").select(*_DOC, "wid", (F.col("pos") - F.col("off")).alias("start")).distinct()
+
+
+def matches(docs: DataFrame, ix: Index, id_col: str = "doc_id", text_col: str = "text", lists: int = LISTS, share: float = SHARE,
+            slop: int = SLOP) -> DataFrame:
+    """Matches (k1, k2, wid, start, len, exact, in_place): the window's words stand at ``start`` of the document (exact), or
+    ``in_place`` of them, at least ``share``, lie at most ``slop`` words from their places."""
+    phrases = _intersected(ix, lists).select(*_DOC, "wid", "start")
+    cand = materialise(phrases.unionByName(_near_candidates(ix, slop)).distinct(), "candidates")
+    per_doc = materialise(cand.groupBy(*_DOC).agg(F.collect_list(F.struct("wid", "start")).alias("c")), "per-doc")
     have = doc_keys(docs, id_col, text_col, F.col(text_col).alias("t")).join(small(per_doc.select(*_DOC)), _DOC, "left_semi")
     texts = have.dropDuplicates(_DOC).select(*_DOC, words(F.col("t")).alias("w"))
-    read = texts.join(per_doc, _DOC).select(*_DOC, "w", F.explode("c").alias("c")).select(
-        *_DOC, "c.wid", "c.start", "c.len", F.slice("w", F.col("c.start") + 1, F.col("c.len")).alias("win"))
-    return read.join(small(ix.windows.select("wid", "win")), ["wid", "win"], "left_semi").select(*_DOC, "wid", "start", "len")
+    # the words round a place; ``pad`` of them are missing where it hangs over the text's start
+    start, reach = F.col("c.start") - slop, _longest(ix) + 2 * slop
+    here = texts.join(per_doc, _DOC).select(*_DOC, F.size("w").alias("size"), "w", F.explode("c").alias("c")).select(
+        *_DOC, "c.wid", "c.start", F.greatest(F.lit(0), -start).alias("pad"), F.slice("w", F.greatest(F.lit(1), start + 1), F.greatest(F.lit(0), F.least(F.col("size"), start + reach) - F.greatest(F.lit(0), start))).alias("part"))
+    read = here.join(small(ix.windows), "wid")
+    # word i of the window is looked for among the 2 * slop + 1 words round its place
+    found = F.expr(f"""size(filter(sequence(0, len - 1), i -> array_contains(
+        slice(part, greatest(1, i - pad + 1), greatest(0, i - pad + {2 * slop + 1} - greatest(0, i - pad))), win[i])))""")
+    exact = F.expr(f"slice(part, greatest(1, {slop} - pad + 1), len) = win AND pad <= {slop}")
+    out = read.select(*_DOC, "wid", "start", "len", exact.alias("exact"), found.alias("in_place"))
+    return out.where(F.col("exact") | (F.col("in_place") >= F.ceil(F.col("len") * share)))
 
 
-def proximity_matches(ix: Index, slop: int, lists: int = LISTS) -> DataFrame:
-    """Places (k1, k2, wid, start, spread) where every listed term of the window lies at most ``slop``
-    words from its place after the rarest one; ``spread`` is the largest such shift."""
-    found = _rarest(ix).withColumn("spread", F.lit(0))
-    for r in range(2, lists + 1):
-        nth = small(materialise(ix.lists.where(F.col("r") == r).select("wid", "term", "off"), "list"))
-        shift = F.abs(F.col("pos") - F.col("off") - F.col("start"))
-        found = (found.join(nth, "wid").join(ix.postings, ["term", *_DOC]).where(shift <= slop)
-                 .groupBy(*_DOC, "wid", "len", "start", "spread").agg(F.min(shift).alias("s"))
-                 .select(*_DOC, "wid", "len", "start", F.greatest("spread", "s").alias("spread")))
-    return found.select(*_DOC, "wid", "start", "spread")
+def _longest(ix: Index) -> int:
+    return ix.windows.agg(F.max("len")).first()[0] or 0            # one number
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text: str = "text", n: int = WINDOW_WORDS, lists: int = LISTS) -> DataFrame:
-    """One row (id, k1, k2, n_words, n_hit, n_items, items) per document row; ``items``: sorted id strings."""
-    ix = build_index(docs, bench, id_col, text_col, item_col, item_text, n, lists)
-    hits = materialise(phrase_matches(docs, ix, id_col, text_col, lists), "matches")
+                  item_col: str = "item_id", item_text: str = "text", n: int = WINDOW_WORDS, lists: int = LISTS,
+                  near_lists: int = NEAR_LISTS, share: float = SHARE, slop: int = SLOP) -> DataFrame:
+    """One row (id, k1, k2, n_words, n_hit, n_items, items, n_near) per document row; ``items``: sorted id strings of the items
+    with a phrase match; ``n_near``: items with a phrase or proximity match."""
+    if near_lists < n - math.ceil(share * n) + 2:
+        raise ValueError("near_lists must exceed the words that may be missing by two")
+    ix = build_index(docs, bench, id_col, text_col, item_col, item_text, n, lists, near_lists)
+    every = materialise(matches(docs, ix, id_col, text_col, lists, share, slop), "matches")
+    hits = every.where("exact")
     before = Window.partitionBy(*_DOC).orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("len")
     cover = hits.select(*_DOC, "start", "len").distinct().select(
@@ -139,8 +177,11 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     names = (hits.select(*_DOC, "wid").distinct().join(small(ix.items), "wid").select(*_DOC, "item").distinct()
              .groupBy(*_DOC).agg(F.count(F.lit(1)).alias("n_items"),
                                  F.array_sort(F.collect_list(F.coalesce(F.col("item").cast("string"), F.lit("")))).alias("items")))
+    near = (every.select(*_DOC, "wid").distinct().join(small(ix.items), "wid").select(*_DOC, "item").distinct()
+            .groupBy(*_DOC).agg(F.count(F.lit(1)).alias("n_near")))
     base = doc_keys(docs, id_col, text_col, F.col(id_col).alias("id"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
     zero = F.lit(0).cast("long")
-    return base.join(n_hit.join(names, _DOC), _DOC, "left").select(
+    found = materialise(near.join(n_hit.join(names, _DOC), _DOC, "left"), "found")
+    return base.join(small(found), _DOC, "left").select(
         "id", *_DOC, "n_words", F.coalesce("n_hit", zero).cast("long").alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("n_near", zero).alias("n_near"))

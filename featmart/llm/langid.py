@@ -6,11 +6,12 @@ pieces of ``PIECE`` characters, cut at a space where there is one.
 
 Fit: at most ``cap`` labelled rows per language (lowest id hashes) make the training sample, the only
 bounded part. Each language's vectors are clustered by spherical k-means into ``k`` centroids. The
-same rows' windows of 8, 16, ... letters give, for each power of two of the number of different grams,
-the cosine that almost all in-language texts of that size reach; ``MARGIN`` times it is the rejection floor.
+same rows' windows of 8, 16, ... letters give, for each language and each power of two of the number of different
+grams, the cosine that almost all of the language's texts of that size reach; ``MARGIN`` times it is the language's
+rejection floor at that size.
 
 Predict: language of the centroid with the highest cosine (ties: first in language order); ``score`` is
-that cosine, cut to 0..1; ``rejected`` if it lies below the floor for the text's size. A text that is
+that cosine, cut to 0..1; ``rejected`` if it lies below that language's floor for the text's size. A text that is
 null or has no letter is ``und``, score 0, rejected. If no row is labelled, every text is ``und``.
 Null ids and repeated rows are predicted like others. Extra columns are ignored.
 """
@@ -34,7 +35,7 @@ DIM = 1 << BITS
 PIECE = 1 << 20
 CENTROIDS = 3
 CAP = 400
-MARGIN = 0.5
+MARGIN = 0.55
 FLOOR_QUANTILE = 0.01
 _STEPS = 12
 _LOG = np.concatenate(([0.0], 1 + np.log(np.arange(1, 1 << 16)))).astype(np.float32)
@@ -76,7 +77,7 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _weigh(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = _LOG[np.minimum(n, len(_LOG) - 1)] * idf[at]
+    v = np.where(n < len(_LOG), _LOG[np.minimum(n, len(_LOG) - 1)], 1 + np.log(np.maximum(n, 1))).astype(np.float32) * idf[at]
     return v / np.sqrt(v @ v)
 
 
@@ -85,7 +86,7 @@ class Model:
     langs: list[str]          # per centroid
     centroids: np.ndarray     # DIM x centroids
     idf: np.ndarray
-    floors: np.ndarray        # by floor(log2(number of different grams))
+    floors: np.ndarray        # per centroid, by floor(log2(number of different grams))
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         at, n = grams(text)
@@ -94,7 +95,7 @@ class Model:
         cos = _weigh(at, n, self.idf) @ self.centroids[at]
         best = int(np.argmax(cos))
         score = float(min(1.0, max(0.0, cos[best])))
-        return self.langs[best], score, bool(score < self.floors[len(at).bit_length() - 1])
+        return self.langs[best], score, bool(score < self.floors[best, len(at).bit_length() - 1])
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -171,14 +172,14 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     found = sorted(examples.groupBy("lang").applyInPandas(learn, "lang string, c array<float>, floors array<double>").collect(),
                    key=lambda r: r["lang"])
     if not found:
-        return Model([], np.zeros((DIM, 0), np.float32), idf, np.zeros(1))
-    seen = np.array([r["floors"] for r in found])
-    floors, last = [], 0.0
-    for b in range(32):
-        here = seen[:, b][seen[:, b] >= 0]
-        last = float(here.min()) * MARGIN if len(here) else last     # a length that no example has: as the next shorter
-        floors.append(last)
-    return Model([r["lang"] for r in found], np.array([r["c"] for r in found], np.float32).T.copy(), idf, np.array(floors))
+        return Model([], np.zeros((DIM, 0), np.float32), idf, np.zeros((0, 32)))
+    floors = np.zeros((len(found), 32))
+    for i, r in enumerate(found):
+        last = 0.0
+        for b, reached in enumerate(r["floors"]):
+            last = reached * MARGIN if reached >= 0 else last     # a size that no example has: as the next smaller
+            floors[i, b] = last
+    return Model([r["lang"] for r in found], np.array([r["c"] for r in found], np.float32).T.copy(), idf, floors)
 
 
 def accepted(rows: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -2,14 +2,20 @@
 
 A cue (license, copyright, permission, ...) opens a candidate block: the text around it up to ``REACH``
 characters on either side, cut at white space; overlapping blocks are one. A block is compressed alone
-and with each template as a zstandard raw dictionary; what the dictionary saves, as a share of what the
-template itself takes compressed, ranks the templates. Those from ``GAIN`` on are the winners that go on to
-the check of their exact wording: the template's words are aligned with the block's words (letters and
-digits, any case), and the differences are counted, words missing and words added inside the match. A
+and with each template as a zstandard raw dictionary; the bytes that the dictionary saves rank the templates, and those
+that save ``GAIN`` of what the template itself takes compressed are the winners. From the highest rank on a winner is
+confirmed by its exact wording: the place in the block where the template's words (letters and digits, any case)
+differ least, counting words missing and words added inside the match, by dynamic programming over the words. A
 match may differ by ``DIFFER`` of the template's words at most, from ``SHORT`` words on by one at least, and
 never in a word that tells licenses apart: one with a digit (a version) or of ``TELLING``, missing or added.
-Templates of which such a word is not in the block are passed over. Of rival matches the one with more words the same, each difference
-counting against two, is confirmed first; its words do not count again, and the next wording is looked for.
+Templates of which such a word is not in the block are passed over. A name of fewer than ``TINY`` characters (GPLv2, MIT
+License) is too short for a dictionary to save anything; where its words are there, it is ranked behind the others by
+what little it saves, and confirmed by its exact wording alone. The words of a confirmed match do not count again;
+the same template is looked for once more in the rest, then the next one. Of wordings of one license that match as many
+words at a place, the one with the fewest differences counts.
+
+After an ``SPDX-License-Identifier:`` a whole expression may stand: ids joined by AND and OR, in brackets, with a + or
+an exception behind WITH. It is read first; every known id in it is a match of its own, with the ``expression``.
 
 Every block of every whole text is scanned; a text without a cue has no block. Blocks that grow beyond
 ``BLOCK`` characters are scanned in pieces that overlap by more than the longest template. A null text
@@ -19,9 +25,9 @@ counts as empty. Null ids, repeated rows and extra columns pass; a document with
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -34,6 +40,7 @@ BLOCK = 8_000
 GAIN = 0.1
 DIFFER = 0.1
 SHORT = 5
+TINY = 24
 LEVEL = 9
 
 # fixed values: license statements and notices, by name
@@ -127,16 +134,36 @@ for _name, _forms in {
 _more("MIT", "Distributed under the MIT License.")
 _more("BSD-2-Clause", "BSD-2-Clause")
 _more("BSD-3-Clause", "BSD-3-Clause")
+# titles and names as they stand alone
+for _name, _forms in {
+    "MIT": ["MIT License"], "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0"], "ISC": ["ISC License"], "Zlib": ["zlib License"],
+    "MPL-2.0": ["Mozilla Public License Version 2.0", "Mozilla Public License 2.0", "MPL 2.0"], "BSL-1.0": ["Boost Software License 1.0", "Boost Software License Version 1.0"],
+    "BSD-2-Clause": ["BSD 2-Clause", "Simplified BSD License"], "BSD-3-Clause": ["BSD 3-Clause", "New BSD License"], "BSD": ["BSD License"],
+    "EPL-2.0": ["Eclipse Public License 2.0"], "EPL-1.0": ["Eclipse Public License 1.0"], "Unlicense": ["The Unlicense"],
+    "GPL-2.0": ["GNU General Public License Version 2", "GPLv2", "GPL v2", "GPL version 2"], "GPL-3.0": ["GNU General Public License Version 3", "GPLv3", "GPL v3", "GPL version 3"],
+    "LGPL-2.1": ["GNU Lesser General Public License Version 2.1", "LGPLv2.1", "LGPL v2.1"], "LGPL-3.0": ["GNU Lesser General Public License Version 3", "LGPLv3", "LGPL v3"],
+    "AGPL-3.0": ["GNU Affero General Public License Version 3", "AGPLv3", "AGPL v3"],
+    "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal"], "0BSD": ["0BSD", "BSD Zero Clause License", "Zero-Clause BSD License"],
+    "WTFPL": ["WTFPL", "Do What The Fuck You Want To Public License"],
+    "CC-BY-4.0": ["Creative Commons Attribution 4.0 International"], "CC-BY-SA-4.0": ["Creative Commons Attribution-ShareAlike 4.0 International"],
+    "CC-BY-NC-4.0": ["Creative Commons Attribution-NonCommercial 4.0 International"],
+}.items():
+    _more(_name, *_forms)
+_IDS: dict[str, str] = {}          # SPDX id in lower case -> name
 for _name in [n for n in TEMPLATES if n not in ("BSD", "reserved")]:
     _ids = [_name, f"{_name}-only", f"{_name}-or-later"] if "GPL" in _name else [_name]
+    _IDS |= {i.lower(): _name for i in _ids}
     _more(_name, *[f"SPDX-License-Identifier: {i}" for i in _ids])
 
 # words that tell licenses apart: none may be missing; none but the everyday ones may be added
 _EVERYDAY = {"by", "only", "later", "clause", "development", "distribution"}
 TELLING = _EVERYDAY | {
     "apache", "bsd", "mit", "gnu", "gpl", "lgpl", "agpl", "affero", "lesser", "cc", "nc", "sa", "nd", "creative", "commons", "attribution",
-    "noncommercial", "sharealike", "noderivatives", "noderivs", "isc", "mozilla", "mpl", "zlib", "boost", "bsl", "eclipse", "epl", "cddl", "unlicense"}
-_CUE = re.compile(r"licen[sc]|\bbsd-\d-clause\b|copyright|rights reserved|permission|redistribut|public domain|creative commons|\bcc[ -]by\b|free software", re.I)
+    "noncommercial", "sharealike", "noderivatives", "noderivs", "isc", "mozilla", "mpl", "zlib", "boost", "bsl", "eclipse", "epl", "cddl", "unlicense", "wtfpl"}
+_CUE = re.compile(r"licen[sc]|\bbsd-\d-clause\b|copyright|rights reserved|permission|redistribut|public domain|creative commons|\bcc[ -]by\b|free software"
+                  r"|\b[al]?gpl|\bcc0\b|\b0bsd\b|\bwtfpl\b|fuck you want|\bapache[ -]2|\bmpl[ -]2|\bbsd (?:zero|[23])", re.I)
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*", re.I)
+_PART = re.compile(r"[ \t]*(?:([()])|([A-Za-z0-9][A-Za-z0-9.\-]*)(\+?))")
 _WORD = re.compile(r"[A-Za-z0-9]+")
 
 
@@ -156,7 +183,8 @@ def _limit(n: int) -> float:
 
 @cache
 def _templates():
-    """(name, words, compressor with the template as dictionary, compressed size of the template, telling words)."""
+    """(name, words, compressor with the template as dictionary, compressed size of the template, telling words, whether it is a
+    short name)."""
     plain = zstandard.ZstdCompressor(level=LEVEL)
     frame = len(plain.compress(b""))
     out = []
@@ -165,7 +193,7 @@ def _templates():
             d = zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             words = [w.lower() for w in _WORD.findall(t)]
             out.append((name, words, zstandard.ZstdCompressor(level=LEVEL, dict_data=d),
-                        len(plain.compress(t.lower().encode())) - frame, _telling(words)))
+                        len(plain.compress(t.lower().encode())) - frame, _telling(words), len(t) < TINY))
     return plain, out
 
 
@@ -185,29 +213,75 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _align(template: list[str], words: list[str], used: list[bool]) -> tuple[int, int, int, int] | None:
-    """(first, last + 1, missing, added) of the template's best place among the unused words."""
-    m = SequenceMatcher(None, [None if u else w for w, u in zip(words, used)], template, autojunk=False)
-    hits = [x for x in m.get_matching_blocks() if x.size]
-    if not hits:
+def _tells(w: str) -> bool:
+    """Whether a word may not be added inside a match."""
+    return _digit(w) or w in TELLING and w not in _EVERYDAY
+
+
+def align(template: list[str], words: list[str]) -> tuple[int, int, int, int] | None:
+    """(first, last + 1, missing, added) of the place where the template's words differ least from ``words`` (ties: the first end,
+    then the last start); None if telling words differ everywhere. Row by row over the template's words: best cost and start
+    for each end."""
+    n, m = len(template), len(words)
+    if not m:
         return None
-    core = max(hits, key=lambda x: (x.size, -x.a))        # the rest must lie where the longest common run puts it
-    slack = max(1, int(DIFFER * len(template)))
-    near = [x for x in hits if abs((x.a - x.b) - (core.a - core.b)) <= slack]
-    first, last = near[0].a, near[-1].a + near[-1].size
-    same = sum(x.size for x in near)
-    kept = {i for x in near for i in range(x.b, x.b + x.size)}
     telling = _telling(template)
-    if any(i not in kept and w in telling for i, w in enumerate(template)):
-        return None
-    there = {i for x in near for i in range(x.a, x.a + x.size)}
-    if any(i not in there and (_digit(words[i]) or words[i] in TELLING and words[i] not in _EVERYDAY) for i in range(first, last)):
+    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    text = np.fromiter((number[w] for w in words), np.int64, m)
+    far = 1e9
+    # cost of having added the words up to a place, so that a run of added words is a difference of two places
+    added = np.concatenate(([0.0], np.cumsum([far if _tells(w) else 1.0 for w in words])))
+    cost, start = np.zeros(m + 1), np.arange(m + 1)
+    for w in template:
+        base = cost + (far if w in telling else 1.0)                      # the template's word is missing
+        came = start.copy()
+        hit = np.flatnonzero(text == number.get(w, -1))
+        better = cost[hit] <= base[hit + 1]
+        at = hit[better] + 1
+        base[at], came[at] = cost[at - 1], start[at - 1]
+        # words added before an end: the best earlier place plus what lies between
+        lead = base - added
+        best = np.minimum.accumulate(lead)
+        place = np.maximum.accumulate(np.where(lead <= best, np.arange(m + 1), 0))
+        cost, start = best + added, came[place]
+    end = int(np.argmin(cost))
+    if cost[end] >= far / 2:
         return None
-    return first, last, len(template) - same, last - first - same
+    first, diff = int(start[end]), int(round(cost[end]))
+    same = (n + end - first - diff) // 2
+    return (first, end, n - same, end - first - same) if same else None
+
+
+def _expression(text: str, at: int) -> tuple[int, list[tuple[str, int, int]]]:
+    """The end of the SPDX expression that begins at ``at``, and its known ids (name, start, end)."""
+    found, depth, expect_id, end, exception = [], 0, True, at, False
+    while m := _PART.match(text, at):
+        bracket, word, plus = m.groups()
+        if bracket == "(" and expect_id:
+            depth += 1
+        elif bracket == ")" and not expect_id and depth:
+            depth -= 1
+            end = m.end()
+        elif word and expect_id:
+            if word.upper() in ("AND", "OR", "WITH"):
+                break
+            word = word.rstrip(".-")
+            stop = m.start(2) + len(word)
+            if not exception and word.lower() in _IDS:
+                found.append((_IDS[word.lower()], m.start(2), stop))
+            expect_id, exception, end = False, False, stop + len(plus)
+            if stop != m.end(2):                   # a full stop ends it
+                break
+        elif word and word in ("AND", "OR", "WITH", "and", "or", "with") and not expect_id:
+            expect_id, exception = True, word.upper() == "WITH"
+        else:
+            break
+        at = m.end()
+    return end, found
 
 
-def scan_text(text: str | None) -> list[tuple[str, int, int, float, int, int]]:
-    """(license, start, end, gain, missing, added) by start; code points."""
+def scan_text(text: str | None) -> list[tuple[str, int, int, float, int, int, str | None]]:
+    """(license, start, end, gain, missing, added, expression) by start; code points."""
     plain, templates = _templates()
     out: dict[tuple[int, int], tuple] = {}
     for a, b in blocks(text or ""):
@@ -217,28 +291,48 @@ def scan_text(text: str | None) -> list[tuple[str, int, int, float, int, int]]:
         spots = [m.span() for m in _WORD.finditer(part)]
         words = [part[i:j].lower() for i, j in spots]
         known = set(words)
-        gains = [((alone - len(c.compress(data))) / size, name, t) for name, t, c, size, telling in templates if telling <= known]
-        used = [False] * len(words)
-        winners = sorted((g for g in gains if g[0] >= GAIN), key=lambda g: (-g[0], g[1]))
-        place: dict[int, tuple | None] = {i: _align(t, words, used) for i, (_, _, t) in enumerate(winners)}
-        while True:
-            fit = [(len(winners[i][2]) - got[2] - 2 * (got[2] + got[3]), -i, got) for i, got in place.items()
-                   if got and got[2] + got[3] <= _limit(len(winners[i][2]))]
-            if not fit:
-                break
-            _, i, (first, last, missing, added) = max(fit)
-            gain, name, _ = winners[-i]
-            used[first:last] = [True] * (last - first)
-            start, end = a + spots[first][0], a + spots[last - 1][1]
-            out.setdefault((start, end), (name, start, end, round(gain, 4), missing, added))
-            for k, got in place.items():
-                if got and got[0] < last and first < got[1]:
-                    place[k] = _align(winners[k][2], words, used)
+        saved = [(alone - len(c.compress(data)), size, name, t, tiny) for name, t, c, size, telling, tiny in templates
+                 if telling <= known and (not tiny or known.issuperset(t))]
+        winners = sorted((w for w in saved if w[4] or w[0] >= GAIN * w[1]), key=lambda w: (w[4], -w[0], -len(w[3]), w[2], w[3]))
+        free = [(0, len(words))]                    # runs of words that no match has used
+
+        def use(first: int, last: int) -> None:
+            free[:] = [(x, y) for lo, hi in free for x, y in ((lo, min(hi, first)), (max(lo, last), hi)) if x < y]
+
+        for m in _SPDX.finditer(part):
+            end, ids = _expression(part, m.end())
+            tag = " ".join(part[m.end():end].split())
+            gain = {}
+            for g, size, n, t, _ in saved:
+                if t[0] == "spdx":
+                    gain[n] = max(gain.get(n, 0.0), g / size)
+            for name, i, j in ids:
+                if gain.get(name, 0) >= GAIN:
+                    out.setdefault((a + i, a + j), (name, a + i, a + j, round(gain[name], 4), 0, 0, tag))
+            if ids:
+                use(next(k for k, s in enumerate(spots) if s[1] > m.start()), sum(s[0] < end for s in spots))
+        for g, size, name, t, tiny in winners:
+            if t[0] == "spdx":
+                continue
+            while True:
+                fit = [(got[2] + got[3], lo, got) for lo, hi in free if (got := align(t, words[lo:hi])) and got[2] + got[3] <= (0 if tiny else _limit(len(t)))]
+                if not fit:
+                    break
+                diff, lo, (first, last, missing, added) = min(fit)
+                if diff:
+                    hi = next(y for x, y in free if x == lo)
+                    same = [(o[2] + o[3], -len(u), o) for _, _, n, u, _ in winners if n == name and u is not t and u[0] != "spdx"
+                            and (o := align(u, words[lo:hi])) and o[0] < last and first < o[1] and len(u) - o[2] >= len(t) - missing]
+                    if same and min(same)[0] < diff:
+                        first, last, missing, added = min(same)[2]
+                use(lo + first, lo + last)
+                start, end = a + spots[lo + first][0], a + spots[lo + last - 1][1]
+                out.setdefault((start, end), (name, start, end, round(max(g, 0) / size, 4), missing, added, None))
     return sorted(out.values(), key=lambda x: (x[1], x[2], x[0]))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (id, license, start, end, gain, missing, added) per confirmed match."""
+    """One row (id, license, start, end, gain, missing, added, expression) per confirmed match."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -247,10 +341,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             found = scan_text(t)
             at += [i] * len(found)
             rows += found
-        cols = list(zip(*rows)) or [()] * 6
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+        cols = list(zip(*rows)) or [()] * 7
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string())
         return pa.record_batch([b.column("id").take(pa.array(at, pa.int64())), *[pa.array(list(c), k) for c, k in zip(cols, kinds)]],
-                               names=["id", "license", "start", "end", "gain", "missing", "added"])
+                               names=["id", "license", "start", "end", "gain", "missing", "added", "expression"])
 
     kind = src.schema["id"].dataType.simpleString()
-    return map_batches(src, run, f"id {kind}, license string, start long, end long, gain double, missing long, added long")
+    return map_batches(src, run, f"id {kind}, license string, start long, end long, gain double, missing long, added long, expression string")

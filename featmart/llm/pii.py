@@ -5,8 +5,8 @@ check is dropped and the search goes on behind it. They always stay.
 
 The field adds spans where the patterns see none, such as phones without a plus sign, disguised e-mail
 addresses or two cards in a row. Lines are cut into tokens; candidate segments are runs of at most
-``MAX_TOKENS`` tokens with a digit or an @ (or its disguise), everything else has label ``none``, one
-token at a time. A segment is scored as a whole (shape, digit groups, checksum, range of its parts,
+``MAX_TOKENS`` tokens and ``MAX_CHARS`` characters with a digit or an @ (or its disguise), looked for within
+``_REACH`` characters of one on its line; everything else has label ``none``, one token at a time. A segment is scored as a whole (shape, digit groups, checksum, range of its parts,
 neighbours) and by the labels of adjoining segments; the bounded dynamic programme over (end, label)
 picks boundaries and kinds jointly. A span is added if it passes its kind's check and touches no base span.
 Text without a digit or an @ has no candidates. A line of more than ``PIECE`` tokens is decoded in
@@ -39,6 +39,8 @@ MAX_CHARS = 80
 PIECE = 512
 MAX_WINDOWS = 400
 EXAMPLES = 500
+PER_TEXT = 8
+LINE_CHARS = 400
 EPOCHS = 5
 _BUCKETS = 1 << 13
 _SPAN_TYPE = "array<struct<kind:string,start:int,end:int,base:boolean>>"
@@ -412,8 +414,11 @@ def train(lines: list[tuple[str, list[tuple[str, int, int]]]], epochs: int = EPO
     return f
 
 
-def fit(docs: DataFrame, text_col: str = "text", max_windows: int = MAX_WINDOWS, n_examples: int = EXAMPLES) -> Field:
-    """Train on at most ``max_windows`` stretches of the corpus around digits and @, and generated lines."""
+def fit(docs: DataFrame, text_col: str = "text", max_windows: int = MAX_WINDOWS, n_examples: int = EXAMPLES,
+        per_text: int = PER_TEXT, line_chars: int = LINE_CHARS) -> Field:
+    """Train on a bounded sample: at most ``max_windows`` stretches of the corpus around digits and @, the first ``per_text``
+    of a text, each cut at ``line_chars`` characters; and ``n_examples`` generated lines. Only the fit is bounded: every
+    stretch of every text is scanned afterwards."""
     count = docs.count()
     h = F.pmod(F.xxhash64(F.col(text_col), F.lit(3)), F.lit(1 << 30))
     share = min(1.0, 20 * max_windows / max(count, 1))      # enough texts to choose from, whatever the corpus
@@ -422,8 +427,8 @@ def fit(docs: DataFrame, text_col: str = "text", max_windows: int = MAX_WINDOWS,
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:
         lines, hs, ns = [], [], []
         for t, x in zip(b.column("text").to_pylist(), b.column("h").to_pylist()):
-            for n, (a, e) in enumerate(windows(t)[:8]):
-                lines.append(t[a:min(e, a + 400)])
+            for n, (a, e) in enumerate(windows(t)[:per_text]):
+                lines.append(t[a:min(e, a + line_chars)])
                 hs.append(x)
                 ns.append(n)
         return pa.record_batch([pa.array(lines, pa.string()), pa.array(hs, pa.int64()), pa.array(ns, pa.int32())], names=["line", "h", "n"])

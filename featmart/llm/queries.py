@@ -83,11 +83,21 @@ places AS (SELECT doc_id, w, l, unnest(range(0, len(w) - l + 1)) AS i FROM d, le
 hit AS (SELECT doc_id, i, l, item_id FROM places JOIN win ON w[i + 1:i + l] = p),
 pos AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(i, i + l)) AS x FROM hit) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n, string_agg(s, ',' ORDER BY s) AS s
-          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id)
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id),
+wins AS (SELECT p, len(p) AS l, row_number() OVER (ORDER BY p) AS wid FROM (SELECT DISTINCT p FROM win)),
+tok AS (SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM d),
+ent AS (SELECT wid, l, unnest(p) AS term, unnest(range(0, l)) AS off FROM wins),
+cf AS (SELECT term, count(*) AS cf FROM tok WHERE term IN (SELECT term FROM ent) GROUP BY term),
+listed AS (SELECT wid, l, term, off FROM (SELECT *, row_number() OVER (PARTITION BY wid ORDER BY coalesce(cf, 0), off) AS r FROM ent LEFT JOIN cf USING (term))
+           WHERE r <= {decontam.NEAR_LISTS}),
+cand AS (SELECT DISTINCT doc_id, wid, pos - off AS s FROM tok JOIN listed USING (term)),
+near AS (SELECT DISTINCT doc_id, p FROM cand JOIN d USING (doc_id) JOIN wins USING (wid)
+         WHERE len(list_filter(range(0, l), lambda i: s + i + {decontam.SLOP} >= 0 AND list_contains(w[greatest(1, s + i - {decontam.SLOP - 1}):s + i + {decontam.SLOP + 1}], p[i + 1]))) >= ceil({decontam.SHARE} * l)),
+nears AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, coalesce(CAST(item_id AS VARCHAR), '') FROM near JOIN win USING (p)) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(pos.n, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(items.n, 0) AS BIGINT) AS n_items, sha256(coalesce(items.s, '')) AS items_sha256,
-       coalesce(pos.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)
+       coalesce(pos.n, 0) > 0 AS contaminated, CAST(coalesce(nears.n, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN nears USING (doc_id)
 """
 
 
@@ -96,7 +106,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows that occur in documents, by a positional inverted index."""
     d = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return d.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items",
-                    F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+                    F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near")
 
 
 # the apportionment is done literally here: every seat is listed with its quotient, and the highest win

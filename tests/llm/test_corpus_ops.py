@@ -152,21 +152,68 @@ def test_decontamination_brute_force(spark):
     assert {r.n_hit for r in decontam.decontaminate(d, bench.where("false")).collect()} == {0}
 
 
-def test_proximity(spark):
+def brute_near(rows, items, n=10, share=0.8, slop=2, listed=4):
+    """Items of which a window has ``share`` of its words at most ``slop`` from their places, one of its rarest in place; per row."""
+    docs = [brute_words(t) for _, t in rows]
+    cf = Counter(w for d in docs for w in d)
+    out = []
+    for w in docs:
+        found = set()
+        for item, it in items:
+            b = brute_words(it)
+            for win in ([b[i:i + n] for i in range(len(b) - n + 1)] if len(b) >= n else [b] if b else []):
+                rare = sorted(range(len(win)), key=lambda i: (cf[win[i]], i))[:listed]
+                for s in {p - i for i in rare for p, x in enumerate(w) if x == win[i]}:
+                    here = sum(any(0 <= s + i + k < len(w) and w[s + i + k] == x for k in range(-slop, slop + 1)) for i, x in enumerate(win))
+                    if here >= math.ceil(share * len(win)):
+                        found.add("" if item is None else str(item))
+        out.append(len(found))
+    return out
+
+
+def test_proximity_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(60)]
+    item = lambda k: " ".join(rng.choice(words, k))
+    items = [(1, item(30)), (2, item(12)), (3, item(10)), (4, item(7)), (5, "w1"), (None, item(15)), (6, "w1 zz"), (7, None)]
+    texts = [None, "", "w1", "zz w1"]
+    for _, t in items:
+        for _ in range(8):
+            w = brute_words(t)
+            for _ in range(int(rng.integers(0, 6))):            # changed, lost, added words; cut at either end
+                i = int(rng.integers(0, len(w) + 1))
+                w = [w[:i] + w[i + 1:], w[:i] + ["new"] + w[i:], w[:i] + [str(rng.choice(words))] + w[i + 1:], w[i // 4:], w[:len(w) - i // 4]][int(rng.integers(0, 5))]
+            texts.append(item(int(rng.integers(0, 5))) + " " + " ".join(w) + " " + item(int(rng.integers(0, 5))))
+    rows = [*enumerate(texts), (3, texts[3]), (None, texts[9])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.id, r.n_near) for r in decontam.decontaminate(d, bench).collect()}
+    want = brute_near(rows, items)
+    assert got == {(i, n) for (i, _), n in zip(rows, want)}
+    hit = {(i, len(brute_hits(t, items)[2])) for i, t in rows}
+    assert sum(n for _, n in got) > sum(n for _, n in hit) > 0          # changed copies are near, not exact
+    with pytest.raises(ValueError, match="near_lists"):
+        decontam.decontaminate(d, bench, near_lists=3)
+
+
+def test_a_leak_with_two_changed_words_is_near(spark):
     bench = spark.createDataFrame([(1, "aa bb cc dd ee ff gg hh ii jj")], "item_id long, text string")
-    d = spark.createDataFrame([(1, "x aa bb cc dd ee ff gg hh ii jj"), (2, "x aa new bb cc dd ee ff gg hh ii jj"), (3, "bb x x x x x x x x x aa"), (4, "cc dd")],
-                              "doc_id long, text string")
-    ix = decontam.build_index(d, bench)
-    ids = {r.k1: r.doc_id for r in decontam.doc_keys(d, "doc_id", "text", F.col("doc_id")).collect()}
-    terms = {r.term for r in ix.lists.collect()}
-    assert len(terms) == 2
-    near = defaultdict(set)
-    for slop in (0, 1, 20):
-        for r in decontam.proximity_matches(ix, slop).collect():
-            near[slop].add(ids[r.k1])
-            assert r.spread <= slop
-    assert 1 in near[0] and near[0] <= near[1] <= near[20]
-    assert {ids[r.k1] for r in decontam.phrase_matches(d, ix).collect()} == {1}
+    texts = ["x aa bb cc dd ee ff gg hh ii jj", "x aa new bb cc dd ee ff gg hh ii jj", "aa bb XX dd ee YY gg hh ii jj", "cc dd ee ff gg hh ii jj", "aa bb XX dd ee YY gg ZZ ii jj",
+             "bb x x x x x x x x x aa", "cc dd"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: (r.n_hit, r.n_near) for r in decontam.decontaminate(d, bench).collect()}
+    assert got == {0: (10, 1), 1: (0, 1), 2: (0, 1), 3: (0, 1), 4: (0, 0), 5: (0, 0), 6: (0, 0)}
+
+
+def test_decontamination_of_very_long_texts(spark):
+    """A passage deep inside, and long words: the broadcast of the windows is held against its bytes."""
+    blob = "q" * 300_000
+    items = [(1, f"{blob} one two three four five six seven eight nine"), (2, "a1 b1 c1 d1 e1 f1 g1 h1 i1 j1")]
+    texts = ["word " * 120_000 + items[1][1] + " tail" * 50_000, f"see {items[0][1]} there", "word " * 1000]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.id: (r.n_words, r.n_hit, r["items"], r.n_near) for r in decontam.decontaminate(d, bench).collect()}
+    assert got == {0: (170_010, 10, ["2"], 1), 1: (12, 10, ["1"], 1), 2: (1000, 0, [], 0)}
 
 
 # --- mixing -------------------------------------------------------------------------------------

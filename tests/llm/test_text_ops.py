@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from featmart.llm import langid, licenses, pii, tokens
 from featmart.llm.queries import QUERIES
@@ -252,6 +253,42 @@ def test_packing():
         assert tokens.unpack(w, d).tolist() == [0, *a]
 
 
+FOREIGN = ["Il gatto dorme sul tavolo mentre la pioggia cade lentamente sulla città antica.", "Questo documento descrive come installare il programma.",
+           "De kat slaapt op de tafel terwijl de regen langzaam over de oude stad valt.", "Dit document beschrijft hoe het programma wordt geïnstalleerd.",
+           "Katten sover på bordet medan regnet sakta faller över den gamla staden.", "xkq zzv wqp jjk qqx vvz kkq"]
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_foreign_lines_are_rejected_and_documents_kept(spark, sf):
+    d = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    model = langid.fit(d.where(~langid.held_out()))
+    assert all(model.predict(t)[2] for t in FOREIGN)
+    n = d.where("text rlike '[a-z]'").count()
+    assert langid.accepted(d, model).count() >= n * 0.9985
+    floors = np.array([model.floors[model.langs.index(x)] for x in sorted(set(model.langs))])
+    assert (floors.std(axis=0) > 0).any()                  # each language has its own
+
+
+@pytest.mark.parametrize("out", ["de", "en", "es", "fr"])
+def test_a_language_that_was_not_learned_is_rejected(spark, out):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(d.where(~langid.held_out()).where(F.col("lang") != out))
+    assert langid.predict(d.where(F.col("lang") == out), model).agg(F.avg(F.col("rejected").cast("int"))).first()[0] > 0.95
+
+
+def test_equal_cosines_go_to_the_first_language(spark):
+    rows = [(i, f"the same words in both {i % 5}", lang, None) for i in range(40) for lang in ("b", "a")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert model.predict("the same words in both 3")[0] == "a"
+
+
+def test_counts_beyond_sixteen_bits_weigh_by_their_logarithm():
+    n = np.array([3, 65_535, 65_536, 10 ** 6])
+    w = langid._weigh(np.arange(4), n, np.ones(langid.DIM, np.float32))
+    want = 1 + np.log(n)
+    assert np.allclose(w, want / np.linalg.norm(want), atol=1e-6)
+
+
 # --- licenses -----------------------------------------------------------------------------------
 
 LINES = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
@@ -280,6 +317,80 @@ def test_usual_licenses(text, name):
     assert [m[0] for m in licenses.scan_text("some words before it\n\n" + text + "\n\nand some after it")] == [name]
 
 
+@pytest.mark.parametrize("text, names", [
+    ("MIT License", ["MIT"]), ("See the MIT license for details.", ["MIT"]), ("licensed under GPLv2", ["GPL-2.0"]),
+    ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999", ["LGPL-2.1"]), ("CC0-1.0", ["CC0-1.0"]), ("0BSD", ["0BSD"]), ("WTFPL", ["WTFPL"]),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", ["MIT", "Apache-2.0"]), ("SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0 AND BSD-3-Clause) or mit", ["GPL-2.0", "BSD-3-Clause", "MIT"]),
+    ("SPDX-License-Identifier: GPL-2.0+", ["GPL-2.0"]), ("SPDX-License-Identifier: LicenseRef-own OR ISC.", ["ISC"]), ("SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception", ["Apache-2.0"]),
+    ("Apache License 2.0", ["Apache-2.0"]), ("BSD 3-Clause", ["BSD-3-Clause"]), ("the GNU Affero General Public License version 3", ["AGPL-3.0"]),
+    ("Licensed under the MIT License. Licensed under the Apache License, Version 2.0.", ["MIT", "Apache-2.0"]), ("Creative Commons Zero v1.0 Universal", ["CC0-1.0"])])
+def test_names_and_expressions(text, names):
+    got = licenses.scan_text("some words before it\n\n" + text + "\n\nand some after it")
+    assert [m[0] for m in got] == names
+    if "SPDX" in text:
+        assert {m[6] for m in got} == {text.split(": ")[1].rstrip(".")}
+
+
+def test_expression_spans():
+    t = "// SPDX-License-Identifier: (MIT OR Apache-2.0) AND ISC\nMIT License follows"
+    got = licenses.scan_text(t)
+    assert [t[m[1]:m[2]] for m in got] == ["MIT", "Apache-2.0", "ISC", "MIT License"]
+    assert [m[6] for m in got] == ["(MIT OR Apache-2.0) AND ISC"] * 3 + [None]
+
+
+def brute_align(template, words):
+    """Least missing + added over all places, no telling word missing or added."""
+    telling = licenses._telling(template)
+    best = None
+    for i in range(len(words) + 1):
+        cost = [[None] * (len(words) - i + 1) for _ in range(len(template) + 1)]
+        cost[0][0] = 0
+        for a in range(len(template) + 1):
+            for b in range(len(words) - i + 1):
+                if a == b == 0:
+                    continue
+                options = []
+                if a and cost[a - 1][b] is not None and template[a - 1] not in telling:
+                    options.append(cost[a - 1][b] + 1)
+                if b and cost[a][b - 1] is not None and not licenses._tells(words[i + b - 1]):
+                    options.append(cost[a][b - 1] + 1)
+                if a and b and template[a - 1] == words[i + b - 1] and cost[a - 1][b - 1] is not None:
+                    options.append(cost[a - 1][b - 1])
+                cost[a][b] = min(options, default=None)
+        ends = [c for c in cost[-1] if c is not None]
+        if ends and (best is None or min(ends) < best):
+            best = min(ends)
+    return best
+
+
+def test_alignment_has_the_fewest_differences():
+    rnd = random.Random(6)
+    pool = ["the", "of", "work", "license", "mit", "2", "bsd", "is", "granted"]
+    seen = 0
+    for _ in range(400):
+        t = [rnd.choice(pool) for _ in range(rnd.randint(1, 7))]
+        w = [rnd.choice(pool) for _ in range(rnd.randint(0, 4))]
+        for x in t:
+            w += rnd.choice([[x], [x], [x], [], [rnd.choice(pool), x]])
+        w += [rnd.choice(pool) for _ in range(rnd.randint(0, 4))]
+        got, want = licenses.align(t, w), brute_align(t, w)
+        if got is None:
+            assert want is None or want >= len(t)          # nothing of the template there
+            continue
+        first, last, missing, added = got
+        assert missing + added == want and last - first - added == len(t) - missing > 0
+        seen += 1
+    assert seen > 150
+
+
+def test_winners_are_ranked_by_what_they_save():
+    """A notice that holds a statement's words saves more than the statement, and is confirmed first."""
+    notice = licenses.TEMPLATES["Apache-2.0"][1]
+    assert [m[0] for m in licenses.scan_text(notice)] == ["Apache-2.0"] and len(licenses.scan_text(notice)) == 1
+    (m,) = licenses.scan_text(notice)
+    assert m[2] - m[1] > 500 and m[3] > 0.5
+
+
 def test_every_template_is_found_under_its_name():
     for name, texts in licenses.TEMPLATES.items():
         for t in texts:
@@ -289,7 +400,7 @@ def test_every_template_is_found_under_its_name():
 def test_license_wording(odd, none):
     mit = licenses.TEMPLATES["MIT"][2]
     (m,) = licenses.scan_text("x y z " * 50 + "\n// " + mit.replace(", ", ",\n// ") + "\nfoo")
-    assert m[0] == "MIT" and m[4:] == (0, 0)
+    assert m[0] == "MIT" and m[4:6] == (0, 0)
     (m,) = licenses.scan_text(mit.replace("free of charge", "without charge"))
     assert m[0] == "MIT" and m[4] == 2 and m[5] == 1
     assert [x[0] for x in licenses.scan_text("All rights reserved. and then ALL RIGHTS RESERVED")] == ["reserved"] * 2
