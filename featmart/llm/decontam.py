@@ -2,24 +2,25 @@
 
 Words are runs of ASCII letters and digits (A-Z lower-cased) and of any non-ASCII character. A test
 item of at least ``n`` words has a window at every offset; a shorter one, but not an empty one, is a
-window as a whole. ``build_index`` counts every test term in the whole training corpus, ranks each window's
-words from the rarest on, and stores the training postings (term, document, position) of the first ``near_lists``
-in the shared folder. Phrase candidates: the offset-adjusted lists of the ``lists`` rarest, intersected. Proximity
-candidates: with one of the listed words in place, ``share`` of the window's words must lie at most ``slop`` words from
-their places; as at most the rest may be missing, two of the listed words must lie on nearly the same diagonal
-(document position less test position), so hits are counted by diagonal, per test item, before a window
-is looked at. ``matches`` compares both kinds with the document's words, so both are exact; ``decontaminate``
-reduces them to a row per document.
+window as a whole. ``build_index`` counts every test term in the whole training corpus, picks each window's two rarest
+words of those that the corpus has, and stores the training postings (term, document, position) of the words picked in the
+shared folder. The offset-adjusted lists of such a pair are intersected from the rarer word on: where one stands in place and
+the other at most ``slop`` words from its place, the window may. ``matches`` compares those places with the
+document's words: a phrase match has all words in place, a proximity match at least ``share`` of them at most ``slop``
+words from their places. So both are exact, but for a proximity match whose window has lost one of its pair: a test
+item of ``2 * n`` words or more has windows without a changed word, and for shorter items all pairs of the
+``SHORT_LISTS`` rarest words are looked up, of which two are always there. ``decontaminate`` reduces the matches to a row
+per document.
 
 A document's row key is a 128-bit hash of id and text, so null ids, repeated ids and repeated rows are
 all right: equal rows share a key and get the same result. A null or empty text has no words. A window
-with a word the corpus lacks has no match. Null item ids hit words and count as one item whose id is
-the empty string. Empty tables give no matches. Extra columns are ignored.
+with a word the corpus lacks has no phrase match. A proximity match may hang over a text's ends; the words outside count
+as missing. Null item ids hit words and count as one item whose id is the empty string. Empty tables give no matches.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,8 +29,7 @@ from pyspark.sql import functions as F
 from featmart.llm.common import ascii_lower, materialise, small
 
 WINDOW_WORDS = 10
-LISTS = 2
-NEAR_LISTS = 4
+SHORT_LISTS = 4
 SHARE = 0.8
 SLOP = 2
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -50,25 +50,23 @@ def doc_keys(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> Data
 @dataclass
 class Index:
     """The written tables of one benchmark over one corpus."""
-    windows: DataFrame    # wid, win (array), len
+    windows: DataFrame    # wid, win (array), len, short
     items: DataFrame      # wid, item
-    lists: DataFrame      # wid, len, r (1: rarest), term, off: of windows all of whose words the corpus has
-    near: DataFrame       # wid, term, off: the near_lists rarest words of every window
-    spots: DataFrame      # term, row, at, alone: where those words stand in the test items
+    pairs: DataFrame      # wid, term, off, other, other_off: a pair of words, the rarer first
     postings: DataFrame   # term, k1, k2, pos
+    longest: int          # words of the longest window
 
 
-def test_windows(bench: DataFrame, item_col: str, text_col: str, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Distinct windows (wid, win, len), their items (wid, item), and their places (wid, row, at) in the test rows."""
+def test_windows(bench: DataFrame, item_col: str, text_col: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct windows (wid, win, len, short: of an item of fewer than ``2 * n`` words) and their items (wid, item)."""
     w = F.col("w")
-    rows = bench.select(F.col(item_col).alias("item"), words(F.col(text_col)).alias("w")).where(F.size(w) > 0)
-    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "test-rows")
-    each = rows.select("item", "row", F.posexplode(F.when(F.size(w) < n, F.array(w)).otherwise(
-        F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.slice(w, i + 1, n)))).alias("at", "win"))
-    wins = materialise(each.select("win").distinct().select(
-        F.monotonically_increasing_id().alias("wid"), "win", F.size("win").alias("len")), "windows")
-    places = materialise(each.join(wins, "win").select("wid", "item", "row", "at"), "window-places")
-    return wins, materialise(places.select("wid", "item").distinct(), "window-items"), places.select("wid", "row", "at")
+    each = bench.select(F.col(item_col).alias("item"), words(F.col(text_col)).alias("w")).where(F.size(w) > 0).select(
+        "item", (F.size(w) < 2 * n).alias("short"), F.explode(F.when(F.size(w) < n, F.array(w)).otherwise(
+            F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.slice(w, i + 1, n)))).alias("win"))
+    wins = materialise(each.groupBy("win").agg(F.max("short").alias("short")).select(
+        F.monotonically_increasing_id().alias("wid"), "win", F.size("win").alias("len"), "short"), "windows")
+    items = materialise(each.join(wins.drop("short"), "win").select("wid", "item").distinct(), "window-items")
+    return wins, items
 
 
 def doc_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -77,75 +75,45 @@ def doc_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def build_index(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                item_text: str = "text", n: int = WINDOW_WORDS, lists: int = LISTS, near_lists: int = NEAR_LISTS) -> Index:
-    wins, items, places = test_windows(bench, item_col, item_text, n)
-    entries = wins.select("wid", "len", F.posexplode("win").alias("off", "term"))
+                item_text: str = "text", n: int = WINDOW_WORDS) -> Index:
+    wins, items = test_windows(bench, item_col, item_text, n)
+    entries = wins.select("wid", "short", F.posexplode("win").alias("off", "term"))
     terms = materialise(entries.select("term").distinct(), "terms")
     counts = materialise(doc_words(docs, id_col, text_col).join(small(terms), "term").groupBy("term").agg(
         F.count(F.lit(1)).alias("cf")), "term-counts")
-    ranked = entries.join(counts, "term", "left").withColumn("cf", F.coalesce("cf", F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("wid").orderBy("cf", "off"))
-    rarest = F.min("cf").over(Window.partitionBy("wid"))
-    ranked = materialise(ranked.select("wid", "len", "off", "term", "cf", rank.alias("r"), rarest.alias("least")).where(
-        F.col("r") <= max(lists, near_lists)), "ranked")
-    picked = ranked.where((F.col("least") > 0) & (F.col("r") <= lists))
-    # a window of fewer words than lists repeats its last one
-    fill = F.explode(F.when(F.col("r") == F.least("len", F.lit(lists)), F.sequence(F.col("r"), F.lit(lists)))
-                     .otherwise(F.array("r")))
-    chosen = materialise(picked.select("wid", "len", "term", "off", fill.alias("r")), "lists")
-    near = ranked.where((F.col("r") <= near_lists) & (F.col("cf") > 0)).select("wid", "len", "term", "off")
-    spots = materialise(near.join(places, "wid").groupBy("term", "row", (F.col("at") + F.col("off")).alias("at")).agg(
-        F.min(F.col("len") == 1).alias("alone")), "spots")
-    used = materialise(ranked.where("cf > 0").select("term").distinct(), "used-terms")
+    of = F.count(F.lit(1)).over(Window.partitionBy("wid"))
+    ranked = materialise(entries.join(counts, "term").select("wid", "short", "term", "off", rank.alias("r"), of.alias("n")).where(F.col("r") <= SHORT_LISTS), "ranked")
+    # a window of which the corpus has one word only pairs it with itself
+    a, b = ranked.alias("a"), ranked.alias("b")
+    wanted = ((F.col("a.r") == 1) & (F.col("b.r") == F.least("a.n", F.lit(2)))) | (F.col("a.short") & (F.col("a.r") < F.col("b.r")))
+    pairs = a.join(b, F.col("a.wid") == F.col("b.wid")).where(wanted).select(
+        "a.wid", "a.term", "a.off", F.col("b.term").alias("other"), F.col("b.off").alias("other_off"))
+    pairs = materialise(pairs, "pairs")
+    used = materialise(pairs.select("term").unionAll(pairs.select("other")).distinct(), "used-terms")
     posts = materialise(doc_words(docs, id_col, text_col).join(small(used), "term").select("term", *_DOC, "pos"), "postings")
-    return Index(wins, items, chosen, near.select("wid", "term", "off"), spots, posts)
-
-
-def _rarest(ix: Index) -> DataFrame:
-    """Places (k1, k2, wid, len, start) that the rarest term's list allows."""
-    first = small(materialise(ix.lists.where("r = 1").select("term", "wid", "len", "off"), "rarest"))
-    return ix.postings.join(first, "term").select(*_DOC, "wid", "len", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
-
-
-def _intersected(ix: Index, lists: int) -> DataFrame:
-    found = _rarest(ix)
-    for r in range(2, lists + 1):
-        nth = small(materialise(ix.lists.where(F.col("r") == r).select("wid", "term", "off"), "list"))
-        found = found.join(nth, "wid").withColumn("pos", F.col("start") + F.col("off")).join(
-            ix.postings, ["term", *_DOC, "pos"], "left_semi").select(*_DOC, "wid", "len", "start")
-    return found
-
-
-def _near_candidates(ix: Index, slop: int) -> DataFrame:
-    """Places (k1, k2, wid, start) that one of a window's listed words allows, where another listed word of the same test
-    row lies near its diagonal."""
-    spots = small(ix.spots)
-    wide = 2 * slop + 1
-    hits = ix.postings.join(spots, "term").select(*_DOC, "term", "row", "at", "alone", "pos", (F.col("pos") - F.col("at")).alias("d"))
-    # any two diagonals at most 2 * slop apart share one of their two buckets
-    first = F.floor(F.col("d") / wide).cast("int")
-    dealt = hits.withColumn("bucket", F.explode(F.array(first, first + 1)))
-    key = [*_DOC, "row", "bucket"]
-    dense = dealt.groupBy(*key).agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.max("alone").alias("alone")).where("lo < hi OR alone")
-    dense = materialise(dense.select(*_DOC, "row").distinct(), "dense")
-    kept = hits.join(small(dense), [*_DOC, "row"], "left_semi").select(*_DOC, "term", "pos").distinct()
-    listed = small(materialise(ix.near, "near-lists"))
-    return kept.join(listed, "term").select(*_DOC, "wid", (F.col("pos") - F.col("off")).alias("start")).distinct()
-
-
-def matches(docs: DataFrame, ix: Index, id_col: str = "doc_id", text_col: str = "text", lists: int = LISTS, share: float = SHARE,
-            slop: int = SLOP) -> DataFrame:
+    return Index(wins, items, pairs, posts, wins.agg(F.max("len")).first()[0] or 0)
+
+
+def candidates(ix: Index, slop: int = SLOP) -> DataFrame:
+    """Places (k1, k2, wid, start) that a pair's lists allow: one word in place, the other at most ``slop`` words from its."""
+    first = ix.postings.join(small(ix.pairs), "term").select(*_DOC, "wid", F.col("other").alias("term"), "other_off", (F.col("pos") - F.col("off")).alias("d"))
+    both = first.join(ix.postings, ["term", *_DOC]).withColumn("e", F.col("pos") - F.col("other_off")).where(F.abs(F.col("e") - F.col("d")) <= slop)
+    return both.select(*_DOC, "wid", F.explode(F.array("d", "e")).alias("start")).distinct()
+
+
+def matches(docs: DataFrame, ix: Index, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, slop: int = SLOP) -> DataFrame:
     """Matches (k1, k2, wid, start, len, exact, in_place): the window's words stand at ``start`` of the document (exact), or
     ``in_place`` of them, at least ``share``, lie at most ``slop`` words from their places."""
-    phrases = _intersected(ix, lists).select(*_DOC, "wid", "start")
-    cand = materialise(phrases.unionByName(_near_candidates(ix, slop)).distinct(), "candidates")
+    cand = materialise(candidates(ix, slop), "candidates")
     per_doc = materialise(cand.groupBy(*_DOC).agg(F.collect_list(F.struct("wid", "start")).alias("c")), "per-doc")
     have = doc_keys(docs, id_col, text_col, F.col(text_col).alias("t")).join(small(per_doc.select(*_DOC)), _DOC, "left_semi")
     texts = have.dropDuplicates(_DOC).select(*_DOC, words(F.col("t")).alias("w"))
-    # the words round a place; ``pad`` of them are missing where it hangs over the text's start
-    start, reach = F.col("c.start") - slop, _longest(ix) + 2 * slop
-    here = texts.join(per_doc, _DOC).select(*_DOC, F.size("w").alias("size"), "w", F.explode("c").alias("c")).select(
-        *_DOC, "c.wid", "c.start", F.greatest(F.lit(0), -start).alias("pad"), F.slice("w", F.greatest(F.lit(1), start + 1), F.greatest(F.lit(0), F.least(F.col("size"), start + reach) - F.greatest(F.lit(0), start))).alias("part"))
+    # the words round each place, before the places become rows; ``pad`` words are missing where it hangs over the text's start
+    reach = ix.longest + 2 * slop
+    parts = F.expr(f"""transform(c, x -> struct(x.wid AS wid, x.start AS start, greatest(0, {slop} - x.start) AS pad,
+        slice(w, greatest(1, x.start - {slop - 1}), greatest(0, least(size(w), x.start - {slop} + {reach}) - greatest(0, x.start - {slop}))) AS part))""")
+    here = texts.join(per_doc, _DOC).select(*_DOC, F.explode(parts).alias("p")).select(*_DOC, "p.*")
     read = here.join(small(ix.windows), "wid")
     # word i of the window is looked for among the 2 * slop + 1 words round its place
     found = F.expr(f"""size(filter(sequence(0, len - 1), i -> array_contains(
@@ -155,19 +123,12 @@ def matches(docs: DataFrame, ix: Index, id_col: str = "doc_id", text_col: str =
     return out.where(F.col("exact") | (F.col("in_place") >= F.ceil(F.col("len") * share)))
 
 
-def _longest(ix: Index) -> int:
-    return ix.windows.agg(F.max("len")).first()[0] or 0            # one number
-
-
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text: str = "text", n: int = WINDOW_WORDS, lists: int = LISTS,
-                  near_lists: int = NEAR_LISTS, share: float = SHARE, slop: int = SLOP) -> DataFrame:
+                  item_col: str = "item_id", item_text: str = "text", n: int = WINDOW_WORDS, share: float = SHARE, slop: int = SLOP) -> DataFrame:
     """One row (id, k1, k2, n_words, n_hit, n_items, items, n_near) per document row; ``items``: sorted id strings of the items
     with a phrase match; ``n_near``: items with a phrase or proximity match."""
-    if near_lists < n - math.ceil(share * n) + 2:
-        raise ValueError("near_lists must exceed the words that may be missing by two")
-    ix = build_index(docs, bench, id_col, text_col, item_col, item_text, n, lists, near_lists)
-    every = materialise(matches(docs, ix, id_col, text_col, lists, share, slop), "matches")
+    ix = build_index(docs, bench, id_col, text_col, item_col, item_text, n)
+    every = materialise(matches(docs, ix, id_col, text_col, share, slop), "matches")
     hits = every.where("exact")
     before = Window.partitionBy(*_DOC).orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("len")

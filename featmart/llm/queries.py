@@ -88,9 +88,12 @@ wins AS (SELECT p, len(p) AS l, row_number() OVER (ORDER BY p) AS wid FROM (SELE
 tok AS (SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM d),
 ent AS (SELECT wid, l, unnest(p) AS term, unnest(range(0, l)) AS off FROM wins),
 cf AS (SELECT term, count(*) AS cf FROM tok WHERE term IN (SELECT term FROM ent) GROUP BY term),
-listed AS (SELECT wid, l, term, off FROM (SELECT *, row_number() OVER (PARTITION BY wid ORDER BY coalesce(cf, 0), off) AS r FROM ent LEFT JOIN cf USING (term))
-           WHERE r <= {decontam.NEAR_LISTS}),
-cand AS (SELECT DISTINCT doc_id, wid, pos - off AS s FROM tok JOIN listed USING (term)),
+short AS (SELECT DISTINCT p FROM win JOIN b USING (item_id) WHERE len(b.w) < {2 * decontam.WINDOW_WORDS}),
+listed AS (SELECT *, row_number() OVER (PARTITION BY wid ORDER BY cf, off) AS r, count(*) OVER (PARTITION BY wid) AS n FROM ent JOIN cf USING (term)),
+pairs AS (SELECT a.wid, a.term AS ta, a.off AS oa, b.term AS tb, b.off AS ob FROM listed a JOIN listed b USING (wid) JOIN wins USING (wid)
+          WHERE a.r <= {decontam.SHORT_LISTS} AND b.r <= {decontam.SHORT_LISTS} AND ((a.r = 1 AND b.r = least(2, a.n)) OR (a.r < b.r AND wins.p IN (SELECT p FROM short)))),
+cand AS (SELECT DISTINCT doc_id, wid, unnest([x.pos - oa, y.pos - ob]) AS s FROM tok x JOIN pairs ON x.term = ta JOIN tok y USING (doc_id)
+         WHERE y.term = tb AND abs((y.pos - ob) - (x.pos - oa)) <= {decontam.SLOP}),
 near AS (SELECT DISTINCT doc_id, p FROM cand JOIN d USING (doc_id) JOIN wins USING (wid)
          WHERE len(list_filter(range(0, l), lambda i: s + i + {decontam.SLOP} >= 0 AND list_contains(w[greatest(1, s + i - {decontam.SLOP - 1}):s + i + {decontam.SLOP + 1}], p[i + 1]))) >= ceil({decontam.SHARE} * l)),
 nears AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, coalesce(CAST(item_id AS VARCHAR), '') FROM near JOIN win USING (p)) GROUP BY doc_id)

@@ -152,21 +152,33 @@ def test_decontamination_brute_force(spark):
     assert {r.n_hit for r in decontam.decontaminate(d, bench.where("false")).collect()} == {0}
 
 
-def brute_near(rows, items, n=10, share=0.8, slop=2, listed=4):
-    """Items of which a window has ``share`` of its words at most ``slop`` from their places, one of its rarest in place; per row."""
+def brute_near(rows, items, n=10, share=0.8, slop=2):
+    """Items of which a window has ``share`` of its words at most ``slop`` from their places, one word of a pair of its rarest in
+    place and the other near its; per row."""
     docs = [brute_words(t) for _, t in rows]
     cf = Counter(w for d in docs for w in d)
+    wins = {}
+    for item, it in items:
+        b = brute_words(it)
+        for win in ([b[i:i + n] for i in range(len(b) - n + 1)] if len(b) >= n else [b] if b else []):
+            entry = wins.setdefault(tuple(win), [set(), False])
+            entry[0].add("" if item is None else str(item))
+            entry[1] |= len(b) < 2 * n
     out = []
     for w in docs:
         found = set()
-        for item, it in items:
-            b = brute_words(it)
-            for win in ([b[i:i + n] for i in range(len(b) - n + 1)] if len(b) >= n else [b] if b else []):
-                rare = sorted(range(len(win)), key=lambda i: (cf[win[i]], i))[:listed]
-                for s in {p - i for i in rare for p, x in enumerate(w) if x == win[i]}:
-                    here = sum(any(0 <= s + i + k < len(w) and w[s + i + k] == x for k in range(-slop, slop + 1)) for i, x in enumerate(win))
-                    if here >= math.ceil(share * len(win)):
-                        found.add("" if item is None else str(item))
+        for win, (names, short) in wins.items():
+            rare = sorted((i for i, x in enumerate(win) if cf[x]), key=lambda i: (cf[win[i]], i))[:4]
+            pairs = [(rare[0], rare[1 if len(rare) > 1 else 0])] if rare else []
+            pairs += [(x, y) for k, x in enumerate(rare) for y in rare[k + 1:]] if short else []
+            starts = set()
+            for x, y in pairs:
+                dx, dy = ([p - i for p, v in enumerate(w) if v == win[i]] for i in (x, y))
+                starts |= {s for a in dx for b in dy if abs(a - b) <= slop for s in (a, b)}
+            for s in starts:
+                here = sum(any(0 <= s + i + k < len(w) and w[s + i + k] == x for k in range(-slop, slop + 1)) for i, x in enumerate(win))
+                if here >= math.ceil(share * len(win)):
+                    found |= names
         out.append(len(found))
     return out
 
@@ -187,22 +199,25 @@ def test_proximity_by_brute_force(spark):
     rows = [*enumerate(texts), (3, texts[3]), (None, texts[9])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(r.id, r.n_near) for r in decontam.decontaminate(d, bench).collect()}
-    want = brute_near(rows, items)
-    assert got == {(i, n) for (i, _), n in zip(rows, want)}
+    for share, slop in ((0.8, 2), (0.6, 1)):
+        got = {(r.id, r.n_near) for r in decontam.decontaminate(d, bench, share=share, slop=slop).collect()}
+        want = brute_near(rows, items, share=share, slop=slop)
+        assert got == {(i, n) for (i, _), n in zip(rows, want)}
     hit = {(i, len(brute_hits(t, items)[2])) for i, t in rows}
     assert sum(n for _, n in got) > sum(n for _, n in hit) > 0          # changed copies are near, not exact
-    with pytest.raises(ValueError, match="near_lists"):
-        decontam.decontaminate(d, bench, near_lists=3)
 
 
-def test_a_leak_with_two_changed_words_is_near(spark):
+def test_a_leak_with_changed_words_is_near(spark):
     bench = spark.createDataFrame([(1, "aa bb cc dd ee ff gg hh ii jj")], "item_id long, text string")
     texts = ["x aa bb cc dd ee ff gg hh ii jj", "x aa new bb cc dd ee ff gg hh ii jj", "aa bb XX dd ee YY gg hh ii jj", "cc dd ee ff gg hh ii jj", "aa bb XX dd ee YY gg ZZ ii jj",
              "bb x x x x x x x x x aa", "cc dd"]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.id: (r.n_hit, r.n_near) for r in decontam.decontaminate(d, bench).collect()}
     assert got == {0: (10, 1), 1: (0, 1), 2: (0, 1), 3: (0, 1), 4: (0, 0), 5: (0, 0), 6: (0, 0)}
+    # whichever one word is changed; the rarest ones, too
+    words = texts[0].split()[1:]
+    d = spark.createDataFrame([(i, " ".join([*words[:i], "ZZ", *words[i + 1:]])) for i in range(10)], "doc_id long, text string")
+    assert {r.n_near for r in decontam.decontaminate(d, bench).collect()} == {1}
 
 
 def test_decontamination_of_very_long_texts(spark):
@@ -482,15 +497,44 @@ def test_links_of_loose_groups_stay_connected():
         assert groups_of(30, [(int(a), int(b)) for p in parts if p for a, b in zip(p[0], p[2])]) == want
 
 
-@pytest.mark.parametrize("words", [64, 128, 512])
+@pytest.mark.parametrize("words", [64, 128, 512, 2_048, 8_192, 32_768])
 def test_filter_recall_at_the_threshold(words):
+    """Level from a few thousand vectors to some billions."""
     rng = np.random.default_rng(words)
-    x, y = rng.normal(size=(2, 1500, 64))
+    x, y = rng.normal(size=(2, 1500 if words < 1_000 else 300, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     y -= (x * y).sum(1, keepdims=True) * x
     y /= np.linalg.norm(y, axis=1, keepdims=True)
-    a, b = embed.decode(x, words), embed.decode(0.9 * x + np.sqrt(1 - 0.81) * y, words)
-    assert np.mean([np.isin(p, q).any() for p, q in zip(a, b)]) > 0.98
+    z = 0.9 * x + np.sqrt(1 - 0.81) * y
+    a, b = embed.decode(x, words), embed.decode(z, words)
+    far = np.bitwise_count(embed.sketches(x) ^ embed.sketches(z)).sum(axis=1) > embed.sketch_limit(0.9)
+    assert np.mean([np.isin(p, q).any() and not f for p, q, f in zip(a, b, far)]) > 0.98
+
+
+def test_survivors_meet_at_their_smallest_filter_only():
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(30, 32))
+    x = np.concatenate((base, base + rng.normal(size=(30, 32)) * 0.02))
+    sketch = embed.sketches(x / np.linalg.norm(x, axis=1, keepdims=True))
+    every = embed.survivors(np.zeros(60, int), sketch, [[]] * 60, 0, 0, embed.sketch_limit(0.9))
+    assert len(every) >= 60
+    met = [[k] for k in range(30)] * 2                 # each pair shares a smaller filter: nothing is left for this one
+    assert len(embed.survivors(np.zeros(60, int), sketch, met, 0, 0, 5)) == 0
+    sides = np.array([0] * 30 + [1] * 30)
+    assert len(embed.survivors(sides, sketch, [[]] * 60, 0, 1, embed.sketch_limit(0.9))) == 60
+    assert len(embed.survivors(sides, sketch, [[]] * 60, 0, 0, 5)) == 0
+
+
+def test_vectors_without_near_ones_are_not_shuffled(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(400, 48))
+    near = base[:10] + rng.normal(size=(10, 48)) * 0.05
+    d = spark.createDataFrame([(i, np.float32(v).tolist()) for i, v in enumerate([*base, *near])], "vec_id long, embedding array<float>")
+    written, write = {}, embed.materialise
+    monkeypatch.setattr(embed, "materialise", lambda df, name="table": written.setdefault(name, write(df, name)))
+    got = {r.id: r.n_links for r in embed.embedding_dedup(d).collect()}
+    assert sum(got.values()) == 20
+    assert written["candidates"].select("cls").distinct().count() < 100 and written["candidates"].count() < 150
 
 
 def test_decoding_finds_the_best_filters():
