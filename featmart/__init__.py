@@ -7,7 +7,6 @@ operators  DataFrame -> DataFrame operators (cleaning, aggregation, joins, seque
            encoding, selection, profiles, model-derived features)
 sources    table loading with explicit schemas, CSV/Parquet sinks, spec hand-off
 plans      feature marts composed from operators and the query catalogue
-streaming  the same aggregate specs applied to a streaming source
 """
 
 from featmart.session import get_spark, checkpoint_dir  # noqa: F401

@@ -128,8 +128,8 @@ def q_star_join(spark, sf):
     lm = (li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
           .join(o.select("o_orderkey", "c_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
           .groupBy("c_custkey").agg(F.sum("n").alias("line_n"), F.sum("q").alias("line_qty_sum")))
-    em = e.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("ev_n"), F.max("value").alias("ev_max"))
-    return J.star_join(c, "c_custkey", [om, lm, em])
+    base = J.aggregate_and_attach(c, e, "c_custkey", [F.count(F.lit(1)).alias("ev_n"), F.max("value").alias("ev_max")])
+    return J.star_join(base, "c_custkey", [om, lm])
 
 
 # ------------------------------------------------------------------ A2 A3 A5
