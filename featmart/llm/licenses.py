@@ -11,8 +11,8 @@ never in a word that tells licenses apart: one with a digit (a version) or of ``
 Templates of which such a word is not in the block are passed over. A name of fewer than ``TINY`` characters (GPLv2, MIT
 License) is too short for a dictionary to save anything; where its words are there, it is ranked behind the others by
 what little it saves, and confirmed by its exact wording alone. The words of a confirmed match do not count again;
-the same template is looked for once more in the rest, then the next one. Of wordings of one license that match as many
-words at a place, the one with the fewest differences counts.
+the same template is looked for once more in the rest, then the next one. Of a license's wordings that fit at a place,
+the one with most words the same counts, a difference against two.
 
 After an ``SPDX-License-Identifier:`` a whole expression may stand: ids joined by AND and OR, in brackets, with a + or
 an exception behind WITH. It is read first; every known id in it is a match of its own, with the ``expression``.
@@ -318,13 +318,15 @@ def scan_text(text: str | None) -> list[tuple[str, int, int, float, int, int, st
                 fit = [(got[2] + got[3], lo, got) for lo, hi in free if (got := align(t, words[lo:hi])) and got[2] + got[3] <= (0 if tiny else _limit(len(t)))]
                 if not fit:
                     break
-                diff, lo, (first, last, missing, added) = min(fit)
-                if diff:
-                    hi = next(y for x, y in free if x == lo)
-                    same = [(o[2] + o[3], -len(u), o) for _, _, n, u, _ in winners if n == name and u is not t and u[0] != "spdx"
-                            and (o := align(u, words[lo:hi])) and o[0] < last and first < o[1] and len(u) - o[2] >= len(t) - missing]
-                    if same and min(same)[0] < diff:
-                        first, last, missing, added = min(same)[2]
+                _, lo, best = min(fit)
+                hi = next(y for x, y in free if x == lo)
+                # of the license's wordings at this place the one with most words the same, a difference counting against two
+                score = len(t) - best[2] - 2 * (best[2] + best[3])
+                for _, _, n, u, short in winners:
+                    if n == name and u is not t and u[0] != "spdx" and (o := align(u, words[lo:hi])) and o[0] < best[1] and best[0] < o[1]:
+                        if o[2] + o[3] <= (0 if short else _limit(len(u))) and (mine := len(u) - o[2] - 2 * (o[2] + o[3])) > score:
+                            best, score = o, mine
+                first, last, missing, added = best
                 use(lo + first, lo + last)
                 start, end = a + spots[lo + first][0], a + spots[lo + last - 1][1]
                 out.setdefault((start, end), (name, start, end, round(max(g, 0) / size, 4), missing, added, None))
