@@ -5,7 +5,7 @@ sums and square sums of either column over them, and the sum of products. Writte
 aggregates a pair, a plan that grows with the square of the columns. Here a task keeps five square matrices and
 adds, per Arrow batch, products of the value matrix (0 where a value is missing) and the presence matrix;
 tasks hand on one row of vectors per column, which Spark's vector summarizer adds up. Values are taken relative to
-the column's mean, so that the differences of sums keep their digits.
+the mean of the column's first rows, so that the differences of sums keep their digits beside a large offset.
 """
 
 from __future__ import annotations
@@ -19,20 +19,23 @@ from pyspark.sql import functions as F
 
 #: Tasks, and with them copies of the matrices, at most; beyond it a task reads several splits.
 MAX_TASKS = 4_096
+FIRST_ROWS = 1_000
 _PARTS = ("n", "s", "t", "q", "r", "p")
 
 
 def pair_sums(df: DataFrame, cols: Sequence[str], max_tasks: int = MAX_TASKS) -> DataFrame:
     """(ia, n, s, t, q, r, p): for each column its vectors over all columns j of the rows where both are known: their number, the
-    sum of the column, of j, of the column's squares, of j's, of the products; all relative to the columns' means. NaN is missing."""
+    sum of the column, of j, of the column's squares, of j's, of the products; all relative to a typical value. NaN is missing."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
     p = len(cols)
     known = [F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")) for c in cols]
     x = df.select(*[k.alias(f"x{i}") for i, k in enumerate(known)])
-    means = x.agg(F.array(*[F.coalesce(F.avg(f"x{i}"), F.lit(0.0)) for i in range(p)]).alias("m")).first()["m"]      # one row
-    shift = np.array(means)
-    shift[~np.isfinite(shift)] = 0.0
+    mean = F.array(*[F.avg(f"x{i}") for i in range(p)])
+    shift = x.limit(FIRST_ROWS).agg(mean.alias("m")).first()["m"]          # one row; any value of the right size does
+    if None in shift:
+        shift = x.agg(mean.alias("m")).first()["m"]                         # a column that begins with NULLs
+    shift = np.array([v if v is not None and np.isfinite(v) else 0.0 for v in shift])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((len(_PARTS), p, p))
