@@ -391,6 +391,8 @@ for _keep in ("both", "binned", "numeric_binned", "originals_passing"):
             kinds = dict(d.dtypes)
             cells = [F.struct(F.lit(c).alias("feature"), (F.lit(None) if kinds[c] == "string" else F.col(c)).cast("double").alias("value"),
                               (F.col(c) if kinds[c] == "string" else F.lit(None)).cast("string").alias("text")) for c in d.columns if c not in ("c_custkey", "y")]
+            if not cells:                        # no column passes
+                return d.where("false").select("c_custkey", "y", F.lit("").alias("feature"), F.lit(0.0).alias("value"), F.lit("").alias("text"))
             return d.select("c_custkey", "y", F.explode(F.array(*cells)).alias("x")).select("c_custkey", "y", "x.feature", "x.value", "x.text")
         q.__doc__ = f"D10 binned mart (keep={keep!r}) in long form, over 10 pre-bins."
         return q
