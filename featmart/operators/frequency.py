@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 DEPTH = 5
 WIDTH = 1 << 10
 SMALLEST = 1 << 10
+#: Tasks, and with them copies of the sketches, at most; beyond it a task reads several splits.
+MAX_TASKS = 4_096
 #: Standard errors that the bounds lie off the estimates.
 ERRORS = 5.0
 _TOP = float(2 ** 63)
@@ -55,7 +57,7 @@ def sketch(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             pa.array(counters.ravel()), DEPTH * WIDTH).cast(pa.list_(pa.float64())), pa.array([x.tolist() for x in least], pa.list_(pa.int64()))],
             names=["i", "n", "c", "least"])
 
-    return hashes.mapInArrow(run, "i int, n long, c array<double>, least array<long>")
+    return hashes.coalesce(MAX_TASKS).mapInArrow(run, "i int, n long, c array<double>, least array<long>")
 
 
 def variance_bounds(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float | None, float | None]]:

@@ -188,5 +188,15 @@ def fit_and_score(train: DataFrame, score: DataFrame, id_col: str, label: str, n
     model = Pipeline(stages=preprocess_pipeline(numeric, categorical) + [logistic(n, C)]).fit(tr)
     if model_path:
         model.write().overwrite().save(model_path)
-    sc = model.transform(_prepare_numeric(score, numeric))
+    return _scored(model, score, id_col, numeric)
+
+
+def _scored(model, df: DataFrame, id_col: str, numeric: Sequence[str]) -> DataFrame:
+    sc = model.transform(_prepare_numeric(df, numeric))
     return sc.select(F.col(id_col).cast("int").alias(id_col), _prob1().alias("score"))
+
+
+def score_saved(model_path: str, df: DataFrame, id_col: str, numeric: Sequence[str]) -> DataFrame:
+    """Scores of a pipeline that ``fit_and_score`` saved, in whatever session ``df`` belongs to (M6)."""
+    from pyspark.ml import PipelineModel
+    return _scored(PipelineModel.load(model_path), df, id_col, numeric)

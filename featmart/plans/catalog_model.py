@@ -5,6 +5,8 @@ fold, that the statistics and metrics follow from the scores - with an exact ora
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from featmart.operators import encode as EN
@@ -16,7 +18,7 @@ from featmart.operators.agg import dist_pack
 from featmart.plans import binning_sql as BS
 from featmart.plans.compare import rs
 from featmart.plans.registry import query
-from featmart.session import cut_lineage
+from featmart.session import checkpoint_dir, cut_lineage
 from featmart.sources import load
 
 _FOLD_SQL = "CAST(CAST(('0x' || substr(md5(CAST(c_custkey AS VARCHAR) || '-42'), 1, 8)) AS BIGINT) % 5 AS INTEGER)"
@@ -201,6 +203,24 @@ def q_train_predict_check(spark, sf):
     return s.select("doc_id", F.col("score").between(0, 1).alias("is_probability"))
 
 
+@query("saved_scoring_check", """
+SELECT CAST(d.doc_id AS INTEGER) AS doc_id, true AS same FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic IS NULL
+""")
+def q_saved_scoring_check(spark, sf):
+    """The fitted scoring pipeline saved to the shared folder and loaded by another session: the same score for every
+    unlabelled document (M4, M6, S8)."""
+    d = _docs(spark, sf)
+    path = f"{checkpoint_dir(spark)}/scoring-{uuid.uuid4().hex}"
+    new = d.filter(F.col("toxic").isNull())
+    first = cut_lineage(MD.fit_and_score(d, new, "doc_id", "toxic", ["n_chars"], ["lang", "source"], model_path=path))
+    other = spark.newSession()
+    again = MD.score_saved(path, _docs(other, sf).filter(F.col("toxic").isNull()), "doc_id", ["n_chars"])
+    out = f"{path}-scores"
+    again.write.parquet(out)                           # another session's rows come over the shared folder
+    both = first.join(spark.read.parquet(out).withColumnRenamed("score", "again"), "doc_id", "left")
+    return both.select("doc_id", F.coalesce(F.col("score") == F.col("again"), F.lit(False)).alias("same"))
+
+
 _CV_FOLDS = """SELECT toxic, CAST((row_number() OVER (PARTITION BY toxic ORDER BY md5(CAST(doc_id AS VARCHAR) || '-42'), doc_id) - 1) % 5 AS INTEGER) AS fold
 FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL"""
 

@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from featmart.plans.catalog import RAW  # noqa: E402
 from featmart.session import get_spark  # noqa: E402
 
-NAMES = ["customer_mart", "join_back", "seq_diff_running", "dist_pack"]
+NAMES = ["customer_mart", "join_back", "seq_diff_running", "dist_pack", "first_last_k", "one_hot_counts"]
 
 
 def main(sf_dir: str) -> None:
