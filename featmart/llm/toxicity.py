@@ -45,6 +45,7 @@ MIN_DRIFT = 0.005
 E_VALUE = 0.05
 MOST = 20.0          # evidence beyond which the curve is flat
 HELD_OUT = 5
+MAX_TASKS = 16_384   # of a count, each of which hands on up to BUCKETS sums; beyond it a task reads several splits
 _REMEMBER = 200_000
 _TOKEN = re.compile(r"[^\W\d_]+")
 _known: dict[str, int] = {}
@@ -199,7 +200,7 @@ def document_counts(rows: DataFrame, parts: int = 1) -> DataFrame:
             yield pa.record_batch([pa.array(some.astype(np.int32)), *(pa.array(n[some, p]) for p in range(parts))],
                                   names=["bucket", *(f"n{p}" for p in range(parts))])
 
-    made = rows.select("part", "text").mapInArrow(run, "bucket int, " + ", ".join(f"n{p} long" for p in range(parts)))
+    made = rows.select("part", "text").coalesce(MAX_TASKS).mapInArrow(run, "bucket int, " + ", ".join(f"n{p} long" for p in range(parts)))
     return made.groupBy("bucket").agg(*(F.sum(f"n{p}").alias(f"n{p}") for p in range(parts)))
 
 
