@@ -53,7 +53,7 @@ class Index:
     windows: DataFrame    # wid, win (array), len, short
     items: DataFrame      # wid, item
     pairs: DataFrame      # wid, term, off, other, other_off: a pair of words, the rarer first
-    postings: DataFrame   # term, k1, k2, pos
+    postings: DataFrame   # term, k1, k2, pos, id; and a row per document with a null term, whose pos is its number of words
     longest: int          # words of the longest window
 
 
@@ -91,14 +91,18 @@ def build_index(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_
         "a.wid", "a.term", "a.off", F.col("b.term").alias("other"), F.col("b.off").alias("other_off"))
     pairs = materialise(pairs, "pairs")
     used = materialise(pairs.select("term").unionAll(pairs.select("other")).distinct(), "used-terms")
-    posts = materialise(doc_words(docs, id_col, text_col).join(small(used), "term").select("term", *_DOC, "pos"), "postings")
+    # one more place behind a document's last word tells its number of words, so that they need no pass of their own
+    end = F.concat(words(F.col(text_col)), F.array(F.lit(None).cast("string")))
+    all_places = doc_keys(docs, id_col, text_col, F.col(id_col).alias("id"), F.posexplode(end).alias("pos", "term"))
+    posts = all_places.join(small(used.withColumn("used", F.lit(True))), "term", "left").where("used OR term IS NULL")
+    posts = materialise(posts.select("term", *_DOC, "pos", "id"), "postings")
     return Index(wins, items, pairs, posts, wins.agg(F.max("len")).first()[0] or 0)
 
 
 def candidates(ix: Index, slop: int = SLOP) -> DataFrame:
     """Places (k1, k2, wid, start) that a pair's lists allow: one word in place, the other at most ``slop`` words from its."""
     first = ix.postings.join(small(ix.pairs), "term").select(*_DOC, "wid", F.col("other").alias("term"), "other_off", (F.col("pos") - F.col("off")).alias("d"))
-    both = first.join(ix.postings, ["term", *_DOC]).withColumn("e", F.col("pos") - F.col("other_off")).where(F.abs(F.col("e") - F.col("d")) <= slop)
+    both = first.join(ix.postings.drop("id"), ["term", *_DOC]).withColumn("e", F.col("pos") - F.col("other_off")).where(F.abs(F.col("e") - F.col("d")) <= slop)
     return both.select(*_DOC, "wid", F.explode(F.array("d", "e")).alias("start")).distinct()
 
 
@@ -140,7 +144,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
                                  F.array_sort(F.collect_list(F.coalesce(F.col("item").cast("string"), F.lit("")))).alias("items")))
     near = (every.select(*_DOC, "wid").distinct().join(small(ix.items), "wid").select(*_DOC, "item").distinct()
             .groupBy(*_DOC).agg(F.count(F.lit(1)).alias("n_near")))
-    base = doc_keys(docs, id_col, text_col, F.col(id_col).alias("id"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
+    base = ix.postings.where("term IS NULL").select("id", *_DOC, F.col("pos").cast("long").alias("n_words"))
     zero = F.lit(0).cast("long")
     found = materialise(near.join(n_hit.join(names, _DOC), _DOC, "left"), "found")
     return base.join(small(found), _DOC, "left").select(
