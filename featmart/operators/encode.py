@@ -87,7 +87,7 @@ def one_hot_vector(df: DataFrame, cols: Sequence[str], index: DataFrame, name: s
     for c in used:
         lo, n = spans[c]
         t = index.where(F.col("feature") == c).select(F.col("level").alias(f"_level_{c}"), (F.col("index") - lo).cast("double").alias(f"_at_{c}"))
-        out = out.join(t, out[c].cast("string").eqNullSafe(F.col(f"_level_{c}")), "left").withColumn(f"_at_{c}", F.coalesce(f"_at_{c}", F.lit(float(n)))).drop(f"_level_{c}")
+        out = out.join(F.broadcast(t) if n <= 50_000 else t, out[c].cast("string").eqNullSafe(F.col(f"_level_{c}")), "left").withColumn(f"_at_{c}", F.coalesce(f"_at_{c}", F.lit(float(n)))).drop(f"_level_{c}")
     # the encoder learns each column's number of places from its largest; the place behind them is 'none'
     largest = spark.createDataFrame([tuple(float(spans[c][1] - 1) for c in used)], [f"_at_{c}" for c in used])
     enc = OneHotEncoder(inputCols=[f"_at_{c}" for c in used], outputCols=[f"_hot_{c}" for c in used], handleInvalid="keep", dropLast=True).fit(largest)

@@ -5,8 +5,9 @@ Broadcast policy
 * Ordinary joins carry no hint: AQE measures the materialised shuffle stage and switches to a
   broadcast join only below ``spark.sql.adaptive.autoBroadcastJoinThreshold`` - a size check
   made at run time, with sort-merge as the path beyond it.
-* No operator hints a broadcast; ``collect_bounded`` fetches parameter tables that are bounded by
-  construction (a row per column or per bin).
+* AQE still shuffles the large side before it knows. Where that side holds detail rows and the other is a fitted table, written
+  already and mostly tiny, ``few_rows`` counts it and hints a broadcast if it is.
+* ``collect_bounded`` fetches parameter tables that are bounded by construction (a row per column or per bin).
 """
 
 from __future__ import annotations
@@ -25,6 +26,11 @@ def collect_bounded(df: DataFrame, bound: int, what: str = "fitted table") -> li
     return rows
 
 
+def few_rows(df: DataFrame, bound: int = 50_000) -> DataFrame:
+    """``df``, a written table of narrow rows, with a broadcast hint if it has at most ``bound`` rows."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
 def attach(parent: DataFrame, child_agg: DataFrame, on: str | Sequence[str], how: str = "left") -> DataFrame:
     """Join an already aggregated child (one row per key) onto its parent."""
     return parent.join(child_agg, on=on, how=how)

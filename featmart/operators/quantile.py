@@ -11,7 +11,8 @@ Few groups of any size, such as the columns of a table (``bracketed_percentiles`
 per group gives each wanted rank a bracket of two values in one pass. A second pass counts, map-side, what lies
 below, on and between the bounds, and keeps values only strictly inside a bracket, so that a fraction of the rows
 is shuffled and neither all rows nor all distinct values are sorted. A hot value is a bound or one row. Should a
-rank lie outside its bracket, beyond the sketch's error, the group form takes over: the result is exact always.
+rank lie outside its bracket, beyond the sketch's error, the group form takes over: the result is exact always. So it
+does for more than ``BRACKET_GROUPS`` groups, whose brackets would be too many to broadcast.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from featmart.session import cut_lineage
 
 APPROX_ACCURACY = 100_000
 BRACKET_ACCURACY = 10_000      # the sketch's rank error is at most rows / BRACKET_ACCURACY
+BRACKET_GROUPS = 10_000        # a row of about a kilobyte each is broadcast
 RANK_CHUNK_ROWS = 1_000_000
 
 
@@ -90,12 +92,14 @@ def bracketed_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs:
         AND exists(_in, p -> p.lo <= element_at(_b, i) AND p.hi >= element_at(_b, i + 1)))""") if len(bounds) > 1 else F.array(F.lit(False))
     pad = F.expr(f"slice(concat(_b, array_repeat(CAST(NULL AS DOUBLE), {room})), 1, {room})")
     sk = cut_lineage(sk.select(*kk, pad.alias("_b"), between.alias("_open")))
+    if sk.limit(BRACKET_GROUPS + 1).count() > BRACKET_GROUPS:
+        return percentiles(df, keys, value, probs, names=names)
     names_of = {k: f"_r_{i}" for i, k in enumerate(kk)}
     cond = F.lit(True)
     for k, n in names_of.items():
         cond = cond & d[k].eqNullSafe(F.col(n))
     # how many bounds lie below the value, by halving; place 2 i + 1 is on bound i, 2 i between the bounds i - 1 and i
-    placed = d.join(sk.withColumnsRenamed(names_of), cond).withColumn("_i", F.lit(0))
+    placed = d.join(F.broadcast(sk.withColumnsRenamed(names_of)), cond).withColumn("_i", F.lit(0))
     step = room // 2
     while step:
         placed = placed.withColumn("_i", F.col("_i") + F.when(F.col("_b")[F.col("_i") + (step - 1)] < F.col("_v"), step).otherwise(0))
@@ -105,8 +109,8 @@ def bracketed_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs:
     held = placed.withColumn("_on", on).select(*kk, (F.col("_i") * 2 + F.col("_on").cast("int")).alias("_at"),
                                                F.when(F.col("_on") | F.col("_open")[F.col("_i")], F.col("_v")).alias("_v"))
     c = cut_lineage(held.groupBy(*kk, "_at", "_v").agg(F.count(F.lit(1)).alias("_c")))
-    p = sequence_features(c, kk, ["_at", "_v"], {"_cum": ("running_sum", "_c"), "_n": ("key_sum", "_c")})
-    out = cut_lineage(_picked(p, kk, probs, names))
+    p = sequence_features(c, kk, ["_at", "_v"], {"_cum": ("running_sum", "_c"), "_n": ("key_sum", "_c")}, largest=c.count())
+    out = _picked(p, kk, probs, names)
     short = F.lit(False)
     for n in names:
         short = short | F.col(n).isNull()

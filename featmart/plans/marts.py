@@ -83,10 +83,12 @@ ORDER_ORDER = ["o_orderdate", "o_orderkey"]
 REF_DATE = "2001-01-01"
 
 
-def mart_base(customer: DataFrame, nation: DataFrame, largest: int | None = None, rows: DataFrame | None = None, extra: Sequence[str] = ()) -> DataFrame:
+def mart_base(customer: DataFrame, nation: DataFrame, largest: int | None = None, rows: DataFrame | None = None, extra: Sequence[str] = (),
+              groups: int | None = None) -> DataFrame:
     """Customer + nation name; balance relative to the median of its (nation, segment) and
     of its segment (attached via aggregate + join); segment one-hot with a missing column;
-    guarded log1p; row statistics. ``rows``: the customers with the further columns ``extra``, to be kept."""
+    guarded log1p; row statistics. ``rows``: the customers with the further columns ``extra``, to be kept; ``groups``: no
+    fewer than the (nation, segment) groups and segments, if that is known."""
     from featmart.session import cut_lineage
     c = (customer if rows is None else rows).select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment", *extra)
     # both medians by one ranking: a row counts for its (nation, segment) and for its segment
@@ -94,8 +96,9 @@ def mart_base(customer: DataFrame, nation: DataFrame, largest: int | None = None
     sets = F.array(F.struct(F.lit(0).alias("s"), F.col("c_nationkey").alias("n")), F.struct(F.lit(1).alias("s"), none.alias("n")))
     both = customer.select("c_mktsegment", "c_acctbal", F.explode(sets).alias("g")).select("g.s", "g.n", "c_mktsegment", "c_acctbal")
     m = cut_lineage(Q.percentiles(both, ["s", "n", "c_mktsegment"], "c_acctbal", [0.5], names=["med"], largest=largest))
-    ns = m.where("s = 0").select(F.col("n").alias("c_nationkey"), "c_mktsegment", F.col("med").alias("med_ns"))
-    s = m.where("s = 1").select("c_mktsegment", F.col("med").alias("med_s"))
+    few = J.few_rows(m) if groups is None else F.broadcast(m) if groups <= 50_000 else m          # a row per nation and segment
+    ns = few.where("s = 0").select(F.col("n").alias("c_nationkey"), "c_mktsegment", F.col("med").alias("med_ns"))
+    s = few.where("s = 1").select("c_mktsegment", F.col("med").alias("med_s"))
     c = c.join(ns, ["c_nationkey", "c_mktsegment"], "left").join(s, ["c_mktsegment"], "left")
     c = c.join(nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey", "left")
     c, _ = EN.one_hot_apply(c, {"c_mktsegment": SEGMENTS}, dummy_na=True, drop_source=False)
@@ -316,8 +319,9 @@ def final_marts(customer: DataFrame, nation: DataFrame, orders: DataFrame, linei
     group = F.concat_ws("|", "c_mktsegment", "bal_bucket", F.col("c_mktsegment").isNull().cast("string"))
     top = S.largest_keys({
         "lines": (lineitem, ("l_orderkey", None), None), "orders": (orders, ("o_custkey", None), None), "events": (events, ("user_id", None), None),
-        "segment": (alike, (None, "c_mktsegment"), n), "cluster": (alike, ("c_nationkey", group), n), "clusters": (alike.where("_n > 1"), (None, None), None)})
-    base = mart_base(c, nation, top.get("segment", 0), with_neighbours(c, alike, top.get("clusters", 0), top.get("cluster", 0)), _NB)
+        "segment": (alike, (None, "c_mktsegment"), n), "cluster": (alike, ("c_nationkey", group), n), "clusters": (alike.where("_n > 1"), (None, None), None),
+        "alike": (alike, (None, None), None)})
+    base = mart_base(c, nation, top.get("segment", 0), with_neighbours(c, alike, top.get("clusters", 0), top.get("cluster", 0)), _NB, 2 * top.get("alike", 0))
     marts = [orders_marts(orders, lineitem, largest=top.get("lines", 0)), orders_slices_marts(orders, largest=top.get("orders", 0)),
              mart_series(events, largest=top.get("events", 0))]
     return mart_final(marts, base)

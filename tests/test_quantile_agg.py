@@ -74,6 +74,23 @@ def test_brackets_shuffle_few_rows_of_a_unique_column(spark):
     assert _shuffled_rows(spark, lambda: Q.bracketed_percentiles(hot, ["k"], "v", [0.01, 0.5, 0.99]).collect()) < 0.02 * n
 
 
+def test_rows_are_not_shuffled_to_meet_their_brackets(spark, monkeypatch):
+    """The brackets are broadcast whatever the planner thinks of their size; many groups take the other form."""
+    plans, cut = [], Q.cut_lineage
+    monkeypatch.setattr(Q, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    df = spark.range(5_000).select((F.col("id") % 3).alias("k"), F.xxhash64("id").cast("double").alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.k: r.p0 for r in Q.bracketed_percentiles(df, ["k"], "v", [0.5]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    (place,) = [p for p in plans if "BroadcastHashJoin" in p]
+    assert "SortMergeJoin" not in place and place.count("Exchange hashpartitioning") == 1 and "partial_count" in place
+    plans.clear()
+    monkeypatch.setattr(Q, "BRACKET_GROUPS", 2)
+    assert {r.k: r.p0 for r in Q.bracketed_percentiles(df, ["k"], "v", [0.5]).collect()} == got and not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_brackets_fall_back_when_a_rank_is_outside(spark, monkeypatch):
     df = spark.createDataFrame([("a", float(i)) for i in range(500)], "k string, v double")
     monkeypatch.setattr(F, "percentile_approx", lambda c, p, a: F.array(*[F.lit(1.5) for _ in p]))       # a sketch that knows nothing
