@@ -430,6 +430,7 @@ def binned_apply(df: DataFrame, bins: Bins, cols: Sequence[str] | None = None, s
                  keep: str = "both") -> DataFrame:
     """WoE of the fitted bin for every column (E9); NULL, out-of-range or unseen -> ``missing_value``.
     keep: 'both' (originals + binned), 'binned' (binned only)."""
+    from featmart.operators.joins import few_rows
     woe: dict[str, list] = {}
     for r in bins.table.collect():                   # columns x prebins rows at most
         woe.setdefault(r["feature"], []).append(r)
@@ -439,7 +440,8 @@ def binned_apply(df: DataFrame, bins: Bins, cols: Sequence[str] | None = None, s
         rows = sorted(woe[c], key=lambda r: r["bin"])
         by_prebin = [next((r["woe"] for r in rows if r["first"] <= b <= r["last"]), None) for b in range(rows[-1]["last"] + 1)]
         if c in bins.cats:
-            t = bins.levels.filter(F.col("feature") == c).select(F.col("value").alias(f"_v{i}"), F.col("prebin").alias(f"_p{i}"))
+            # levels are written and mostly few: without a hint the rows are shuffled by the column before Spark sees that
+            t = few_rows(bins.levels.filter(F.col("feature") == c).select(F.col("value").alias(f"_v{i}"), F.col("prebin").alias(f"_p{i}")))
             out = out.join(t, df[c].cast("string") == F.col(f"_v{i}"), "left")
             v = _bin_lookup(F.col(f"_p{i}"), [w if w is not None else missing_value for w in by_prebin])
         else:

@@ -126,14 +126,16 @@ def few_group_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs:
 
 
 def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], exact: bool = True) -> dict:
-    """Quantiles of several columns at once: the columns are unpivoted to (feature, value), and a column is
+    """Quantiles of several columns at once: the columns are unpivoted to (place, value), and a column is
     a group.  Returns {column: [q...]}."""
-    arr = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols])
+    cols = list(cols)
+    # a column goes by its place: grouping by a name costs more
+    arr = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(c).cast("double").alias("value")) for i, c in enumerate(cols)])
     u = df.select(F.explode(arr).alias("_kv")).select("_kv.feature", "_kv.value")
     q = few_group_percentiles(u, ["feature"], "value", probs, exact)
     out = {c: [] for c in cols}
     for r in q.collect():                         # one row per column
-        out[r["feature"]] = [r[f"p{i}"] for i in range(len(probs))]
+        out[cols[r["feature"]]] = [r[f"p{i}"] for i in range(len(probs))]
     return out
 
 

@@ -3,7 +3,7 @@
 One rule set, two physical forms of it:
 
 * Entities of at most ``chunk_rows`` rows: ``Window.partitionBy(key).orderBy(order)``, one shuffle.
-* Entities above it (found by an exact count of the key columns) are cut into blocks of
+* Entities above it (found by a count by hash, then an exact one of the key columns if need be) are cut into blocks of
   ``chunk_rows`` consecutive rows, and each block is a window partition of its own:
 
   1. ``positions`` numbers the rows exactly (range partitions and a chunk table, no window over
@@ -39,6 +39,8 @@ from featmart.session import cut_lineage
 CHUNK_ROWS = 1_000_000
 ROWS_PER_RANGE_PARTITION = 2_000_000
 EWM_SPANS = 4
+EWM_CHUNK_ROWS = 200_000      # an EWM's windows hold a block and what the four spans before it copy into it, several times over
+KEY_BUCKETS = 1 << 16         # keys are counted by hash first: a table of bounded size
 
 
 def ewm_span(alpha: float) -> int:
@@ -80,8 +82,8 @@ def _reach(features: Mapping[str, tuple]) -> tuple[int, int]:
     return before, after
 
 
-def _window_exprs(part: Sequence[str], order: Sequence, features: Mapping[str, tuple], halo: Column | None) -> dict:
-    """Window expressions for every feature but EWM; ``halo`` marks copied rows, which sums skip."""
+def _window_exprs(part: Sequence[str], order: Sequence, features: Mapping[str, tuple], halo: Column | None, kinds: Mapping[str, str]) -> dict:
+    """Window expressions for every feature but EWM; ``halo`` marks copied rows, which sums skip; ``kinds``: the columns' types."""
     w = Window.partitionBy(*part).orderBy(*order)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*part)
@@ -113,8 +115,15 @@ def _window_exprs(part: Sequence[str], order: Sequence, features: Mapping[str, t
             out[name] = F.count(own(F.lit(1))).over(whole)
         elif kind == "rolling_mean":
             n = int(spec[2])
-            fr = w.rowsBetween(-(n - 1), Window.currentRow)
-            v = F.when(F.count(col).over(fr) == n, F.avg(col).over(fr))
+            if n <= 4 and kinds.get(spec[1]) == "double":
+                # a short window is read as lags, which cost less than a sliding frame; summed in the order in which AVG sums
+                v = F.lit(0.0)
+                for back in range(n - 1, -1, -1):
+                    v = v + (F.lag(col, back).over(w) if back else col)
+                v = v / F.lit(float(n))
+            else:
+                fr = w.rowsBetween(-(n - 1), Window.currentRow)
+                v = F.when(F.count(col).over(fr) == n, F.avg(col).over(fr))
             out[name] = F.coalesce(v, F.lit(spec[3])) if len(spec) > 3 else v
         elif kind == "row_number":
             out[name] = F.row_number().over(w).cast("bigint")
@@ -123,24 +132,28 @@ def _window_exprs(part: Sequence[str], order: Sequence, features: Mapping[str, t
     return out
 
 
-def _add_ewm(df: DataFrame, part: Sequence[str], name: str, col: str, alpha: float, halo: Column | None) -> DataFrame:
-    """Add the EWM column (pandas ``adjust=True, ignore_na=False``); needs ``_pos``."""
+def _add_ewm(df: DataFrame, part: Sequence[str], name: str, col: str, alpha: float, halo: Column | None, largest: int | None = None) -> DataFrame:
+    """Add the EWM column (pandas ``adjust=True, ignore_na=False``); needs ``_pos``. ``largest``: no fewer than the rows of the
+    largest partition, if that is known: it has no more spans than they fill. What is read in order of position shares
+    a sort with what is read by span."""
     beta, span, x = 1.0 - alpha, ewm_span(alpha), F.col(col).cast("double")
     real = x.isNotNull() if halo is None else x.isNotNull() & ~halo
-    by_pos = Window.partitionBy(*part).orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     if beta <= 0:
+        by_pos = Window.partitionBy(*part).orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumn(name, F.last(F.when(real, x), ignorenulls=True).over(by_pos))
     d = df.withColumn("_span", F.floor((F.col("_pos") - 1) / span)).withColumn("_in", F.col("_pos") - 1 - F.col("_span") * span)
     grow, fade = F.pow(F.lit(1.0 / beta), F.col("_in")), F.pow(F.lit(beta), F.lit(span) - F.col("_in"))
     d = d.withColumns({"_xg": x * grow, "_wg": F.when(x.isNotNull(), grow), "_xf": x * fade, "_wf": F.when(x.isNotNull(), fade)})
     run = Window.partitionBy(*part, "_span").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    num, den = F.coalesce(F.sum("_xg").over(run), F.lit(0.0)), F.coalesce(F.sum("_wg").over(run), F.lit(0.0))
-    for back in range(1, EWM_SPANS + 1):
+    d = d.withColumns({"_num": F.coalesce(F.sum("_xg").over(run), F.lit(0.0)), "_den": F.coalesce(F.sum("_wg").over(run), F.lit(0.0))})
+    num, den = F.col("_num"), F.col("_den")
+    for back in range(1, 1 + (EWM_SPANS if largest is None else min(EWM_SPANS, (max(largest, 1) - 1) // span))):
         earlier = Window.partitionBy(*part).orderBy("_span").rangeBetween(-back, -back)
         decay = F.lit(beta ** (span * (back - 1)))
         num = num + F.coalesce(F.sum("_xf").over(earlier), F.lit(0.0)) * decay
         den = den + F.coalesce(F.sum("_wf").over(earlier), F.lit(0.0)) * decay
     d = d.withColumns({"_num": num, "_den": den}).withColumn("_y", F.when(real, F.col("_num") / F.col("_den")))
+    by_pos = Window.partitionBy(*part).orderBy("_span", "_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return d.withColumn(name, F.last("_y", ignorenulls=True).over(by_pos)).drop(
         "_span", "_in", "_xg", "_wg", "_xf", "_wf", "_num", "_den", "_y")
 
@@ -171,12 +184,25 @@ def large_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys)
 
 
-def largest_keys(parts: Mapping[str, tuple]) -> dict[str, int]:
+def within(df: DataFrame, keys: Sequence[str], limit: int) -> bool:
+    """Whether no key can have more than ``limit`` rows: the rows are counted by a hash of the key, in at most
+    ``KEY_BUCKETS`` groups a task, so that no key is shuffled. A key's rows all fall into one group."""
+    n = df.groupBy(_bucket(*keys).alias("_b")).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("n")).first()["n"]
+    return n is None or n <= limit
+
+
+def _bucket(*keys) -> Column:
+    return F.xxhash64(*keys).bitwiseAND(F.lit(KEY_BUCKETS - 1))
+
+
+def largest_keys(parts: Mapping[str, tuple], hashed: Sequence[str] = ()) -> dict[str, int]:
     """Rows of the largest key of several frames by one shuffled count. parts: name -> (frame, keys, weight): at most two
-    keys, a whole number and a text, either may be None; weight: a Column of row counts, or None for one a row."""
+    keys, a whole number and a text, either may be None; weight: a Column of row counts, or None for one a row. For the
+    parts ``hashed`` the number is no smaller than that: they are counted by a hash of the key (``within``)."""
     one = None
     for name, (df, (number, text), weight) in parts.items():
-        d = df.select(F.lit(name).alias("_part"), (F.col(number) if number else F.lit(None)).cast("bigint").alias("_number"),
+        number = F.lit(None) if not number else _bucket(number) if name in hashed else F.col(number)
+        d = df.select(F.lit(name).alias("_part"), number.cast("bigint").alias("_number"),
                       (F.col(text) if isinstance(text, str) else F.lit(None) if text is None else text).cast("string").alias("_text"),
                       (F.lit(1) if weight is None else weight).cast("bigint").alias("_w"))
         one = d if one is None else one.unionByName(d)
@@ -184,16 +210,16 @@ def largest_keys(parts: Mapping[str, tuple]) -> dict[str, int]:
     return {r["_part"]: r["n"] for r in n.collect()}                   # a row per part
 
 
-def _plain(df: DataFrame, keys: list[str], order: Sequence, features: Mapping[str, tuple]) -> DataFrame:
+def _plain(df: DataFrame, keys: list[str], order: Sequence, features: Mapping[str, tuple], largest: int | None = None) -> DataFrame:
     by = [_ord(o) for o in order]
-    exprs = _window_exprs(keys, by, features, None)
+    exprs = _window_exprs(keys, by, features, None, dict(df.dtypes))
     ewm = [n for n, s in features.items() if s[0] == "ewm"]
     if not ewm:
         return df.select("*", *[e.alias(n) for n, e in exprs.items()])
     out = df.select("*", *[e.alias(n) for n, e in exprs.items()],
                     F.row_number().over(Window.partitionBy(*keys).orderBy(*by)).cast("bigint").alias("_pos"))
     for n in ewm:
-        out = _add_ewm(out, keys, n, features[n][1], float(features[n][2]), None)
+        out = _add_ewm(out, keys, n, features[n][1], float(features[n][2]), None, largest)
     return out.select(*df.columns, *features)
 
 
@@ -216,7 +242,7 @@ def _chunked(df: DataFrame, keys: list[str], order: Sequence, features: Mapping[
                      F.transform(copies, lambda b: F.struct(b.alias("b"), F.lit(True).alias("h"))))
     rows = pos.withColumn("_copy", F.explode(dealt)).withColumn("_blk", F.col("_copy.b")).withColumn("_halo", F.col("_copy.h")).drop("_copy")
     part, halo = [*keys, "_blk"], F.col("_halo")
-    exprs = _window_exprs(part, [F.col("_pos")], features, halo)
+    exprs = _window_exprs(part, [F.col("_pos")], features, halo, dict(df.dtypes))
     for n, s in features.items():
         if s[0] == "row_number":
             exprs[n] = F.col("_pos")
@@ -257,8 +283,8 @@ def sequence_features(df: DataFrame, key: str | Sequence[str], order: Sequence,
                       chunk_rows: int | None = None, adaptive: bool = True, sizes: DataFrame | None = None,
                       largest: int | None = None) -> DataFrame:
     """Add order-aware features per key. Keys with more than ``chunk_rows`` rows (default
-    ``CHUNK_ROWS``) are cut into blocks; ``adaptive=False`` cuts every key (for tests). ``sizes``: a
-    frame with the key columns and at least as many rows per key, if counting it is cheaper. ``largest``: the rows of the
+    ``CHUNK_ROWS``, with an EWM ``EWM_CHUNK_ROWS``) are cut into blocks; ``adaptive=False`` cuts every key (for tests). ``sizes``: a
+    frame with the key columns and at least as many rows per key, if counting it is cheaper. ``largest``: no fewer than the rows of the
     largest key, where they have been counted before (``largest_keys``).
 
     features: name -> spec, where spec is one of
@@ -274,16 +300,18 @@ def sequence_features(df: DataFrame, key: str | Sequence[str], order: Sequence,
       ("row_number",)                1-based position within the key
     """
     keys = [key] if isinstance(key, str) else list(key)
-    chunk_rows = chunk_rows or CHUNK_ROWS
+    chunk_rows = chunk_rows or (EWM_CHUNK_ROWS if any(s[0] == "ewm" for s in features.values()) else CHUNK_ROWS)
     if not adaptive:
         return _chunked(df, keys, order, features, chunk_rows)
     if largest is not None and largest <= chunk_rows:
-        return _plain(df, keys, order, features)
+        return _plain(df, keys, order, features, largest)
+    if within(df if sizes is None else sizes, keys, chunk_rows):
+        return _plain(df, keys, order, features, chunk_rows)
     hot = large_keys(df if sizes is None else sizes, keys, chunk_rows)
     if hot.isEmpty():
-        return _plain(df, keys, order, features)
+        return _plain(df, keys, order, features, chunk_rows)
     hot = cut_lineage(hot)               # few rows, read by both branches
-    cold = _plain(null_safe_join(df, hot, keys, "left_anti"), keys, order, features)
+    cold = _plain(null_safe_join(df, hot, keys, "left_anti"), keys, order, features, chunk_rows)
     return cold.unionByName(_chunked(null_safe_join(df, hot, keys, "left_semi"), keys, order, features, chunk_rows))
 
 

@@ -132,7 +132,8 @@ def order_level(orders: DataFrame, lineitem: DataFrame, parts: Sequence[str] = (
     requested marts: 'external' (D2: line count, return-flag counts and shares), 'monthly' (D4:
     quantity range, counts per line status, returned-and-closed flag), 'instalments' (D5: lines
     in ship order - paid ratio, due difference, late flag, running paid, rolling 3 mean of due)."""
-    li = lineitem.select("l_orderkey", *[c for c in LINE_ORDER if c != "l_orderkey"], "l_quantity",
+    # the price goes by one name, 'due': a second copy would be shuffled and sorted as well
+    li = lineitem.select("l_orderkey", *[c for c in LINE_ORDER if c != "l_extendedprice"], "l_quantity",
                          "l_returnflag", "l_linestatus", F.col("l_extendedprice").alias("due"),
                          (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("paid"))
     aggs = []
@@ -147,7 +148,7 @@ def order_level(orders: DataFrame, lineitem: DataFrame, parts: Sequence[str] = (
                            ("ret_closed", ["max"],
                             "CAST(coalesce(l_returnflag = 'R' AND l_linestatus = 'F', false) AS INT)")]).columns()
     if "instalments" in parts:
-        li = S.sequence_features(li, "l_orderkey", LINE_ORDER, _D5_SEQ, chunk_rows=chunk_rows, adaptive=adaptive, largest=largest)
+        li = S.sequence_features(li, "l_orderkey", ["due" if c == "l_extendedprice" else c for c in LINE_ORDER], _D5_SEQ, chunk_rows=chunk_rows, adaptive=adaptive, largest=largest)
         li = li.withColumn("ratio", safe_div("paid", "due")).withColumn(
             "late", flag(F.datediff("l_shipdate", "prev_ship") > 30))
         aggs += [F.avg("ratio").alias("ratio_mean"), F.sum("due_diff").alias("diff_sum"),
@@ -320,7 +321,7 @@ def final_marts(customer: DataFrame, nation: DataFrame, orders: DataFrame, linei
     top = S.largest_keys({
         "lines": (lineitem, ("l_orderkey", None), None), "orders": (orders, ("o_custkey", None), None), "events": (events, ("user_id", None), None),
         "segment": (alike, (None, "c_mktsegment"), n), "cluster": (alike, ("c_nationkey", group), n), "clusters": (alike.where("_n > 1"), (None, None), None),
-        "alike": (alike, (None, None), None)})
+        "alike": (alike, (None, None), None)}, hashed=("lines", "events"))
     base = mart_base(c, nation, top.get("segment", 0), with_neighbours(c, alike, top.get("clusters", 0), top.get("cluster", 0)), _NB, 2 * top.get("alike", 0))
     marts = [orders_marts(orders, lineitem, largest=top.get("lines", 0)), orders_slices_marts(orders, largest=top.get("orders", 0)),
              mart_series(events, largest=top.get("events", 0))]
